@@ -126,26 +126,41 @@ def link_fingerprints(tables: SharedTables, prints: DataFrame, full: int = FULL)
     return near.union(stars.distinct())
 
 
+def _grouped(docs: DataFrame, names: list[str], words: int) -> tuple[DataFrame, DataFrame]:
+    """(a row per row of docs: names, _row, _fp; a row per fingerprint: _fp, _first of its component)."""
+    tables = SharedTables(docs.sparkSession)
+    numbered = docs.select(*dict.fromkeys(["text", *names]), F.monotonically_increasing_id().alias("_row"))
+    printed = tables.write(with_fingerprint(numbered, [*names, "_row"], words), "prints")
+    # equal fingerprints meet first, by one aggregation: exact copies cost a row for each task
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("row"))
+    groups = tables.write(printed.groupBy("_fp").agg(F.min(first).alias("_first")), "groups")
+    parts = connected_components(tables, link_fingerprints(tables, groups.select("_fp")))
+    of = groups.join(parts.select(F.col("node").alias("_fp"), "component"), "_fp", "left").select(
+        "_fp", "_first", F.coalesce("component", "_fp").alias("_c")
+    )
+    of = tables.write(of, "of")
+    firsts = of.groupBy("_c").agg(F.min("_first").alias("_first"))
+    return printed, tables.write(of.select("_fp", "_c").join(firsts, "_c").select("_fp", "_first"), "firsts")
+
+
 def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), words: int = 4) -> DataFrame:
     """keep, fingerprint (16 hexadecimal digits), component_id (smallest doc_id reachable, itself included).
 
     One row per row of docs. Null and empty texts have fingerprint zero and are linked like any others. A null doc_id
-    is never a component's id unless the component has no other. Equal fingerprints meet first, by one aggregation,
-    so exact copies cost a row each.
+    is a component's id only if the component has no other.
     """
-    tables = SharedTables(docs.sparkSession)
     names = list(dict.fromkeys(["doc_id", *keep]))
-    printed = tables.write(with_fingerprint(docs, names, words), "prints")
-    groups = tables.write(printed.groupBy("_fp").agg(F.min("doc_id").alias("_least")), "groups")
-    parts = connected_components(tables, link_fingerprints(tables, groups.select("_fp")))
-    of = groups.join(parts.select(F.col("node").alias("_fp"), "component"), "_fp", "left").select(
-        "_fp", "_least", F.coalesce("component", "_fp").alias("_c")
-    )
-    of = tables.write(of, "of")
-    ids = of.groupBy("_c").agg(F.min("_least").alias("component_id"))
-    joined = tables.write(of.join(ids, "_c").select("_fp", "component_id"), "ids")
+    printed, firsts = _grouped(docs, names, words)
     return (
-        printed.join(joined, "_fp")
-        .withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0")))
+        printed.join(firsts, "_fp")
+        .withColumns({"fingerprint": F.lower(F.lpad(F.hex("_fp"), 16, "0")), "component_id": F.col("_first.doc_id")})
         .select(*names, "fingerprint", "component_id")
     )
+
+
+def first_of_each(docs: DataFrame, words: int = 4) -> DataFrame:
+    """One document of each component, that of the smallest doc_id (of rows with equal ids, one), with docs' columns."""
+    whole = docs.select("text", "doc_id", F.struct(*docs.columns).alias("_doc"))
+    printed, firsts = _grouped(whole, ["doc_id", "_doc"], words)
+    chosen = firsts.select(F.col("_first.row").alias("_row")).distinct()
+    return printed.join(chosen, "_row", "left_semi").select("_doc.*")
