@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioweave.llm import decontam, mixing, simhash
+from folioweave.llm import decontam, langid, mixing, simhash
 from folioweave.llm.shared import SharedTables
 
 
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (no letter) go."""
+    return langid.keep_identified(docs)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return simhash.first_of_each(docs)
@@ -24,6 +29,7 @@ def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("language ID", known_languages),
     ("simhash near-dedup", near_copies),
     ("benchmark decontamination", benchmark_passages),
     ("source mixing", source_weights),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import decontam, mixing, simhash
+from folioweave.llm import decontam, langid, mixing, simhash
 from folioweave.llm.shared import SharedTables
 
 
@@ -37,10 +37,15 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op6_winnowing_contamination": op6_winnowing_contamination,
     "op7_simhash_components": op7_simhash_components,
+    "op9_hierarchical_language": op9_hierarchical_language,
 }
 
 ORACLES: dict[str, str] = {

@@ -76,15 +76,17 @@ def byte_view(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], name: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about limit bytes of text."""
+def pieces(
+    batches: Iterator[pa.RecordBatch], name: str, limit: int = PIECE_BYTES, rows: int = 1024
+) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about limit bytes of text and at most so many rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, offsets = byte_view(batch.column(name))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+            to = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
             yield batch.slice(at, to - at)
             at = to
 
