@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioweave.llm import decontam, langid, mixing, simhash
+from folioweave.llm import decontam, langid, mixing, pii, simhash
 from folioweave.llm.shared import SharedTables
 
 
@@ -23,6 +23,11 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in brackets."""
+    return pii.redact(docs)
+
+
 def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; a copy's `taken` tells its words in the mix."""
     return mixing.expand_mix(mixing.mix_sources(docs)).drop("place")
@@ -32,6 +37,7 @@ STAGES = [
     ("language ID", known_languages),
     ("simhash near-dedup", near_copies),
     ("benchmark decontamination", benchmark_passages),
+    ("personal data", personal_data),
     ("source mixing", source_weights),
 ]
 
