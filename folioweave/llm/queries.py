@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import decontam, langid, mixing, pii, simhash
+from folioweave.llm import decontam, hmm, langid, mixing, pii, simhash
 from folioweave.llm.shared import SharedTables
 
 
@@ -23,6 +23,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(read(spark, sf_dir, "documents"))
     return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
@@ -48,6 +52,7 @@ def op9_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_hmm_scores": op2_hmm_scores,
     "op3_skip_chain_pii": op3_skip_chain_pii,
     "op6_winnowing_contamination": op6_winnowing_contamination,
     "op7_simhash_components": op7_simhash_components,
