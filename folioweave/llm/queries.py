@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import decontam, hmm, langid, mixing, pii, simhash
+from folioweave.llm import ann, decontam, hmm, langid, mixing, pii, simhash
 from folioweave.llm.shared import SharedTables
 
 
@@ -50,6 +50,10 @@ def op9_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op10_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_hmm_scores": op2_hmm_scores,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_winnowing_contamination": op6_winnowing_contamination,
     "op7_simhash_components": op7_simhash_components,
     "op9_hierarchical_language": op9_hierarchical_language,
+    "op10_collision_neighbours": op10_collision_neighbours,
 }
 
 ORACLES: dict[str, str] = {
