@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import ann, decontam, hmm, langid, mixing, pii, simhash
+from folioweave.llm import ann, decontam, hmm, langid, mixing, pii, simhash, warc
 from folioweave.llm.shared import SharedTables
 
 
@@ -32,6 +32,10 @@ def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op6_winnowing_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     n_hit = F.size("hits").cast("long")
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_hmm_scores": op2_hmm_scores,
     "op3_skip_chain_pii": op3_skip_chain_pii,
+    "op5_warc_round_trip": op5_warc_round_trip,
     "op6_winnowing_contamination": op6_winnowing_contamination,
     "op7_simhash_components": op7_simhash_components,
     "op9_hierarchical_language": op9_hierarchical_language,
@@ -112,4 +117,13 @@ t AS (SELECT rid, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)""",
+    "op5_warc_round_trip": """
+WITH p AS (
+  SELECT page_id, row_number() OVER () AS rid, octet_length(encode(coalesce(html, ''))) AS payload_bytes, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex
+  FROM pages),
+q AS (SELECT *, row_number() OVER (PARTITION BY payload ORDER BY page_id DESC NULLS LAST, rid DESC) AS k, first(page_id) OVER (PARTITION BY payload ORDER BY page_id DESC NULLS LAST, rid DESC) AS response FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 10 * (i // 8) + 1, 10))::BIGINT >> (5 * (7 - i % 8))) & 31)::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN response END AS refers_to
+FROM q""",
 }

@@ -41,7 +41,7 @@ class SharedTables:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """df, written once and read again."""
         at = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(at)
+        df.write.option("compression", "zstd").parquet(at)
         table = self.spark.read.schema(df.schema).parquet(at)
         table._folioweave_at = at
         return table
