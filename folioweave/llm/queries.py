@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import ann, decontam, hmm, langid, mixing, pii, simhash, warc
+from folioweave.llm import ann, decontam, hmm, langid, mixing, pii, simhash, tokencounts, urls, warc
 from folioweave.llm.shared import SharedTables
 
 
@@ -32,6 +32,21 @@ def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
 
 
+#: The URL rules of op4 (verdict, host, path).
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("block", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op4_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, URL_RULES, urls.train(urls.labelled_by_rules(pages, URL_RULES)))
+
+
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
@@ -58,13 +73,19 @@ def op10_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op8_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.section_tokens(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_hmm_scores": op2_hmm_scores,
     "op3_skip_chain_pii": op3_skip_chain_pii,
+    "op4_url_verdicts": op4_url_verdicts,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_winnowing_contamination": op6_winnowing_contamination,
     "op7_simhash_components": op7_simhash_components,
+    "op8_section_tokens": op8_section_tokens,
     "op9_hierarchical_language": op9_hierarchical_language,
     "op10_collision_neighbours": op10_collision_neighbours,
 }
