@@ -107,19 +107,15 @@ def link_fingerprints(tables: SharedTables, prints: DataFrame, full: int = FULL)
     the smallest one. Any two within REACH have such a centre, so no link is lost and work stays linear in a crowd.
     """
     looked = _expand(prints, "bucket long own boolean", _entries, 4096)
-    buckets = tables.write(
-        looked.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("own").alias("owners"))
-        .where("owners > 0 AND n > 1").select("bucket", (F.col("owners") > full).alias("crowded")),
-        "buckets",
-    )
-    held = tables.write(looked.join(buckets, "bucket"), "entries")
-    pair = held.where("NOT crowded")
-    own = pair.where("own").select("bucket", F.col("_fp").alias("a"))
-    other = pair.select("bucket", F.col("_fp").alias("b"), F.col("own").alias("_own"))
-    near = own.join(other, "bucket").where(
-        "(a < b OR NOT _own) AND a <> b AND bit_count(a ^ b) <= " + str(REACH)
-    ).select("a", "b")
-    crowd = held.where("crowded").select("_fp").distinct()
+    own = looked.where("own").select("bucket", F.col("_fp").alias("a"))
+    other = looked.select("bucket", F.col("_fp").alias("b"), F.col("own").alias("_own"))
+    crowded = tables.write(own.groupBy("bucket").count().where(F.col("count") > full).select("bucket"), "crowded")
+    near = f"(a < b OR NOT _own) AND a <> b AND bit_count(a ^ b) <= {REACH}"
+    if crowded.isEmpty():
+        return own.join(other, "bucket").where(near).select("a", "b")
+    crowd = tables.write(other.join(crowded, "bucket", "left_semi").select(F.col("b").alias("_fp")).distinct(), "crowd")
+    own, other = (x.join(crowded, "bucket", "left_anti") for x in (own, other))
+    near = own.join(other, "bucket").where(near).select("a", "b")
     around = _expand(crowd, "c long", _centres, 64)
     least = around.groupBy("c").agg(F.min("_fp").alias("b"), F.max("_fp").alias("_most")).where("b < _most")
     stars = around.join(least.select("c", "b"), "c").where("_fp <> b").select(F.col("_fp").alias("a"), "b")
