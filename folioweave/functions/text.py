@@ -16,7 +16,7 @@ QUOTE = (
     r"(?is)(?:Quote|Passage|Document|Extract|Reference)\s+\d+:\s*(.*?)"
     r"(?=(?:Quote|Passage|Document|Extract|Reference)\s+\d+:|Relevant Document IDs?:|The answer is:|$)"
 )
-RATING = r"Rating: \[*(\d{1,3})\]*"
+RATING = r"(?i)Rating:\s*\[\[?\s*(\d{1,3})\s*\]\]?"
 CRITERION = r"(?i)\\boxed\{\{?Criterion\s+\d+:\s*([01])(?:/[01])?\}?\}"
 BOXED = r"(?i)\\boxed\{\{?([01])(?:/[01])?\}?\}"
 CJK_PUNCTUATION = "！？｡。＂＃＄％＆＇（）＊＋，－／：；＜＝＞＠［＼］＾＿｀｛｜｝～｟｠｢｣､、〃》「」『』【】〔〕〖〗〘〙〚〛〜〝〞〟〰〾〿–—‘’‛“”„‟…‧﹏."
@@ -108,7 +108,8 @@ def quotes(text: Column, most: int = 10) -> Column:
 
 def without_citations(text: Column) -> Column:
     r"""Drops ` [n` and `[n`, ` |`, `]`."""
-    return F.replace(F.replace(F.regexp_replace(F.regexp_replace(text, r"\[\d+", ""), r"(?: )(?=\])", ""), F.lit(" |"), F.lit("")), F.lit("]"), F.lit(""))
+    bare = F.regexp_replace(F.regexp_replace(text, r" \[\d+", ""), r"\[\d+", "")
+    return F.replace(F.replace(bare, F.lit(" |"), F.lit("")), F.lit("]"), F.lit(""))
 
 
 def citation_refs(text: Column) -> Column:
@@ -122,20 +123,22 @@ def clean_output(text: Column, end_marker: str = "<|im_end|>") -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """array<struct<start, end, text>>: parted after . ! ? or at a line break; white space that follows belongs to none.
+    """array<struct<start, end, text>>: parted after . ! ? or before a line break; white space that follows is left out.
 
-    Offsets are code points, end exclusive. Pieces are found with the white space that follows, so a running sum of
-    their lengths gives the starts.
+    Offsets are code points, end exclusive; text is stripped, and what strips to nothing is no sentence. Pieces are
+    found with the white space that follows, so a running sum of their lengths gives the starts.
     """
-    piece = F.regexp_extract_all(text, F.lit(r"(?s)([^.!?\n]*[.!?\n]|[^.!?\n]+\z)\s*"), 0)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("found"))
+    kind = "struct<at:int,found:array<struct<start:int,end:int,text:string>>>"
+    piece = F.regexp_extract_all(text, F.lit(r"(?sU)(?:[^.!?\n]*[.!?\n]|[^.!?\n]+\z)\s*"), F.lit(0))
 
     def step(s: Column, p: Column) -> Column:
-        body = F.regexp_replace(p, r"\s+\z", "")
-        one = F.struct(s["at"].alias("start"), (s["at"] + F.length(body)).alias("end"), body.alias("text"))
-        return F.struct((s["at"] + F.length(p)).alias("at"), F.when(body == "", s["found"]).otherwise(F.array_append(s["found"], one)).alias("found"))
+        core = F.regexp_extract(p, r"(?s)\A[^.!?\n]*[.!?]?", 0)
+        body = F.regexp_replace(core, r"(?U)\A\s+|\s+\z", "")
+        one = F.struct(s["at"].alias("start"), (s["at"] + F.length(core)).alias("end"), body.alias("text"))
+        found = F.when(body == "", s["found"]).otherwise(F.array_append(s["found"], one))
+        return F.struct((s["at"] + F.length(p)).alias("at"), found.alias("found")).cast(kind)
 
-    return F.aggregate(piece, start, step)["found"]
+    return F.aggregate(piece, F.struct(F.lit(0).alias("at"), F.array().alias("found")).cast(kind), step)["found"]
 
 
 def short_hash(text: Column) -> Column:

@@ -428,7 +428,7 @@ def _training_rows(spark, sf_dir):
 _FORMAT = f"{_CONV}, x AS (SELECT conv_id, string_agg('[DOC ' || i || ']' || chr(10) || body || chr(10) || chr(10), '' ORDER BY i) AS ctx, coalesce(string_agg(CASE WHEN role = 'assistant' THEN '[DOC ' || i || ']' END, ', ' ORDER BY i), '') AS tags, coalesce(string_agg(CASE WHEN role = 'assistant' THEN body END, '|' ORDER BY i), '') AS gold FROM c GROUP BY conv_id)"
 
 
-@query(f"WITH {_FORMAT} SELECT md5('Read {{}} ' || ctx || 'Q: what {{is}} ' || conv_id) AS prompt, 'Relevant Document IDs: ' || tags || chr(10) || chr(10) || 'The answer is: ' || conv_id || '.' AS response FROM x")
+@query(f"WITH {_FORMAT} SELECT md5('Read {{}} ' || ctx || 'Q: what {{is}} ' || conv_id) AS prompt, 'Relevant documents: ' || tags || chr(10) || chr(10) || 'The answer is: ' || conv_id || '.' AS response FROM x")
 def sft_format(spark, sf_dir):
     out = prompts.sft_rows(_training_rows(spark, sf_dir), "Read {{}} {context}Q: {question}")
     return out.withColumn("prompt", _md5(F.col("prompt")))

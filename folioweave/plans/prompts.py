@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from folioweave.functions import context as C
 
+#: Fixed value: how a response states its documents and answer.
+RESPONSE = "Relevant documents: {tags}\n\nThe answer is: {answer}."
 _SLOT = re.compile(r"\{\{|\}\}|\{([A-Za-z_][A-Za-z_0-9]*)?\}")
 
 
@@ -54,8 +56,10 @@ def task_values(split: str, c: dict[str, Column]) -> dict[str, Column]:
         out |= {f"choice_{x}": F.get(c["options"], i) for i, x in enumerate(letters)}
         out |= {f"OPTION_{x.upper()}": F.get(c["options"], i) for i, x in enumerate(letters)}
     if split == "math_find":
-        # what the question asks for: the number described before "that is" or the whole request
-        out["prefix"] = F.concat(F.lit("What is "), F.regexp_extract(question, r"(The .+?) (?:of|in) ", 1), F.lit(" in the following list?"))
+        asked = F.lower(F.regexp_extract(question, r"The .+ of", 0))
+        target = F.substr(asked, F.lit(1), F.length(asked) - 3)
+        wrong = F.raise_error(F.lit("the question names no target number")).cast("string")
+        out["prefix"] = F.when(asked == "", wrong).otherwise(F.concat(F.lit("What is "), target, F.lit(" in the following list?")))
     if split == "code_run":
         out["func_call"] = F.regexp_extract(question, r"(func_\d+\(-?\d+\))", 1)
         out["func"] = F.regexp_extract(question, r"(func_\d+)\(", 1)
@@ -88,11 +92,10 @@ def docs_in_name(name: str, default: int) -> int:
 
 
 def sft_rows(rows: DataFrame, template: str) -> DataFrame:
-    """prompt, response: the filled template, and gold tags with the answer."""
-    gold = F.array_join(C.sort_tags(F.col("gold_doc_ids")), ", ")
+    """prompt, response: the filled template, and the gold tags with the answer."""
     return rows.select(
         fill(template, {"context": F.col("training_context"), "question": F.col("question")}).alias("prompt"),
-        F.concat(F.lit("Relevant Document IDs: "), gold, F.lit("\n\nThe answer is: "), F.col("answer"), F.lit(".")).alias("response"),
+        fill(RESPONSE, {"tags": F.array_join("gold_doc_ids", ", "), "answer": F.col("answer")}).alias("response"),
     )
 
 
