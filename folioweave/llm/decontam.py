@@ -14,7 +14,8 @@ from folioweave.llm.shared import SharedTables, byte_view, pieces, text_or_empty
 
 #: Words of a window, and of a k-gram; a window has WINDOW - GRAM + 1 k-grams, of which winnowing keeps the least hash.
 WINDOW, GRAM = 13, 6
-#: Windows of benchmark items that a task holds at once (about 100 bytes each); more of them go in further blocks.
+#: Windows of benchmark items, and items named with them, that a task holds at once (about 100 bytes each); more of them
+#: go in further blocks.
 BLOCK = 200_000
 
 _INSIDE = W.letters_and_digits()
@@ -154,7 +155,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     windows = tables.write(benchmark_windows(benchmark), "windows")
     names = list(dict.fromkeys(keep))
     source = docs.select(*names, text_or_empty("text").cast("binary").alias("_text"))
-    blocks = max(1, -(-windows.count() // block))
+    held = windows.agg(F.coalesce(F.sum(F.size("items") + 1), F.lit(0)).alias("n")).first().n
+    blocks = max(1, -(-held // (2 * block)))
     if blocks == 1:
         return _hits(source, _index(windows.collect()))
     numbered = tables.write(source.withColumn("_row", F.monotonically_increasing_id()), "rows")

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from folioweave.llm.shared import byte_view, fold, pieces, text_or_empty
 
-#: Documents per language (about) that the classifier is fitted on.
-SAMPLE = 400
+#: Documents per language (about) that the classifier is fitted on; of all languages together.
+SAMPLE, SAMPLE_OF_ALL = 400, 4_000
 #: Hash buckets of the features: bytes, and runs of 2 and 3 bytes, of the lower-cased UTF-8 text.
 BUCKETS = 1 << 12
 UND = "und"
@@ -132,6 +132,7 @@ def fit(docs: DataFrame, folds: int = 3, held: int = 1, sample: int = SAMPLE) ->
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return None
+    sample = min(sample, max(1, SAMPLE_OF_ALL // len(sizes)))
     share = F.element_at(F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, sample / n))]), F.col("lang"))
     place = F.pmod(F.xxhash64(F.lit(9), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = known.where(place < share).select("lang", F.col("text").cast("binary").alias("_text"))

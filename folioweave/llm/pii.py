@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -104,9 +105,12 @@ class Field:
         tokens, at = [], 0  # (start, end, label, index)
         for i, m in enumerate(_TOKEN.finditer(text)):
             a, b = m.span()
-            while at < len(spans) and max(s[1] for s in spans[at : at + 1]) <= a:
+            while at < len(spans) and spans[at][1] <= a:
                 at += 1
-            label = next((s[2] for s in spans[at : at + 4] if s[0] < b and a < s[1]), 0)
+            near, label = at, 0  # spans of different kinds may overlap: the first that the token meets counts
+            while not label and near < len(spans) and spans[near][0] < b:
+                label = spans[near][2] if a < spans[near][1] else 0
+                near += 1
             if not label:
                 a += len(m[0]) - len(m[0].lstrip(_EDGE))
                 b -= len(m[0]) - len(m[0].rstrip(_EDGE)) if a < b else 0
@@ -117,12 +121,12 @@ class Field:
         for n, (a, b, label, _) in enumerate(tokens):
             for key in keys(text[a:b]):
                 by_key.setdefault(key, []).append(n)
+        ends = [t[1] for t in tokens]
         for a, b, label in spans:
-            inside = [n for n, t in enumerate(tokens) if t[0] < b and a < t[1]] if len(tokens) < 5000 else []
-            if inside and label > 1:
+            if label > 1:
                 whole = _NOT_DIGIT.sub("", text[a:b])
                 for key in {whole, whole[-10:]} if label == 4 else {whole}:
-                    by_key.setdefault(key, []).append(inside[0])
+                    by_key.setdefault(key, []).append(bisect_right(ends, a))  # the span's first token
         groups = [sorted(set(g)) for g in by_key.values() if len(set(g)) > 1 and any(tokens[n][2] for n in g)]
         self.entity = [n for n, t in enumerate(tokens) if t[2]]
         kept = sorted({n for g in groups for n in g} | set(self.entity))

@@ -25,8 +25,7 @@ class SharedTables:
     """
 
     def __init__(self, spark: SparkSession):
-        conf = spark.sparkContext.getConf()
-        root = conf.get("spark.checkpoint.dir")
+        root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
             local = spark.sparkContext.master.split("[")[0] == "local"
             root = tempfile.mkdtemp(prefix="folioweave-") if local else spark.conf.get("spark.sql.warehouse.dir")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,22 +20,22 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: (of equal ones the first).
 RULES = ("first", "last", "most")
 
-_encoders: dict[tuple[str, str], tuple] = {}
+_encoders: dict[tuple[int, str], tuple] = {}
 
 
-def encoder(vocabulary: str = VOCABULARY, pattern: str = PATTERN):
-    """(encode: text -> tokens, bytes of each token), read once in a process."""
-    if (vocabulary, pattern) not in _encoders:
+def encoder(ranks_file: bytes, pattern: str = PATTERN):
+    """(encode: text -> tokens, bytes of each token) of a vocabulary file's content, made once in a process."""
+    key = zlib.crc32(ranks_file), pattern
+    if key not in _encoders:
         import tiktoken
 
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())}
         size = np.zeros(max(ranks.values()) + 1, np.int64)
         for piece, k in ranks.items():
             size[k] = len(piece)
         encoding = tiktoken.Encoding("folioweave", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _encoders[vocabulary, pattern] = encoding.encode_ordinary, size
-    return _encoders[vocabulary, pattern]
+        _encoders[key] = encoding.encode_ordinary, size
+    return _encoders[key]
 
 
 def attribute(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: str = "first") -> tuple[np.ndarray, np.ndarray]:
@@ -69,9 +70,11 @@ def section_tokens(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), rule: s
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
     source = docs.select(*keep, text_or_empty("text").alias("_text"))
+    with open(vocabulary, "rb") as ranks:  # the driver's file, under a megabyte; executors get its content
+        shared = docs.sparkSession.sparkContext.broadcast(ranks.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, size = encoder(vocabulary, pattern)
+        encode, size = encoder(shared.value, pattern)
         for batch in pieces(batches, "_text"):
             at, columns = [], [[], [], [], [], []]
             for i, t in enumerate(batch.column("_text").to_pylist()):
