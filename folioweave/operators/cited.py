@@ -91,3 +91,13 @@ def bootstrap_mean(rows: DataFrame, column: str, by: str, rounds: int = 1000, se
         weight = weight + (u > tail).cast("int")
     means = draws.withColumn("n", weight).groupBy(by, "r").agg((F.sum(F.col("v") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
     return means.groupBy(by).agg(F.percentile("m", F.lit(0.5)).alias("mid"))
+
+
+def claim_recall(verdicts: DataFrame) -> DataFrame:
+    """item_id, claim_recall (percent) from a verdict 0/1 per claim."""
+    return verdicts.groupBy("item_id").agg((F.avg("verdict") * 100).alias("claim_recall"))
+
+
+def long_sentences(output: Column, least: int = 5) -> Column:
+    """The output's sentences of `least` characters or more."""
+    return F.filter(F.transform(T.sentences(output), lambda s: s["text"]), lambda t: F.length(t) >= least)

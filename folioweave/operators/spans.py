@@ -34,23 +34,24 @@ def head_mean(probabilities: DataFrame) -> DataFrame:
     return probabilities.groupBy("instance", "layer", "pos").agg((F.sum("p") / F.count_distinct("head")).alias("score"))
 
 
-def _bucketed(spans: DataFrame, start: Column, bucket: int) -> DataFrame:
-    first, last = F.floor(start / bucket), F.floor(F.greatest(start, F.col("end") - 1) / bucket)
-    return spans.withColumn("_b", F.explode(F.sequence(first, last)))
+def _joined(tokens: DataFrame, spans: DataFrame, bucket: int) -> DataFrame:
+    """tokens with the spans whose _from <= pos < _to; of equally named columns the tokens' stay."""
+    first, last = F.floor(F.col("_from") / bucket), F.floor((F.col("_to") - 1) / bucket)
+    new = [c for c in spans.columns if c == "instance" or c not in tokens.columns]
+    held = spans.where("_to > _from").select(*new, F.explode(F.sequence(first, last)).alias("_b"))
+    at = tokens.withColumn("_b", F.floor(F.col("pos") / bucket))
+    return at.join(held, ["instance", "_b"]).where("pos >= _from AND pos < _to").drop("_from", "_to", "_b")
 
 
 def to_next_span(tokens: DataFrame, spans: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """tokens with the first span that ends after them: a token in a gap goes to the next span, past the end to none."""
     before = F.coalesce(F.max("end").over(Window.partitionBy("instance").orderBy("span_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    held = _bucketed(spans.withColumn("_from", before).where("end > _from"), F.col("_from"), bucket)
-    at = tokens.withColumn("_b", F.floor(F.col("pos") / bucket))
-    return at.join(held, ["instance", "_b"]).where("pos >= _from AND pos < end").drop("_from", "_b")
+    return _joined(tokens, spans.withColumns({"_from": before, "_to": F.col("end")}), bucket)
 
 
 def to_span(tokens: DataFrame, spans: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """tokens with the spans that hold them."""
-    held = _bucketed(spans.where("end > start"), F.col("start"), bucket)
-    return tokens.withColumn("_b", F.floor(F.col("pos") / bucket)).join(held, ["instance", "_b"]).where("pos >= start AND pos < end").drop("_b")
+    return _joined(tokens, spans.withColumns({"_from": F.col("start"), "_to": F.col("end")}), bucket)
 
 
 def score_by_text(tokens: DataFrame, spans: DataFrame) -> DataFrame:

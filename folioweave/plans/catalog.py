@@ -16,7 +16,7 @@ from folioweave.functions import overlap as O
 from folioweave.functions import rewards as R
 from folioweave.functions import scorers as S
 from folioweave.functions import text as T
-from folioweave.operators import cited, ranking, retrieval, runs, sampling, spans
+from folioweave.operators import attention, cited, ranking, retrieval, runs, sampling, spans
 from folioweave.plans import corpus, inference, prompts, training
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -403,6 +403,28 @@ def attention_sections(spark, sf_dir):
     return out.select("instance", "section", F.round("total", 6).alias("total"), F.round("percent", 6).alias("percent"), "n_tokens", F.round("mean", 6).alias("mean"))
 
 
+_TWO = f"""{_TOKENS}, f AS (SELECT *, coalesce(lag(end_) OVER (PARTITION BY instance ORDER BY span_idx), 0) AS from_ FROM sp),
+g AS (SELECT t.instance, span_idx, sum(score) AS a, sum(CASE WHEN token = 'click' THEN score ELSE score / 4 END) AS b, min(pos) AS first FROM t JOIN f ON t.instance = f.instance AND pos >= from_ AND pos < end_ GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY instance ORDER BY a DESC, first) AS ra, row_number() OVER (PARTITION BY instance ORDER BY b DESC, first) AS rb, least(5, count(*) OVER (PARTITION BY instance)) AS n FROM g)"""
+
+
+@query(f"WITH {_TWO} SELECT instance, round(count(*) FILTER (ra <= 5 AND rb <= 5)::DOUBLE / any_value(n), 6) AS overlap FROM k GROUP BY instance")
+def span_topk_overlap(spark, sf_dir):
+    t = _tokens(spark, sf_dir)
+    part = t.withColumn("score", F.when(F.col("token") == "click", F.col("score")).otherwise(F.col("score") / 4))
+    out = attention.span_overlap((t, _spans(t)), (part, _spans(t)), 5)
+    return out.select("instance", F.round("overlap", 6).alias("overlap"))
+
+
+@query(f"""WITH {_TWO}, h AS (SELECT instance, count(*) FILTER (ra <= 5 AND span_idx IN (0, 2, 5)) AS hit, count(*) FILTER (span_idx IN (0, 2, 5)) AS gold, any_value(n) AS n FROM k GROUP BY instance)
+SELECT instance, round(hit::DOUBLE / n, 6) AS precision, round(hit::DOUBLE / gold, 6) AS recall, round(CASE WHEN hit > 0 THEN 2.0 * (hit::DOUBLE / n) * (hit::DOUBLE / gold) / (hit::DOUBLE / n + hit::DOUBLE / gold) ELSE 0 END, 6) AS f1 FROM h""")
+def doc_topk_gold(spark, sf_dir):
+    t = _tokens(spark, sf_dir)
+    s = _spans(t)
+    out = attention.gold_scores(t, s, s.where(F.col("span_idx").isin(0, 2, 5)).select("instance", "span_idx"), 5)
+    return out.select("instance", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
 # --- samples, formats, judges -----------------------------------------------------------------------------------------
 @query("SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 100")
 def sample_rows(spark, sf_dir):

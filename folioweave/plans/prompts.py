@@ -121,3 +121,9 @@ def rl_rows(rows: DataFrame, template: str, variant: str = "ids", source: str =
         F.lit(source).alias("data_source"), F.array(turn).alias("prompt"), F.lit(ability).alias("ability"),
         F.struct(F.lit("rule").alias("style"), F.col("answer").alias("ground_truth")).alias("reward_model"), F.struct(*extra).alias("extra_info"),
     )
+
+
+def judge_prompt(template: str, question: Column, answer: Column, prediction: Column, kind: Column, docs: Column) -> Column:
+    """The judge's prompt; {docs} is empty unless the instance is of type paper."""
+    shown = F.when(kind == "paper", docs).otherwise("")
+    return fill(template, {"question": question, "answer": answer, "prediction": prediction, "docs": shown})

@@ -50,6 +50,24 @@ def test_gap_tokens_go_to_the_next_span(spark):
         spans.layer_mean(layers, "all_layer")
 
 
+def test_attention_picks(spark):
+    from folioweave.operators import attention
+
+    texts = spark.createDataFrame([(1, "[DOC 0] one two. [DOC 1] three")], "instance int, text string")
+    docs = attention.document_spans(texts).collect()
+    assert [(d.start, d.end) for d in docs] == [(0, 17), (17, 30)]
+    assert [s.text for s in attention.sentence_spans(texts).orderBy("span_idx").collect()] == ["[DOC 0] one two.", "[DOC 1] three"]
+    tokens = spark.createDataFrame([(1, p, p, p + 1, "abcdefghij"[p % 10], float(p)) for p in range(30)], "instance int, pos int, beg int, end int, token string, score double")
+    got = attention.gold_scores(tokens, attention.document_spans(texts), spark.createDataFrame([(1, 1)], "instance int, span_idx int"), 1).first()
+    assert (got.precision, got.recall, got.f1) == (1.0, 1.0, 1.0)
+    same = attention.token_overlap(tokens, tokens.where("pos < 25"), 5).first()
+    assert same.overlap == 0.0 and list(same.top_full) == list("jihgf") and list(same.top_part) == list("edcba")
+    run = attention.top_runs(tokens, texts, 1, 0.7, 3, 5).first()
+    assert run.text == texts.first().text[30 - run.n_tokens : 30].strip() and run["rank"] == 1
+    none = attention.span_overlap((tokens, attention.document_spans(texts)), (tokens.where("false"), attention.document_spans(texts)), 5).first()
+    assert none.overlap is None
+
+
 def test_bins_overlap_and_leave_gaps(spark):
     rows = spark.createDataFrame([(1, 99412), (2, 37500)], "id int, n long")
     bins = spark.createDataFrame([(9975, 37147), (37626, 99412), (99412, 210686)], "lo long, hi long")
