@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from math import erf, sqrt
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,10 +119,25 @@ class Block:
         return float(max(gaps.mean() + below * gaps.std(), 1e-3))
 
 
-def build_index(tables: SharedTables, rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, float]:
-    """(vec_id, embedding, _block) of every usable row, dealt by hash into blocks of about `block`; the largest norm.
+@dataclass
+class Index:
+    """rows: vec_id, embedding; blocks: a row per block with its ids and vectors as bytes; the largest norm."""
 
-    A block's sorted projection arrays are made where it is searched: they cost less than reading them.
+    rows: DataFrame
+    blocks: DataFrame
+    largest: float
+    dim: int
+
+
+def _pack(group: pd.DataFrame) -> pd.DataFrame:
+    ids, vectors = group["vec_id"].to_numpy(np.int64), np.array(group["embedding"].tolist(), np.float64)
+    return pd.DataFrame({"ids": [ids.tobytes()], "vectors": [vectors.tobytes()]})
+
+
+def build_index(tables: SharedTables, rows: DataFrame, block: int = BLOCK) -> Index:
+    """Every usable row, dealt by hash into blocks of about `block` vectors; the one shuffle of the vectors.
+
+    A block's sorted projection arrays are made by the task that searches it: sorting costs less than reading them.
     """
     fine = rows.where(F.col("vec_id").isNotNull() & usable("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     kept = tables.write(fine, "vectors")
@@ -127,51 +145,50 @@ def build_index(tables: SharedTables, rows: DataFrame, block: int = BLOCK) -> tu
     about = kept.agg(F.count("*").alias("n"), F.max(norm).alias("norm"), F.max(F.size("embedding")).alias("d"), F.min(F.size("embedding")).alias("e")).first()
     if about.n and about.d != about.e:
         raise ValueError(f"embeddings have {about.e} to {about.d} components")
-    blocks = max(1, -(-about.n // block))
-    return kept.withColumn("_block", F.pmod(F.xxhash64("vec_id", F.hash("embedding")), F.lit(blocks)).cast("int")), float(about.norm or 1.0)
+    n = max(1, -(-about.n // block))
+    dealt = kept.withColumn("_block", F.pmod(F.xxhash64("vec_id", F.hash("embedding")), F.lit(n)).cast("int"))
+    packed = dealt.repartition(n, "_block").groupBy("_block").applyInPandas(_pack, "ids binary, vectors binary")
+    return Index(kept, tables.write(packed, "index"), float(about.norm or 1.0), int(about.d or 0))
 
 
 def _searcher(shared, largest: float, k: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = shared.value
-        held = Block(group["vec_id"].to_numpy(), np.array(group["embedding"].tolist()), largest)
-        out = []
-        for own, q in zip(ids.tolist(), vectors, strict=True):
-            best, scores = held.search(own, q, k)
-            out.append((np.full(len(best), own), held.ids[best], scores))
-        return pd.DataFrame({name: np.concatenate([o[i] for o in out]) for i, name in enumerate(("query_id", "vec_id", "score"))})
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own_ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
+                held = Block(own_ids, np.frombuffer(batch.column("vectors")[i].as_py(), np.float64).reshape(len(own_ids), -1), largest)
+                out = []
+                for own, q in zip(ids.tolist(), vectors, strict=True):
+                    best, scores = held.search(own, q, k)
+                    out.append((np.full(len(best), own), held.ids[best], scores))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out])) for j in range(3)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def search(tables: SharedTables, index: tuple[DataFrame, float], is_query: Column, k: int = 20, queries: int = QUERIES) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest rows found for each row that is_query picks.
+def search(tables: SharedTables, index: Index, is_query: Column, k: int = 20, queries: int = QUERIES) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest rows found for each row that is_query picks.
 
     Candidates are all rows of the index but those with the query's own id. Queries go in sets of bounded bytes, each
-    set against every block of the index; a block's k best meet the others' in a window per query. Rows that repeat
-    a vec_id with different vectors are candidates each.
+    set against every block where it lies: vectors are not shuffled again. A block's k best meet the others' in a
+    window per query. Rows that repeat a vec_id with different vectors are candidates each.
     """
-    rows, largest = index
-    spark = rows.sparkSession
-    picked = tables.write(rows.where(is_query).select("vec_id", "embedding").distinct(), "queries")
-    dim = picked.select(F.size("embedding").alias("d")).first()
-    schema = "query_id long, vec_id long, score double"
-    if dim is None:
+    spark = index.rows.sparkSession
+    picked = tables.write(index.rows.where(is_query).select("vec_id", "embedding").distinct(), "queries")
+    many = picked.count()
+    if not many:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    step = max(1, min(queries, QUERY_BYTES // (8 * dim.d)))
-    sets = max(1, -(-2 * picked.count() // step))
-    # one task builds a block's arrays and searches a set of queries in it
-    dealt = tables.write(rows.repartition(rows.select("_block").distinct().count() or 1, "_block"), "blocks")
+    step = max(1, min(queries, QUERY_BYTES // (8 * index.dim)))
+    sets = max(1, -(-2 * many // step))  # half full on average
     found = None
     for part in range(sets):
-        # half a set on average: a bound on the bytes sent, not on the queries
         some = picked.where(F.pmod(F.xxhash64("vec_id"), F.lit(sets)) == part).collect()
         if not some:
             continue
         shared = spark.sparkContext.broadcast((np.array([r.vec_id for r in some]), np.array([r.embedding for r in some])))
-
-        one = dealt.groupBy("_block").applyInPandas(_searcher(shared, largest, k), schema)
-        one = tables.write(one, "found")
+        one = tables.write(index.blocks.mapInArrow(_searcher(shared, index.largest, k), "query_id long, vec_id long, score double"), "found")
+        shared.destroy()
         found = one if found is None else found.unionByName(one)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
