@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioweave.functions.text import word_count
+from folioweave.functions.text import let, word_count
 
 # How a document is marked.
 MARKER = r"\[DOC (\d+)\]\s*"
@@ -91,7 +91,10 @@ def clean(docs: Column, gold: Column, min_words: int = 10) -> Column:
 
     gold is an array of document numbers whose order and repeats stay; numbers of no document go.
     """
-    kept = F.filter(docs, lambda d: (word_count(d["content"]) >= min_words) | F.array_contains(gold, d["doc_id"]))
-    old = F.transform(kept, lambda d: d["doc_id"])
-    new = F.filter(F.transform(gold, lambda g: F.array_position(old, g).cast("int") - 1), lambda n: n >= 0)
-    return F.struct(number(F.transform(kept, lambda d: d["content"])).alias("docs"), new.alias("gold"))
+    def made(kept: Column, tags: Column) -> Column:
+        old = F.transform(kept, lambda d: d["doc_id"])
+        new = let(old, lambda o: F.filter(F.transform(tags, lambda g: F.array_position(o, g).cast("int") - 1), lambda n: n >= 0))
+        return F.struct(number(F.transform(kept, lambda d: d["content"])).alias("docs"), new.alias("gold"))
+
+    stays = lambda d, tags: (word_count(d["content"]) >= min_words) | F.array_contains(tags, d["doc_id"])
+    return let(gold, lambda tags: let(F.filter(docs, lambda d: stays(d, tags)), lambda kept: made(kept, tags)))

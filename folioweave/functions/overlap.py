@@ -20,14 +20,17 @@ def f1_of(precision: Column, recall: Column) -> Column:
 def multiset_common(a: Column, b: Column) -> Column:
     """Number of elements that the two arrays share, repeats counted."""
     times = lambda x, v: F.size(x) - F.size(F.array_remove(x, v))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, v: s + F.least(times(a, v), times(b, v)))
+    fold = lambda x, y: F.aggregate(F.array_intersect(x, y), F.lit(0), lambda s, v: s + F.least(times(x, v), times(y, v)))
+    return T.let(a, lambda x: T.let(b, lambda y: fold(x, y)))
 
 
 def token_f1(a: Column, b: Column) -> Column:
     """struct<f1, precision, recall> of the token arrays a (prediction) and b."""
-    same = multiset_common(a, b)
-    p, r = ratio(same, F.size(a)), ratio(same, F.size(b))
-    return F.struct(f1_of(p, r).alias("f1"), p.alias("precision"), r.alias("recall"))
+    def scores(x: Column, y: Column, same: Column) -> Column:
+        p, r = ratio(same, F.size(x)), ratio(same, F.size(y))
+        return F.struct(f1_of(p, r).alias("f1"), p.alias("precision"), r.alias("recall"))
+
+    return T.let(a, lambda x: T.let(b, lambda y: T.let(multiset_common(x, y), lambda n: scores(x, y, n))))
 
 
 def answer_f1(prediction: Column, truth: Column) -> Column:
@@ -59,20 +62,21 @@ def substring_match(prediction: Column, truth: Column) -> Column:
 
 def best_of(metric, prediction: Column, truths: Column) -> Column:
     """The best score over an array of truths; null if there is none."""
-    return F.array_max(F.transform(truths, lambda t: metric(prediction, t)))
+    return T.let(prediction, lambda p: F.array_max(F.transform(truths, lambda t: metric(p, t))))
 
 
 def any_present(answers: Column, context: Column) -> Column:
-    normal = T.normalize_answer(context)
-    return F.exists(answers, lambda a: F.contains(normal, T.normalize_answer(a)))
+    return T.let(T.normalize_answer(context), lambda c: F.exists(answers, lambda a: F.contains(c, T.normalize_answer(a))))
 
 
 def set_scores(found: Column, gold: Column) -> Column:
     """struct<precision, recall, f1> of two sets; 0 if either is empty."""
-    a, b = F.array_distinct(found), F.array_distinct(gold)
-    same = F.size(F.array_intersect(a, b))
-    p, r = ratio(same, F.size(a)), ratio(same, F.size(b))
-    return F.struct(p.alias("precision"), r.alias("recall"), f1_of(p, r).alias("f1"))
+    def scores(a: Column, b: Column) -> Column:
+        same = F.size(F.array_intersect(a, b))
+        p, r = ratio(same, F.size(a)), ratio(same, F.size(b))
+        return F.struct(p.alias("precision"), r.alias("recall"), f1_of(p, r).alias("f1"))
+
+    return T.let(F.array_distinct(found), lambda a: T.let(F.array_distinct(gold), lambda b: scores(a, b)))
 
 
 def truncated_overlap(a: Column, b: Column) -> Column:
@@ -83,7 +87,8 @@ def truncated_overlap(a: Column, b: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets; both empty 1, one empty 0."""
-    return ratio(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)), 1.0)
+    share = lambda x, y: ratio(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y)), 1.0)
+    return T.let(a, lambda x: T.let(b, lambda y: share(x, y)))
 
 
 def _despaced(text: Column) -> Column:
@@ -92,22 +97,28 @@ def _despaced(text: Column) -> Column:
 
 def char_f1(a: Column, b: Column) -> Column:
     """F1 of characters without spaces; both empty 1."""
-    x, y = _despaced(a), _despaced(b)
-    n, m = F.length(x), F.length(y)
     # a character's count is what its removal takes off: no array of characters is searched
     times = lambda t, c: F.length(t) - F.length(F.replace(t, c, F.lit("")))
-    same = F.aggregate(F.array_intersect(T.characters(x), T.characters(y)), F.lit(0), lambda s, c: s + F.least(times(x, c), times(y, c)))
-    return F.when((n == 0) & (m == 0), 1.0).otherwise(f1_of(ratio(same, n), ratio(same, m)))
+
+    def score(x: Column, y: Column) -> Column:
+        n, m = F.length(x), F.length(y)
+        same = F.aggregate(F.array_intersect(T.characters(x), T.characters(y)), F.lit(0), lambda s, c: s + F.least(times(x, c), times(y, c)))
+        f1 = T.let(same, lambda k: f1_of(ratio(k, n), ratio(k, m)))
+        return F.when((n == 0) & (m == 0), 1.0).otherwise(f1)
+
+    return T.let(_despaced(a), lambda x: T.let(_despaced(b), lambda y: score(x, y)))
 
 
 def ngrams(text: Column, n: int) -> Column:
     """Distinct character n-grams without spaces."""
-    chars = T.characters(_despaced(text))
-    many = F.greatest(F.size(chars) - (n - 1), F.lit(0))
-    grams = F.slice(chars, F.lit(1), many)
-    for k in range(1, n):
-        grams = F.zip_with(grams, F.slice(chars, F.lit(k + 1), many), lambda g, c: F.concat(g, c))
-    return F.array_distinct(grams)
+    def grams(chars: Column) -> Column:
+        many = F.greatest(F.size(chars) - (n - 1), F.lit(0))
+        out = F.slice(chars, F.lit(1), many)
+        for k in range(1, n):
+            out = F.zip_with(out, F.slice(chars, F.lit(k + 1), many), lambda g, c: F.concat(g, c))
+        return F.array_distinct(out)
+
+    return T.let(T.characters(_despaced(text)), grams)
 
 
 def ngram_jaccard(a: Column, b: Column, n: int) -> Column:

@@ -40,7 +40,7 @@ def greedy_matches(left: Column, right: Column, threshold: float = MATCH) -> Col
     Pairs at or above the threshold are sorted, then folded; both arrays are short (at most ten quotes).
     """
     pair = "struct<s:double,i:int,j:int>"
-    scored = F.flatten(F.transform(left, lambda a, i: F.transform(right, lambda b, j: F.struct((-O.fuzzy_score(a, b)).alias("s"), i.alias("i"), j.alias("j")).cast(pair))))
+    scored = T.let(right, lambda r: F.flatten(F.transform(left, lambda a, i: F.transform(r, lambda b, j: F.struct((-O.fuzzy_score(a, b)).alias("s"), i.alias("i"), j.alias("j")).cast(pair)))))
     ranked = F.array_sort(F.filter(scored, lambda p: p["s"] <= -threshold))
     kind = "struct<l:array<int>,r:array<int>>"
     start = F.struct(F.array().alias("l"), F.array().alias("r")).cast(kind)
@@ -56,7 +56,11 @@ def quote_format(output: Column, quotes: Column) -> Column:
 
 
 def quote_reward(output: Column, truth: Column, gold_docs: Column, gold_tags: Column) -> Column:
-    w, quotes = QUOTE_WEIGHTS, T.quotes(output, MOST_QUOTES)
+    return T.let(T.quotes(output, MOST_QUOTES), lambda quotes: _quote_reward(output, truth, gold_docs, gold_tags, quotes))
+
+
+def _quote_reward(output: Column, truth: Column, gold_docs: Column, gold_tags: Column, quotes: Column) -> Column:
+    w = QUOTE_WEIGHTS
     matched = greedy_matches(quotes, gold_docs)
     over = F.transform(quotes, lambda q: F.size(T.words(q)))
     penalty = F.aggregate(over, F.lit(0.0), lambda s, n: s + F.when(n > LONG_QUOTE, 0.1 + 0.02 * (n - LONG_QUOTE)).otherwise(0.0))
@@ -83,7 +87,11 @@ def document_format(output: Column) -> Column:
 
 
 def content_reward(output: Column, truth: Column, gold_docs: Column, gold_tags: Column) -> Column:
-    w, docs = CONTENT_WEIGHTS, section_docs(output)
+    return T.let(section_docs(output), lambda docs: _content_reward(output, truth, gold_docs, gold_tags, docs))
+
+
+def _content_reward(output: Column, truth: Column, gold_docs: Column, gold_tags: Column, docs: Column) -> Column:
+    w = CONTENT_WEIGHTS
     tags = F.array_distinct(F.transform(docs, lambda d: C.tag(d["doc_id"])))
     gold = F.transform(F.arrays_zip(gold_tags.alias("t"), gold_docs.alias("d")), lambda z: z)
     both = F.filter(gold, lambda z: F.array_contains(tags, z["t"]) & z["d"].isNotNull() & z["t"].isNotNull())

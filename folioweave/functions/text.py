@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ CJK_PUNCTUATION = "！？｡。＂＃＄％＆＇（）＊＋，－／：；＜
 BLANKED = "\n:\"'.,?!{}"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once: an expression inside a lambda is otherwise computed for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def collapse_space(text: Column) -> Column:
     """Runs of white space, Unicode's too, become one space; none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -40,9 +47,12 @@ def word_count(text: Column) -> Column:
 
 def windows(items: Column, size: int) -> Column:
     """An array in runs of `size`; the last may be shorter. An empty array gives none."""
-    n = F.ceil(F.size(items) / F.lit(size)).cast("int")
-    runs = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(items, k * size + 1, size))
-    return F.when(n >= 1, runs).otherwise(F.array().cast("array<array<string>>"))
+    def cut(held: Column) -> Column:
+        n = F.ceil(F.size(held) / F.lit(size)).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(held, k * size + 1, size))
+        return F.when(n >= 1, runs).otherwise(F.array().cast("array<array<string>>"))
+
+    return let(items, cut)
 
 
 def passages(text: Column, size: int = 100) -> Column:

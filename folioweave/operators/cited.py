@@ -11,8 +11,7 @@ from folioweave.functions import text as T
 
 def string_match(output: Column, answer_sets: Column) -> Column:
     """struct<em, hit>: share of the answer sets with a member in the output, and whether all have."""
-    normal = T.normalize_answer(output)
-    found = F.transform(answer_sets, lambda s: F.exists(s, lambda a: F.contains(normal, T.normalize_answer(a))).cast("double"))
+    found = T.let(T.normalize_answer(output), lambda o: F.transform(answer_sets, lambda s: F.exists(s, lambda a: F.contains(o, T.normalize_answer(a))).cast("double")))
     em = O.ratio(F.aggregate(found, F.lit(0.0), lambda s, x: s + x), F.size(found))
     return F.struct(em.alias("em"), (em == 1.0).cast("double").alias("hit"))
 
