@@ -134,8 +134,10 @@ class Field:
         self.tokens = [tokens[n] for n in kept]
         self.shapes = np.array([shape(text[t[0] : t[1]]) for t in self.tokens], int)
         self.labels = np.array([t[2] for t in self.tokens], int)
-        #: skip links join each mention to the next one of its key, so a key costs a link per mention
-        self.skip = np.array(sorted({(number[a], number[b]) for g in groups for a, b in zip(g, g[1:], strict=False)}), int).reshape(-1, 2)
+        #: skip links join each mention to the next one of its key, and one in no entity to an entity's mention of the key,
+        #: so a key costs two links per mention and a label reaches every mention in one step
+        links = {(number[a], number[b]) for g in groups for a, b in [*zip(g, g[1:], strict=False), *self._anchors(g, tokens)]}
+        self.skip = np.array(sorted(links), int).reshape(-1, 2)
         self.chain = np.array([(k, k + 1) for k in range(len(kept) - 1) if self.tokens[k][3] + 1 == self.tokens[k + 1][3]], int).reshape(-1, 2)
 
         #: tokens with a digit or "@" that nothing links to an entity: known to be none, for fitting
@@ -145,6 +147,16 @@ class Field:
             if not t[2] and n not in number and ("@" in text[t[0] : t[1]] or _DIGIT.search(text, t[0], t[1]))
         ]
 
+    @staticmethod
+    def _anchors(group: list[int], tokens: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int]]:
+        """Links of the mentions in no entity: to the last mention before that is in one, or else to the first one."""
+        last = next(n for n in group if tokens[n][2])
+        for n in group:
+            if tokens[n][2]:
+                last = n
+            else:
+                yield min(n, last), max(n, last)
+
     def patterns(self) -> Iterator[tuple[int, int, int, int]]:
         """(shape, label before, known label of a linked token or -1, label) of each token whose label is known.
 
@@ -159,11 +171,15 @@ class Field:
         for n in np.flatnonzero(self.labels).tolist():
             yield int(self.shapes[n]), int(before[n]), int(linked[n]), int(self.labels[n])
 
-    def beliefs(self, weights: Weights, rounds: int = 50) -> np.ndarray:
-        """Label probabilities of the tokens by loopy message passing; base tokens are fixed."""
+    def beliefs(self, weights: Weights, rounds: int | None = None) -> np.ndarray:
+        """Label probabilities of the tokens by loopy message passing; base tokens are fixed.
+
+        Messages go until none changes, by default for as many rounds at most as damped ones need to cross the graph.
+        """
+        rounds = 100 + 4 * len(self.tokens) if rounds is None else rounds
         unary = weights.shape[self.shapes].copy()
         fixed = self.labels > 0
-        unary[fixed] = -60.0
+        unary[fixed] = -np.inf  # no number of messages from repeats outweighs it
         unary[fixed, self.labels[fixed]] = 0.0
         edges = np.vstack([self.chain, self.skip])
         pair = np.concatenate([np.repeat(weights.chain[None], len(self.chain), 0), np.repeat(weights.skip * np.eye(LABELS)[None], len(self.skip), 0)])

@@ -87,3 +87,37 @@ def test_labels_reach_repeated_and_similar_tokens(spark):
     assert clean[3].text is None and clean[4].text == "" and clean[2].text == rows[1][1]
     assert clean[None].text == "[IP] é [CARD]" and "555" not in clean[1].text and clean[1].spans == "x"
     assert pii.personal_data(docs.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("repeats", [1, 3, 10, 200])
+@pytest.mark.parametrize("lean", [0.0, 1.0, 2.0])
+def test_every_repeat_is_marked_however_many(repeats, lean):
+    """One base mention and bare repeats; a shape that leans to none by itself must not make more repeats give fewer spans."""
+    w = pii.Weights({})
+    w.shape[:, 0] += lean
+    for entity, bare, kind in [("jo.smith77@mail.example.com", "jo.smith77", 0), ("+1 (784) 555-9263", "7845559263", 3)]:
+        for text in ["x ".join([f"Write {entity} ", *[f"then {bare} "] * repeats]), "x ".join([*[f"then {bare} "] * repeats, f"write {entity} "])]:
+            field = pii.Field(text, pii.base_spans(text))
+            marked = field.added(w)
+            assert [(k, text[a:b]) for k, a, b in marked] == [(kind, bare)] * repeats
+            # each mention has one link to its entity besides those to its neighbours
+            assert len(field.skip) <= 2 * repeats
+
+
+def test_messages_converge_on_long_chains():
+    text = "Write jo.smith77@mail.example.com " + "then jo.smith77 x " * 300
+    field = pii.Field(text, pii.base_spans(text))
+    w = pii.Weights({})
+    w.shape[:, 0] += 3.9
+    assert np.allclose(field.beliefs(w), field.beliefs(w, 20_000), atol=1e-4)
+
+
+@pytest.mark.parametrize("repeats", [3, 10, 200])
+def test_fitted_weights_mark_every_repeat(spark, repeats):
+    """Numbers of the repeat's shape that stand in no entity are fitted as none."""
+    rows = [(k, f"Call +1 (784) 555-92{k:02d} about order 99345612{k:02d} and 88345612{k:02d} today.") for k in range(10, 40)]
+    rows.append((1, "Call +1 (784) 555-9263 today" + " or 7845559263 then" * repeats))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.personal_data(docs).where("doc_id = 1").first()
+    assert found.n_phone == 1 and found.spans.count("phone:") == 1 + repeats
+    assert pii.redact(docs).where("doc_id = 1").first().text == "Call [PHONE] today" + " or [PHONE] then" * repeats
