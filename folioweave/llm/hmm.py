@@ -1,8 +1,9 @@
 """Language-model scoring by a hidden Markov model, and by add-one unigrams as its base.
 
-The model's alphabet is bounded: the frequent words, and classes of all others by their last letters; a word of a class
-has its add-one share of the class. Baum-Welch counts of one pass over the training documents, a fold at a time, give
-the latent states; the scaled forward recursion gives each whole text's exact likelihood under the model.
+Every training word has emissions of its own. Those of the frequent words are broadcast; those of all others stand in a
+table that each text's words are joined with, backed off to classes by last letters, which unseen words have alone.
+Baum-Welch counts of one pass over the training documents, a fold at a time, give the latent states; the scaled forward
+recursion gives each whole text's exact likelihood under the model.
 """
 
 from __future__ import annotations
@@ -19,10 +20,14 @@ from pyspark.sql import functions as F
 
 from folioweave.llm.shared import SharedTables, fold, pieces, text_or_empty
 
-#: Words with symbols of their own at most, classes for the others, latent states. Symbols fit 16 bits.
+#: Words whose emissions are broadcast at most, classes of the others, latent states. Symbols fit 16 bits.
 WORDS, CLASSES, STATES = 40_000, 2_000, 8
 #: Bytes of a word that may have a symbol of its own: bounds what is broadcast.
 LONGEST = 64
+#: Share of a word's counts that goes to each state, whatever its contexts; infrequent words that a task sums before it lets go.
+FLOOR, SUMMED = 0.01, 200_000
+#: Parts of the documents that are joined with their words' states one after the other: bounds the disk that the shuffles take.
+PARTS = 4
 FOLDS, HELD = 7, 2
 #: The end of a text; no word, as words hold no blank.
 END = b" "
@@ -141,13 +146,20 @@ def _packed(symbols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return order, n, flat
 
 
-def forward(model: Hmm, symbols: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each symbol sequence: the scaled forward recursion, all texts abreast."""
+def forward(model: Hmm, symbols: list[np.ndarray], own: list[np.ndarray] | None = None, times: np.ndarray | None = None) -> np.ndarray:
+    """log10 probability of each symbol sequence: the scaled forward recursion, all texts abreast.
+
+    own: for each symbol the row of times that its emissions are multiplied by, -1 for none.
+    """
     order, n, flat = _packed(symbols)
+    which = _packed(own)[2] if own is not None else np.full(len(flat), -1)
     out = np.zeros(len(symbols))
     state, at = None, 0
     for count in n.tolist():
         seen = model.emit[flat[at : at + count]]
+        odd = np.flatnonzero(which[at : at + count] >= 0)
+        if len(odd):
+            seen[odd] *= times[which[at + odd]]
         state = (np.broadcast_to(model.start, seen.shape) if state is None else state[:count] @ model.move) * seen
         scale = state.sum(1)
         out[:count] += np.log10(scale)
@@ -158,8 +170,13 @@ def forward(model: Hmm, symbols: list[np.ndarray]) -> np.ndarray:
     return back
 
 
-def expected(model: Hmm, symbols: list[np.ndarray], counts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
-    """Adds the expected starts, moves and emissions of the sequences to counts; the log10 likelihood."""
+def expected(
+    model: Hmm, symbols: list[np.ndarray], counts: tuple[np.ndarray, np.ndarray, np.ndarray], own: list[np.ndarray] | None = None, rows: np.ndarray | None = None
+) -> float:
+    """Adds the expected starts, moves and emissions of the sequences to counts; the log10 likelihood.
+
+    own: for each symbol the row of rows that its states are added to as well, -1 for none.
+    """
     order, n, flat = _packed(symbols)
     start, move, emit = counts
     at = np.concatenate([[0], np.cumsum(n)]).tolist()
@@ -188,18 +205,24 @@ def expected(model: Hmm, symbols: list[np.ndarray], counts: tuple[np.ndarray, np
     start += alpha[: ns[0]].sum(0) if ns else 0
     for k in range(alpha.shape[1]):
         emit[:, k] += np.bincount(flat, alpha[:, k], len(emit))
+    if own is not None:
+        which = _packed(own)[2]
+        odd = np.flatnonzero(which >= 0)
+        for k in range(alpha.shape[1]):
+            rows[:, k] += np.bincount(which[odd], alpha[odd, k], len(rows))
     return float(np.log10(scale).sum())
 
 
 def encode(docs: DataFrame, letters: Alphabet, keep: list[str]) -> DataFrame:
-    """keep, n_tokens, symbols (16-bit, little-endian), words and times (infrequent words, each once), log_known, n_known.
+    """keep, n_tokens, symbols (16-bit, little-endian), odd (32-bit), words and times (infrequent words, each once), log_known, n_known.
 
+    odd holds for each token that is an infrequent word, in order, its place in words.
     log_known is the sum over tokens with symbols of their own of log10(count + 1); log_class that of the others'
     class denominators; n_known counts the tokens with symbols of their own.
     """
     source = docs.select(*keep, text_or_empty("text").cast("binary").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(letters)
-    more = "n_tokens long, symbols binary, words array<binary>, times array<long>, log_known double, log_class double, n_known long"
+    more = "n_tokens long, symbols binary, odd binary, words array<binary>, times array<long>, log_known double, log_class double, n_known long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, first = shared.value.known, len(shared.value.known)
@@ -216,9 +239,11 @@ def encode(docs: DataFrame, letters: Alphabet, keep: list[str]) -> DataFrame:
                 classes = [_class(words[i]) for i in odd]
                 symbols[odd] = np.array(classes, np.int64) + first
                 times = Counter(words[i] for i in odd)
-                rows.append((len(words), symbols.astype("<u2").tobytes(), list(times), list(times.values()), logs_known, float(shared.value.class_log[classes].sum()) if odd else 0.0, len(words) - len(odd)))
+                place = {w: k for k, w in enumerate(times)}
+                places = np.array([place[words[i]] for i in odd], "<u4")
+                rows.append((len(words), symbols.astype("<u2").tobytes(), places.tobytes(), list(times), list(times.values()), logs_known, float(shared.value.class_log[classes].sum()) if odd else 0.0, len(words) - len(odd)))
             columns = zip(*rows, strict=True)
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.float64(), pa.float64(), pa.int64()]
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.float64(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
                 names=[*keep, *(f.split()[0] for f in more.split(", "))],
@@ -265,42 +290,152 @@ def train(encoded: DataFrame, letters: Alphabet, states: int = STATES, passes: i
     return model
 
 
+def _own(symbols: list[np.ndarray], odd: pa.Array, first: int, numbers: list[np.ndarray]) -> list[np.ndarray]:
+    """For each text the number of each symbol's word, -1 for frequent words; numbers: of each text's infrequent words."""
+    out = []
+    for s, o, n in zip(symbols, odd, numbers, strict=True):
+        which = np.full(len(s), -1)
+        which[s >= first] = n[np.frombuffer(o.as_py(), "<u4")]
+        out.append(which)
+    return out
+
+
+def count_states(encoded: DataFrame, letters: Alphabet, model: Hmm) -> DataFrame:
+    """(row, word, c, n): tokens and expected counts by state over all training documents, each with the same weight.
+
+    row -1 has every infrequent training word; the others have no word and are start, moves and symbols, as in train().
+    encoded: _fold, symbols, odd and words. The words' rows grow with the corpus and stay distributed.
+    """
+    states, size, first = len(model.start), letters.size, len(letters.known)
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
+
+    def batch_of(rows: pa.Array, words: pa.Array, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        flat = pa.FixedSizeListArray.from_arrays(pa.array(n.ravel().astype(np.float32)), states).cast(pa.list_(pa.float32()))
+        return pa.RecordBatch.from_arrays([rows, words, pa.array(c, pa.int64()), flat], names=["row", "word", "c", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
+        number: dict[bytes, int] = {}
+        rows, met = np.zeros((0, states)), np.zeros(0, np.int64)
+
+        def flush() -> pa.RecordBatch:
+            out = batch_of(pa.array(np.full(len(number), -1)), pa.array(list(number), pa.binary()), met[: len(number)], rows[: len(number)])
+            number.clear()
+            return out
+
+        for batch in pieces(batches, "symbols", 3 << 20, 4096):
+            symbols = [np.frombuffer(s.as_py(), "<u2") for s in batch.column("symbols")]
+            numbers = [np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in batch.column("words").to_pylist()]
+            if len(rows) < len(number):
+                more = max(len(number), 2 * len(rows)) - len(rows)
+                rows, met = np.vstack([rows, np.zeros((more, states))]), np.concatenate([met, np.zeros(more, np.int64)])
+            own = _own(symbols, batch.column("odd"), first, numbers)
+            expected(shared.value, symbols, counts, own, rows)
+            met += np.bincount(np.concatenate(own) + 1, minlength=len(met) + 1)[1:]
+            if len(number) > SUMMED:
+                yield flush()
+                rows, met = np.zeros((0, states)), np.zeros(0, np.int64)
+        yield flush()
+        start, move, emit = counts
+        whole = np.vstack([start[None], move * shared.value.move, emit])
+        used = np.flatnonzero(whole.any(1))
+        yield batch_of(pa.array(used), pa.nulls(len(used), pa.binary()), np.zeros(len(used)), whole[used])
+
+    part = encoded.where(F.col("_fold") != HELD).select("symbols", "odd", "words").mapInArrow(run, "row long, word binary, c long, n array<float>")
+    # tasks have summed already: rows are dealt out as they are and summed after
+    sums = part.repartition("row", "word").groupBy("row", "word").agg(F.sum("c").alias("c"), *[F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(states)])
+    return sums.select("row", "word", "c", F.array(*[F.col(f"n{i}").cast("float") for i in range(states)]).alias("n"))
+
+
+def collected(counted: DataFrame, letters: Alphabet, states: int) -> np.ndarray:
+    """Rows of start, moves and symbols of count_states(); their number is bounded by the alphabet."""
+    whole = np.zeros((1 + states + letters.size, states))
+    for r in counted.where("row >= 0").select("row", "n").collect():
+        whole[r.row] = r.n
+    return whole
+
+
+def class_shares(whole: np.ndarray, letters: Alphabet) -> np.ndarray:
+    """Of each class's training tokens the share in each state, each FLOOR at least."""
+    counts = whole[len(whole) - CLASSES :]
+    total = counts.sum(1, keepdims=True)
+    return np.where(total > 0, counts / np.maximum(total, 1e-300), 1.0) + FLOOR
+
+
+def own_times(n: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """What a word of a class, by its expected counts n, multiplies the class's emissions by, over the class's add-one total.
+
+    The counts in each state over the class's share in it, and one more: 1 for an unseen word, and c + 1 in each state for
+    a word met c times that is spread like its class. The sum over a class's words in each state is its add-one total.
+    """
+    return (n + FLOOR * n.sum(1, keepdims=True)) / share + 1.0
+
+
 def score_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), states: int = STATES, words: int = WORDS) -> DataFrame:
     """keep, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per row of docs.
 
     Learns from the documents whose fold is not HELD. base_score sums log10((c + 1) / (N + V + 1)); score is the hidden
-    Markov model's log10 probability of the whole text, its words within their classes included. A null text is empty:
+    Markov model's log10 probability of the whole text, each training word by its own emissions. A null text is empty:
     its only token is the end. With no training documents N and V are 0 and every word is unseen.
     """
     tables = SharedTables(docs.sparkSession)
     names = list(dict.fromkeys(keep))
     counts = tables.write(count_words(docs), "counts")
     letters = alphabet(counts, words)
+    tables.drop(counts)
     marked = docs.select("text", F.struct(*names).alias("_keep"), fold("doc_id", FOLDS).alias("_fold"), F.monotonically_increasing_id().alias("_row"))
     encoded = tables.write(encode(marked, letters, ["_keep", "_fold", "_row"]), "encoded")
     model = train(encoded.select("_fold", "symbols"), letters, states)
+    counted = tables.write(count_states(encoded, letters, model), "states")
+    share = class_shares(collected(counted, letters, states), letters)
 
-    # infrequent words meet their counts: no word of them holds more than a bounded share of the corpus
-    rare = encoded.select("_row", F.explode(F.arrays_zip("words", "times")).alias("e")).select("_row", F.col("e.words").alias("word"), F.col("e.times").alias("times"))
-    rare = rare.join(counts, "word").groupBy("_row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("_log"), F.sum("times").alias("_times"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model, share))
+    first = len(letters.known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, share = shared.value
         for batch in pieces(batches, "symbols", 3 << 20, 4096):
-            found = forward(shared.value, [np.frombuffer(s.as_py(), "<u2") for s in batch.column("symbols")])
-            kept = [c for c in batch.schema.names if c != "symbols"]
+            symbols = [np.frombuffer(s.as_py(), "<u2") for s in batch.column("symbols")]
+            numbers, times, at = [], [], 0
+            for s, o, places, n in zip(symbols, batch.column("odd"), batch.column("_at"), batch.column("_n"), strict=True):
+                odd = np.frombuffer(o.as_py(), "<u4")
+                rows = np.zeros((int(odd.max()) + 1 if len(odd) else 0, states))
+                if places.is_valid:
+                    rows[places.values.to_numpy()] = n.values.to_numpy().reshape(-1, states)
+                kinds = np.zeros(len(rows), np.int64)
+                kinds[odd] = s[s >= first].astype(np.int64) - first
+                times.append(own_times(rows, share[kinds]))
+                numbers.append(np.arange(at, at + len(rows)))
+                at += len(rows)
+            found = forward(model, symbols, _own(symbols, batch.column("odd"), first, numbers), np.vstack(times))
+            kept = [c for c in batch.schema.names if c not in ("symbols", "odd", "_at", "_n")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found)], names=[*kept, "_path"])
 
-    paths = encoded.select("_row", "_keep", "_fold", "n_tokens", "log_known", "log_class", "n_known", "symbols")
-    paths = paths.mapInArrow(run, paths.drop("symbols").withColumn("_path", F.lit(0.0)).schema)
-    whole = paths.join(rare, "_row", "left").withColumn("_log", F.coalesce("_log", F.lit(0.0)))
-    share = float(np.log10(letters.total + letters.distinct + 1))
+    own = counted.where("row = -1").select("word", "c", "n")
+
+    def scored(part: DataFrame) -> DataFrame:
+        # infrequent words meet their counts and states: no word of them holds more than a bounded share of the corpus
+        rare = part.select("_row", F.posexplode(F.arrays_zip("words", "times")).alias("at", "e")).select("_row", "at", F.col("e.words").alias("word"), F.col("e.times").alias("times"))
+        rare = rare.join(own, "word").groupBy("_row").agg(
+            F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("_log"), F.sum("times").alias("_times"), F.collect_list("at").alias("_at"), F.flatten(F.collect_list("n")).alias("_n")
+        )
+        whole = part.select("_row", "_keep", "_fold", "n_tokens", "log_known", "log_class", "n_known", "symbols", "odd").join(rare, "_row", "left")
+        return whole.mapInArrow(run, whole.drop("symbols", "odd", "_at", "_n").withColumn("_path", F.lit(0.0)).schema)
+
+    whole = None
+    for k in range(PARTS):
+        docs.sparkSession._jvm.System.gc()  # Spark deletes the shuffles of what is not referred to any more
+        part = tables.write(scored(encoded.where(F.pmod("_row", F.lit(PARTS)) == k)), "scores")
+        whole = part if whole is None else whole.union(part)
+    tables.drop(encoded, counted)
+    whole = whole.withColumn("_log", F.coalesce("_log", F.lit(0.0)))
+    floor = float(np.log10(letters.total + letters.distinct + 1))
     return whole.select(
         *[F.col("_keep")[c].alias(c) for c in names],
         (F.col("_fold") == HELD).alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("_times", F.lit(0))).alias("n_known"),
         F.lit(letters.total).cast("long").alias("train_tokens"),
-        (F.col("log_known") + F.col("_log") - F.col("n_tokens") * F.lit(share)).alias("base_score"),
-        (F.col("_path") + F.col("_log") - F.col("log_class")).alias("score"),
+        (F.col("log_known") + F.col("_log") - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
+        (F.col("_path") - F.col("log_class")).alias("score"),
     )

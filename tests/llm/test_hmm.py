@@ -79,3 +79,44 @@ def test_empty(spark):
     assert hmm.score_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     only = spark.createDataFrame([(9, "held out"), (9, None)], "doc_id long, text string")
     assert {r.train_tokens for r in hmm.score_documents(only).collect()} <= {0, 2, 4}
+
+
+def test_a_word_below_the_cap_has_emissions_of_its_own(spark):
+    """Two words of one class and count that stand in different contexts are told apart."""
+    train = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2][:40]
+    held = [i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    text = {0: "sun sky sun xaaaa sun sky " * 300, 1: "moon sea moon yaaaa moon sea " * 300}
+    rows = [(i, text[k % 2]) for k, i in enumerate(train)]
+    asked = ["sun sky sun xaaaa sun sky", "sun sky sun yaaaa sun sky", "moon sea moon yaaaa moon sea", "moon sea moon xaaaa moon sea"]
+    docs = spark.createDataFrame(rows + list(zip(held, asked, strict=True)), "doc_id long, text string")
+    for words in (4, 100):
+        letters = hmm.alphabet(hmm.count_words(docs).cache(), words)
+        assert (b"xaaaa" in letters.known) == (words == 100)
+        got = {r.doc_id: r for r in hmm.score_documents(docs, states=2, words=words).collect()}
+        at = [got[i] for i in held]
+        assert all(r.held_out for r in at) and at[0].base_score == at[1].base_score
+        assert at[0].score > at[1].score + 0.3 and at[2].score > at[3].score + 0.3
+
+
+def test_own_emissions_fill_their_class():
+    """In each state the words' factors and one unseen word's add up to the class's tokens, words and one."""
+    n = np.random.default_rng(3).gamma(0.3, 1.0, (50, 4)) * [1, 1, 5, 0]
+    share = n.sum(0) / n.sum() + hmm.FLOOR
+    times = hmm.own_times(n, np.repeat(share[None], 50, 0))
+    assert np.allclose(times.sum(0) + 1, n.sum() + 50 + 1)
+    spread = hmm.own_times(3 * (share - hmm.FLOOR)[None], share[None])
+    assert np.allclose(spread, 4)
+    assert np.allclose(hmm.own_times(np.zeros((1, 4)), share[None]), 1)
+
+
+def test_every_infrequent_training_word_has_a_row(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(150)
+    counts = hmm.count_words(docs).cache()
+    letters = hmm.alphabet(counts, 300)
+    encoded = hmm.encode(docs.withColumn("_fold", hmm.fold("doc_id", 7)), letters, ["_fold"]).cache()
+    counted = hmm.count_states(encoded, letters, hmm.Hmm.first(letters.mass, 4)).cache()
+    rows = {bytes(r.word): r for r in counted.where("row = -1").collect()}
+    want = {bytes(r.word): r.c for r in counts.collect() if bytes(r.word) not in letters.known}
+    assert {w: r.c for w, r in rows.items()} == want
+    assert all(np.isclose(sum(r.n), r.c, rtol=1e-4) for r in rows.values())
+    assert np.allclose(hmm.collected(counted, letters, 4)[5:].sum(1), letters.mass, rtol=1e-4)
