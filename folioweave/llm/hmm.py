@@ -2,8 +2,8 @@
 
 Every training word has emissions of its own. Those of the frequent words are broadcast; those of all others stand in a
 table that each text's words are joined with, backed off to classes by last letters, which unseen words have alone.
-Baum-Welch counts of one pass over the training documents, a fold at a time, give the latent states; the scaled forward
-recursion gives each whole text's exact likelihood under the model.
+A first Baum-Welch pass over the training documents, a fold at a time, tells the latent states apart; a second one counts
+all training documents alike and gives the model. The scaled forward recursion gives each whole text's exact likelihood.
 """
 
 from __future__ import annotations
@@ -387,7 +387,8 @@ def score_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), states
     encoded = tables.write(encode(marked, letters, ["_keep", "_fold", "_row"]), "encoded")
     model = train(encoded.select("_fold", "symbols"), letters, states)
     counted = tables.write(count_states(encoded, letters, model), "states")
-    share = class_shares(collected(counted, letters, states), letters)
+    sums = collected(counted, letters, states)
+    model, share = Hmm.of(sums[0], sums[1 : 1 + states], sums[1 + states :], letters.mass), class_shares(sums, letters)
 
     shared = docs.sparkSession.sparkContext.broadcast((model, share))
     first = len(letters.known)

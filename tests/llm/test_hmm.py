@@ -120,3 +120,14 @@ def test_every_infrequent_training_word_has_a_row(spark):
     assert {w: r.c for w, r in rows.items()} == want
     assert all(np.isclose(sum(r.n), r.c, rtol=1e-4) for r in rows.values())
     assert np.allclose(hmm.collected(counted, letters, 4)[5:].sum(1), letters.mass, rtol=1e-4)
+
+
+def test_training_folds_count_alike(spark):
+    """Equally frequent words of the first and the last fold are as probable; with one state counts alone decide."""
+    of = lambda f, n: [i for i in range(500) if zlib.crc32(str(i).encode()) % 7 == f][:n]
+    rows = [(i, "early " * 50) for i in of(0, 10)] + [(i, "later " * 50) for i in of(6, 10)]
+    rows += list(zip(of(2, 2), ["early " * 3, "later " * 3], strict=True))
+    got = {r.doc_id: r for r in hmm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), states=1).collect()}
+    early, later = (got[i] for i in of(2, 2))
+    assert early.held_out and later.held_out and early.base_score == later.base_score
+    assert abs(early.score - later.score) < 1e-6
