@@ -184,6 +184,13 @@ def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), folds: int =
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language is found, with their own columns; those judged `und` go."""
+    """The documents with a letter, with their own columns; lang, where it is null, is the language found.
+
+    With nothing to learn a language from, lang stays null.
+    """
+    model = fit(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     whole = docs.select("text", F.struct(*docs.columns).alias("_doc"))
-    return predict(whole, fit(docs), ["_doc"]).where(F.col("lang_pred") != UND).select("_doc.*")
+    found = predict(whole, model, ["_doc"]).where(F.col("lang_pred") != UND)
+    return found.select(*(F.coalesce(F.col("_doc")[c], "lang_pred").alias(c) if c == "lang" else F.col("_doc")[c].alias(c) for c in docs.columns))

@@ -52,3 +52,22 @@ def test_fold(spark):
     ids = [0, 1, 2, 77, 10**12, None]
     found = spark.createDataFrame([(i,) for i in ids], "doc_id long").select(fold("doc_id", 3).alias("f")).collect()
     assert [r.f for r in found] == [zlib.crc32(str("" if i is None else i).encode()) % 3 for i in ids]
+
+
+def test_nothing_to_learn_from_keeps_documents_with_letters(spark):
+    import zlib
+
+    held = [i for i in range(99) if zlib.crc32(str(i).encode()) % 3 == 1][:4]
+    for lang in (None, "en"):
+        rows = [(held[0], "the cat and the dog", lang), (held[1], "12 !? 34", lang), (held[2], None, lang), (held[3], "", lang)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        assert langid.fit(docs) is None
+        assert [tuple(r) for r in langid.keep_identified(docs).collect()] == rows[:1]
+
+
+def test_kept_documents_get_the_language_found(spark):
+    rows = [(k, "the and of " * 9, "en") for k in range(10, 26)] + [(k, "le et la des " * 9, "fr") for k in range(30, 46)]
+    asked = [(1, "the and of the", None), (2, "le et la des le", None), (3, "12 !?", None), (4, "the and of", "de")]
+    docs = spark.createDataFrame(rows + asked, "doc_id long, text string, lang string")
+    kept = {r.doc_id: r.lang for r in langid.keep_identified(docs).collect()}
+    assert kept == {r[0]: r[2] for r in rows} | {1: "en", 2: "fr", 4: "de"}
