@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioweave.sources.tables import SharedTables
+
+#: Queries that are sent to the chunks at once.
+QUERIES = 4_096
+
 
 def inner_product(a: Column, b: Column) -> Column:
     """In double precision, in component order."""
@@ -18,38 +25,48 @@ def normalized(vector: Column) -> Column:
     return F.when(norm > 0, F.transform(vector, lambda x: (x.cast("double") / norm).cast("float"))).otherwise(vector)
 
 
-def number_rows(rows: DataFrame, order: list[str], name: str, first: int | Column = 0, buckets: int = 64) -> DataFrame:
+def number_rows(rows: DataFrame, order: list[str], name: str, first: int = 0) -> DataFrame:
     """Rows numbered from `first` in the order of unique columns, without sorting them in one task.
 
-    Ranges of the order are counted, the counts summed, and each range numbered by itself.
+    The rows are dealt into ranges of the order and written once with their place in their range, so that sizes and
+    numbers come from one and the same division, however often tasks run again. The number of ranges follows
+    spark.sql.shuffle.partitions and what Spark makes of it at run time; the prefix sum is over a row per range.
     """
-    ranged = rows.withColumn("_range", F.lit(0)) if buckets == 1 else rows.repartitionByRange(buckets, *order).withColumn("_range", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    numbered = ranged.withColumn("_within", within)
-    sizes = numbered.groupBy("_range").agg(F.max("_within").alias("_n"))
+    place = F.monotonically_increasing_id()  # the partition's number, then the place in it
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place)
+    written = SharedTables(rows.sparkSession).write(ranged, "ranged")
+    part, within = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    sizes = written.groupBy(part.alias("_range")).agg((F.max(within) + 1).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.withColumn("_before", before).drop("_n")
-    at = numbered.join(sizes, "_range").withColumn(name, (F.col("_before") + F.col("_within") - 1).cast("long") + F.lit(first))
-    return at.drop("_range", "_within", "_before")
+    sizes = sizes.select("_range", before.alias("_before"))
+    at = written.withColumn("_range", part).join(sizes, "_range")
+    return at.withColumn(name, F.col("_before") + within + F.lit(first).cast("long")).drop("_range", "_place", "_before")
 
 
-def top_k(queries: DataFrame, chunks: DataFrame, k: int, on: list[str] | None = None) -> DataFrame:
-    """query_id, rank, chunk_id, score of the k largest inner products; all of them for k < 0; ties to smaller chunk_id.
+def top_k(queries: DataFrame, chunks: DataFrame, k: int, on: list[str] | None = None, block: int = QUERIES) -> DataFrame:
+    """on, query_id, rank, chunk_id, score of the k largest inner products; all of them for k < 0; ties to smaller chunk_id.
 
     queries: query_id, embedding; chunks: chunk_id, embedding; `on` names columns that both have and that must agree
-    (an index per instance). Without `on` every query meets every chunk: a stated set of queries against all rows. The
-    row_number filter lets Spark keep only k rows per query before it shuffles.
+    (an index per instance); queries are told apart by them, too. Without `on` a stated set of queries meets every chunk:
+    the queries are sent to the chunks in blocks of about `block`. The row_number filter lets Spark keep only k rows per
+    query before it shuffles.
     """
     if queries.isEmpty():
         raise ValueError("there are no queries")
     on = on or []
     q = queries.select(*on, "query_id", F.col("embedding").alias("_q"))
     c = chunks.select(*on, "chunk_id", F.col("embedding").alias("_c"))
-    pairs = q.join(c, on) if on else c.crossJoin(q)
-    scored = pairs.select("query_id", "chunk_id", inner_product(F.col("_q"), F.col("_c")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    ranked = scored.withColumn("rank", rank)
-    return (ranked if k < 0 else ranked.where(F.col("rank") <= k)).select("query_id", "rank", "chunk_id", "score")
+    rank = F.row_number().over(Window.partitionBy(*on, "query_id").orderBy(F.desc("score"), "chunk_id"))
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        scored = pairs.select(*on, "query_id", "chunk_id", inner_product(F.col("_q"), F.col("_c")).alias("score")).withColumn("rank", rank)
+        return (scored if k < 0 else scored.where(F.col("rank") <= k)).select(*on, "query_id", "rank", "chunk_id", "score")
+
+    if on:
+        return ranked(q.join(c, on))
+    blocks = -(-q.count() // block)
+    parts = [q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) for n in range(blocks)]
+    return reduce(DataFrame.unionByName, [ranked(c.crossJoin(F.broadcast(part))) for part in parts])
 
 
 def texts_of(hits: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioweave.functions import arrow
@@ -18,6 +19,41 @@ def test_numbering_is_contiguous(spark):
     assert retrieval.number_rows(rows.where("false"), ["k"], "n").collect() == []
 
 
+def test_numbering_of_many_rows_with_a_payload(spark, tmp_path):
+    """More rows than a range sample sees: the written numbers are contiguous, distinct and in order."""
+    rows = spark.range(1_000_000).select(F.md5(F.col("id").cast("string")).alias("k"), F.repeat(F.lit("x"), 40).alias("payload"))
+    retrieval.number_rows(rows, ["k"], "n").write.parquet(f"{tmp_path}/n")
+    back = spark.read.parquet(f"{tmp_path}/n")
+    assert back.agg(F.count("*"), F.count_distinct("n"), F.min("n"), F.max("n")).first()[:] == (1_000_000, 1_000_000, 0, 999_999)
+    assert back.withColumn("next", F.lead("k").over(Window.orderBy("n"))).where("next < k").count() == 0
+    n = {r.split: r["count"] for r in sampling.split(rows, "k").groupBy("split").count().collect()}
+    assert n == {"test": 50_000, "train": 950_000}
+    assert sampling.sample(rows, "k", 123_457).count() == 123_457
+
+
+def test_neighbours_in_blocks_and_by_instance(spark):
+    rnd = random.Random(4)
+    rows = [(i % 3, i, [rnd.random() for _ in range(4)]) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "instance int, chunk_id int, embedding array<float>")
+    queries = chunks.where("chunk_id < 30").select("instance", (F.col("chunk_id") % 10).alias("query_id"), "embedding").dropDuplicates(["instance", "query_id"])
+    f32 = {r.chunk_id: list(r.embedding) for r in chunks.collect()}
+    asked = {(r.instance, r.query_id): list(r.embedding) for r in queries.collect()}
+
+    def slow(q, ids):
+        return sorted(ids, key=lambda c: (-sum(x * y for x, y in zip(q, f32[c], strict=True)), c))[:4]
+
+    got = {}
+    for r in retrieval.top_k(queries, chunks, 4, ["instance"]).orderBy("rank").collect():
+        got.setdefault((r.instance, r.query_id), []).append(r.chunk_id)
+    assert got == {k: slow(q, [c for i, c, _ in rows if i == k[0]]) for k, q in asked.items()}
+    one = queries.where("instance = 0").select("query_id", "embedding")
+    for block in (2, 4_096):
+        got = {}
+        for r in retrieval.top_k(one, chunks, 4, block=block).orderBy("rank").collect():
+            got.setdefault(r.query_id, []).append(r.chunk_id)
+        assert got == {k[1]: slow(q, f32) for k, q in asked.items() if k[0] == 0}
+
+
 def test_index_round_trip_and_errors(spark, tmp_path):
     docs = spark.createDataFrame([("a", [3.0, 4.0]), ("b", [0.0, 0.0])], "text string, embedding array<float>")
     index = retrieval.build_index(docs, ["text"])
