@@ -1,59 +1,22 @@
-"""Tables in the folder that driver and executors share, and what several operators need."""
+"""What several operators need: byte views of texts, slices of batches, components of a graph."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioweave.sources.tables import SharedTables
+
 #: White space of the word contracts: space and \t \n \v \f \r. bytes.split() splits at exactly these.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text that a Python task works on at once; one longer text makes a piece of its own.
 PIECE_BYTES = 2 << 20
 
 
-class SharedTables:
-    """Parquet tables under spark.checkpoint.dir; they outlive lost executors and cut lineage.
-
-    Where the session does not name that folder, a local master uses a temporary one (tests) and any other
-    master the warehouse. Tables go with drop(), or else when the session's JVM ends.
-    """
-
-    def __init__(self, spark: SparkSession):
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            local = spark.sparkContext.master.split("[")[0] == "local"
-            root = tempfile.mkdtemp(prefix="folioweave-") if local else spark.conf.get("spark.sql.warehouse.dir")
-        self.spark = spark
-        self.root = f"{root.rstrip('/')}/folioweave-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-        jvm = spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs.deleteOnExit(path)
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """df, written once and read again."""
-        at = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", "zstd").parquet(at)
-        table = self.spark.read.schema(df.schema).parquet(at)
-        table._folioweave_at = at
-        return table
-
-    def path(self, name: str) -> str:
-        """A path for files that an operator writes by other means."""
-        return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            self._fs.delete(self._path(t._folioweave_at), True)
-
-
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
