@@ -17,6 +17,8 @@ SAMPLE, SAMPLE_OF_ALL = 400, 4_000
 #: Hash buckets of the features: bytes, and runs of 2 and 3 bytes, of the lower-cased UTF-8 text.
 BUCKETS = 1 << 12
 UND = "und"
+#: Texts of so many letters or more with a lower score are in none of the learned languages.
+SURE_LETTERS, LEAST_SCORE = 200, 1 / 3
 
 #: Language families by ISO 639-1 code. A language that stands in none is a family of its own.
 FAMILIES = {
@@ -58,16 +60,20 @@ def _has_letter(text: str) -> bool:
     return text.isalpha() or any(map(str.isalpha, text))
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 200) -> np.ndarray:
-    """Weights (the last is the bias) of a squared-hinge SVM for y in -1, 1, classes weighed alike, by Nesterov's method."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(x)
-    step = 1.0 / (1.0 + 2 * cost * np.linalg.norm(x * np.sqrt(weight / len(x))[:, None], 2) ** 2)
-    w = v = np.zeros(x.shape[1])
+def linear_svms(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 200) -> np.ndarray:
+    """Weights (the last row is the bias) of squared-hinge SVMs, one for each column of y in -1, 1, by Nesterov's method.
+
+    x has rows of length 1 in single precision and is neither copied nor decomposed: the step follows from the bound
+    that rows of length 1 and their bias, with weights that sum to 1, give for the largest singular value.
+    """
+    weight = np.where(y > 0, 0.5 / np.maximum(1, (y > 0).sum(0)), 0.5 / np.maximum(1, (y <= 0).sum(0))).astype(np.float32)
+    y = y.astype(np.float32)
+    step = np.float32(1.0 / (1.0 + 2 * cost * 2.0))
+    w = v = np.zeros((x.shape[1] + 1, y.shape[1]), np.float32)
     for k in range(rounds):
-        slack = np.maximum(0.0, 1.0 - y * (x @ v))
-        new = v - step * (v - 2 * cost * x.T @ (weight * slack * y) / len(x))
-        w, v = new, new + k / (k + 3) * (new - w)
+        slack = weight * y * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1]))
+        new = v - step * (v - np.float32(2 * cost) * np.vstack([x.T @ slack, slack.sum(0)]))
+        w, v = new, new + np.float32(k / (k + 3)) * (new - w)
     return w
 
 
@@ -85,19 +91,18 @@ class Model:
         self.families = sorted(set(of))
         self.members = [[v for v in self.langs if home.get(v.lower(), v) == f] for f in self.families]
         if len(self.families) > 1:
-            self.family = np.array([linear_svm(x, np.where(of == f, 1.0, -1.0)) for f in self.families]).T
+            self.family = linear_svms(x, np.where(of[:, None] == np.array(self.families, object)[None], 1, -1))
         labels = np.array(langs, object)
         self.pairs = {}
         for group in self.members:
             for a, b in combinations(group, 2):
                 here = (labels == a) | (labels == b)
-                self.pairs[a, b] = linear_svm(x[here], np.where(labels[here] == a, 1.0, -1.0))
+                self.pairs[a, b] = linear_svms(x[here], np.where(labels[here] == a, 1, -1)[:, None])[:, 0]
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(language, score): the winner of most pairs in the best family; ties go by the sum of the pairs' scores."""
-        x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
         if len(self.families) > 1:
-            share = sigmoid(2 * (x @ self.family))
+            share = sigmoid(2 * (x @ self.family[:-1] + self.family[-1]).astype(np.float64))
             best = share.argmax(1)
             score = share[np.arange(len(x)), best]
         else:
@@ -110,7 +115,8 @@ class Model:
             votes = np.zeros((len(rows), len(group)))
             sums = np.zeros_like(votes)
             for i, j in combinations(range(len(group)), 2):
-                p = sigmoid(2 * (x[rows] @ self.pairs[group[i], group[j]]))
+                w = self.pairs[group[i], group[j]]
+                p = sigmoid(2 * (x[rows] @ w[:-1] + w[-1]).astype(np.float64))
                 votes[:, i] += p >= 0.5
                 votes[:, j] += p < 0.5
                 sums[:, i] += p
@@ -122,20 +128,21 @@ class Model:
         return out, score
 
 
-def fit(docs: DataFrame, folds: int = 3, held: int = 1, sample: int = SAMPLE) -> Model | None:
+def fit(docs: DataFrame, folds: int = 3, held: int | None = 1, sample: int = SAMPLE) -> Model | None:
     """A model from about `sample` documents of each language, drawn by hash from the folds that are not held out.
 
-    Only text and non-null lang of those documents are used, and texts with a letter; None if there are none.
-    Languages are counted over all rows; the sample's features (BUCKETS floats each) are what the driver gets.
+    Only text and non-null lang of those documents are used, and texts with a letter; None if there are none. held
+    None holds no fold out. Languages are counted over all rows, in a table of a row per language; the sample's features
+    (BUCKETS floats each, of about SAMPLE_OF_ALL documents however many languages there are) are what the driver gets.
     """
-    known = docs.where(F.col("lang").isNotNull() & (fold("doc_id", folds) != held) & F.col("text").isNotNull())
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not sizes:
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(held is None) | (fold("doc_id", folds) != (held or 0))))
+    sizes = known.groupBy("lang").count()
+    if not (many := sizes.count()):
         return None
-    sample = min(sample, max(1, SAMPLE_OF_ALL // len(sizes)))
-    share = F.element_at(F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, sample / n))]), F.col("lang"))
+    share = F.lit(min(sample, SAMPLE_OF_ALL / many)) / F.col("count")
     place = F.pmod(F.xxhash64(F.lit(9), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = known.where(place < share).select("lang", F.col("text").cast("binary").alias("_text"))
+    placed = known.select("lang", "text", place.alias("_place"))
+    drawn = placed.join(sizes, "lang").where(F.col("_place") < share).select("lang", F.col("text").cast("binary").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text"):
@@ -147,10 +154,11 @@ def fit(docs: DataFrame, folds: int = 3, held: int = 1, sample: int = SAMPLE) ->
                     [part.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"]
                 )
 
-    rows = sorted(map(tuple, drawn.mapInArrow(run, "lang string, x binary").collect()))
-    if not rows:
+    rows = drawn.mapInArrow(run, "lang string, x binary").toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
+    if not rows.num_rows:
         return None
-    return Model(np.array([np.frombuffer(r[1], np.float32) for r in rows]), [r[0] for r in rows])
+    data, _ = byte_view(rows.column("x"))
+    return Model(data.view(np.float32).reshape(rows.num_rows, BUCKETS), rows.column("lang").to_pylist())
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
@@ -184,13 +192,16 @@ def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), folds: int =
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents with a letter, with their own columns; lang, where it is null, is the language found.
+    """The documents in which a language is found, with their own columns; lang, where it is null, is that language.
 
-    With nothing to learn a language from, lang stays null.
+    All labelled documents may be learned from. No language is found in a text without a letter, nor in one of
+    SURE_LETTERS letters or more with a score under LEAST_SCORE: long enough to be sure that no learned language fits.
+    With nothing to learn from, texts with a letter stay and their lang stays null. An empty table gives an empty result.
     """
-    model = fit(docs)
+    model = fit(docs, held=None)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     whole = docs.select("text", F.struct(*docs.columns).alias("_doc"))
-    found = predict(whole, model, ["_doc"]).where(F.col("lang_pred") != UND)
+    short = F.length(F.regexp_replace(F.col("_doc.text"), r"\P{L}", "")) < SURE_LETTERS
+    found = predict(whole, model, ["_doc"]).where((F.col("lang_pred") != UND) & ((F.col("score") >= LEAST_SCORE) | short))
     return found.select(*(F.coalesce(F.col("_doc")[c], "lang_pred").alias(c) if c == "lang" else F.col("_doc")[c].alias(c) for c in docs.columns))

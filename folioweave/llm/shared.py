@@ -15,6 +15,8 @@ from folioweave.sources.tables import SharedTables
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text that a Python task works on at once; one longer text makes a piece of its own.
 PIECE_BYTES = 2 << 20
+#: Row numbers that are broadcast at most: 32 MB in a hash table.
+SENT_ROWS = 2_000_000
 
 
 def text_or_empty(name: str) -> Column:
@@ -53,6 +55,17 @@ def pieces(
             at = to
 
 
+def rows_of(tables: SharedTables, table: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of a written table whose _row is in the written table chosen.
+
+    Where few enough are left out for their numbers to be sent to every task, wide rows are not shuffled.
+    """
+    if table.count() - chosen.count() > SENT_ROWS:
+        return table.join(chosen, "_row", "left_semi")
+    out = tables.write(table.select("_row").join(chosen, "_row", "left_anti"), "left_out")
+    return table.join(F.broadcast(out), "_row", "left_anti")
+
+
 def list_array(flat: pa.Array, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), flat)
 

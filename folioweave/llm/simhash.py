@@ -11,11 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioweave.llm.shared import SharedTables, connected_components, pieces, text_or_empty
+from folioweave.llm.shared import SharedTables, connected_components, pieces, rows_of, text_or_empty
 
-#: The 64 bits in segments (low bit, width). Two fingerprints within 4 bits differ by at most one bit in one of them.
-SEGMENTS = ((0, 21), (21, 21), (42, 22))
 REACH = 4
+#: Up to so many distinct fingerprints the 64 bits go in three segments, of which one differs by at most one bit; beyond, a
+#: segment of 21 bits would hold too many of them, and they go in two, of which one differs by at most two bits.
+THREE = 1 << 28
 #: A bucket with more fingerprints is not joined pair by pair; they are linked through common centres, of which each has
 #: 2081, so pairs are the dearer way in it.
 FULL = 1024
@@ -58,18 +59,28 @@ def with_fingerprint(docs: DataFrame, keep: list[str], words: int = 4) -> DataFr
     return source.mapInArrow(run, source.drop("_text").withColumn("_fp", F.lit(0).cast("long")).schema)
 
 
-def _entries(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket, own): each fingerprint's own segment values, and those that it looks up with one 0 bit set."""
-    low = np.concatenate([np.full(width, low, np.uint64) for low, width in SEGMENTS])
-    mask = np.concatenate([np.full(width, (1 << width) - 1, np.uint64) for _, width in SEGMENTS])
-    tag = np.concatenate([np.full(width, k << 32, np.uint64) for k, (_, width) in enumerate(SEGMENTS)])
+def segments(n: int) -> tuple[tuple[int, int], ...]:
+    """(low bit, width) of the segments for n fingerprints: a bucket holds few of them at any n."""
+    return ((0, 21), (21, 21), (42, 22)) if n <= THREE else ((0, 32), (32, 32))
+
+
+def _entries(fp: np.ndarray, parts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, in_table): the segment values that each fingerprint enters the table under, and those it looks up.
+
+    Three segments: it enters under its own values and looks up those with one 0 bit set as well. Two segments: it enters
+    under its own values and all that differ in one bit, and looks the same up, so that two meet that differ in two bits.
+    """
+    low = np.concatenate([np.full(width, low, np.uint64) for low, width in parts])
+    mask = np.concatenate([np.full(width, (1 << width) - 1, np.uint64) for _, width in parts])
+    tag = np.concatenate([np.full(width, k << 32, np.uint64) for k, (_, width) in enumerate(parts)])
     bit = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    row, i = np.nonzero((fp[:, None] & bit) == 0)
-    looked = (((fp[row] | bit[i]) >> low[i]) & mask[i]) | tag[i]
-    first = [low for low, _ in SEGMENTS]
-    own = ((fp[:, None] >> low[first]) & mask[first]) | tag[first]
-    rows = np.concatenate([np.repeat(np.arange(len(fp)), len(SEGMENTS)), row])
-    return rows, np.concatenate([own.ravel(), looked]), np.arange(len(rows)) < own.size
+    row, i = np.nonzero((fp[:, None] & bit) == 0) if len(parts) == 3 else (np.repeat(np.arange(len(fp)), 64), np.tile(np.arange(64), len(fp)))
+    looked = (((fp[row] ^ bit[i]) >> low[i]) & mask[i]) | tag[i]
+    first = np.array([low for low, _ in parts], np.uint64)
+    width = np.array([(1 << width) - 1 for _, width in parts], np.uint64)
+    own = ((fp[:, None] >> first) & width) | (np.arange(len(parts), dtype=np.uint64) << np.uint64(32))
+    rows = np.concatenate([np.repeat(np.arange(len(fp)), len(parts)), row])
+    return rows, np.concatenate([own.ravel(), looked]), (np.arange(len(rows)) < own.size) | (len(parts) == 2)
 
 
 def _centres(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,16 +108,17 @@ def _expand(prints: DataFrame, columns: str, make: Callable, step: int) -> DataF
     return prints.select("_fp").mapInArrow(run, f"_fp long, {fields}")
 
 
-def link_fingerprints(tables: SharedTables, prints: DataFrame, full: int = FULL) -> DataFrame:
+def link_fingerprints(tables: SharedTables, prints: DataFrame, full: int = FULL, three: int = THREE) -> DataFrame:
     """(a, b): pairs of distinct fingerprints (column _fp) within REACH bits, enough of them to connect all such pairs.
 
-    Each fingerprint enters the table of each segment and looks up the segment's own value and every value with one 0
-    bit set (of two values one bit apart, one has the 0). The pairs of a bucket are verified by their whole distance
-    in the join's condition. Fingerprints of a bucket with over `full` entries of the table are not paired: each names
-    all centres within REACH / 2 bits, and those that share a centre, which are within REACH of each other, link to
-    the smallest one. Any two within REACH have such a centre, so no link is lost and work stays linear in a crowd.
+    Each fingerprint enters a table of each segment and looks up small Hamming balls in it (see segments, _entries). The
+    pairs of a bucket are verified by their whole distance in the join's condition. Fingerprints of a bucket with over
+    `full` entries of the table are not paired: each names all centres within REACH / 2 bits, and those that share a
+    centre, which are within REACH of each other, link to the smallest one. Any two within REACH have such a centre, so
+    no link is lost and work stays linear in a crowd.
     """
-    looked = _expand(prints, "bucket long own boolean", _entries, 4096)
+    parts = segments(prints.count() if three == THREE else three + 1)
+    looked = _expand(prints, "bucket long own boolean", lambda fp: _entries(fp, parts), 4096)
     own = looked.where("own").select("bucket", F.col("_fp").alias("a"))
     other = looked.select("bucket", F.col("_fp").alias("b"), F.col("own").alias("_own"))
     crowded = tables.write(own.groupBy("bucket").count().where(F.col("count") > full).select("bucket"), "crowded")
@@ -122,21 +134,18 @@ def link_fingerprints(tables: SharedTables, prints: DataFrame, full: int = FULL)
     return near.union(stars.distinct())
 
 
-def _grouped(docs: DataFrame, names: list[str], words: int) -> tuple[DataFrame, DataFrame]:
-    """(a row per row of docs: names, _row, _fp; a row per fingerprint: _fp, _first of its component)."""
-    tables = SharedTables(docs.sparkSession)
+def _grouped(tables: SharedTables, docs: DataFrame, names: list[str], words: int) -> tuple[DataFrame, DataFrame]:
+    """(a row per row of docs: names, _row, _fp; a row per fingerprint: _fp, _c and the _first doc_id of its component)."""
     numbered = docs.select(*dict.fromkeys(["text", *names]), F.monotonically_increasing_id().alias("_row"))
     printed = tables.write(with_fingerprint(numbered, [*names, "_row"], words), "prints")
     # equal fingerprints meet first, by one aggregation: exact copies cost a row for each task
-    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("row"))
-    groups = tables.write(printed.groupBy("_fp").agg(F.min(first).alias("_first")), "groups")
+    groups = tables.write(printed.groupBy("_fp").agg(F.min("doc_id").alias("_first")), "groups")
     parts = connected_components(tables, link_fingerprints(tables, groups.select("_fp")))
-    of = groups.join(parts.select(F.col("node").alias("_fp"), "component"), "_fp", "left").select(
-        "_fp", "_first", F.coalesce("component", "_fp").alias("_c")
-    )
+    of = groups.join(parts.select(F.col("node").alias("_fp"), "component"), "_fp", "left").select("_fp", "_first", F.coalesce("component", "_fp").alias("_c"))
     of = tables.write(of, "of")
-    firsts = of.groupBy("_c").agg(F.min("_first").alias("_first"))
-    return printed, tables.write(of.select("_fp", "_c").join(firsts, "_c").select("_fp", "_first"), "firsts")
+    firsts = tables.write(of.select("_fp", "_c").join(of.groupBy("_c").agg(F.min("_first").alias("_first")), "_c"), "firsts")
+    tables.drop(groups, of)
+    return printed, firsts
 
 
 def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), words: int = 4) -> DataFrame:
@@ -146,17 +155,19 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), words:
     is a component's id only if the component has no other.
     """
     names = list(dict.fromkeys(["doc_id", *keep]))
-    printed, firsts = _grouped(docs, names, words)
+    printed, firsts = _grouped(SharedTables(docs.sparkSession), docs, names, words)
     return (
-        printed.join(firsts, "_fp")
-        .withColumns({"fingerprint": F.lower(F.lpad(F.hex("_fp"), 16, "0")), "component_id": F.col("_first.doc_id")})
+        printed.join(firsts.select("_fp", "_first"), "_fp")
+        .withColumns({"fingerprint": F.lower(F.lpad(F.hex("_fp"), 16, "0")), "component_id": F.col("_first")})
         .select(*names, "fingerprint", "component_id")
     )
 
 
 def first_of_each(docs: DataFrame, words: int = 4) -> DataFrame:
     """One document of each component, that of the smallest doc_id (of rows with equal ids, one), with docs' columns."""
+    tables = SharedTables(docs.sparkSession)
     whole = docs.select("text", "doc_id", F.struct(*docs.columns).alias("_doc"))
-    printed, firsts = _grouped(whole, ["doc_id", "_doc"], words)
-    chosen = firsts.select(F.col("_first.row").alias("_row")).distinct()
-    return printed.join(chosen, "_row", "left_semi").select("_doc.*")
+    printed, firsts = _grouped(tables, whole, ["doc_id", "_doc"], words)
+    of = printed.select("_row", "_fp", "doc_id").join(firsts, "_fp").where(F.col("doc_id").eqNullSafe(F.col("_first")))
+    chosen = tables.write(of.groupBy("_c").agg(F.min("_row").alias("_row")).select("_row"), "chosen")
+    return rows_of(tables, printed, chosen).select("_doc.*")

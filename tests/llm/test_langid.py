@@ -71,3 +71,19 @@ def test_kept_documents_get_the_language_found(spark):
     docs = spark.createDataFrame(rows + asked, "doc_id long, text string, lang string")
     kept = {r.doc_id: r.lang for r in langid.keep_identified(docs).collect()}
     assert kept == {r[0]: r[2] for r in rows} | {1: "en", 2: "fr", 4: "de"}
+
+
+def test_long_texts_in_no_language_go_and_long_words_do_not_matter(spark):
+    rows = [(k, "the and of with from " * 9, "en") for k in range(10, 26)] + [(k, "le et la des pour avec " * 9, "fr") for k in range(30, 46)]
+    asked = [(1, "QXZ!KJ#" * 60, None), (2, "qz", "en"), (3, "the and of with " * 200_000, "en"), (4, "of" * 1_000_000, None)]
+    docs = spark.createDataFrame(rows + asked, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in langid.keep_identified(docs).collect()}
+    assert {r[0] for r in rows} | {2, 3} <= kept and 1 not in kept
+    assert langid.keep_identified(docs.where("false")).collect() == []
+
+
+def test_many_languages_keep_the_sample_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_OF_ALL", 300)
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('word ', id % 60, ' ', md5(cast(id AS string))) AS text", "concat('l', id % 60) AS lang")
+    model = langid.fit(docs, held=None)
+    assert len(model.langs) > 50 and len(model.families) == len(model.langs) and not model.pairs

@@ -62,8 +62,9 @@ def test_near_duplicates_match_brute_force(spark):
     assert sorted(str((r.doc_id, r.fingerprint, r.component_id)) for r in found) == want
 
 
-@pytest.mark.parametrize("full", [1, 3, 1024])
-def test_links_connect_everything_within_reach(spark, full):
+@pytest.mark.parametrize("full, three", [(1, simhash.THREE), (3, simhash.THREE), (1024, simhash.THREE), (1024, 0), (40, 0)])
+def test_links_connect_everything_within_reach(spark, full, three):
+    """three = 0: as for more fingerprints than three segments are for."""
     rnd = np.random.default_rng(3)
     base = rnd.integers(0, 2**63, 12, dtype=np.uint64)
     prints = set(base.tolist())
@@ -75,12 +76,30 @@ def test_links_connect_everything_within_reach(spark, full):
     prints = sorted(prints)
     signed = [p - 2**64 if p >= 2**63 else p for p in prints]
     tables = SharedTables(spark)
-    links = simhash.link_fingerprints(tables, spark.createDataFrame([(p,) for p in signed], "_fp long"), full).collect()
+    links = simhash.link_fingerprints(tables, spark.createDataFrame([(p,) for p in signed], "_fp long"), full, three).collect()
     assert all(((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 4 for r in links)
     parts = simhash.connected_components(tables, spark.createDataFrame([(r.a, r.b) for r in links], "a long, b long"))
     label = {r.node: r.component for r in parts.collect()}
     assert [label.get(p, p) for p in signed] == slow_components(signed, prints)
 
 
+def test_first_of_each(spark, monkeypatch):
+    rows = [(5, "a b c d e f"), (3, "A b  c d e f"), (3, "a b c d e f"), (9, "quite another text than the others are"), (None, None), (7, " ")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _row int").repartition(3)
+    for sent in (2_000_000, 0):
+        monkeypatch.setattr("folioweave.llm.shared.SENT_ROWS", sent)
+        kept = simhash.first_of_each(docs).collect()
+        assert sorted(r.doc_id for r in kept) == [3, 7, 9] and kept[0].asDict().keys() == {"doc_id", "text", "_row"}
+
+
+def test_very_long_texts_and_a_crowd_of_equal_ones(spark):
+    long_ = " ".join(f"w{i * i % 9973}" for i in range(600_000)) + " "
+    rows = [(i, "the same text again and again") for i in range(3000)] + [(5000, long_), (5001, long_ + "x"), (5002, "w" * 2_000_000)]
+    found = {r.doc_id: r for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {found[i].component_id for i in range(3000)} == {0}
+    assert found[5001].component_id == 5000 and found[5002].component_id == 5002
+    assert found[5000].fingerprint == f"{slow_fingerprint(long_):016x}"
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
