@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioweave.llm import words as W
-from folioweave.llm.shared import SharedTables, byte_view, pieces, text_or_empty
+from folioweave.llm.shared import SharedTables, byte_view, pieces, rows_of, text_or_empty
 
 #: Words of a window, and of a k-gram; a window has WINDOW - GRAM + 1 k-grams, of which winnowing keeps the least hash.
 WINDOW, GRAM = 13, 6
-#: Windows of benchmark items, and items named with them, that a task holds at once (about 100 bytes each); more of them
-#: go in further blocks.
-BLOCK = 200_000
+#: Bits for each fingerprint of the benchmark in the filter that is sent to tasks, and bits of the whole filter at most
+#: (16 MB): with more fingerprints than it suits, more of the documents' windows reach the join.
+BITS, MOST_BITS = 64, 1 << 27
 
 _INSIDE = W.letters_and_digits()
 
@@ -25,152 +25,153 @@ class Spans:
     """Words of some texts, with hashes of runs of words."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        data = W.lower(data)
-        starts, ends, self.first = W.runs(data, offsets, _INSIDE)
-        self.words = [W.span_hash(data, starts, ends, k) for k in (0, 1)]
+        self.data = W.lower(data)
+        self.starts, self.ends, self.first = W.runs(self.data, offsets, _INSIDE)
+        self.hashes = W.span_hash(self.data, self.starts, self.ends)
         self.n = np.diff(self.first)
-        #: last word + 1 of each word's text
-        self.stop = np.repeat(self.first[1:], self.n)
-
-    def grams(self, size: int, which: int = 0, at: np.ndarray | None = None) -> np.ndarray:
-        """Hashes of the runs of `size` words from each word (at: from these), also those that leave a text."""
-        at = np.arange(max(0, len(self.words[which]) - size + 1)) if at is None else at
-        return W.span_hash(self.words[which], at, at + size, which)
-
-
-class Index:
-    """Windows of benchmark items: winnowed fingerprints, and for each whole window the items that it occurs in."""
-
-    def __init__(self, pairs: list[tuple[int, int, int, list[str]]], prints: np.ndarray):
-        """pairs: (length, hash, second hash, items)."""
-        self.prints = np.unique(prints)
-        self.short = sorted({p[0] for p in pairs if p[0] < WINDOW})
-        self.of = {p[:3]: p[3] for p in pairs}
-        self.known = {n: np.array(sorted({p[1] for p in pairs if p[0] == n}), np.uint64) for n in {p[0] for p in pairs}}
-
-    def windows(self, s: Spans) -> Iterator[tuple[int, np.ndarray]]:
-        """(length, first words) of the runs of words that are windows, by hash."""
-        for n in self.short:
-            at = np.arange(max(0, len(s.stop) - n + 1))
-            at = at[at + n <= s.stop[at]]
-            yield n, at[_among(s.grams(n, at=at), self.known[n])]
-        if WINDOW in self.known and len(s.stop) >= WINDOW:
-            grams = s.grams(GRAM)
-            width = WINDOW - GRAM + 1
-            least = W.sliding_min(grams, width)  # the fingerprint of the window from each word
-            at = np.flatnonzero(_among(least, self.prints))
-            at = at[at + WINDOW <= s.stop[at]]
-            # a fingerprint met one of a benchmark window: extend to the whole window
-            yield WINDOW, at[_among(s.grams(WINDOW, at=at), self.known[WINDOW])]
-
-
-def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known) or not len(values):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(known, values)
-    at[at == len(known)] = 0
-    return known[at] == values
-
-
-def winnow(grams: np.ndarray, width: int = WINDOW - GRAM + 1) -> np.ndarray:
-    """The distinct least hashes of the sliding windows."""
-    return np.unique(W.sliding_min(grams, width)) if len(grams) >= width else grams[:0]
+
+    def grams(self, size: int) -> np.ndarray:
+        """Hashes of the runs of `size` words from each word, also those that leave a text."""
+        at = np.arange(max(0, len(self.hashes) - size + 1))
+        return W.span_hash(self.hashes, at, at + size)
+
+    def prints(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first words, fingerprints) of the windows of `size` words that stand in one text.
+
+        The fingerprint is the least hash of the window's k-grams; a window shorter than a k-gram is one.
+        """
+        gram = min(size, GRAM)
+        least = W.sliding_min(self.grams(gram), size - gram + 1) if len(self.hashes) >= size else np.zeros(0, np.uint64)
+        at = np.arange(len(least))
+        whole = at + size <= np.repeat(self.first[1:], self.n)[: len(at)]
+        return at[whole], least[whole]
+
+    def words(self, at: int, size: int) -> bytes:
+        """The words of a window, parted by single spaces."""
+        return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.starts[at : at + size].tolist(), self.ends[at : at + size].tolist(), strict=True))
+
+
+def winnow(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints kept, how many windows in a row each stands for): neighbours mostly share their least hash."""
+    if not len(prints):
+        return prints, np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
+    return prints[first], np.diff(np.append(first, len(prints)))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(length, hash, check, print, items): every distinct window of the items, its fingerprint and its items (strings).
+    """(print, words, n, items): every distinct window of the items by its words, its fingerprint, its items (strings).
 
-    An item of fewer words than WINDOW, but not none, is one window; its print is null.
+    An item of fewer words than WINDOW, but not none, is one window. A null item_id is in no list of items.
     """
-    source = benchmark.select(
-        F.col("item_id").cast("string").alias("item"), text_or_empty("text").cast("binary").alias("_text")
-    )
+    source = benchmark.select(F.col("item_id").cast("string").alias("item"), text_or_empty("text").cast("binary").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text"):
             s = Spans(*byte_view(batch.column("_text")))
-            for i, item in enumerate(batch.column("item").to_pylist()):
-                a, n = int(s.first[i]), int(s.n[i])
-                if not n:
-                    continue
-                size = min(n, WINDOW)
-                at = np.arange(a, a + n - size + 1)
-                least = W.sliding_min(s.grams(GRAM, at=np.arange(a, a + n - GRAM + 1)), WINDOW - GRAM + 1) if n >= WINDOW else None
+            size = np.minimum(s.n, WINDOW)
+            for n in np.unique(size[size > 0]).tolist():
+                at, prints = s.prints(n)
+                text = np.searchsorted(s.first, at, "right") - 1
+                at, prints, text = (x[size[text] == n] for x in (at, prints, text))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([item] * len(at), pa.string()), pa.array(np.full(len(at), size, np.int32)), pa.array(s.grams(size, 0, at).view(np.int64)), pa.array(s.grams(size, 1, at).view(np.int64)), pa.nulls(len(at), pa.int64()) if least is None else pa.array(least.view(np.int64))],
-                    names=["item", "length", "hash", "check", "print"],
+                    [batch.column("item").take(pa.array(text)), pa.array(prints.view(np.int64)), pa.array([s.words(a, n) for a in at.tolist()], pa.binary()), pa.array(np.full(len(at), n, np.int32))],
+                    names=["item", "print", "words", "n"],
                 )
 
-    rows = source.mapInArrow(run, "item string, length int, hash long, check long, print long")
-    return rows.groupBy("length", "hash", "check", "print").agg(
-        F.array_sort(F.collect_set("item")).alias("items")
-    )
+    rows = source.mapInArrow(run, "item string, print long, words binary, n int")
+    return rows.groupBy("print", "words", "n").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
 
+class Filter:
+    """A Bloom filter of the benchmark's fingerprints, of bounded size: lets all of them pass, and few others."""
 
-def _hits(docs: DataFrame, index: Index) -> DataFrame:
-    """_row, n_words, hits (the words hit, ascending), items (sorted strings) of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    def __init__(self, windows: DataFrame, most: int = MOST_BITS):
+        known = windows.select("print").distinct()
+        many = known.count()
+        self.bits = 1 << int(min(most, max(1 << 10, BITS * many))).bit_length() - 1
+        low = F.lit(self.bits - 1).cast("long")
+        places = known.select(F.explode(F.array(F.col("print").bitwiseAND(low), F.shiftrightunsigned("print", 32).bitwiseAND(low))).alias("p"))
+        # a row per 64 bits of the filter: the driver gets its size, not the benchmark's
+        held = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("b")).toArrow()
+        self.table = np.zeros(max(1, self.bits >> 6), np.uint64)
+        self.table[held.column("w").to_numpy()] = held.column("b").to_numpy().view(np.uint64)
+
+    def passes(self, prints: np.ndarray) -> np.ndarray:
+        out = np.ones(len(prints), bool)
+        for place in (prints, prints >> np.uint64(32)):
+            p = place & np.uint64(self.bits - 1)
+            out &= (self.table[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)) > 0
+        return out
+
+
+def _candidates(source: DataFrame, known: Filter, lengths: list[int]) -> DataFrame:
+    """source without _text, with n_words and found: the windows whose fingerprint passes the filter, each once, with
+    its words and the places where it stands."""
+    shared = source.sparkSession.sparkContext.broadcast(known)
+    kind = "array<struct<print:bigint,words:binary,at:array<int>>>"
+    arrow = pa.list_(pa.struct([("print", pa.int64()), ("words", pa.binary()), ("at", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in pieces(batches, "_text"):
             s = Spans(*byte_view(batch.column("_text")))
-            hits: dict[int, set[int]] = {}
-            items: dict[int, set[str]] = {}
-            for n, at in known.windows(s):
-                doc = np.searchsorted(s.first, at, "right") - 1
-                h, check = s.grams(n, 0, at).tolist(), s.grams(n, 1, at).tolist()
-                for i, d, a, b in zip(at.tolist(), doc.tolist(), h, check, strict=True):
-                    if (found := known.of.get((n, a, b))) is not None:
-                        first = i - int(s.first[d])
-                        hits.setdefault(d, set()).update(range(first, first + n))
-                        items.setdefault(d, set()).update(found)
-            rows = range(batch.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in batch.schema.names if c != "_text"), pa.array(s.n.astype(np.int64)), pa.array([sorted(hits.get(d, ())) for d in rows], pa.list_(pa.int32())), pa.array([sorted(items.get(d, ())) for d in rows], pa.list_(pa.string()))],
-                names=[*(c for c in batch.schema.names if c != "_text"), "n_words", "hits", "items"],
-            )
-
-    kept = docs.drop("_text").withColumns(
-        {"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<int>"), "items": F.array().cast("array<string>")}
-    )
-    return docs.mapInArrow(run, kept.schema)
-
-
-def _index(rows: list) -> Index:
-    return Index(
-        [(r.length, r.hash % 2**64, r.check % 2**64, r["items"]) for r in rows],
-        np.array([r.print for r in rows if r.print is not None], np.int64).view(np.uint64),
-    )
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), block: int = BLOCK) -> DataFrame:
+            found: list[dict[bytes, dict]] = [{} for _ in range(batch.num_rows)]
+            for n in lengths:
+                at, prints = s.prints(n)
+                kept, times = winnow(prints)
+                passed = np.repeat(shared.value.passes(kept), times)
+                at, prints = at[passed], prints[passed]
+                text = np.searchsorted(s.first, at, "right") - 1
+                for a, p, t in zip(at.tolist(), prints.view(np.int64).tolist(), text.tolist(), strict=True):
+                    one = found[t].setdefault(s.words(a, n), {"print": p, "at": []})
+                    one["at"].append(a - int(s.first[t]))
+            rows = [[{"words": w, **x} for w, x in f.items()] for f in found]
+            kept = [c for c in batch.schema.names if c != "_text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(s.n.astype(np.int64)), pa.array(rows, arrow)], names=[*kept, "n_words", "found"])
+
+    like = source.drop("_text").withColumns({"n_words": F.lit(0).cast("long"), "found": F.array().cast(kind)})
+    return source.mapInArrow(run, like.schema)
+
+
+def _cover(matched: DataFrame) -> DataFrame:
+    """_row, hits (ascending), items: from the windows of each document and where they stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = []
+            for spans in batch.column("spans").to_pylist():
+                mark = np.zeros(max(x["n"] + max(x["at"]) for x in spans) + 1, np.int32)
+                for x in spans:
+                    at = np.array(x["at"])
+                    np.add.at(mark, at, 1)
+                    np.add.at(mark, at + x["n"], -1)
+                hits.append(np.flatnonzero(np.cumsum(mark)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(hits, pa.list_(pa.int32())), batch.column("items")], names=["_row", "hits", "items"])
+
+    spans = F.collect_list(F.struct("at", "n")).alias("spans")
+    # windows of a passage mostly have the same items: their lists meet as wholes first
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
+    return matched.groupBy("_row").agg(spans, items).mapInArrow(run, "_row long, hits array<int>, items array<string>")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), bits: int = MOST_BITS) -> DataFrame:
     """keep, n_words, hits (positions of the words hit), items (ids of the items with occurring windows, sorted).
 
     One row per row of docs. Null and empty texts have no words; a null item_id never counts as an item, though its
-    words hit. A task gets at most `block` benchmark windows by broadcast. If there are more, the windows are dealt
-    into blocks by hash, the documents read once for each, and what the blocks found is united by document.
+    words hit. The documents are read once, whatever the size of the benchmark: a window whose fingerprint passes the
+    filter is joined with the benchmark's windows by fingerprint and words, so a hit is one of words, not of hashes. A
+    frequent window is one row of the benchmark's side, so Spark can split the documents' side.
     """
     tables = SharedTables(docs.sparkSession)
     windows = tables.write(benchmark_windows(benchmark), "windows")
+    lengths = sorted(r.n for r in windows.select("n").distinct().collect())
     names = list(dict.fromkeys(keep))
-    source = docs.select(*names, text_or_empty("text").cast("binary").alias("_text"))
-    held = windows.agg(F.coalesce(F.sum(F.size("items") + 1), F.lit(0)).alias("n")).first().n
-    blocks = max(1, -(-held // (2 * block)))
-    if blocks == 1:
-        return _hits(source, _index(windows.collect()))
-    numbered = tables.write(source.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = None
-    for k in range(2 * blocks):  # half full on average
-        part = windows.where(F.pmod(F.xxhash64("hash"), F.lit(2 * blocks)) == k).collect()
-        one = tables.write(_hits(numbered, _index(part)).where(F.lit(k == 0) | (F.size("hits") > 0)), "hits")
-        found = one if found is None else found.unionByName(one)
-    whole = found.groupBy("_row").agg(
-        F.first(F.struct(*names)).alias("_keep"), F.first("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    return whole.select(*[F.col("_keep")[c].alias(c) for c in names], "n_words", "hits", "items")
+    source = docs.select(F.struct(*names).alias("_keep"), F.monotonically_increasing_id().alias("_row"), text_or_empty("text").cast("binary").alias("_text"))
+    found = tables.write(_candidates(source, Filter(windows, bits), lengths), "found")
+    matched = found.select("_row", F.inline("found")).join(windows, ["print", "words"]).select("_row", "at", "n", "items")
+    whole = found.select("_row", "_keep", "n_words").join(_cover(matched), "_row", "left")
+    hits, items = (F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("hits", "array<int>"), ("items", "array<string>")))
+    return whole.select(*[F.col("_keep")[c].alias(c) for c in names], "n_words", hits, items)
 
 
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -180,5 +181,8 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    found = contamination(docs.select("text", F.struct(*docs.columns).alias("_doc")), benchmark, ("_doc",))
-    return found.where(~is_contaminated(F.size("hits"), F.col("n_words"))).select("_doc.*")
+    tables = SharedTables(docs.sparkSession)
+    stored = tables.write(docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("_row")), "documents")
+    found = contamination(stored.select(F.col("_doc.text").alias("text"), F.col("_row").alias("_at")), benchmark, ("_at",))
+    clean = tables.write(found.where(~is_contaminated(F.size("hits"), F.col("n_words"))).select(F.col("_at").alias("_row")), "clean")
+    return rows_of(tables, stored, clean).select("_doc.*")

@@ -7,9 +7,9 @@ import numpy as np
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _U = np.uint64
-#: Odd multipliers; powers have inverses modulo 2**64, so a run's hash is a difference of two prefix sums.
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: An odd multiplier; its powers have inverses modulo 2**64, so a run's hash is a difference of two prefix sums.
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
 
 
 def letters_and_digits() -> np.ndarray:
@@ -38,15 +38,15 @@ def runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.
     return starts, np.flatnonzero(mask & ~after) + 1, np.searchsorted(starts, offsets)
 
 
-def _power(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    if which not in _powers or len(_powers[which][0]) < n:
-        base = _BASES[which]
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse; up to 8 million of them are kept."""
+    if not _powers or len(_powers[0]) < n:
         size = max(n, 1 << 16)
-        up = np.cumprod(np.concatenate([[_U(1)], np.full(size - 1, base, _U)]), dtype=_U)
-        down = np.cumprod(np.concatenate([[_U(1)], np.full(size - 1, pow(base, -1, 2**64), _U)]), dtype=_U)
-        _powers[which] = (up, down) if size <= 1 << 23 else _powers.get(which, (up[: 1 << 16], down[: 1 << 16]))
-        return up[:n], down[:n]
-    return _powers[which][0][:n], _powers[which][1][:n]
+        up, down = (np.cumprod(np.concatenate([[_U(1)], np.full(size - 1, b, _U)]), dtype=_U) for b in (_BASE, pow(_BASE, -1, 2**64)))
+        if size > 1 << 23:
+            return up[:n], down[:n]
+        _powers[:] = [up, down]
+    return _powers[0][:n], _powers[1][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -56,9 +56,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of values[start:end] for each span; equal spans have equal hashes wherever they stand."""
-    up, down = _power(len(values) + 1, which)
+    up, down = _power(len(values) + 1)
     sums = np.zeros(len(values) + 1, _U)
     np.cumsum((values.astype(_U) + _U(1)) * up[: len(values)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,8 +33,9 @@ def slow(docs, items):
     return out
 
 
-@pytest.mark.parametrize("block", [10, 10**6])
-def test_against_brute_force(spark, block):
+@pytest.mark.parametrize("bits", [decontam.MOST_BITS, 1 << 7])
+def test_against_brute_force(spark, bits):
+    """Few bits: the filter lets nearly everything pass, and the join decides by words."""
     rnd = random.Random(1)
     vocab = ["a", "B", "Ça", "été", "x1", "7", "zz", "q"]
     prose = lambda n: rnd.choice([" ", ", ", "\n"]).join(rnd.choice(vocab) for _ in range(n))
@@ -48,7 +50,7 @@ def test_against_brute_force(spark, block):
         docs.append((k % 50, text))
     frame = spark.createDataFrame([(*d, "s") for d in docs], "doc_id long, text string, hits string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = [(r.doc_id, r.n_words, list(r["hits"]), list(r["items"])) for r in decontam.contamination(frame, bench, block=block).collect()]
+    found = [(r.doc_id, r.n_words, list(r["hits"]), list(r["items"])) for r in decontam.contamination(frame, bench, bits=bits).collect()]
     assert sorted(map(str, found)) == sorted(map(str, slow(docs, items)))
     kept = decontam.decontaminate(frame, bench)
     assert kept.columns == frame.columns
@@ -58,17 +60,13 @@ def test_against_brute_force(spark, block):
 
 def test_every_shared_window_shares_a_fingerprint():
     rnd = random.Random(2)
-    import numpy as np
-
-    from folioweave.llm.words import sliding_min  # noqa: F401
-
     for _ in range(50):
         shared = [rnd.randrange(1000) for _ in range(13)]
         prints = []
         for _ in range(2):
             text = " ".join(map(str, [rnd.randrange(1000) for _ in range(rnd.randint(0, 30))] + shared + [rnd.randrange(1000) for _ in range(20)])).encode()
             s = decontam.Spans(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-            prints.append(set(decontam.winnow(s.grams(decontam.GRAM)).tolist()))
+            prints.append(set(decontam.winnow(s.prints(13)[1])[0].tolist()))
         assert prints[0] & prints[1]
 
 
@@ -77,3 +75,25 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_words, r.hits) for r in decontam.contamination(docs, none).collect()] == [(2, [])]
     assert decontam.contamination(docs.where(F.lit(False)), none).collect() == []
+
+
+def test_words_decide_where_hashes_agree(spark):
+    """Two different words of 4096 letters (Thue-Morse) whose polynomial hashes modulo 2**64 are equal."""
+    bit = lambda i: bin(i).count("1") % 2
+    one, other = ("".join("ab"[bit(i) ^ k] for i in range(4096)) for k in (0, 1))
+    both = decontam.Spans(*(lambda t: (np.frombuffer(t, np.uint8), np.array([0, len(t)])))(f"{one} {other}".encode()))
+    assert both.hashes[0] == both.hashes[1]
+    bench = spark.createDataFrame([(1, f"{one} x y")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"z {one} x y"), (2, f"z {other} x y")], "doc_id long, text string")
+    assert {r.doc_id: list(r.hits) for r in decontam.contamination(docs, bench).collect()} == {1: [1, 2, 3], 2: []}
+
+
+def test_very_long_words_and_texts(spark):
+    rnd = random.Random(8)
+    passage = " ".join(f"p{rnd.randrange(10**6)}" for _ in range(60))
+    docs = [(1, " ".join(f"w{rnd.randrange(5000)}" for _ in range(700_000)) + " " + passage), (2, "a" * 3_000_000 + " " + passage), (3, (passage + " ") * 3_000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    found = {r.doc_id: (r.n_words, r.n_hit) for r in decontam.contamination(frame, bench).select("doc_id", "n_words", F.size("hits").alias("n_hit")).collect()}
+    assert found == {1: (700_060, 60), 2: (61, 60), 3: (180_000, 180_000)}
+    assert [r.doc_id for r in decontam.decontaminate(frame, bench).select("doc_id").collect()] == [1]
