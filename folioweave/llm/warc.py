@@ -104,14 +104,9 @@ def write_archives(tables: SharedTables, pages: DataFrame, least: int = LEAST) -
     """
     source = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", F.col("page_id").cast("long").alias("_n"))
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [sha1(p.as_py()).digest() for p in batch.column("payload")]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("_n"), batch.column("bytes"), pa.array(found, pa.binary())], names=["key", "_n", "bytes", "sha1"])
-
     keyed = source.withColumn("key", F.concat_ws("-", F.coalesce("page_id", F.lit("null")), F.monotonically_increasing_id()))
     keyed = tables.write(keyed.withColumn("bytes", F.length("payload").cast("long")), "keyed")
-    slim = tables.write(keyed.select("key", "_n", "bytes", "payload").mapInArrow(sums, "key string, _n long, bytes long, sha1 binary"), "sums")
+    slim = tables.write(keyed.select("key", "_n", "bytes", F.unhex(F.sha1("payload")).alias("sha1")), "sums")
     best = F.max(F.struct("_n", "key")).alias("best")
     same = slim.where(F.col("bytes") >= least).groupBy("sha1", "bytes").agg(best, F.count("*").alias("n")).where("n > 1")
     same = tables.write(same.select("sha1", "bytes", F.col("best.key").alias("first")), "same")
@@ -174,7 +169,8 @@ def reassemble(records: DataFrame) -> DataFrame:
         h("Record-ID").alias("id"), h("Type").alias("type"), h("Refers-To").alias("refers_to"), h("Payload-Digest").alias("stated"),
         h("Segment-Number").cast("int").alias("segment"), h("Segment-Origin-ID").alias("origin"), h("Segment-Total-Length").cast("long").alias("total"), "block",
     )
-    one = r.where("segment IS NULL").select("id", "type", "refers_to", "stated", "block")
+    kept = ["id", "type", "refers_to", "stated", "blocks"]
+    one = r.where("segment IS NULL").withColumn("blocks", F.array("block")).select(kept)
     many = (
         r.where("segment IS NOT NULL")
         .groupBy(F.coalesce("origin", "id").alias("id"))
@@ -184,20 +180,21 @@ def reassemble(records: DataFrame) -> DataFrame:
             F.max("total").alias("total"),
             F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"),
         )
-        .withColumn("block", F.aggregate("parts.block", F.lit(b""), lambda s, x: F.concat(s, x)))
+        .withColumn("size", F.aggregate("parts.block", F.lit(0).cast("long"), lambda s, x: s + F.length(x)))
     )
     numbers = F.col("parts.segment") == F.sequence(F.lit(1), F.size("parts"))
-    sound = numbers & (F.length("block") == F.col("total")) & F.col("type").isNotNull()
-    broken = F.raise_error(F.concat(F.lit("segments of "), F.col("id"), F.lit(" are incomplete"))).cast("binary")
-    many = many.withColumn("block", F.when(sound, F.col("block")).otherwise(broken)).select("id", "type", F.lit(None).cast("string").alias("refers_to"), "stated", "block")
+    sound = numbers & (F.col("size") == F.col("total")) & F.col("type").isNotNull()
+    broken = F.raise_error(F.concat(F.lit("segments of "), F.col("id"), F.lit(" are incomplete"))).cast("array<binary>")
+    many = many.withColumns({"blocks": F.when(sound, F.col("parts.block")).otherwise(broken), "refers_to": F.lit(None).cast("string")}).select(kept)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "block"):
+        for batch in batches:
             payloads = []
-            for kind, stated, block in zip(*(batch.column(c).to_pylist() for c in ("type", "stated", "block")), strict=True):
+            for i, (kind, stated) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("type", "stated")), strict=True)):
                 if kind == "revisit":
                     payloads.append(None)
                     continue
+                block = b"".join(batch.column("blocks")[i].as_py())  # the segments meet once, whatever their number
                 head, _, body = block.partition(b"\r\n\r\n")
                 payload = unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
                 if stated and stated != f"sha1:{digest(payload)}":

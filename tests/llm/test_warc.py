@@ -56,3 +56,12 @@ def test_payloads_come_back_and_a_missing_segment_fails(spark):
     assert back == {"<urn:fw:1": body, "<urn:fw:2": b"s"}
     with pytest.raises(Exception, match="incomplete"):
         warc.reassemble(records.where("coalesce(headers['WARC-Segment-Number'], '') <> '2'")).collect()
+
+
+def test_a_payload_of_hundreds_of_segments(spark):
+    body = bytes(range(256)) * 160_000
+    tables = SharedTables(spark)
+    pages = spark.createDataFrame([(1, "u", bytearray(body))], "page_id long, url string, payload binary")
+    records = warc.read_archives(spark, warc.write_archives(tables, pages))
+    assert records.count() > 600
+    assert warc.digest(bytes(warc.reassemble(records).first().payload)) == warc.digest(body)
