@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,9 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: (of equal ones the first).
 RULES = ("first", "last", "most")
 
+#: White space of that pattern, in runs that its matcher had better not see: it takes a run back character by character.
+_BLANK_RUN = re.compile("[\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
+
 _encoders: dict[tuple[int, str], tuple] = {}
 
 
@@ -34,10 +39,27 @@ def encoder(ranks_file: bytes, pattern: str = PATTERN):
         for piece, k in ranks.items():
             size[k] = len(piece)
         encoding = tiktoken.Encoding("folioweave", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _encoders[key] = encoding.encode_ordinary, size
+        _encoders[key] = partial(encode_whole, encoding, pattern == PATTERN), size
     return _encoders[key]
 
 
+def encode_whole(encoding, cut: bool, text: str) -> list[int]:
+    """The text's tokens. With `cut` (PATTERN), runs of 10,000 blanks or more are taken out of the matcher's hands.
+
+    Such a run is a piece of its own but for its last character, which goes with what follows it; at the end of the text
+    all of it is one piece. No piece of the pattern has a blank after another character, so the parts can be encoded apart.
+    """
+    if not cut:
+        return encoding.encode_ordinary(text)
+    out, at = [], 0
+    for m in _BLANK_RUN.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        out += encoding.encode_ordinary(text[at : m.start()])
+        out += encoding._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + encoding.encode_ordinary(text[at:]) if at else encoding.encode_ordinary(text)
+
+
 def attribute(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: str = "first") -> tuple[np.ndarray, np.ndarray]:
     """(tokens, crossing) of each section. Sections are [bounds[i], bounds[i + 1]); tokens [starts, ends), in bytes.
 

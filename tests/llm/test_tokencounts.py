@@ -45,3 +45,22 @@ def test_a_split_character_and_most():
     bounds = np.array([0, 3, 8, 9])
     assert [tokencounts.attribute(starts, ends, bounds, r)[0].tolist() for r in tokencounts.RULES] == [[2, 2, 0], [1, 2, 1], [2, 2, 0]]
     assert tokencounts.attribute(starts, ends, bounds)[1].tolist() == [1, 1, 0]
+
+
+def test_millions_of_blanks_and_letters_against_the_other_library():
+    whole = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    with open(tokencounts.VOCABULARY, "rb") as ranks:
+        encode, _ = tokencounts.encoder(ranks.read())
+    for text in [" " * 3_000_000, "\n" * 3_000_000, "x" + " " * 2_000_000 + "y z", "a" * 1_000_000, " \n\t" * 500_000 + "x", "the \n" * 400_000]:
+        assert len(encode(text)) > 0
+    rnd = random.Random(6)
+    for _ in range(60):
+        text = "".join(rnd.choice(["a", " ", "\n", "é", "'s", "\u3000", " b", "12", "\t", "\x1c", "\x85"]) * rnd.choice([1, 1, 2, 12_000]) for _ in range(rnd.randint(1, 8)))
+        assert encode(text) == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_names_that_clash_and_millions_of_line_breaks(spark):
+    docs = spark.createDataFrame([(1, "\n" * 300_000, 5, 6), (2, "a b", 5, 6)], "doc_id long, text string, n_tokens int, start int")
+    got = tokencounts.section_tokens(docs)
+    assert got.columns == ["doc_id", "section", "start", "end", "n_tokens", "n_crossing"]
+    assert {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()} == {1: 300_000, 2: 1}
