@@ -135,9 +135,10 @@ def _pack(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def build_index(tables: SharedTables, rows: DataFrame, block: int = BLOCK) -> Index:
-    """Every usable row, dealt by hash into blocks of about `block` vectors; the one shuffle of the vectors.
+    """Every usable row, dealt by hash into blocks of about `block` vectors, a block to a task; the one shuffle of the vectors.
 
-    A block's sorted projection arrays are made by the task that searches it: sorting costs less than reading them.
+    Vectors of different lengths are an error. A block's
+    sorted projection arrays are made by the task that searches it: sorting costs less than reading them.
     """
     fine = rows.where(F.col("vec_id").isNotNull() & usable("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     kept = tables.write(fine, "vectors")
@@ -147,7 +148,7 @@ def build_index(tables: SharedTables, rows: DataFrame, block: int = BLOCK) -> In
         raise ValueError(f"embeddings have {about.e} to {about.d} components")
     n = max(1, -(-about.n // block))
     dealt = kept.withColumn("_block", F.pmod(F.xxhash64("vec_id", F.hash("embedding")), F.lit(n)).cast("int"))
-    packed = dealt.repartition(n, "_block").groupBy("_block").applyInPandas(_pack, "ids binary, vectors binary")
+    packed = dealt.repartitionById(n, "_block").groupBy("_block").applyInPandas(_pack, "ids binary, vectors binary")
     return Index(kept, tables.write(packed, "index"), float(about.norm or 1.0), int(about.d or 0))
 
 
@@ -172,7 +173,7 @@ def search(tables: SharedTables, index: Index, is_query: Column, k: int = 20, qu
 
     Candidates are all rows of the index but those with the query's own id. Queries go in sets of bounded bytes, each
     set against every block where it lies: vectors are not shuffled again. A block's k best meet the others' in a
-    window per query. Rows that repeat a vec_id with different vectors are candidates each.
+    window per query. Rows that repeat a vec_id with different vectors are candidates each, and as queries share one ranking.
     """
     spark = index.rows.sparkSession
     picked = tables.write(index.rows.where(is_query).select("vec_id", "embedding").distinct(), "queries")

@@ -1,4 +1,6 @@
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from folioweave.llm import ann
@@ -49,3 +51,30 @@ def test_edges(spark):
     assert got[0, 1] == (7, 4.0) and got[0, 2] == (7, 4.0) and len([k for k in got if k[0] == 0]) == 3
     assert ann.nearest(frame.where("false"), F.col("vec_id") % 20 == 0).collect() == []
     assert ann.nearest(frame.where("vec_id = 7"), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_recall_on_clustered_and_repeated_vectors_in_several_blocks(spark):
+    """Tight clusters of very different sizes and many copies of one vector, in more than one full block."""
+    rnd = np.random.default_rng(12)
+    size = rnd.zipf(1.5, 300).clip(1, 4000)
+    centres = rnd.normal(size=(len(size), 24))
+    vectors = np.repeat(centres, size, 0) + 0.05 * rnd.normal(size=(size.sum(), 24))
+    vectors = np.vstack([vectors, np.repeat(vectors[:1], 3000, 0)])
+    vectors = vectors[rnd.permutation(len(vectors))]
+    assert len(vectors) > ann.BLOCK
+    ids = np.arange(len(vectors)) * 10
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": vectors.tolist()}), "vec_id long, embedding array<double>")
+    picked = (ids % 1000) == 0
+    got = ann.nearest(frame, F.col("vec_id") % 1000 == 0).toPandas()
+    scores = vectors[picked] @ vectors.T
+    scores[np.arange(picked.sum()), np.flatnonzero(picked)] = -np.inf
+    last = -np.sort(-scores, axis=1)[:, 19]
+    good = got.merge(pd.DataFrame({"query_id": ids[picked], "last": last}), on="query_id")
+    # any of the vectors at the twentieth score will do
+    assert (good.score >= good["last"] - 1e-9).mean() >= 0.95 and len(good) == 20 * picked.sum()
+
+
+def test_vectors_of_different_lengths_are_an_error(spark):
+    frame = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="1 to 2"):
+        ann.nearest(frame, F.col("vec_id") == 0)
