@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioweave.llm import decontam, langid, mixing, pii, simhash
-from folioweave.llm.shared import SharedTables
+from folioweave.sources.tables import SharedTables
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letter) go."""
+    """Documents in which no language is found go; a missing lang is set to the language found."""
     return langid.keep_identified(docs)
 
 
@@ -50,5 +50,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = SharedTables(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = tables.write(stage(spark, docs, sf_dir), f"stage{k}")
+        before, docs = docs, tables.write(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            tables.drop(before)
     return docs
