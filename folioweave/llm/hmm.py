@@ -2,8 +2,9 @@
 
 Every training word has emissions of its own. Those of the frequent words are broadcast; those of all others stand in a
 table that each text's words are joined with, backed off to classes by last letters, which unseen words have alone.
-A first Baum-Welch pass over the training documents, a fold at a time, tells the latent states apart; a second one counts
-all training documents alike and gives the model. The scaled forward recursion gives each whole text's exact likelihood.
+A first Baum-Welch pass over the training documents, a fold at a time, tells the latent states apart; further ones count
+all training documents alike, and the last of them gives the model. The scaled forward recursion gives each whole text's
+exact likelihood.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioweave.llm.shared import SharedTables, fold, pieces, text_or_empty
+from folioweave.llm.shared import SharedTables, byte_view, fold, pieces, text_or_empty
 
 #: Words whose emissions are broadcast at most, classes of the others, latent states. Symbols fit 16 bits.
 WORDS, CLASSES, STATES = 40_000, 2_000, 8
@@ -26,8 +28,8 @@ WORDS, CLASSES, STATES = 40_000, 2_000, 8
 LONGEST = 64
 #: Share of a word's counts that goes to each state, whatever its contexts; infrequent words that a task sums before it lets go.
 FLOOR, SUMMED = 0.01, 200_000
-#: Parts of the documents that are joined with their words' states one after the other: bounds the disk that the shuffles take.
-PARTS = 4
+#: Passes over all training documents after the stepwise one; tokens whose states a task holds at once.
+PASSES, HELD_TOKENS = 2, 1 << 19
 FOLDS, HELD = 7, 2
 #: The end of a text; no word, as words hold no blank.
 END = b" "
@@ -80,7 +82,11 @@ class Alphabet:
 
 
 def alphabet(counts: DataFrame, words: int = WORDS) -> Alphabet:
-    """The frequent words are those above the least count bucket at which at most `words` of them remain."""
+    """The frequent words are those above the least count bucket at which at most `words` of them remain.
+
+    Where the highest bucket alone has more, no word is frequent: each then holds a small share of the corpus, and all
+    of them meet their counts by a join.
+    """
     short = F.length("word") <= LONGEST
     step = F.floor(F.log2("c") * 16)
     sums = counts.groupBy(F.when(short, step).alias("step")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()
@@ -171,50 +177,70 @@ def forward(model: Hmm, symbols: list[np.ndarray], own: list[np.ndarray] | None
 
 
 def expected(
-    model: Hmm, symbols: list[np.ndarray], counts: tuple[np.ndarray, np.ndarray, np.ndarray], own: list[np.ndarray] | None = None, rows: np.ndarray | None = None
+    model: Hmm, symbols: list[np.ndarray], counts: tuple[np.ndarray, np.ndarray, np.ndarray], own: list[np.ndarray] | None = None, rows: np.ndarray | None = None, held: int = HELD_TOKENS
 ) -> float:
     """Adds the expected starts, moves and emissions of the sequences to counts; the log10 likelihood.
 
-    own: for each symbol the row of rows that its states are added to as well, -1 for none.
+    own: for each symbol the row of rows that its states are added to as well, -1 for none. Only the states of about
+    `held` tokens are held: of longer sequences the states at some steps are kept, and those between are made again.
     """
     order, n, flat = _packed(symbols)
+    which = _packed(own)[2] if own is not None else None
     start, move, emit = counts
     at = np.concatenate([[0], np.cumsum(n)]).tolist()
     ns = n.tolist()
-    alpha = np.empty((len(flat), len(model.start)))
-    scale = np.empty(len(flat))
-    state = None
-    for t, count in enumerate(ns):
-        state = (model.start if state is None else state[:count] @ model.move) * model.emit[flat[at[t] : at[t + 1]]]
-        scale[at[t] : at[t + 1]] = total = state.sum(1)
-        state = state / total[:, None]
-        alpha[at[t] : at[t + 1]] = state
-    beta = np.zeros((0, len(model.start)))
+    width = len(model.start)
+
+    def forward(first: int, last: int, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        alpha, scale = np.empty((at[last] - at[first], width)), np.empty(at[last] - at[first])
+        for t in range(first, last):
+            state = (model.start if state is None else state[: ns[t]] @ model.move) * model.emit[flat[at[t] : at[t + 1]]]
+            here = slice(at[t] - at[first], at[t + 1] - at[first])
+            scale[here] = total = state.sum(1)
+            alpha[here] = state = state / total[:, None]
+        return alpha, scale, state
+
+    edges = [0]
+    for t in range(len(ns)):
+        if at[t + 1] - at[edges[-1]] > held and t > edges[-1]:
+            edges.append(t)
+    edges.append(len(ns))
+    spans = list(zip(edges[:-1], edges[1:], strict=True))
+    entry: list[np.ndarray | None] = [None]
+    for first, last in spans[:-1]:
+        entry.append(forward(first, last, entry[-1])[2])
+    likelihood = 0.0
+    beta = np.zeros((0, width))
     turn = model.move.T.copy()
-    for t in range(len(ns) - 1, -1, -1):
-        if len(beta) < ns[t]:
-            beta = np.vstack([beta, np.ones((ns[t] - len(beta), beta.shape[1]))])
-        here = slice(at[t], at[t + 1])
-        if t:
-            back = beta * model.emit[flat[here]] / scale[here][:, None]
-            move += alpha[at[t - 1] : at[t - 1] + ns[t]].T @ back
-            alpha[here] *= beta
-            beta = back @ turn
-        else:
-            alpha[here] *= beta
-    start += alpha[: ns[0]].sum(0) if ns else 0
-    for k in range(alpha.shape[1]):
-        emit[:, k] += np.bincount(flat, alpha[:, k], len(emit))
-    if own is not None:
-        which = _packed(own)[2]
-        odd = np.flatnonzero(which >= 0)
-        for k in range(alpha.shape[1]):
-            rows[:, k] += np.bincount(which[odd], alpha[odd, k], len(rows))
-    return float(np.log10(scale).sum())
+    for (first, last), state in zip(reversed(spans), reversed(entry), strict=True):
+        alpha, scale, _ = forward(first, last, state)
+        likelihood += float(np.log10(scale).sum())
+        for t in range(last - 1, first - 1, -1):
+            if len(beta) < ns[t]:
+                beta = np.vstack([beta, np.ones((ns[t] - len(beta), width))])
+            here = slice(at[t] - at[first], at[t + 1] - at[first])
+            if t:
+                before = alpha[at[t - 1] - at[first] :] if t > first else state
+                back = beta * model.emit[flat[at[t] : at[t + 1]]] / scale[here][:, None]
+                move += before[: ns[t]].T @ back
+                alpha[here] *= beta
+                beta = back @ turn
+            else:
+                alpha[here] *= beta
+        if not first and ns:
+            start += alpha[: ns[0]].sum(0)
+        part = slice(at[first], at[last])
+        for k in range(width):
+            emit[:, k] += np.bincount(flat[part], alpha[:, k], len(emit))
+        if which is not None:
+            odd = np.flatnonzero(which[part] >= 0)
+            for k in range(width):
+                rows[:, k] += np.bincount(which[part][odd], alpha[odd, k], len(rows))
+    return likelihood
 
 
 def encode(docs: DataFrame, letters: Alphabet, keep: list[str]) -> DataFrame:
-    """keep, n_tokens, symbols (16-bit, little-endian), odd (32-bit), words and times (infrequent words, each once), log_known, n_known.
+    """keep, n_tokens, symbols (16-bit, little-endian), odd (32-bit), words (infrequent ones, each once), log_known, log_class, n_known.
 
     odd holds for each token that is an infrequent word, in order, its place in words.
     log_known is the sum over tokens with symbols of their own of log10(count + 1); log_class that of the others'
@@ -222,7 +248,7 @@ def encode(docs: DataFrame, letters: Alphabet, keep: list[str]) -> DataFrame:
     """
     source = docs.select(*keep, text_or_empty("text").cast("binary").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(letters)
-    more = "n_tokens long, symbols binary, odd binary, words array<binary>, times array<long>, log_known double, log_class double, n_known long"
+    more = "n_tokens long, symbols binary, odd binary, words array<binary>, log_known double, log_class double, n_known long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, first = shared.value.known, len(shared.value.known)
@@ -238,12 +264,11 @@ def encode(docs: DataFrame, letters: Alphabet, keep: list[str]) -> DataFrame:
                 logs_known = float(logs[symbols[symbols >= 0]].sum())
                 classes = [_class(words[i]) for i in odd]
                 symbols[odd] = np.array(classes, np.int64) + first
-                times = Counter(words[i] for i in odd)
-                place = {w: k for k, w in enumerate(times)}
-                places = np.array([place[words[i]] for i in odd], "<u4")
-                rows.append((len(words), symbols.astype("<u2").tobytes(), places.tobytes(), list(times), list(times.values()), logs_known, float(shared.value.class_log[classes].sum()) if odd else 0.0, len(words) - len(odd)))
+                place: dict[bytes, int] = {}
+                places = np.array([place.setdefault(words[i], len(place)) for i in odd], "<u4")
+                rows.append((len(words), symbols.astype("<u2").tobytes(), places.tobytes(), list(place), logs_known, float(shared.value.class_log[classes].sum()) if odd else 0.0, len(words) - len(odd)))
             columns = zip(*rows, strict=True)
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.float64(), pa.float64(), pa.int64()]
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.float64(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
                 names=[*keep, *(f.split()[0] for f in more.split(", "))],
@@ -253,41 +278,52 @@ def encode(docs: DataFrame, letters: Alphabet, keep: list[str]) -> DataFrame:
     return source.mapInArrow(run, f"{fields}, {more}" if fields else more)
 
 
-def train(encoded: DataFrame, letters: Alphabet, states: int = STATES, passes: int = 1) -> Hmm:
-    """Stepwise Baum-Welch: each training fold once a pass; tasks sum expected counts, which blend into those so far.
+def _counted(part: DataFrame, letters: Alphabet, model: Hmm) -> tuple[np.ndarray, float]:
+    """(rows of start, moves and symbols, log10 likelihood) of the expected counts over part (symbols).
 
-    encoded: _fold and symbols. A fold's counts are a row of states per symbol and task; the driver gets their sums,
-    whose size is bounded by the alphabet.
+    Tasks sum before the shuffle; the driver gets the sums, whose size is bounded by the alphabet.
     """
-    model = Hmm.first(letters.mass, states)
-    spark = encoded.sparkSession
-    size = letters.size
-    sums = None
-    for step, k in enumerate([k for _ in range(passes) for k in range(FOLDS) if k != HELD]):
-        shared = spark.sparkContext.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            counts = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
-            for batch in pieces(batches, "symbols", 3 << 20, 4096):
-                expected(shared.value, [np.frombuffer(s.as_py(), "<u2") for s in batch.column("symbols")], counts)
-            start, move, emit = counts
-            whole = np.vstack([start[None], move * shared.value.move, emit])
-            used = np.flatnonzero(whole.any(1))
-            flat = pa.array(whole[used].ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.FixedSizeListArray.from_arrays(flat, states).cast(pa.list_(pa.float64()))], names=["row", "n"])
-
-        part = encoded.where(F.col("_fold") == k).select("symbols").mapInArrow(run, "row long, n array<double>")
-        part = part.select("row", *[F.col("n")[i].alias(f"n{i}") for i in range(states)])
-        whole = np.zeros((1 + states + size, states))
-        for r in part.groupBy("row").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(states)]).collect():
-            whole[r[0]] = r[1:]
-        shared.destroy()
+    states, size = len(model.start), letters.size
+    shared = part.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
+        likelihood = np.zeros((1, states))
+        for batch in pieces(batches, "symbols", 3 << 20, 4096):
+            likelihood[0, 0] += expected(shared.value, [np.frombuffer(s.as_py(), "<u2") for s in batch.column("symbols")], counts)
+        start, move, emit = counts
+        whole = np.vstack([start[None], move * shared.value.move, emit, likelihood])
+        used = np.flatnonzero(whole.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(whole[used, k]) for k in range(states))], names=["row", *(f"n{k}" for k in range(states))])
+
+    columns = [f"n{k}" for k in range(states)]
+    part = part.select("symbols").mapInArrow(run, "row long, " + ", ".join(f"{c} double" for c in columns))
+    sums = part.groupBy("row").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
+    shared.destroy()
+    whole = np.zeros((2 + states + size, states))
+    whole[sums.column("row").to_numpy()] = np.array([sums.column(c).to_numpy() for c in columns]).T
+    return whole[:-1], float(whole[-1, 0])
+
+
+def train(encoded: DataFrame, letters: Alphabet, states: int = STATES, passes: int = PASSES) -> tuple[Hmm, list[float]]:
+    """(model, log10 likelihood of the training documents before each full pass) by Baum-Welch.
+
+    First each training fold once, its counts blended into those so far: this tells the states apart. Then passes - 1
+    times all training folds together, with equal weights; the caller's count_states is the last pass.
+    """
+    model, sums, seen = Hmm.first(letters.mass, states), None, []
+    for step, k in enumerate(k for k in range(FOLDS) if k != HELD):
+        whole, _ = _counted(encoded.where(F.col("_fold") == k), letters, model)
         if not whole.any():
             continue
         rate = (step + 1) ** -0.6
         sums = whole if sums is None else (1 - rate) * sums + rate * whole
         model = Hmm.of(sums[0], sums[1 : 1 + states], sums[1 + states :], letters.mass)
-    return model
+    for _ in range(passes - 1 if sums is not None else 0):
+        whole, likelihood = _counted(encoded.where(F.col("_fold") != HELD), letters, model)
+        model = Hmm.of(whole[0], whole[1 : 1 + states], whole[1 + states :], letters.mass)
+        seen.append(likelihood)
+    return model, seen
 
 
 def _own(symbols: list[np.ndarray], odd: pa.Array, first: int, numbers: list[np.ndarray]) -> list[np.ndarray]:
@@ -371,7 +407,23 @@ def own_times(n: np.ndarray, share: np.ndarray) -> np.ndarray:
     return (n + FLOOR * n.sum(1, keepdims=True)) / share + 1.0
 
 
-def score_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), states: int = STATES, words: int = WORDS) -> DataFrame:
+def word_emissions(counted: DataFrame, letters: Alphabet, share: np.ndarray) -> DataFrame:
+    """(word, c, e) of the infrequent training words: e holds, for each state, what the word multiplies its class's emissions by."""
+    states = share.shape[1]
+    shared = counted.sparkSession.sparkContext.broadcast(share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("word")
+            kinds = np.array([_class(w.as_py()) for w in words], np.int64)
+            n = batch.column("n").flatten().to_numpy().reshape(-1, states)
+            e = own_times(n, shared.value[kinds]).astype("<f4")
+            yield pa.RecordBatch.from_arrays([words, batch.column("c"), pa.array([x.tobytes() for x in e], pa.binary())], names=["word", "c", "e"])
+
+    return counted.where("row = -1").select("word", "c", "n").mapInArrow(run, "word binary, c long, e binary")
+
+
+def score_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), states: int = STATES, words: int = WORDS, passes: int = PASSES) -> DataFrame:
     """keep, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per row of docs.
 
     Learns from the documents whose fold is not HELD. base_score sums log10((c + 1) / (N + V + 1)); score is the hidden
@@ -383,59 +435,52 @@ def score_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), states
     counts = tables.write(count_words(docs), "counts")
     letters = alphabet(counts, words)
     tables.drop(counts)
-    marked = docs.select("text", F.struct(*names).alias("_keep"), fold("doc_id", FOLDS).alias("_fold"), F.monotonically_increasing_id().alias("_row"))
-    encoded = tables.write(encode(marked, letters, ["_keep", "_fold", "_row"]), "encoded")
-    model = train(encoded.select("_fold", "symbols"), letters, states)
+    marked = docs.select("text", F.struct(*names).alias("_keep"), fold("doc_id", FOLDS).cast("int").alias("_fold"), F.monotonically_increasing_id().alias("_row"))
+    # a folder per fold: a pass reads the folds that it counts
+    encoded = tables.write(encode(marked, letters, ["_keep", "_fold", "_row"]), "encoded", by="_fold")
+    model, _ = train(encoded, letters, states, passes)
     counted = tables.write(count_states(encoded, letters, model), "states")
     sums = collected(counted, letters, states)
     model, share = Hmm.of(sums[0], sums[1 : 1 + states], sums[1 + states :], letters.mass), class_shares(sums, letters)
 
-    shared = docs.sparkSession.sparkContext.broadcast((model, share))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     first = len(letters.known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, share = shared.value
         for batch in pieces(batches, "symbols", 3 << 20, 4096):
             symbols = [np.frombuffer(s.as_py(), "<u2") for s in batch.column("symbols")]
-            numbers, times, at = [], [], 0
-            for s, o, places, n in zip(symbols, batch.column("odd"), batch.column("_at"), batch.column("_n"), strict=True):
-                odd = np.frombuffer(o.as_py(), "<u4")
-                rows = np.zeros((int(odd.max()) + 1 if len(odd) else 0, states))
-                if places.is_valid:
-                    rows[places.values.to_numpy()] = n.values.to_numpy().reshape(-1, states)
-                kinds = np.zeros(len(rows), np.int64)
-                kinds[odd] = s[s >= first].astype(np.int64) - first
-                times.append(own_times(rows, share[kinds]))
-                numbers.append(np.arange(at, at + len(rows)))
-                at += len(rows)
-            found = forward(model, symbols, _own(symbols, batch.column("odd"), first, numbers), np.vstack(times))
-            kept = [c for c in batch.schema.names if c not in ("symbols", "odd", "_at", "_n")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found)], names=[*kept, "_path"])
-
-    own = counted.where("row = -1").select("word", "c", "n")
-
-    def scored(part: DataFrame) -> DataFrame:
-        # infrequent words meet their counts and states: no word of them holds more than a bounded share of the corpus
-        rare = part.select("_row", F.posexplode(F.arrays_zip("words", "times")).alias("at", "e")).select("_row", "at", F.col("e.words").alias("word"), F.col("e.times").alias("times"))
-        rare = rare.join(own, "word").groupBy("_row").agg(
-            F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("_log"), F.sum("times").alias("_times"), F.collect_list("at").alias("_at"), F.flatten(F.collect_list("n")).alias("_n")
-        )
-        whole = part.select("_row", "_keep", "_fold", "n_tokens", "log_known", "log_class", "n_known", "symbols", "odd").join(rare, "_row", "left")
-        return whole.mapInArrow(run, whole.drop("symbols", "odd", "_at", "_n").withColumn("_path", F.lit(0.0)).schema)
-
-    whole = None
-    for k in range(PARTS):
-        docs.sparkSession._jvm.System.gc()  # Spark deletes the shuffles of what is not referred to any more
-        part = tables.write(scored(encoded.where(F.pmod("_row", F.lit(PARTS)) == k)), "scores")
-        whole = part if whole is None else whole.union(part)
+            met = batch.column("_own")
+            of = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(met), 0).to_numpy())]).tolist()
+            flat = met.flatten()
+            place, c = flat.field("at").to_numpy(), flat.field("c").to_numpy()
+            times = np.frombuffer(byte_view(flat.field("e"))[0], "<f4").reshape(-1, states)
+            numbers, logs, known = [], [], []
+            for k, o in enumerate(batch.column("odd")):
+                tally = np.bincount(np.frombuffer(o.as_py(), "<u4"))
+                here = slice(of[k], of[k + 1])
+                row = np.full(len(tally), -1)
+                row[place[here]] = np.arange(of[k], of[k + 1])
+                numbers.append(row)
+                logs.append(float((tally[place[here]] * np.log10(c[here] + 1)).sum()))
+                known.append(int(tally[place[here]].sum()))
+            found = forward(shared.value, symbols, _own(symbols, batch.column("odd"), first, numbers), times)
+            kept = [c for c in batch.schema.names if c not in ("symbols", "odd", "_own")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found), pa.array(logs), pa.array(known, pa.int64())], names=[*kept, "_path", "_log", "_times"])
+
+    # infrequent words meet their counts and states: no word of them holds more than a bounded share of the corpus, but for
+    # words over LONGEST bytes, whose rows Spark splits
+    rare = encoded.select("_row", F.posexplode("words").alias("at", "word")).join(word_emissions(counted, letters, share), "word")
+    rare = rare.groupBy("_row").agg(F.collect_list(F.struct("at", "c", "e")).alias("_own"))
+    whole = encoded.select("_row", "_keep", "_fold", "n_tokens", "log_known", "log_class", "n_known", "symbols", "odd").join(rare, "_row", "left")
+    like = whole.drop("symbols", "odd", "_own").withColumns({"_path": F.lit(0.0), "_log": F.lit(0.0), "_times": F.lit(0).cast("long")})
+    scored = tables.write(whole.mapInArrow(run, like.schema), "scores")
     tables.drop(encoded, counted)
-    whole = whole.withColumn("_log", F.coalesce("_log", F.lit(0.0)))
     floor = float(np.log10(letters.total + letters.distinct + 1))
-    return whole.select(
+    return scored.select(
         *[F.col("_keep")[c].alias(c) for c in names],
         (F.col("_fold") == HELD).alias("held_out"),
         "n_tokens",
-        (F.col("n_known") + F.coalesce("_times", F.lit(0))).alias("n_known"),
+        (F.col("n_known") + F.col("_times")).alias("n_known"),
         F.lit(letters.total).cast("long").alias("train_tokens"),
         (F.col("log_known") + F.col("_log") - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
         (F.col("_path") - F.col("log_class")).alias("score"),

@@ -14,6 +14,8 @@ from folioweave.llm.shared import byte_view, fold, pieces, text_or_empty
 
 #: Documents per language (about) that the classifier is fitted on; of all languages together.
 SAMPLE, SAMPLE_OF_ALL = 400, 4_000
+#: Languages whose counts are broadcast at most.
+SENT_LANGUAGES = 10_000
 #: Hash buckets of the features: bytes, and runs of 2 and 3 bytes, of the lower-cased UTF-8 text.
 BUCKETS = 1 << 12
 UND = "und"
@@ -142,7 +144,8 @@ def fit(docs: DataFrame, folds: int = 3, held: int | None = 1, sample: int = SAM
     share = F.lit(min(sample, SAMPLE_OF_ALL / many)) / F.col("count")
     place = F.pmod(F.xxhash64(F.lit(9), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     placed = known.select("lang", "text", place.alias("_place"))
-    drawn = placed.join(sizes, "lang").where(F.col("_place") < share).select("lang", F.col("text").cast("binary").alias("_text"))
+    # a row per language: sent to every task while there are few of them
+    drawn = placed.join(F.broadcast(sizes) if many <= SENT_LANGUAGES else sizes, "lang").where(F.col("_place") < share).select("lang", F.col("text").cast("binary").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text"):
