@@ -13,6 +13,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ LONGEST = 64
 #: Share of a word's counts that goes to each state, whatever its contexts; infrequent words that a task sums before it lets go.
 FLOOR, SUMMED = 0.01, 200_000
 #: Passes over all training documents after the stepwise one; tokens whose states a task holds at once.
-PASSES, HELD_TOKENS = 2, 1 << 19
+PASSES, HELD_TOKENS = 1, 1 << 19
 FOLDS, HELD = 7, 2
+#: Folds that are joined with their words' emissions together; one lot after the other bounds the disk that shuffles take.
+LOTS = ((0, 1, 2), (3, 4), (5, 6))
 #: The end of a text; no word, as words hold no blank.
 END = b" "
 
@@ -467,16 +470,27 @@ def score_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), states
             kept = [c for c in batch.schema.names if c not in ("symbols", "odd", "_own")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found), pa.array(logs), pa.array(known, pa.int64())], names=[*kept, "_path", "_log", "_times"])
 
-    # infrequent words meet their counts and states: no word of them holds more than a bounded share of the corpus, but for
-    # words over LONGEST bytes, whose rows Spark splits
-    rare = encoded.select("_row", F.posexplode("words").alias("at", "word")).join(word_emissions(counted, letters, share), "word")
-    rare = rare.groupBy("_row").agg(F.collect_list(F.struct("at", "c", "e")).alias("_own"))
-    whole = encoded.select("_row", "_keep", "_fold", "n_tokens", "log_known", "log_class", "n_known", "symbols", "odd").join(rare, "_row", "left")
-    like = whole.drop("symbols", "odd", "_own").withColumns({"_path": F.lit(0.0), "_log": F.lit(0.0), "_times": F.lit(0).cast("long")})
-    scored = tables.write(whole.mapInArrow(run, like.schema), "scores")
-    tables.drop(encoded, counted)
+    own = tables.write(word_emissions(counted, letters, share), "own")
+    tables.drop(counted)
+    columns = ["_row", "_keep", "_fold", "n_tokens", "log_known", "log_class", "n_known", "symbols", "odd"]
+
+    def scored(part: DataFrame) -> DataFrame:
+        # infrequent words meet their counts and states: no word of them holds more than a bounded share of the corpus, but
+        # for words over LONGEST bytes, whose rows Spark splits
+        rare = part.select("_row", F.posexplode("words").alias("at", "word")).join(own, "word")
+        rare = rare.groupBy("_row").agg(F.collect_list(F.struct("at", "c", "e")).alias("_own"))
+        whole = part.select(*columns).join(rare, "_row", "left")
+        like = whole.drop("symbols", "odd", "_own").withColumns({"_path": F.lit(0.0), "_log": F.lit(0.0), "_times": F.lit(0).cast("long")})
+        return whole.mapInArrow(run, like.schema)
+
+    lots = []
+    for lot in LOTS:
+        docs.sparkSession._jvm.System.gc()  # Spark deletes the shuffles of what nothing refers to any more
+        lots.append(tables.write(scored(encoded.where(F.col("_fold").isin(*lot))), "scores"))
+    tables.drop(encoded, own)
+    scored_all = reduce(DataFrame.union, lots)
     floor = float(np.log10(letters.total + letters.distinct + 1))
-    return scored.select(
+    return scored_all.select(
         *[F.col("_keep")[c].alias(c) for c in names],
         (F.col("_fold") == HELD).alias("held_out"),
         "n_tokens",
