@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -30,20 +31,32 @@ def indel(a: str, b: str) -> float:
 
 
 def partial(a: str, b: str) -> float:
-    """The best indel ratio of the shorter text with a window of the longer, cut windows at both ends included."""
+    """The best indel ratio of the shorter text with a window of the longer, cut windows at both ends included.
+
+    A window's common characters, counted as they enter and leave, bound its ratio: only windows that may still win are
+    compared in full.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
-    n, inside = len(a), set(a)
-    best = 0.0
+    n = len(a)
+    want, have, same, best = Counter(a), Counter(), 0, 0.0
+    bounds = []
     for end in range(1, len(b) + n):
-        window = b[max(0, end - n) : end]
-        # a window whose outer character is not in the shorter text loses to its neighbour
-        if window[-1] in inside or end > len(b):
-            best = max(best, indel(a, window))
-            if best == 100.0:
-                break
+        if end <= len(b):
+            c = b[end - 1]
+            have[c] += 1
+            same += have[c] <= want[c]
+        if end > n:
+            c = b[end - n - 1]
+            same -= have[c] <= want[c]
+            have[c] -= 1
+        bounds.append((200.0 * same / (n + min(end, n, len(b) + n - end)), end))
+    for bound, end in sorted(bounds, key=lambda x: -x[0]):
+        if bound <= best:
+            break
+        best = max(best, indel(a, b[max(0, end - n) : end]))
     return best
 
 
@@ -72,22 +85,76 @@ def near_duplicate(a: str, b: str) -> float:
 
 def rouge_l(prediction: str, reference: str) -> tuple[float, float]:
     """(F, recall) of the longest common subsequence of words; unstemmed."""
-    words = lambda t: "".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split()
-    p, r = words(prediction), words(reference)
+    p, r = rouge_words(prediction), rouge_words(reference)
     n = lcs(p, r)
     return (0.0, 0.0) if not n else (2 * n / (len(p) + len(r)), n / len(r))
 
 
+def rouge_words(text: str) -> list[str]:
+    return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
+
+
+def lcs_places(a: list[str], b: list[str]) -> set[int]:
+    """Places in a of one longest common subsequence with b: of equally long ones that which leaves out late words of a."""
+    rows = [[0] * (len(b) + 1)]
+    for x in a:
+        last, row = rows[-1], [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        rows.append(row)
+    out, i, j = set(), len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.add(i)
+        elif rows[i][j - 1] > rows[i - 1][j]:
+            j -= 1
+        else:
+            i -= 1
+    return out
+
+
+def rouge_lsum(prediction: str, reference: str) -> tuple[float, float]:
+    """(F, recall) by lines: each reference line's words that a common subsequence with any predicted line has; unstemmed.
+
+    A word counts as often as both texts have it.
+    """
+    p, r = ([w for line in t.split("\n") if (w := rouge_words(line))] for t in (prediction, reference))
+    left = Counter(w for x in p for w in x), Counter(w for x in r for w in x)
+    n = 0
+    for line in r:
+        for i in sorted(set().union(*(lcs_places(line, x) for x in p))):
+            if all(side[line[i]] > 0 for side in left):
+                n += 1
+                for side in left:
+                    side[line[i]] -= 1
+    sizes = sum(map(len, p)), sum(map(len, r))
+    return (0.0, 0.0) if not n else (2 * n / sum(sizes), n / sizes[1])
+
+
 @F.pandas_udf(DoubleType())
 def near_duplicate_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else near_duplicate(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-@F.pandas_udf(StructType([StructField("f1", DoubleType()), StructField("recall", DoubleType())]))
+def _best_of_each(metric, prediction: pd.Series, references: pd.Series) -> pd.DataFrame:
+    rows = [[metric(p, t) for t in r] if p is not None and r is not None and len(r) else [(np.nan, np.nan)] for p, r in zip(prediction, references, strict=True)]
+    return pd.DataFrame([(max(x[0] for x in r), max(x[1] for x in r)) for r in rows], columns=["f1", "recall"])
+
+
+_TWO = StructType([StructField("f1", DoubleType()), StructField("recall", DoubleType())])
+
+
+@F.pandas_udf(_TWO)
 def rouge_l_score(prediction: pd.Series, references: pd.Series) -> pd.DataFrame:
     """The best of each over an array of references."""
-    rows = [[rouge_l(p, t) for t in r] if p is not None and r is not None and len(r) else [(np.nan, np.nan)] for p, r in zip(prediction, references, strict=True)]
-    return pd.DataFrame([(max(x[0] for x in r), max(x[1] for x in r)) for r in rows], columns=["f1", "recall"])
+    return _best_of_each(rouge_l, prediction, references)
+
+
+@F.pandas_udf(_TWO)
+def rouge_lsum_score(prediction: pd.Series, references: pd.Series) -> pd.DataFrame:
+    """The best of each over an array of references."""
+    return _best_of_each(rouge_lsum, prediction, references)
 
 
 @F.pandas_udf(StringType())

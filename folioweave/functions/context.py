@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioweave.functions.text import let, word_count
+from folioweave.functions.text import let, strip, word_count
 
 # How a document is marked.
 MARKER = r"\[DOC (\d+)\]\s*"
@@ -14,10 +14,6 @@ BOUND = r"\[DOC\s+(?:\d+|\w+)\]"
 DOCS = "array<struct<doc_id:int,content:string>>"
 
 
-def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
-
-
 def tag(doc_id: Column) -> Column:
     return F.concat(F.lit("[DOC "), doc_id.cast("string"), F.lit("]"))
 
@@ -36,7 +32,7 @@ def parse(context: Column) -> Column:
     """The documents of a context; empty ones stay, text before the first marker goes. Linear: ids and bodies zipped."""
     ids = F.regexp_extract_all(context, F.lit(MARKER), 1)
     bodies = F.slice(F.split(context, MARKER, -1), F.lit(2), F.size(F.split(context, MARKER, -1)))
-    return F.transform(F.arrays_zip(ids.alias("i"), bodies.alias("b")), lambda z: F.struct(z["i"].cast("int").alias("doc_id"), _strip(z["b"]).alias("content"))).cast(DOCS)
+    return F.transform(F.arrays_zip(ids.alias("i"), bodies.alias("b")), lambda z: F.struct(z["i"].cast("int").alias("doc_id"), strip(z["b"]).alias("content"))).cast(DOCS)
 
 
 def bounds(text: Column) -> Column:

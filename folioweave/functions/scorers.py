@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioweave.functions import arrow
 from folioweave.functions import overlap as O
 from folioweave.functions import text as T
 
@@ -14,11 +15,7 @@ from folioweave.functions import text as T
 CODE_PREFIXES = ("answer is:", "is:", "answer:", "correct option is:")
 CHOICE_PREFIXES = ("answer is:", "answer:", "answer is", "answer is ", "option is")
 #: The last standalone letter of the first line that has one.
-LAST_CODE_LETTER, LAST_CHOICE_LETTER = r"\b[A-J]\b(?!.*\b[A-J]\b)", r"\b[A-D]\b(?!.*\b[A-D]\b)"
-
-
-def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+LAST_CODE_LETTER, LAST_CHOICE_LETTER = (rf"(?d){T.START}[A-{x}]{T.END}(?!.*{T.START}[A-{x}]{T.END})" for x in "JD")
 
 
 def kv_retrieval(pred: Column, labels: Column) -> Column:
@@ -32,7 +29,7 @@ def passkey(pred: Column, labels: Column) -> Column:
 
 def code_run(pred: Column, labels: Column) -> Column:
     """The last word is the label as an integer."""
-    last = F.try_element_at(T.words_after_blanking(_strip(pred), "\n.`'\":"), F.lit(-1))
+    last = F.try_element_at(T.words_after_blanking(T.strip(pred), "\n.`'\":"), F.lit(-1))
     return F.coalesce(last.try_cast("bigint") == F.get(labels, 0).try_cast("bigint"), F.lit(False))
 
 
@@ -49,8 +46,8 @@ def _after_prefix(pred: Column, prefixes: tuple[str, ...], fits: Callable[[Colum
 def code_debug(pred: Column, labels: Column) -> Column:
     """labels: function name, letter."""
     name, letter = F.get(labels, 0), F.get(labels, 1)
-    last = F.regexp_extract(_strip(pred), LAST_CODE_LETTER, 0)
-    flat = _strip(pred)
+    flat = T.strip(pred)
+    last = F.regexp_extract(flat, LAST_CODE_LETTER, 0)
     for mark in ("\n", "`", "'", '"', "-", "*", "Option", "option"):
         flat = F.replace(flat, F.lit(mark), F.lit(" "))
     flat = F.regexp_replace(flat, " {2,}", " ")
@@ -60,7 +57,7 @@ def code_debug(pred: Column, labels: Column) -> Column:
 
 def choice(pred: Column, labels: Column) -> Column:
     """The last letter, the first character, the whole, what follows a prefix, or the first word that is a letter."""
-    p = _strip(pred)
+    p = T.strip(pred)
     last = F.nullif(F.regexp_extract(p, LAST_CHOICE_LETTER, 0), F.lit(""))
     head = F.substring(p, 1, 1)
     flat = F.regexp_replace(F.translate(p, "\n\"'.,?!{}", " " * 9), " {2,}", " ")
@@ -95,7 +92,7 @@ def math_calc(pred: Column, labels: Column) -> Column:
 
 
 def dialogue(pred: Column, labels: Column) -> Column:
-    up = F.upper(_strip(pred))
+    up = F.upper(T.strip(pred))
     return F.exists(labels, lambda s: F.contains(up, F.upper(s)))
 
 
@@ -111,29 +108,39 @@ def qa_chinese(pred: Column, labels: Column) -> Column:
     return F.array_max(F.transform(labels, lambda t: O.token_f1(chars(pred), chars(t))["f1"]))
 
 
+def summary(pred: Column, labels: Column) -> Column:
+    """ROUGE-Lsum F1 against the first label."""
+    return arrow.rouge_lsum_score(pred, F.slice(labels, 1, 1))["f1"]
+
+
 def retrieved_qa(pred: Column, answers: Column) -> Column:
-    """struct<exact_match, f1, substring_exact_match>: the better of the raw and the parsed prediction for each."""
-    def three(p: Column) -> list[Column]:
-        return [O.best_of(lambda x, t: O.exact_match(x, t).cast("double"), p, answers), O.best_of(O.guarded_answer_f1, p, answers), O.best_of(lambda x, t: O.substring_match(x, t).cast("double"), p, answers)]
+    """struct of exact_match, f1, substring_exact_match, and F1 and recall of ROUGE-L and Lsum: of each the better of the
+    raw and the parsed prediction."""
+    def seven(p: Column) -> list[Column]:
+        plain = [O.best_of(lambda x, t: O.exact_match(x, t).cast("double"), p, answers), O.best_of(O.guarded_answer_f1, p, answers), O.best_of(lambda x, t: O.substring_match(x, t).cast("double"), p, answers)]
+        both = arrow.rouge_l_score(p, answers), arrow.rouge_lsum_score(p, answers)
+        return plain + [r[c] for r in both for c in ("f1", "recall")]
+
+    return F.struct(*[F.greatest(a, b).alias(n) for a, b, n in zip(seven(pred), seven(T.parsed_answer(pred)), RETRIEVED, strict=True)])
 
-    names = ("exact_match", "f1", "substring_exact_match")
-    return F.struct(*[F.greatest(a, b).alias(n) for a, b, n in zip(three(pred), three(T.parsed_answer(pred)), names, strict=True)])
 
+RETRIEVED = ("exact_match", "f1", "substring_exact_match", "rougeL_f1", "rougeL_recall", "rougeLsum_f1", "rougeLsum_recall")
 
 #: task -> score column of (prediction, labels)
 SCORERS: dict[str, Callable[[Column, Column], Column]] = {
     "kv_retrieval": kv_retrieval, "kv_retrieval_prefix": kv_retrieval, "kv_retrieval_both": kv_retrieval,
     "passkey": passkey, "number_string": passkey, "code_run": code_run, "code_debug": code_debug,
-    "longdialogue_qa_eng": dialogue, "longbook_choice_eng": choice, "math_calc": math_calc,
-    "longbook_qa_chn": qa_chinese,
+    "longdialogue_qa_eng": dialogue, "longbook_qa_eng": qa_english, "longbook_sum_eng": summary, "longbook_choice_eng": choice,
+    "longbook_qa_chn": qa_chinese, "math_find": lambda pred, labels: math_find(pred, labels, F.lit("int")), "math_calc": math_calc,
 }
 
 
 def score(task: str, pred: Column, labels: Column) -> Column:
-    """The task's score as a double; yes and no are 1 and 0."""
+    """The task's score as a double, yes and no as 1 and 0; longbook_qa_eng has a struct of two, f1 and sub_em."""
     if task not in SCORERS:
         raise ValueError(f"no scorer for {task}; there are {sorted(SCORERS)}")
-    return SCORERS[task](pred, labels).cast("double")
+    found = SCORERS[task](pred, labels)
+    return found if task == "longbook_qa_eng" else found.cast("double")
 
 
 def answer_range(letters: list[str], options: Column) -> Column:

@@ -7,16 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns and word lists whose matches decide scores.
-FIRST_ANSWER = r"(?i)The answer is\s*:?\s*((?:[A-Za-z]+\.\s+){0,200}[^.,]+?)[.,]"
-LOOSE_ANSWER = r"(?i)(?:\b(?:the\s+)?answer(?:\s[\s\w]*\w)?\s*[:\-]?\s*)([^\.,\n]+)"
-PREFIX_ANSWER = r"(?i)(?:Answer:)([^\n]*)(?:\n|$)"
-LAST_ANSWER = r"(?i)The answer is:\s*([^\n\.]+)"
-LETTER_FIRST = r"(?i)The\s+correct\s+answer\s+is\s*\(?([A-D])\)?"
-LETTER_SECOND = r"(?i)\b(?:answer|option)\s*(?:is|:)\s*\(?([A-D])\)?"
+# White space and word characters of the text contracts, Unicode's too: Java's own classes are ASCII's or larger.
+_SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = f"[{_SPACES}]"
+_WORD = r"[\p{L}\p{N}_]"
+START, END = f"(?<!{_WORD})", f"(?!{_WORD})"
+
+# Patterns and word lists whose matches decide scores. (?u): case of all letters; (?d): only a line break
+# ends a line. Repeats of groups, which take a stack frame each in Java, are possessive or written as character runs:
+# FIRST_ANSWER is The answer is\s*:?\s*((?:[A-Za-z]+\.\s+)*[^.,]+?)[.,] with the ways back spelled out, and
+# (?:\s+\w+)* of LOOSE_ANSWER is a run of both that starts with one and ends with the other.
+_SHORT = rf"[A-Za-z]++\.{SPACE}++"
+FIRST_ANSWER = (
+    rf"(?iu)The answer is{SPACE}*:?{SPACE}*("
+    rf"(?:{_SHORT})*+[^.,]+?(?=[.,])|(?:{_SHORT})++(?<={SPACE}{SPACE})(?=[.,])|(?:{_SHORT}(?=[A-Za-z]++\.{SPACE}))*+[A-Za-z]++(?=\.{SPACE}))"
+)
+LOOSE_ANSWER = rf"(?iu){START}(?:the{SPACE}+)?answer(?:{SPACE}[{_SPACES}\p{{L}}\p{{N}}_]*{_WORD})?{SPACE}*[:\-]?{SPACE}*([^\.,\n]+)"
+PREFIX_ANSWER = r"(?iu)Answer:([^\n]*)(?:\n|\z)"
+LAST_ANSWER = rf"(?iu)The answer is:{SPACE}*([^\n\.]+)"
+LETTER_FIRST = rf"(?iu)The{SPACE}+correct{SPACE}+answer{SPACE}+is{SPACE}*\(?([A-D])\)?"
+LETTER_SECOND = rf"(?iu){START}(?:answer|option){SPACE}*(?:is|:){SPACE}*\(?([A-D])\)?"
 QUOTE = (
-    r"(?is)(?:Quote|Passage|Document|Extract|Reference)\s+\d+:\s*(.*?)"
-    r"(?=(?:Quote|Passage|Document|Extract|Reference)\s+\d+:|Relevant Document IDs?:|The answer is:|$)"
+    rf"(?isu)(?:Quote|Passage|Document|Extract|Reference){SPACE}+\d+:{SPACE}*(.*?)"
+    rf"(?=(?:Quote|Passage|Document|Extract|Reference){SPACE}+\d+:|Relevant Document IDs?:|The answer is:|\z)"
 )
 RATING = r"(?i)Rating:\s*\[\[?\s*(\d{1,3})\s*\]\]?"
 CRITERION = r"(?i)\\boxed\{\{?Criterion\s+\d+:\s*([01])(?:/[01])?\}?\}"
@@ -30,14 +43,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def strip(text: Column) -> Column:
+    """No white space at the ends. Each run of it is looked at once."""
+    return F.regexp_replace(text, rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
+
+
 def collapse_space(text: Column) -> Column:
     """Runs of white space, Unicode's too, become one space; none at the ends."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, f"{SPACE}++", " "))
 
 
 def words(text: Column) -> Column:
     """The words between white space."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(text, f"{SPACE}++"), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
@@ -68,13 +86,13 @@ def truncate_tail(tokens: Column, most: int, buffer: int = 512) -> Column:
 def normalize_answer(text: Column) -> Column:
     """Lower case, no ASCII punctuation, no articles, single spaces."""
     plain = F.regexp_replace(F.lower(text), r"\p{Punct}", "")
-    return collapse_space(F.regexp_replace(plain, r"(?U)\b(a|an|the)\b", " "))
+    return collapse_space(F.regexp_replace(plain, f"{START}(?:a|an|the){END}", " "))
 
 
 def normalize_cjk_answer(text: Column) -> Column:
     """Lower case, no ASCII or CJK punctuation, no white space."""
     plain = F.translate(F.regexp_replace(F.lower(text), r"\p{Punct}", ""), CJK_PUNCTUATION, "")
-    return F.regexp_replace(plain, r"(?U)\s+", "")
+    return F.regexp_replace(plain, f"{SPACE}++", "")
 
 
 def characters(text: Column) -> Column:
@@ -89,20 +107,20 @@ def _group(text: Column, pattern: str, group: int = 1) -> Column:
 def answer_or_all(text: Column) -> Column:
     """What stands after `The answer is` up to a period or comma; without that the whole text."""
     found = _group(text, FIRST_ANSWER)
-    return F.coalesce(F.trim(found), text)
+    return F.coalesce(strip(found), text)
 
 
 def parsed_answer(text: Column) -> Column:
     """The first of: a loose `answer …`, `Answer: …`, the first line. Greedy, so `The answer is X.` gives X's last letter."""
-    first_line = F.regexp_extract(text, r"\A(.*)", 1)
+    first_line = F.regexp_extract(text, r"\A([^\n]*)", 1)
     found = F.coalesce(_group(text, LOOSE_ANSWER), F.when(text.rlike(PREFIX_ANSWER), F.regexp_extract(text, PREFIX_ANSWER, 1)), first_line)
-    return F.trim(F.regexp_replace(F.trim(found), r"(?i)\AAnswer:", ""))
+    return strip(F.regexp_replace(strip(found), r"(?iu)\AAnswer:", ""))
 
 
 def last_answer(text: Column) -> Column:
     """The last `The answer is: …` up to a period or line end; null without one."""
     found = F.regexp_extract_all(text, F.lit(LAST_ANSWER), 1)
-    return F.trim(F.try_element_at(found, F.lit(-1)))
+    return strip(F.try_element_at(found, F.lit(-1)))
 
 
 def choice_letter(text: Column) -> Column:
@@ -112,7 +130,7 @@ def choice_letter(text: Column) -> Column:
 
 def quotes(text: Column, most: int = 10) -> Column:
     """Labelled quotes of more than 5 characters, each once, the first `most`."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(QUOTE), 1), lambda q: F.regexp_replace(q, r"\A\s+|\s+\z", ""))
+    found = F.transform(F.regexp_extract_all(text, F.lit(QUOTE), 1), strip)
     return F.slice(F.array_distinct(F.filter(found, lambda q: F.length(q) > 5)), 1, most)
 
 
@@ -139,11 +157,11 @@ def sentences(text: Column) -> Column:
     found with the white space that follows, so a running sum of their lengths gives the starts.
     """
     kind = "struct<at:int,found:array<struct<start:int,end:int,text:string>>>"
-    piece = F.regexp_extract_all(text, F.lit(r"(?sU)(?:[^.!?\n]*[.!?\n]|[^.!?\n]+\z)\s*"), F.lit(0))
+    piece = F.regexp_extract_all(text, F.lit(rf"(?s)(?:[^.!?\n]*[.!?\n]|[^.!?\n]+\z){SPACE}*"), F.lit(0))
 
     def step(s: Column, p: Column) -> Column:
         core = F.regexp_extract(p, r"(?s)\A[^.!?\n]*[.!?]?", 0)
-        body = F.regexp_replace(core, r"(?U)\A\s+|\s+\z", "")
+        body = strip(core)
         one = F.struct(s["at"].alias("start"), (s["at"] + F.length(core)).alias("end"), body.alias("text"))
         found = F.when(body == "", s["found"]).otherwise(F.array_append(s["found"], one))
         return F.struct((s["at"] + F.length(p)).alias("at"), found.alias("found")).cast(kind)

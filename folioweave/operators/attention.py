@@ -65,7 +65,7 @@ def top_runs(tokens: DataFrame, texts: DataFrame, k: int, share: float = 0.9, le
     at = tokens.select("instance", "pos", "beg", "end")
     first, last = at.select("instance", F.col("pos").alias("from_pos"), "beg"), at.select("instance", F.col("pos").alias("to_pos"), "end")
     cut = runs.join(first, ["instance", "from_pos"]).join(last, ["instance", "to_pos"]).join(texts, "instance")
-    stripped = F.regexp_replace(F.substr("text", F.col("beg") + 1, F.col("end") - F.col("beg")), r"(?U)\A\s+|\s+\z", "")
+    stripped = T.strip(F.substr("text", F.col("beg") + 1, F.col("end") - F.col("beg")))
     long = cut.select("instance", stripped.alias("text"), "n_tokens", "total", "from_pos").where(F.length("text") >= chars)
     return ranking.top(long, ["instance"], "total", ["from_pos"], k).drop("from_pos")
 

@@ -156,7 +156,7 @@ def index_append(spark, sf_dir):
 def _turns(spark, sf_dir):
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     one = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(ordered.alias("t"))
-    docs = C.number(F.transform("t", lambda x: F.regexp_replace(x["text"], r"(?U)\A\s+|\s+\z", "")))
+    docs = C.number(F.transform("t", lambda x: T.strip(x["text"])))
     gold = F.transform(F.filter(F.transform("t", lambda x, i: F.struct(x["role"].alias("r"), i.alias("i"))), lambda z: z["r"] == "assistant"), lambda z: C.tag(z["i"]))
     return one.select("conv_id", C.render(docs).alias("training_context"), gold.alias("gold_doc_ids"))
 

@@ -13,12 +13,12 @@ MODES = ("full", "topk", "none")
 MISSING = "XXXXXXXXXX"
 
 
-def first_of(rows: DataFrame, names: tuple[str, ...], default: str | None = None) -> Column:
-    """The first of the columns that are there, row by row; then the default; an error if none is there and no default."""
+def first_of(rows: DataFrame, names: tuple[str, ...]) -> Column:
+    """The first of the columns that are there, row by row; an error if none is."""
     there = [F.col(n) for n in names if n in rows.columns]
-    if not there and default is None:
+    if not there:
         raise ValueError(f"none of {names} is a column")
-    return F.coalesce(*there, *([F.lit(default)] if default is not None else []))
+    return F.coalesce(*there)
 
 
 def with_id(rows: DataFrame) -> DataFrame:
@@ -28,11 +28,14 @@ def with_id(rows: DataFrame) -> DataFrame:
 
 
 def labels(rows: DataFrame) -> Column:
-    return first_of(rows, ("ground_truth", "label", "answer"), MISSING)
+    """The label column that is there, MISSING in rows without one; an error if there is no label column."""
+    return F.coalesce(first_of(rows, ("ground_truth", "label", "answer")), F.lit(MISSING))
 
 
 def predictions(rows: DataFrame) -> Column:
-    return first_of(rows, ("prediction", "pred", "model_output"), "")
+    """The prediction, row by row; an error if there is no such column, or a row has none."""
+    found = first_of(rows, ("prediction", "pred", "model_output"))
+    return F.coalesce(found, F.raise_error(F.lit("a row has no prediction")).cast("string"))
 
 
 def contexts(rows: DataFrame, mode: str, hits: DataFrame | None = None, top: int = -1) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioweave.functions import context as C
+from folioweave.operators.sampling import shuffled
 
 #: Fixed value: how a response states its documents and answer.
 RESPONSE = "Relevant documents: {tags}\n\nThe answer is: {answer}."
@@ -61,8 +62,10 @@ def task_values(split: str, c: dict[str, Column]) -> dict[str, Column]:
         wrong = F.raise_error(F.lit("the question names no target number")).cast("string")
         out["prefix"] = F.when(asked == "", wrong).otherwise(F.concat(F.lit("What is "), target, F.lit(" in the following list?")))
     if split == "code_run":
-        out["func_call"] = F.regexp_extract(question, r"(func_\d+\(-?\d+\))", 1)
-        out["func"] = F.regexp_extract(question, r"(func_\d+)\(", 1)
+        lacks = F.raise_error(F.lit("the question calls no function")).cast("string")
+        for name, pattern in (("func_call", r"(func_\d+\(-?\d+\))"), ("func", r"(func_\d+)\(")):
+            found = F.regexp_extract(question, pattern, 1)
+            out[name] = F.when(found == "", lacks).otherwise(found)
     if question is not None:
         out |= {"question": c.get("question", question), "input": question}
     return out
@@ -80,9 +83,9 @@ def gold_prefill(tags: Column, docs: Column) -> Column:
     return F.concat(F.lit("Relevant documents:\n"), F.array_join(each, ""), F.lit("\n\n"))
 
 
-def demonstrations(demos: Column, n: int, separator: str = "\n\n\n") -> Column:
-    """The first n demonstrations as text."""
-    return F.array_join(F.slice(demos, 1, n), separator)
+def demonstrations(demos: Column, n: int, separator: str = "\n\n\n", key: Column | None = None, seed: int = 42) -> Column:
+    """n demonstrations as text: the first, or with a key those that seed and key draw."""
+    return F.array_join(F.slice(demos if key is None else shuffled(demos, key, seed), 1, n), separator)
 
 
 def docs_in_name(name: str, default: int) -> int:

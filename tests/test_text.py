@@ -171,3 +171,38 @@ def test_rewards(one):
     assert got == pytest.approx(1.5 * 2 / 3 + 1.0 + 2.0 + 0.3 - 0.3)
     assert one(R.answer_and_ids(F.lit("[DOC 1]"), F.lit("x"), arr("[DOC 1]"))) == 0.0
     assert one(R.content_reward(F.lit(""), F.lit("ok"), arr(), arr())) == 0.0
+
+
+def random_text(rnd, parts, most):
+    return "".join(rnd.choice(parts) for _ in range(rnd.randint(0, most)))
+
+
+def test_patterns_against_the_plain_ones(spark):
+    """The patterns as another language's engine reads them; ours avoid its repeats of groups, which would take a stack."""
+    import random
+    import re
+
+    rnd = random.Random(7)
+    parts = ["The answer is", "the answer", "answer", " ", "  ", ":", "Mr.", "Mr. ", "Dr.  ", "x", "für", "\r", "\n", ".", ",", "A", " B ", "C", " ", "Answer:", "-", "a1", "\x85", "É", "_"]
+    texts = [random_text(rnd, parts, 12) for _ in range(3000)] + ["The answer is " + "Mr. " * 3000 + "X.", "The answer is " + "Mr. " * 3000, "the answer " + "für " * 3000 + "is X."]
+    first = re.compile(r"The answer is\s*:?\s*((?:[A-Za-z]+\.\s+)*[^.,]+?)[.,]", re.I)
+    loose = re.compile(r"(?:\b(?:the\s+)?answer(?:\s+\w+)*\s*[:\-]?\s*)([^\.,\n]+)", re.I)
+    prefix, line = re.compile("(?:Answer:)(.*)(?:\n|$)", re.I), re.compile("(?:^)(.*)(?:\n|$)")
+
+    def parsed(t):
+        found = next(m[1] for p in (loose, prefix, line) if (m := p.search(t)))
+        return re.sub("^Answer:", "", found.strip(), flags=re.I).strip()
+
+    last = lambda x, t: (re.search(rf"\b[A-{x}]\b(?!.*\b[A-{x}]\b)", t.strip()) or [""])[0]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    t = F.col("t")
+    got = frame.select(
+        "t", T.answer_or_all(t).alias("a"), T.parsed_answer(t).alias("p"), F.regexp_extract(T.strip(t), S.LAST_CODE_LETTER, 0).alias("j"), F.regexp_extract(T.strip(t), S.LAST_CHOICE_LETTER, 0).alias("d"),
+        T.words(t).alias("w"), T.collapse_space(t).alias("s"),
+    ).collect()
+    for r in got:
+        m = first.search(r.t)
+        assert r.a == (m[1].strip() if m else r.t), r.t[:80]
+        assert r.p == parsed(r.t), r.t[:80]
+        assert (r.j, r.d) == (last("J", r.t), last("D", r.t))
+        assert r.w == r.t.split() and r.s == " ".join(r.t.split())
