@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioweave.functions import context as C
@@ -70,6 +70,15 @@ def top_runs(tokens: DataFrame, texts: DataFrame, k: int, share: float = 0.9, le
     return ranking.top(long, ["instance"], "total", ["from_pos"], k).drop("from_pos")
 
 
+def top_content(tokens: DataFrame, texts: DataFrame, docs: DataFrame, section: Column, k: int = 10) -> dict[str, DataFrame]:
+    """What holds an instance's attention: its top runs, its k documents by total score, and its sections.
+
+    tokens: instance, pos, beg, end, score; texts: instance, text; docs: spans.
+    """
+    stats = spans.document_stats(tokens, docs)
+    return {"runs": top_runs(tokens, texts, k), "documents": ranking.top(stats, ["instance"], "total", ["span_idx"], k), "sections": spans.sections(tokens, section)}
+
+
 def within_limit(prompts: DataFrame, tokens: str = "n_tokens", most: int = 64_000) -> DataFrame:
     """Prompts that are not too long to analyse."""
     return prompts.where(F.col(tokens) <= most)

@@ -45,6 +45,11 @@ def task_means(scores: DataFrame, by: list[str]) -> DataFrame:
     return scores.groupBy(*by).agg(F.avg(F.col("score").cast("double")).alias("score"))
 
 
+def percent_means(rows: DataFrame, names: list[str]) -> DataFrame:
+    """One row: the mean of each score times 100, over the rows that have it."""
+    return rows.agg(*[(F.avg(F.col(n).cast("double")) * 100).alias(n) for n in names])
+
+
 def describe_run(path: Column) -> dict[str, Column]:
     """model, modality, lo, hi and curve of a metrics file, from its path."""
     name = F.regexp_extract(path, r"([^/]+)\.json$", 1)

@@ -96,19 +96,20 @@ def high_runs(tokens: DataFrame, share: float = 0.9, least: int = 3) -> DataFram
 def mark_sinks(tokens: DataFrame, context_start: Column | int, most_position: int = 1000, percent: float = 5.0, group: list[str] | None = None) -> DataFrame:
     """tokens with pct (share of the group's score) and is_sink: early, before the context, and of that percent or more."""
     group = group or ["instance"]
-    total = F.sum("score").over(Window.partitionBy(*group))
-    pct = F.when(total > 0, F.col("score") / total * 100).otherwise(0.0)
+    # sums combine before they are shuffled and are joined back, so a group's tokens need not meet in one task
+    totals = tokens.groupBy(*group).agg(F.sum("score").alias("_total"))
+    pct = F.when(F.col("_total") > 0, F.col("score") / F.col("_total") * 100).otherwise(0.0)
     start = F.lit(context_start) if isinstance(context_start, int) else context_start
-    return tokens.withColumn("pct", pct).withColumn("is_sink", (F.col("pos") >= 0) & (F.col("pos") <= most_position) & (F.col("pos") < start) & (F.col("pct") >= percent))
+    return tokens.join(totals, group).withColumn("pct", pct).drop("_total").withColumn("is_sink", (F.col("pos") >= 0) & (F.col("pos") <= most_position) & (F.col("pos") < start) & (F.col("pct") >= percent))
 
 
 def rescale_without_sinks(marked: DataFrame, group: list[str] | None = None) -> DataFrame:
     """Sinks at 0, the others scaled to the old total; unchanged without sinks or if nothing else has a score."""
-    w = Window.partitionBy(*(group or ["instance"]))
-    total, rest = F.sum("score").over(w), F.sum(F.when(~F.col("is_sink"), F.col("score"))).over(w)
-    any_sink = F.max(F.col("is_sink").cast("int")).over(w) == 1
-    kept = F.when(F.col("is_sink"), 0.0).otherwise(F.col("score") * total / rest)
-    return marked.withColumn("score", F.when(any_sink & (rest > 0), kept).otherwise(F.col("score")))
+    group = group or ["instance"]
+    sums = marked.groupBy(*group).agg(F.sum("score").alias("_total"), F.sum(F.when(~F.col("is_sink"), F.col("score"))).alias("_rest"), F.bool_or("is_sink").alias("_any"))
+    kept = F.when(F.col("is_sink"), 0.0).otherwise(F.col("score") * F.col("_total") / F.col("_rest"))
+    scaled = F.when(F.col("_any") & (F.col("_rest") > 0), kept).otherwise(F.col("score"))
+    return marked.join(sums, group).withColumn("score", scaled).drop("_total", "_rest", "_any")
 
 
 def sink_summary(marked: DataFrame, k: int = 10) -> DataFrame:
@@ -142,6 +143,33 @@ def roll_up_sections(by_step: DataFrame) -> DataFrame:
     return one.groupBy("section").agg(F.avg("percent").alias("percent"))
 
 
+def sink_rollup(marked: DataFrame) -> DataFrame:
+    """instance, steps, sinks, sinks_per_step, percent, presence: sinks in all, a step's mean count, mean percent of the score
+    that they hold, and the share of steps that have one. marked: mark_sinks() by instance and step."""
+    one = marked.groupBy("instance", "step").agg(F.count_if("is_sink").alias("n"), F.coalesce(F.sum(F.when(F.col("is_sink"), F.col("pct"))), F.lit(0.0)).alias("p"))
+    return one.groupBy("instance").agg(
+        F.count("*").alias("steps"), F.sum("n").alias("sinks"), F.avg("n").alias("sinks_per_step"), F.avg("p").alias("percent"), F.avg((F.col("n") > 0).cast("int")).alias("presence")
+    )
+
+
+def document_rollup(by_step: DataFrame, steps: DataFrame, k: int = 10) -> DataFrame:
+    """instance, span_idx, average, appearance, rank: the k documents with the largest sums over steps; absent steps count 0.
+
+    by_step: instance, step, span_idx, total (document_stats by instance and step); steps: instance, step of all steps.
+    """
+    n = steps.groupBy("instance").agg(F.count_distinct("step").alias("_n"))
+    sums = by_step.groupBy("instance", "span_idx").agg(F.sum("total").alias("t"), F.count("*").alias("a"))
+    rank = F.row_number().over(Window.partitionBy("instance").orderBy(F.desc("t"), "span_idx"))
+    best = sums.withColumn("rank", rank).where(F.col("rank") <= k).join(n, "instance")
+    return best.select("instance", "span_idx", (F.col("t") / F.col("_n")).alias("average"), (F.col("a") / F.col("_n")).alias("appearance"), "rank")
+
+
+def roll_up_documents(rolled: DataFrame, k: int = 10) -> DataFrame:
+    """span_idx, average, instances: the k documents with the largest mean over the instances that have them."""
+    means = rolled.groupBy("span_idx").agg(F.avg("average").alias("average"), F.count("*").alias("instances"))
+    return means.orderBy(F.desc("average"), "span_idx").limit(k)
+
+
 def chunk_bounds(chunks: DataFrame, separator: int = 1) -> DataFrame:
     """Spans of chunks (instance, span_idx, text) joined by a separator of so many characters."""
     before = F.coalesce(F.sum(F.length("text") + separator).over(Window.partitionBy("instance").orderBy("span_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioweave.functions import context as C
+from folioweave.functions import overlap as O
+from folioweave.functions import scorers as S
 from folioweave.functions import text as T
 from folioweave.operators.retrieval import use_hits
+from folioweave.operators.runs import percent_means
 
 MODES = ("full", "topk", "none")
 MISSING = "XXXXXXXXXX"
@@ -81,3 +84,13 @@ def gold_by_answer(ctxs: Column) -> Column:
     """Contexts with the id of one that holds the answer."""
     ids = F.transform(F.filter(ctxs, lambda c: c["has_answer"]), lambda c: c["id"])
     return F.filter(ctxs, lambda c: F.array_contains(ids, c["id"]))
+
+
+def retrieved_means(rows: DataFrame) -> DataFrame:
+    """One row: means times 100 of the scores of retrieved answers, and of the named documents against gold.
+
+    rows: model_output, answers, gold_doc_ids (tags; rows where it is null have no document scores).
+    """
+    scored = rows.select(S.retrieved_qa(F.col("model_output"), F.col("answers")).alias("s"), O.set_scores(C.tags_in(F.col("model_output")), F.col("gold_doc_ids")).alias("d"), F.col("gold_doc_ids").isNotNull().alias("has"))
+    named = [F.when(F.col("has"), F.col(f"d.{c}")).alias(f"doc_ids_{c}") for c in ("precision", "recall", "f1")]
+    return percent_means(scored.select("s.*", *named), [*S.RETRIEVED, "doc_ids_precision", "doc_ids_recall", "doc_ids_f1"])
