@@ -9,6 +9,7 @@ exact likelihood.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ FLOOR, SUMMED = 0.01, 200_000
 PASSES, HELD_TOKENS = 1, 1 << 19
 FOLDS, HELD = 7, 2
 #: Folds that are joined with their words' emissions together; one lot after the other bounds the disk that shuffles take.
-LOTS = ((0, 1, 2), (3, 4), (5, 6))
+LOTS = ((0, 1), (2, 3), (4, 5), (6,))
 #: The end of a text; no word, as words hold no blank.
 END = b" "
 
@@ -485,7 +486,8 @@ def score_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), states
 
     lots = []
     for lot in LOTS:
-        docs.sparkSession._jvm.System.gc()  # Spark deletes the shuffles of what nothing refers to any more
+        gc.collect()  # Spark deletes the shuffles of plans that nothing refers to any more, here or in its JVM
+        docs.sparkSession._jvm.System.gc()
         lots.append(tables.write(scored(encoded.where(F.col("_fold").isin(*lot))), "scores"))
     tables.drop(encoded, own)
     scored_all = reduce(DataFrame.union, lots)
