@@ -19,7 +19,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioweave.llm.shared import SharedTables, byte_view, fold, pieces, text_or_empty
@@ -411,6 +411,12 @@ def own_times(n: np.ndarray, share: np.ndarray) -> np.ndarray:
     return (n + FLOOR * n.sum(1, keepdims=True)) / share + 1.0
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles of plans that nothing refers to any more, here or in its JVM."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def word_emissions(counted: DataFrame, letters: Alphabet, share: np.ndarray) -> DataFrame:
     """(word, c, e) of the infrequent training words: e holds, for each state, what the word multiplies its class's emissions by."""
     states = share.shape[1]
@@ -439,11 +445,13 @@ def score_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), states
     counts = tables.write(count_words(docs), "counts")
     letters = alphabet(counts, words)
     tables.drop(counts)
+    free_shuffles(docs.sparkSession)
     marked = docs.select("text", F.struct(*names).alias("_keep"), fold("doc_id", FOLDS).cast("int").alias("_fold"), F.monotonically_increasing_id().alias("_row"))
     # a folder per fold: a pass reads the folds that it counts
     encoded = tables.write(encode(marked, letters, ["_keep", "_fold", "_row"]), "encoded", by="_fold")
     model, _ = train(encoded, letters, states, passes)
     counted = tables.write(count_states(encoded, letters, model), "states")
+    free_shuffles(docs.sparkSession)
     sums = collected(counted, letters, states)
     model, share = Hmm.of(sums[0], sums[1 : 1 + states], sums[1 + states :], letters.mass), class_shares(sums, letters)
 
@@ -486,8 +494,7 @@ def score_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), states
 
     lots = []
     for lot in LOTS:
-        gc.collect()  # Spark deletes the shuffles of plans that nothing refers to any more, here or in its JVM
-        docs.sparkSession._jvm.System.gc()
+        free_shuffles(docs.sparkSession)
         lots.append(tables.write(scored(encoded.where(F.col("_fold").isin(*lot))), "scores"))
     tables.drop(encoded, own)
     scored_all = reduce(DataFrame.union, lots)
