@@ -3,9 +3,10 @@
 import pytest
 from against_sql import compare
 
-from folioweave.plans import catalog
+from folioweave.plans import catalog, file_queries, score_queries
 
 SF_DIR = "/root/testdata/sf0.001"
+assert file_queries and score_queries  # they register their queries in the catalogue
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))

@@ -218,3 +218,52 @@ def test_streams(spark, tmp_path):
     rows = stream.read_documents(spark, f"{tmp_path}/vec", vec.schema)
     stream.grow_index(rows, f"{tmp_path}/index", f"{tmp_path}/istate", ["doc_id"]).awaitTermination(120)
     assert sorted(r.chunk_id for r in spark.read.parquet(f"{tmp_path}/index/batch=*").collect()) == list(range(6))
+
+
+def test_settings_merge():
+    from folioweave.plans.settings import merge
+
+    base = {"model": {"name": "m", "window": 10}, "out": "${model.name}/x-${model.window}", "same": "${model.window}", "list": ["${same}"]}
+    got = merge(base, ["model.window=32", "new.deep=true", "model.name=a=b"])
+    assert got == {"model": {"name": "a=b", "window": 32}, "new": {"deep": True}, "out": "a=b/x-32", "same": 32, "list": [32]}
+    assert base["model"]["window"] == 10
+    with pytest.raises(KeyError):
+        merge({"a": "${b}"}, [])
+    with pytest.raises(ValueError):
+        merge({"a": "${b}", "b": "${a}"}, [])
+
+
+def test_missing_labels_and_predictions_are_errors(spark):
+    rows = spark.createDataFrame([(1, None), (2, "x")], "id int, pred string")
+    with pytest.raises(ValueError):
+        inference.labels(rows)
+    with pytest.raises(ValueError):
+        inference.predictions(rows.drop("pred"))
+    with pytest.raises(Exception, match="no prediction"):
+        rows.select(inference.predictions(rows)).collect()
+    with pytest.raises(Exception, match="calls no function"):
+        spark.range(1).select(prompts.task_values("code_run", {"input": F.lit("none here")})["func"]).collect()
+
+
+def test_summary_rouge_by_lines():
+    # the longest common subsequences of a reference line with every predicted line count together, words no more often than both have them
+    assert arrow.rouge_lsum("a b c d\nx y", "a x c\nb") == (2 * 4 / 10, 1.0)
+    assert arrow.rouge_lsum("a", "a a") == (2 / 3, 0.5)
+    assert arrow.rouge_lsum("", "a") == (0.0, 0.0)
+    for t in ("One two, three.", "a b\nc"):
+        assert arrow.rouge_lsum(t, t) == (1.0, 1.0)
+    rnd = random.Random(2)
+    for _ in range(200):
+        a, b = ([rnd.choice("abcd") for _ in range(rnd.randint(1, 9))] for _ in range(2))
+        places = arrow.lcs_places(a, b)
+        assert len(places) == arrow.lcs(a, b)
+
+
+def test_near_duplicates_of_long_texts_are_quick():
+    import time
+
+    rnd = random.Random(3)
+    words_ = [rnd.choice("lorem ipsum dolor sit amet elit sed do".split()) for _ in range(4000)]
+    began = time.perf_counter()
+    assert arrow.partial(" ".join(words_[1000:1100]), " ".join(words_)) == 100.0
+    assert time.perf_counter() - began < 20
