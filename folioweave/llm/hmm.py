@@ -29,7 +29,7 @@ WORDS, CLASSES, STATES = 40_000, 2_000, 8
 #: Bytes of a word that may have a symbol of its own: bounds what is broadcast.
 LONGEST = 64
 #: Share of a word's counts that goes to each state, whatever its contexts; infrequent words that a task sums before it lets go.
-FLOOR, SUMMED = 0.01, 200_000
+FLOOR, SUMMED = 0.01, 400_000
 #: Passes over all training documents after the stepwise one; tokens whose states a task holds at once.
 PASSES, HELD_TOKENS = 1, 1 << 19
 FOLDS, HELD = 7, 2
