@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioweave.functions import overlap as O
+
 
 def ranked(rows: DataFrame, group: list[str], score: str, ties: list[str], name: str = "rank") -> DataFrame:
     """Rows with their place in the group by falling score; ties go by the columns given."""
@@ -46,3 +48,19 @@ def ranking_metrics(placed: DataFrame, ideal: DataFrame, k: int) -> DataFrame:
         F.coalesce(1.0 / F.min(F.when(gold, p)), F.lit(0.0)).alias("mrr"),
     )
     return sums.withColumn("ndcg", F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0))
+
+
+def shared_gold_scores(queries: DataFrame, found: DataFrame, gold: DataFrame) -> DataFrame:
+    """query_id, precision, recall, f1 of each query's items against the gold set of its group; 0 if either is empty.
+
+    queries: query_id, group; found: query_id, item; gold: group, item; repeats count once. The sets meet by joins on
+    group and item and are counted, so a group's gold set may be of any size.
+    """
+    gold = gold.select("group", "item").distinct()
+    sizes = gold.groupBy("group").agg(F.count("*").alias("_gold"))
+    said = found.select("query_id", "item").distinct().join(queries, "query_id")
+    hits = said.join(gold.withColumn("_hit", F.lit(1)), ["group", "item"], "left").groupBy("query_id").agg(F.count("*").alias("_said"), F.count("_hit").alias("_same"))
+    n = lambda c: F.coalesce(c, F.lit(0))
+    of = queries.join(sizes, "group", "left").join(hits, "query_id", "left")
+    both = of.select("query_id", O.ratio(n("_same"), n("_said")).alias("precision"), O.ratio(n("_same"), n("_gold")).alias("recall"))
+    return both.withColumn("f1", O.f1_of(F.col("precision"), F.col("recall")))

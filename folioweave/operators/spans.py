@@ -84,13 +84,25 @@ def sections(tokens: DataFrame, section: Column, names: tuple[str, ...] = ("prom
     )
 
 
-def high_runs(tokens: DataFrame, share: float = 0.9, least: int = 3) -> DataFrame:
-    """instance, from_pos, to_pos, n_tokens, total: runs of `least` or more positions above the instance's percentile."""
+def high_runs(tokens: DataFrame, share: float = 0.9, least: int = 3, block: int = BUCKET) -> DataFrame:
+    """instance, from_pos, to_pos, n_tokens, total: runs of `least` or more positions above the instance's percentile.
+
+    Runs are found in blocks of positions, so an instance's tokens spread over tasks; only runs that touch the edge of a
+    block, two of each block at most, meet by instance to be joined to those of the blocks beside it.
+    """
     limits = tokens.groupBy("instance").agg(F.percentile("score", F.lit(share)).alias("_limit"))
-    high = tokens.join(limits, "instance").where("score > _limit")
-    island = F.col("pos") - F.row_number().over(Window.partitionBy("instance").orderBy("pos"))
-    runs = high.withColumn("_i", island).groupBy("instance", "_i").agg(F.min("pos").alias("from_pos"), F.max("pos").alias("to_pos"), F.count("*").alias("n_tokens"), F.sum("score").alias("total"))
-    return runs.where(F.col("n_tokens") >= least).drop("_i")
+    high = tokens.join(limits, "instance").where("score > _limit").withColumn("_b", F.floor(F.col("pos") / block))
+    island = F.col("pos") - F.row_number().over(Window.partitionBy("instance", "_b").orderBy("pos"))
+    sums = (F.min("from_pos").alias("from_pos"), F.max("to_pos").alias("to_pos"), F.sum("n_tokens").alias("n_tokens"), F.sum("total").alias("total"))
+    parts = high.withColumn("_i", island).groupBy("instance", "_b", "_i").agg(
+        F.min("pos").alias("from_pos"), F.max("pos").alias("to_pos"), F.count("*").alias("n_tokens"), F.sum("score").alias("total")
+    ).drop("_b", "_i")
+    at_edge = (F.pmod("from_pos", F.lit(block)) == 0) | (F.pmod(F.col("to_pos") + 1, F.lit(block)) == 0)
+    by = Window.partitionBy("instance").orderBy("from_pos")
+    starts = F.coalesce((F.col("from_pos") != F.lag("to_pos").over(by) + 1).cast("int"), F.lit(1))
+    edges = parts.where(at_edge).withColumn("_new", starts).withColumn("_run", F.sum("_new").over(by))
+    runs = parts.where(~at_edge).unionByName(edges.groupBy("instance", "_run").agg(*sums).drop("_run"))
+    return runs.where(F.col("n_tokens") >= least)
 
 
 def mark_sinks(tokens: DataFrame, context_start: Column | int, most_position: int = 1000, percent: float = 5.0, group: list[str] | None = None) -> DataFrame:

@@ -293,13 +293,12 @@ def reward_answer(spark, sf_dir):
 @query(f"""WITH {_RANKED}, g AS (SELECT query_id, count(*) FILTER (rank <= 10 AND label = q_label) AS hit, count(*) FILTER (label = q_label) AS gold FROM r GROUP BY query_id)
 SELECT query_id, round(hit / 10.0, 6)::DOUBLE AS precision, round(hit::DOUBLE / gold, 6) AS recall, round(CASE WHEN hit > 0 THEN 2.0 * (hit / 10.0) * (hit::DOUBLE / gold) / (hit / 10.0 + hit::DOUBLE / gold) ELSE 0 END, 6) AS f1 FROM g""")
 def doc_id_f1(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label")
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("group"))
     said = _top(spark, sf_dir, 10).groupBy("query_id").agg(F.array_join(F.collect_list(C.tag(F.col("chunk_id"))), " ").alias("output"))
-    # tags of a label, from a table of as many rows as labels
-    gold = rows.groupBy("label").agg(F.collect_list(C.tag(F.col("chunk_id"))).alias("gold"))
-    of = said.join(rows.withColumnRenamed("chunk_id", "query_id"), "query_id").join(gold, "label")
-    s = O.set_scores(C.tags_in(F.col("output")), F.col("gold"))
-    return of.select("query_id", s.alias("s")).select("query_id", *[F.round(F.col(f"s.{c}"), 6).alias(c) for c in ("precision", "recall", "f1")])
+    found = said.select("query_id", F.explode(C.tags_in(F.col("output"))).alias("item"))
+    queries = said.join(rows.withColumnRenamed("chunk_id", "query_id"), "query_id").select("query_id", "group")
+    s = ranking.shared_gold_scores(queries, found, rows.select("group", C.tag(F.col("chunk_id")).alias("item")))
+    return s.select("query_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query(f"""WITH {_RANKED}, i AS (SELECT *, label = q_label AS gold, row_number() OVER (PARTITION BY query_id ORDER BY label = q_label DESC, CASE WHEN label = q_label THEN 0 ELSE -score END, chunk_id) AS irank, CASE WHEN label = q_label THEN 1.0::DOUBLE ELSE score END AS rel FROM r)

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioweave.functions import arrow
-from folioweave.operators import cited, retrieval, runs, sampling, spans
+from folioweave.operators import cited, ranking, retrieval, runs, sampling, spans
 from folioweave.plans import corpus, inference, prompts, training
 from folioweave.sources import files
 
@@ -267,3 +267,34 @@ def test_near_duplicates_of_long_texts_are_quick():
     began = time.perf_counter()
     assert arrow.partial(" ".join(words_[1000:1100]), " ".join(words_)) == 100.0
     assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 4096])
+def test_runs_cross_blocks(spark, block):
+    """Runs found in blocks are those of a walk over all positions, also where a run covers whole blocks."""
+    draw = random.Random(3)
+    scores = {i: [draw.choice((0.0, 1.0, 2.0)) if (p // 20) % 2 else 3.0 for p in range(-5, 120)] for i in (1, 2)} | {3: [1.0] * 10}
+    tokens = spark.createDataFrame([(i, p - 5, s) for i, row in scores.items() for p, s in enumerate(row)], "instance int, pos int, score double")
+    expected = set()
+    for i, row in scores.items():
+        at = sorted(row)
+        h = (len(row) - 1) * 0.4
+        limit = at[int(h)] + (at[min(int(h) + 1, len(row) - 1)] - at[int(h)]) * (h - int(h))
+        start = None
+        for p, s in enumerate([*row, limit]):
+            if s > limit and start is None:
+                start = p
+            elif s <= limit and start is not None:
+                if p - start >= 2:
+                    expected.add((i, start - 5, p - 6, p - start, sum(row[start:p])))
+                start = None
+    got = spans.high_runs(tokens, 0.4, 2, block).select("instance", "from_pos", "to_pos", "n_tokens", "total").collect()
+    assert len(got) == len(expected) and {tuple(r) for r in got} == expected
+
+
+def test_shared_gold_sets(spark):
+    queries = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "a"), (5, None)], "query_id int, group string")
+    found = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y"), (2, "x"), (3, "z"), (5, "x")], "query_id int, item string")
+    gold = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y"), (None, "x")], "group string, item string")
+    got = {r.query_id: (r.precision, r.recall, round(r.f1, 6)) for r in ranking.shared_gold_scores(queries, found, gold).collect()}
+    assert got == {1: (0.5, 1.0, 0.666667), 2: (0.0, 0.0, 0.0), 3: (0.0, 0.0, 0.0), 4: (0.0, 0.0, 0.0), 5: (0.0, 0.0, 0.0)}
