@@ -500,10 +500,15 @@ def str_em(spark, sf_dir):
 
 def _ok(key: Column) -> Column:
     """A stand-in for the entailment model: whether a set of references supports a sentence."""
-    return (F.pmod(F.crc32(key.cast("binary")), F.lit(3)) > 0).cast("int")
+    return (F.substring(_md5(key), 1, 1) < "b").cast("int")
 
 
-@query()
+@query("""WITH l AS (SELECT l_orderkey AS item, l_linenumber AS sent, min(l_partkey) % 5 AS x, max(l_suppkey) % 4 AS y FROM lineitem GROUP BY ALL),
+v AS (SELECT *, x < 4 AS valid, CASE WHEN x = y THEN 1 ELSE 2 END AS n, md5(item || ':' || sent || ':' || x) < 'b' AS okx, md5(item || ':' || sent || ':' || y) < 'b' AS oky,
+  md5(item || ':' || sent || ':' || CASE WHEN x = y THEN x::VARCHAR ELSE least(x, y) || ',' || greatest(x, y) END) < 'b' AS okxy FROM l),
+s AS (SELECT item, (valid AND okxy)::INT AS joint, CASE WHEN valid THEN n ELSE 0 END AS t,
+  CASE WHEN NOT valid OR NOT okxy THEN 0 WHEN n = 1 THEN 1 ELSE (okx OR NOT oky)::INT + (oky OR NOT okx)::INT END AS g FROM v)
+SELECT item AS item_id, round(avg(joint), 6) AS citation_recall, round(CASE WHEN sum(t) > 0 THEN sum(g) / sum(t)::DOUBLE ELSE 0 END, 6) AS citation_precision FROM s GROUP BY item""")
 def citation_pr(spark, sf_dir):
     """Sentences are line items of an order; references come from their keys."""
     l = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("a"), F.max("l_suppkey").alias("b"))
@@ -528,24 +533,53 @@ def reward_id_f1(spark, sf_dir):
 
 
 def _solutions(spark, sf_dir):
-    """Outputs that cite the turns of a conversation; every third cites a wrong one."""
+    """Outputs that cite the first turns of a conversation; every third gives the second turn the first one's words."""
     rows = _turns(spark, sf_dir).withColumn("docs", C.parse(F.col("training_context")))
     gold = F.filter("docs", lambda d: F.array_contains("gold_doc_ids", C.tag(d["doc_id"])))
-    return rows.select("conv_id", "gold_doc_ids", F.transform(gold, lambda d: d["content"]).alias("gold"), F.slice("docs", 1, 3).alias("said"), F.concat(F.lit("number "), F.col("conv_id").cast("string")).alias("answer"))
+    wrong = F.col("conv_id") % 3 == 0
+    said = lambda d, i: F.struct(d["doc_id"].alias("doc_id"), F.when(wrong & (i == 1), F.get("docs", 0)["content"]).otherwise(d["content"]).alias("content"))
+    answer = F.concat(F.lit("number "), F.col("conv_id").cast("string"))
+    return rows.select("conv_id", "gold_doc_ids", wrong.alias("wrong"), F.transform(gold, lambda d: d["content"]).alias("gold"), F.transform(F.slice("docs", 1, 3), said).alias("said"), answer.alias("answer"))
 
 
-@query()
+_SAID = f"{_CONV}, t AS (SELECT conv_id, i, role = 'assistant' AS gold, body, CASE WHEN conv_id % 3 = 0 AND i = 1 THEN first_value(body) OVER (PARTITION BY conv_id ORDER BY i) ELSE body END AS said FROM c)"
+#: fz: key, fuzzy of the texts a and b of p
+_FUZZY = f"""fq AS (SELECT key, replace(lower(a), ' ', '') AS x, replace(lower(b), ' ', '') AS y, list_distinct({_words('lower(a)')}) AS v, list_distinct({_words('lower(b)')}) AS w FROM p),
+fg AS (SELECT *, string_split(x, '') AS cx, string_split(y, '') AS cy, {_grams('x', 2)} AS x2, {_grams('y', 2)} AS y2, {_grams('x', 3)} AS x3, {_grams('y', 3)} AS y3 FROM fq),
+fz AS (SELECT key, greatest({_f1('cx', 'cy')}, {_jaccard('x2', 'y2')}, {_jaccard('x3', 'y3')}, {_jaccard('v', 'w')}) AS fuzzy FROM fg)"""
+
+
+@query(f"""WITH {_SAID}, p AS (SELECT conv_id AS key, said AS a, body AS b FROM t WHERE i < 3 AND gold AND said <> ''), {_FUZZY},
+m AS (SELECT key AS conv_id, avg(fuzzy) AS content FROM fz GROUP BY key),
+n AS (SELECT conv_id, count_if(i < 3) AS said, count_if(gold) AS gold, count_if(i < 3 AND gold) AS hit FROM t GROUP BY conv_id)
+SELECT conv_id, round(greatest(0, 1.5 * CASE WHEN hit > 0 THEN 2.0 * hit / (said + gold) ELSE 0 END + coalesce(content, 0) + 2.0 + 0.3 - 0.3 * (said - hit)), 6)::DOUBLE AS reward FROM n LEFT JOIN m USING (conv_id)""")
 def reward_content(spark, sf_dir):
     s = _solutions(spark, sf_dir)
     said = F.concat(F.lit("Relevant documents:\n"), C.render(F.col("said")), F.lit("The answer is: "), "answer", F.lit("."))
     return s.select("conv_id", F.round(R.content_reward(said, F.col("answer"), F.col("gold"), F.col("gold_doc_ids")), 6).alias("reward"))
 
 
-@query()
+_BEST = "SELECT * FROM {} QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY fuzzy DESC, i, j) = 1"
+_REST = "SELECT a.* FROM {} a JOIN {} b ON a.conv_id = b.conv_id AND a.i <> b.i AND a.j <> b.j"
+
+
+@query(f"""WITH {_SAID}, q AS (SELECT conv_id, said, '"' || said || '"' AS quote, min(i) AS i FROM t WHERE i < 3 AND len(said) > 3 GROUP BY conv_id, said),
+p AS (SELECT struct_pack(conv_id := q.conv_id, i := q.i, j := t.i) AS key, quote AS a, body AS b FROM q JOIN t ON q.conv_id = t.conv_id AND gold), {_FUZZY},
+p1 AS (SELECT key.conv_id AS conv_id, key.i AS i, key.j AS j, fuzzy FROM fz WHERE fuzzy >= 0.8), m1 AS ({_BEST.format('p1')}),
+p2 AS ({_REST.format('p1', 'm1')}), m2 AS ({_BEST.format('p2')}), p3 AS ({_REST.format('p2', 'm2')}), m3 AS ({_BEST.format('p3')}),
+m AS (SELECT conv_id, count(*) AS n FROM (SELECT conv_id FROM m1 UNION ALL SELECT conv_id FROM m2 UNION ALL SELECT conv_id FROM m3) GROUP BY conv_id),
+l AS (SELECT conv_id, len({_words('quote')}) AS words FROM q),
+o AS (SELECT conv_id, count(*) AS quotes, least(sum(CASE WHEN words > 30 THEN 0.1 + 0.02 * (words - 30) ELSE 0 END), 1.0) AS over FROM l GROUP BY conv_id),
+g AS (SELECT conv_id, count_if(gold) AS gold, bool_or(i < 3 AND left(said, 1) NOT IN (chr(34), chr(39), '')) AS quoted FROM t GROUP BY conv_id)
+SELECT conv_id, round(greatest(0, coalesce(n, 0) / greatest(coalesce(quotes, 0), 1)::DOUBLE + coalesce(n, 0) / greatest(gold, 1)::DOUBLE
+  + CASE WHEN n > 0 THEN 2.0 * gold / (2 * gold + CASE WHEN conv_id % 3 = 0 THEN 1 ELSE 0 END) ELSE 0 END + 1
+  + 0.2 * (0.5 + 0.25 * quoted::INT + 0.25 * (coalesce(quotes, 0) > 0)::INT) - 0.1 * coalesce(over, 0)), 6)::DOUBLE AS reward
+FROM g LEFT JOIN m USING (conv_id) LEFT JOIN o USING (conv_id)""")
 def reward_quote(spark, sf_dir):
     s = _solutions(spark, sf_dir)
     quotes = F.array_join(F.transform("said", lambda d, i: F.concat(F.lit("Quote "), (i + 1).cast("string"), F.lit(': "'), d["content"], F.lit('"\n'))), "")
-    said = F.concat(quotes, F.lit("Relevant Document IDs: "), F.array_join("gold_doc_ids", ", "), F.lit("\nThe answer is: "), "answer", F.lit("."))
+    tags = F.array_join(F.when(F.col("wrong"), F.array_append("gold_doc_ids", F.lit("[DOC 99]"))).otherwise(F.col("gold_doc_ids")), ", ")
+    said = F.concat(quotes, F.lit("Relevant Document IDs: "), tags, F.lit("\nThe answer is: "), "answer", F.lit("."))
     return s.select("conv_id", F.round(R.quote_reward(said, F.col("answer"), F.col("gold"), F.col("gold_doc_ids")), 6).alias("reward"))
 
 
