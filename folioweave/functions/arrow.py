@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -30,34 +31,49 @@ def indel(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * lcs(a, b) / (len(a) + len(b))
 
 
-def partial(a: str, b: str) -> float:
-    """The best indel ratio of the shorter text with a window of the longer, cut windows at both ends included.
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def window_origins(a: str, b: str) -> np.ndarray:
+    """For each place q of b a place p <= q or less than 0: LCS(a, b[s:e]) is e - s less the number of s <= p, q < e.
 
-    A window's common characters, counted as they enter and leave, bound its ratio: only windows that may still win are
-    compared in full.
+    Strands enter a grid of a's rows and b's columns from its left side and from above, and turn where characters match;
+    two that have crossed before turn as well. q is where one leaves below, p where it came from above. All windows of b
+    are so compared in one pass, by diagonals, whose cells do not depend on each other.
     """
+    up, across = codes(a)[::-1], codes(b)
+    m, n = len(up), len(across)
+    side, top = np.arange(-m, 0, dtype=np.int32), np.arange(n, dtype=np.int32)
+    for d in range(m + n - 1):
+        x, j = max(0, m - 1 - d), max(0, d - m + 1)
+        w = min(m - x, n - j)
+        h, v = side[x : x + w], top[j : j + w]
+        turn = (up[x : x + w] == across[j : j + w]) | (h > v)
+        side[x : x + w], top[j : j + w] = np.where(turn, v, h), np.where(turn, h, v)
+    return top
+
+
+def partial(a: str, b: str) -> float:
+    """The best indel ratio of the shorter text with a window of the longer, cut windows at both ends included."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
-    n = len(a)
-    want, have, same, best = Counter(a), Counter(), 0, 0.0
-    bounds = []
-    for end in range(1, len(b) + n):
-        if end <= len(b):
-            c = b[end - 1]
-            have[c] += 1
-            same += have[c] <= want[c]
-        if end > n:
-            c = b[end - n - 1]
-            same -= have[c] <= want[c]
-            have[c] -= 1
-        bounds.append((200.0 * same / (n + min(end, n, len(b) + n - end)), end))
-    for bound, end in sorted(bounds, key=lambda x: -x[0]):
-        if bound <= best:
-            break
-        best = max(best, indel(a, b[max(0, end - n) : end]))
-    return best
+    if a in b:
+        return 100.0
+    n, m = len(a), len(b)
+    p = window_origins(a, b)
+    q = np.flatnonzero(p >= 0)
+    p = p[q]
+    # lost[s]: pairs inside the window of n characters from s, which are those of s between q - n + 1 and p
+    near = q - p < n
+    lost = np.cumsum(np.bincount(np.maximum(q[near] - n + 1, 0), minlength=m + 1) - np.bincount(p[near] + 1, minlength=m + 1))[: m - n + 1]
+    cut = np.arange(1, n)
+    head = cut - np.cumsum(np.bincount(q, minlength=m))[cut - 1]
+    tail = cut - np.cumsum(np.bincount(p, minlength=m)[::-1])[cut - 1]
+    ends = np.maximum(head, tail) / (n + cut)
+    return 200.0 * max((n - int(lost.min())) / (2 * n), float(ends.max(initial=0.0)))
 
 
 def token_sort(a: str, b: str) -> float:
@@ -132,6 +148,12 @@ def rouge_lsum(prediction: str, reference: str) -> tuple[float, float]:
     return (0.0, 0.0) if not n else (2 * n / sum(sizes), n / sizes[1])
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """rows dealt by key over all tasks of a shuffle: few bytes that are dear to compare are not put together for their size."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
+
+
 @F.pandas_udf(DoubleType())
 def near_duplicate_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else near_duplicate(x, y) for x, y in zip(a, b, strict=True)], dtype=float)

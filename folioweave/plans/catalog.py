@@ -230,7 +230,7 @@ SELECT conv_id, turn, round(char_f1, 6) AS char_f1, round(bigram, 6) AS bigram,
 def fuzzy_score(spark, sf_dir):
     a, b = F.col("a"), F.col("b")
     r = lambda c, n: F.round(c, 6).alias(n)
-    return _pairs(spark, sf_dir).select("conv_id", "turn", r(O.char_f1(a, b), "char_f1"), r(O.ngram_jaccard(a, b, 2), "bigram"), r(O.ngram_jaccard(a, b, 3), "trigram"), r(O.word_jaccard(a, b), "word"), r(O.fuzzy_score(a, b), "fuzzy"))
+    return arrow.spread(_pairs(spark, sf_dir), "conv_id", "turn").select("conv_id", "turn", r(O.char_f1(a, b), "char_f1"), r(O.ngram_jaccard(a, b, 2), "bigram"), r(O.ngram_jaccard(a, b, 3), "trigram"), r(O.word_jaccard(a, b), "word"), r(O.fuzzy_score(a, b), "fuzzy"))
 
 
 @query(f"""WITH n AS (SELECT doc_id, lead(doc_id) OVER (ORDER BY doc_id) AS other FROM documents), w AS (SELECT doc_id, unnest({_words(_norm('text'))}) AS w FROM documents),
@@ -534,7 +534,7 @@ def reward_id_f1(spark, sf_dir):
 
 def _solutions(spark, sf_dir):
     """Outputs that cite the first turns of a conversation; every third gives the second turn the first one's words."""
-    rows = _turns(spark, sf_dir).withColumn("docs", C.parse(F.col("training_context")))
+    rows = arrow.spread(_turns(spark, sf_dir), "conv_id").withColumn("docs", C.parse(F.col("training_context")))
     gold = F.filter("docs", lambda d: F.array_contains("gold_doc_ids", C.tag(d["doc_id"])))
     wrong = F.col("conv_id") % 3 == 0
     said = lambda d, i: F.struct(d["doc_id"].alias("doc_id"), F.when(wrong & (i == 1), F.get("docs", 0)["content"]).otherwise(d["content"]).alias("content"))
@@ -608,13 +608,13 @@ def context_labels(spark, sf_dir):
 
 @query()
 def near_dup_score(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(arrow.near_duplicate_score("a", "b"), 6).alias("score"))
+    return arrow.spread(_pairs(spark, sf_dir), "conv_id", "turn").select("conv_id", "turn", F.round(arrow.near_duplicate_score("a", "b"), 6).alias("score"))
 
 
 @query()
 def rouge_l(spark, sf_dir):
     s = arrow.rouge_l_score(F.col("b"), F.array("a"))
-    return _pairs(spark, sf_dir).select("conv_id", "turn", s.alias("s")).select("conv_id", "turn", F.round("s.f1", 6).alias("f1"), F.round("s.recall", 6).alias("recall"))
+    return arrow.spread(_pairs(spark, sf_dir), "conv_id", "turn").select("conv_id", "turn", s.alias("s")).select("conv_id", "turn", F.round("s.f1", 6).alias("f1"), F.round("s.recall", 6).alias("recall"))
 
 
 @query()
