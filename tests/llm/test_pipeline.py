@@ -96,3 +96,17 @@ def test_stages_keep_the_columns(spark):
         if name != "benchmark decontamination":
             assert stage(spark, docs, "").columns == docs.columns
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "simhash near-dedup", "benchmark decontamination", "personal data", "source mixing"]
+
+
+def test_no_documents(spark, tmp_path):
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], names).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "some words of a benchmark")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.collect() == [] and got.columns[:5] == [n.split()[0] for n in names.split(", ")]
+
+
+def test_documents_without_a_text(spark, tmp_path):
+    spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -50,3 +50,15 @@ def test_held_out_accuracy(spark):
     assert len(got) > 50 and sum(r.verdict == r.label for r in got) / len(got) > 0.85
     again = urls.judge(pages, URL_RULES, urls.train(labelled)).where("rule IS NULL").groupBy("verdict").count().collect()
     assert len(again) >= 1
+
+
+def test_very_long_urls_and_no_pages(spark):
+    train = spark.createDataFrame([("h://good.org/a", "allow"), ("h://bad.org/b", "block")] * 3, "url string, label string")
+    weights = urls.train(train)
+    long = "h://bad.org/" + "b" * 1_000_000
+    pages = spark.createDataFrame([(1, long), (2, "h://x." * 50_000 + "com/en/" + "?q" * 500_000), (3, long), (4, "h://" + "y." * 100_000 + "com/en/é")], "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge(pages, URL_RULES, weights).collect()}
+    assert len(got) == 4 and all(0 <= r.score <= 1 for r in got.values())
+    assert (got[1].path, got[1].score, got[1].verdict) == (long[11:], got[3].score, got[3].verdict)
+    assert (got[4].rule, got[4].verdict, got[2].rule) == ("com/en/", "block", None)
+    assert urls.judge(pages.where("false"), URL_RULES, weights).collect() == []
