@@ -1,4 +1,4 @@
-"""The ten queries of this subpackage and, where SQL can say it, their SQL."""
+"""The queries of this subpackage and, where SQL can say it, their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import ann, decontam, hmm, langid, mixing, pii, simhash, tokencounts, urls, warc
+from folioweave.llm import ann, decontam, hmm, langid, mixing, pii, prefixtrie, simhash, tokencounts, urls, warc
 from folioweave.llm.shared import SharedTables
 
 
@@ -77,6 +77,10 @@ def op8_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.section_tokens(read(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(prefixtrie.share_openings(prefixtrie.paths(read(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_hmm_scores": op2_hmm_scores,
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_section_tokens": op8_section_tokens,
     "op9_hierarchical_language": op9_hierarchical_language,
     "op10_collision_neighbours": op10_collision_neighbours,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -147,4 +152,32 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
        array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 10 * (i // 8) + 1, 10))::BIGINT >> (5 * (7 - i % 8))) & 31)::INT + 1, 1)), '') AS payload_digest,
        CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN response END AS refers_to
 FROM q""",
+    "op13_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id, turn, dense_rank() OVER (ORDER BY coalesce(role, ''), coalesce(text, '')) AS x,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'x': x, 'w': w} ORDER BY turn NULLS FIRST, x) AS p FROM t GROUP BY conv_id),
+bits AS (
+  SELECT b, list_reduce(list_prepend(b::BIGINT, range(8)), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::BIGINT) ELSE r >> 1 END) AS v
+  FROM (SELECT unnest(range(256)) AS b)),
+tab AS (SELECT list(v ORDER BY b) AS v FROM bits),
+h AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i::INT, 1))::BIGINT)),
+           lambda c, b: xor(v[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT) % 4 AS h
+  FROM own, tab),
+full_ AS (
+  SELECT o.conv_id, list_concat(coalesce(s.p[1:h], []), o.p[h + 1:]) AS p
+  FROM own o JOIN h USING (conv_id) LEFT JOIN own s ON s.conv_id = o.conv_id - o.conv_id % 20),
+pre AS (SELECT conv_id, len(p) AS n, d, p[1:d] AS q FROM (SELECT *, unnest(range(0, len(p) + 1)) AS d FROM full_)),
+node AS (
+  SELECT q, d, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CASE WHEN n = d THEN conv_id::VARCHAR END, ',' ORDER BY conv_id) AS ends
+  FROM pre GROUP BY q, d),
+kid AS (SELECT q[1:d - 1] AS q, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+both_ AS (SELECT node.*, coalesce(kid.n, 0) AS kids FROM node LEFT JOIN kid ON kid.d = node.d AND kid.q = node.q),
+up AS (SELECT q[1:k] AS q, k AS d, kids, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * q[d].w END AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM both_)),
+sub AS (SELECT q, d, count(*) FILTER (WHERE kids = 0) AS leaves, sum(saved) AS saved FROM up GROUP BY q, d)
+SELECT b.conv_id, b.d::BIGINT AS depth, par.conv_id AS parent_conv_id, b.n_convs, b.kids::BIGINT AS n_children, leaves::BIGINT AS n_leaves, sub.saved::BIGINT AS saved_tokens,
+       sha256(coalesce(b.ends, '')) AS ends_sha256
+FROM both_ b JOIN sub ON sub.d = b.d AND sub.q = b.q LEFT JOIN node par ON par.d = b.d - 1 AND par.q = b.q[1:b.d - 1]""",
 }
