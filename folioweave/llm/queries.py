@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import ann, decontam, hmm, langid, mixing, pii, prefixtrie, simhash, tokencounts, urls, warc
+from folioweave.llm import ann, decontam, hmm, langid, mixing, pii, prefixtrie, repeats, simhash, tokencounts, urls, warc
 from folioweave.llm.shared import SharedTables
 
 
@@ -77,6 +77,10 @@ def op8_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.section_tokens(read(spark, sf_dir, "documents"))
 
 
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"), texts=False)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.prefix_trie(prefixtrie.share_openings(prefixtrie.paths(read(spark, sf_dir, "conversations"))))
 
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_section_tokens": op8_section_tokens,
     "op9_hierarchical_language": op9_hierarchical_language,
     "op10_collision_neighbours": op10_collision_neighbours,
+    "op12_repeated_passages": op12_repeated_passages,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -152,6 +157,16 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
        array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 10 * (i // 8) + 1, 10))::BIGINT >> (5 * (7 - i % 8))) & 31)::INT + 1, 1)), '') AS payload_digest,
        CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN response END AS refers_to
 FROM q""",
+    "op12_repeated_passages": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT rid, doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS h FROM (SELECT *, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)),
+f AS (SELECT h, min(doc_id) AS first FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT rid, unnest(range(i, i + 50)) AS p FROM w JOIN f USING (h) WHERE doc_id > first),
+r AS (SELECT rid, count(*) AS n, list(p) AS gone FROM g GROUP BY rid),
+x AS (SELECT d.*, n, list_transform(range(1, len(ws) + 1), lambda p: NOT list_contains(gone, p)) AS stays FROM d JOIN r USING (rid))
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(x.n, 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN x.rid IS NULL THEN array_to_string(d.ws, ' ') ELSE array_to_string(list_where(x.ws, x.stays), ' ') END) AS kept_sha256
+FROM d LEFT JOIN x USING (rid)""",
     "op13_prefix_trie": r"""
 WITH t AS (
   SELECT conv_id, turn, dense_rank() OVER (ORDER BY coalesce(role, ''), coalesce(text, '')) AS x,
