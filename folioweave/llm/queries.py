@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import ann, decontam, hmm, langid, mixing, pii, prefixtrie, repeats, simhash, tokencounts, urls, warc
+from folioweave.llm import ann, decontam, hmm, langid, lexical, mixing, pii, prefixtrie, repeats, simhash, tokencounts, urls, warc
 from folioweave.llm.shared import SharedTables
 
 
@@ -77,6 +77,10 @@ def op8_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.section_tokens(read(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(read(spark, sf_dir, "documents"), texts=False)
 
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_section_tokens": op8_section_tokens,
     "op9_hierarchical_language": op9_hierarchical_language,
     "op10_collision_neighbours": op10_collision_neighbours,
+    "op11_ranked_search": op11_ranked_search,
     "op12_repeated_passages": op12_repeated_passages,
     "op13_prefix_trie": op13_prefix_trie,
 }
@@ -157,6 +162,26 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
        array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 10 * (i // 8) + 1, 10))::BIGINT >> (5 * (7 - i % 8))) & 31)::INT + 1, 1)), '') AS payload_digest,
        CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN response END AS refers_to
 FROM q""",
+    "op11_ranked_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+n AS (SELECT count(*) FILTER (WHERE len(ts) > 0)::BIGINT AS N, coalesce(sum(len(ts)), 0)::BIGINT AS L FROM d),
+q AS (
+  SELECT iid, item_id, t, count(*)::BIGINT AS c
+  FROM (SELECT row_number() OVER () AS iid, item_id,
+               unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)
+  GROUP BY ALL),
+p AS (
+  SELECT rid, doc_id, t, count(*)::BIGINT AS tf, (75 + (25 * any_value(len(ts))::BIGINT * any_value(N)) // any_value(L))::BIGINT AS m
+  FROM (SELECT rid, doc_id, ts, N, L, unnest(ts) AS t FROM d, n) WHERE t IN (SELECT t FROM q) GROUP BY rid, doc_id, t),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(N) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, n GROUP BY t),
+s AS (
+  SELECT iid, item_id, rid, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN p USING (t) JOIN w USING (t) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM s WHERE score > 0) WHERE rank <= 20""",
     "op12_repeated_passages": r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 w AS (SELECT rid, doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS h FROM (SELECT *, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)),

@@ -19,6 +19,8 @@ def test_columns(spark):
         "op7_simhash_components": "doc_id fingerprint component_id",
         "op9_hierarchical_language": "doc_id held_out lang_pred score",
         "op10_collision_neighbours": "query_id rank vec_id score",
+        "op11_ranked_search": "item_id rank doc_id score",
+        "op12_repeated_passages": "doc_id n_words n_removed kept_sha256",
     }
     for name, columns in want.items():
         assert set(columns.split()) <= set(queries.QUERIES[name](spark, SF_DIR).columns)
