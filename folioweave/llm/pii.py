@@ -33,6 +33,17 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+#: A local part that has none of these is a word like any other (support@, editor@): its uses elsewhere say nothing.
+_NAMED = re.compile(r"[0-9._%+]")
+#: Words that say of a bare number after them that it is something else than a phone or card number.
+_THINGS = frozenset(
+    "part parts order orders item items article product model serial sku lot batch invoice ticket case ref reference id isbn version "
+    "teil artikel bestellung auftrag rechnung produkt modell referenz vorgang "
+    "pieza pedido articulo artículo producto modelo factura referencia lote serie "
+    "pièce commande article produit modèle facture référence lot série".split()
+)
+#: Log odds against a label that such a word gives.
+NAMED_THING = 12.0
 _EDGE = "\"'.,;:!?()[]{}<>|"
 
 Span = tuple[int, int, int]
@@ -86,10 +97,13 @@ def shape(token: str) -> int:
 
 
 def keys(token: str) -> list[str]:
-    """Tokens with a key in common are repeated or similar: the text, an address's local part, the digits alone."""
+    """Tokens with a key in common are repeated or similar: the text, an address's local part, the digits alone.
+
+    A local part of letters only is no key: it may be any word, and nothing in the document tells its uses from a name's.
+    """
     low = token.lower()
     out = [low] if len(low) >= KEY_CHARS else []
-    if "@" in low and len(local := low.partition("@")[0]) >= KEY_CHARS:
+    if "@" in low and len(local := low.partition("@")[0]) >= KEY_CHARS and _NAMED.search(local):
         out.append(local)
     digits = _NOT_DIGIT.sub("", low)
     if len(digits) >= KEY_DIGITS and digits != low and not any(map(str.isalpha, low)):
@@ -97,6 +111,14 @@ def keys(token: str) -> list[str]:
     return out
 
 
+def _says_thing(text: str, before: tuple[int, int, int, int], token: tuple[int, int, int, int]) -> bool:
+    """Whether the token just before is a word of _THINGS, as in "order no. 17", "Part #17" and "part 17"."""
+    words = re.findall(r"[^\W\d_]+", text[max(0, before[0] - 24) : token[0]].lower())
+    if words and words[-1] in ("no", "nr", "num", "number", "nummer", "número", "numéro"):
+        words.pop()
+    return bool(words) and words[-1] in _THINGS
+
+
 class Field:
     """The tokens of a text that its entities reach: tokens of base spans, and tokens that share a key with one."""
 
@@ -134,17 +156,19 @@ class Field:
         self.tokens = [tokens[n] for n in kept]
         self.shapes = np.array([shape(text[t[0] : t[1]]) for t in self.tokens], int)
         self.labels = np.array([t[2] for t in self.tokens], int)
+        #: tokens without a letter whose word before names a thing
+        self.things = np.array([bool(n) and not any(map(str.isalpha, text[tokens[n][0] : tokens[n][1]])) and _says_thing(text, tokens[n - 1], tokens[n]) for n in kept], bool)
         #: skip links join each mention to the next one of its key, and one in no entity to an entity's mention of the key,
         #: so a key costs two links per mention and a label reaches every mention in one step
         links = {(number[a], number[b]) for g in groups for a, b in [*zip(g, g[1:], strict=False), *self._anchors(g, tokens)]}
         self.skip = np.array(sorted(links), int).reshape(-1, 2)
         self.chain = np.array([(k, k + 1) for k in range(len(kept) - 1) if self.tokens[k][3] + 1 == self.tokens[k + 1][3]], int).reshape(-1, 2)
 
-        #: tokens with a digit or "@" that nothing links to an entity: known to be none, for fitting
+        #: tokens with a digit or "@", or long enough for a key, that nothing links to an entity: known to be none, for fitting
         self.others = [
             (shape(text[t[0] : t[1]]), tokens[n - 1][2] if n and tokens[n - 1][3] + 1 == t[3] else 0)
             for n, t in enumerate(tokens)
-            if not t[2] and n not in number and ("@" in text[t[0] : t[1]] or _DIGIT.search(text, t[0], t[1]))
+            if not t[2] and n not in number and (t[1] - t[0] >= KEY_CHARS or "@" in text[t[0] : t[1]] or _DIGIT.search(text, t[0], t[1]))
         ]
 
     @staticmethod
@@ -178,6 +202,7 @@ class Field:
         """
         rounds = 100 + 4 * len(self.tokens) if rounds is None else rounds
         unary = weights.shape[self.shapes].copy()
+        unary[self.things, 1:] -= NAMED_THING
         fixed = self.labels > 0
         unary[fixed] = -np.inf  # no number of messages from repeats outweighs it
         unary[fixed, self.labels[fixed]] = 0.0

@@ -110,3 +110,12 @@ def test_documents_without_a_text(spark, tmp_path):
     spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_personal_data_stage_keeps_clean_words(spark):
+    """Words and part numbers that look like an entity's parts stay; true repeats go, however many."""
+    plain = "Write to support@example.com for help. Our support is good and customer support is open. Part 17845559263 in stock."
+    rows = [(1, plain, "en", "a", len(plain)), (2, "Call +1 (784) 555-9263" + " or 7845559263 then" * 1000, "en", "a", 0), (3, "Our support editor", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.personal_data(spark, docs, "").collect()}
+    assert kept == {1: plain.replace("support@example.com", "[EMAIL]"), 2: "Call [PHONE]" + " or [PHONE] then" * 1000, 3: rows[2][1]}
