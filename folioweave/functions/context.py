@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioweave.functions.text import let, strip, word_count
+from folioweave.functions import offsets
+from folioweave.functions.text import DIGIT, SPACE, ascii_digits, let, strip, word_count
 
 # How a document is marked.
-MARKER = r"\[DOC (\d+)\]\s*"
-TAG = r"(?i)\[DOC\s+[^\]]+?\]"
-BOUND = r"\[DOC\s+(?:\d+|\w+)\]"
+MARKER = rf"\[DOC ({DIGIT}+)\]{SPACE}*"
+TAG = rf"(?i)\[DOC{SPACE}+[^\]]+?\]"
 DOCS = "array<struct<doc_id:int,content:string>>"
 
 
@@ -28,27 +28,24 @@ def number(texts: Column) -> Column:
     return F.transform(texts, lambda t, i: F.struct(i.alias("doc_id"), t.alias("content"))).cast(DOCS)
 
 
-def parse(context: Column) -> Column:
-    """The documents of a context; empty ones stay, text before the first marker goes. Linear: ids and bodies zipped."""
+def numbered_bodies(context: Column) -> Column:
+    """array<struct<number, content>>: each document's number as it is written, in ASCII digits, and its stripped text."""
     ids = F.regexp_extract_all(context, F.lit(MARKER), 1)
     bodies = F.slice(F.split(context, MARKER, -1), F.lit(2), F.size(F.split(context, MARKER, -1)))
-    return F.transform(F.arrays_zip(ids.alias("i"), bodies.alias("b")), lambda z: F.struct(z["i"].cast("int").alias("doc_id"), strip(z["b"]).alias("content"))).cast(DOCS)
+    return F.transform(F.arrays_zip(ids.alias("i"), bodies.alias("b")), lambda z: F.struct(ascii_digits(z["i"]).alias("number"), strip(z["b"]).alias("content")))
 
 
-def bounds(text: Column) -> Column:
-    """array<struct<start, end, text>> of the documents with their tags; without a tag the whole text is one."""
-    bodies = F.split(text, BOUND, -1)
-    heads = F.regexp_extract_all(text, F.lit(BOUND), 0)
-    pieces = F.transform(F.arrays_zip(heads.alias("h"), F.slice(bodies, F.lit(2), F.size(bodies)).alias("b")), lambda z: F.concat(z["h"], z["b"]))
-    kind = "struct<at:int,found:array<struct<start:int,end:int,text:string>>>"
-    first = F.struct(F.length(F.get(bodies, 0)).alias("at"), F.array().alias("found")).cast(kind)
+def parse(context: Column) -> Column:
+    """The documents of a context; empty ones stay, text before the first marker goes. Linear: ids and bodies zipped.
+
+    A number of 2^31 or more, which no context of ours has, is null; its document stays.
+    """
+    return F.transform(numbered_bodies(context), lambda z: F.struct(z["number"].try_cast("int").alias("doc_id"), z["content"])).cast(DOCS)
 
-    def step(s: Column, p: Column) -> Column:
-        end = s["at"] + F.length(p)
-        return F.struct(end.alias("at"), F.array_append(s["found"], F.struct(s["at"].alias("start"), end.alias("end"), p.alias("text"))).alias("found")).cast(kind)
 
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"), text.alias("text")))
-    return F.when(F.size(heads) > 0, F.aggregate(pieces, first, step)["found"]).otherwise(whole)
+def bounds(text: Column) -> Column:
+    """array<struct<start, end, text>> of the documents with their tags; without a tag the whole text is one."""
+    return offsets.documents(text)
 
 
 def gold_span(text: Column, doc_id: Column, content: Column) -> Column:
@@ -62,8 +59,8 @@ def gold_span(text: Column, doc_id: Column, content: Column) -> Column:
 
 
 def tag_number(value: Column) -> Column:
-    """The number of a `[DOC n]` tag, null for anything else."""
-    return F.nullif(F.regexp_extract(value, r"\A\[DOC (\d+)\]", 1), F.lit("")).cast("int")
+    """The number of a `[DOC n]` tag, null for anything else and for 2^31 or more."""
+    return ascii_digits(F.regexp_extract(value, rf"\A\[DOC ({DIGIT}+)\]", 1)).try_cast("int")
 
 
 def tag_numbers(tags: Column) -> Column:
@@ -77,8 +74,9 @@ def tags_in(text: Column) -> Column:
 
 
 def sort_tags(tags: Column) -> Column:
-    """By number; tags without one count as 0."""
-    n = lambda t: F.coalesce(F.nullif(F.regexp_extract(t, r"(\d+)", 1), F.lit("")).cast("int"), F.lit(0))
+    """By number, of any length; tags without one count as 0."""
+    digits = lambda t: F.ltrim(ascii_digits(F.regexp_extract(t, f"({DIGIT}+)", 1)), F.lit("0"))
+    n = lambda t: let(digits(t), lambda d: F.struct(F.length(d).alias("n"), d.alias("d")))
     return F.array_sort(tags, lambda a, b: F.when(n(a) < n(b), -1).when(n(a) > n(b), 1).otherwise(0))
 
 

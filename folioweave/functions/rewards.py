@@ -15,8 +15,9 @@ from folioweave.functions import text as T
 QUOTE_WEIGHTS = {"quote": 1.0, "coverage": 1.0, "id": 1.0, "answer": 1.0, "format": 0.2, "length": 0.1}
 CONTENT_WEIGHTS = {"id": 1.5, "content": 1.0, "answer": 2.0, "format": 0.3, "irrelevant": 0.3}
 MATCH, LONG_QUOTE, MOST_QUOTES = 0.8, 30, 10
-SECTION = r"(?is)Relevant documents:\s*(.*?)(?=The answer is:|$)"
-QUOTED = r"(?i)(?:Quote|Passage|Document|Extract|Reference)\s+\d+:\s*[\"'][^\"']+[\"']"
+SECTION = rf"(?isud)Relevant documents:{T.SPACE}*(.*?)(?=The answer is:|$)"
+QUOTED = rf"(?iu)(?:Quote|Passage|Document|Extract|Reference){T.SPACE}+{T.DIGIT}+:{T.SPACE}*[\"'][^\"']+[\"']"
+TAGGED = rf"\[DOC{T.SPACE}+({T.DIGIT}+)\]"
 
 
 def _answered(output: Column, truth: Column) -> Column:
@@ -51,7 +52,7 @@ def greedy_matches(left: Column, right: Column, threshold: float = MATCH) -> Col
 
 def quote_format(output: Column, quotes: Column) -> Column:
     """A quarter each: quoted quotes, a header of ids, an answer, one to ten quotes."""
-    checks = [output.rlike(QUOTED), output.rlike(r"(?i)Relevant Document IDs?:"), output.rlike(r"(?i)The answer is:\s*"), F.size(quotes).between(1, MOST_QUOTES)]
+    checks = [output.rlike(QUOTED), output.rlike("(?iu)Relevant Document IDs?:"), output.rlike("(?iu)The answer is:"), F.size(quotes).between(1, MOST_QUOTES)]
     return sum((c.cast("double") * 0.25 for c in checks[1:]), checks[0].cast("double") * 0.25)
 
 
@@ -73,16 +74,20 @@ def _quote_reward(output: Column, truth: Column, gold_docs: Column, gold_tags: C
 
 
 def section_docs(output: Column) -> Column:
-    """struct<doc_id, content> array of the `Relevant documents:` section; documents without content are left out."""
-    section = F.regexp_extract(output, SECTION, 1)
-    spaced = F.regexp_replace(section, r"\[DOC\s+(\d+)\]", "[DOC $1]")
-    return F.filter(C.parse(spaced), lambda d: d["content"] != "")
+    """struct<tag, content> array of the `Relevant documents:` section; documents without content are left out.
+
+    Tags have their number without leading zeros; it may be of any length.
+    """
+    spaced = F.regexp_replace(F.regexp_extract(output, SECTION, 1), TAGGED, "[DOC $1]")
+    tag = lambda n: F.concat(F.lit("[DOC "), F.regexp_replace(n, r"\A0+(?=.)", ""), F.lit("]"))
+    return F.filter(F.transform(C.numbered_bodies(spaced), lambda d: F.struct(tag(d["number"]).alias("tag"), d["content"].alias("content"))), lambda d: d["content"] != "")
 
 
 def document_format(output: Column) -> Column:
     """Mean of: the header, tags in the section, content after them, an answer."""
     section = F.regexp_extract(output, SECTION, 1)
-    checks = [output.rlike(r"(?i)Relevant documents:\s*"), section.rlike(r"\[DOC\s+\d+\]"), section.rlike(r"\[DOC\s+\d+\]\s*\S"), output.rlike(r"(?i)The answer is:\s*")]
+    body = rf"{TAGGED}{T.SPACE}*[^{T.SPACE[1:]}"
+    checks = [output.rlike("(?iu)Relevant documents:"), section.rlike(TAGGED), section.rlike(body), output.rlike("(?iu)The answer is:")]
     return sum((c.cast("double") for c in checks[1:]), checks[0].cast("double")) / 4
 
 
@@ -92,10 +97,10 @@ def content_reward(output: Column, truth: Column, gold_docs: Column, gold_tags:
 
 def _content_reward(output: Column, truth: Column, gold_docs: Column, gold_tags: Column, docs: Column) -> Column:
     w = CONTENT_WEIGHTS
-    tags = F.array_distinct(F.transform(docs, lambda d: C.tag(d["doc_id"])))
+    tags = F.array_distinct(F.transform(docs, lambda d: d["tag"]))
     gold = F.transform(F.arrays_zip(gold_tags.alias("t"), gold_docs.alias("d")), lambda z: z)
     both = F.filter(gold, lambda z: F.array_contains(tags, z["t"]) & z["d"].isNotNull() & z["t"].isNotNull())
-    said = lambda z: F.get(F.filter(docs, lambda d: C.tag(d["doc_id"]) == z["t"]), 0)["content"]
+    said = lambda z: F.get(F.filter(docs, lambda d: d["tag"] == z["t"]), 0)["content"]
     scores = F.transform(both, lambda z: O.fuzzy_score(said(z), z["d"]))
     content = O.ratio(F.aggregate(scores, F.lit(0.0), lambda s, x: s + x), F.size(scores))
     total = (

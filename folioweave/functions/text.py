@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 _SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = f"[{_SPACES}]"
 _WORD = r"[\p{L}\p{N}_]"
+DIGIT = r"\p{Nd}"
 START, END = f"(?<!{_WORD})", f"(?!{_WORD})"
 
 # Patterns and word lists whose matches decide scores. (?u): case of all letters; (?d): only a line break
@@ -31,7 +32,7 @@ QUOTE = (
     rf"(?isu)(?:Quote|Passage|Document|Extract|Reference){SPACE}+\d+:{SPACE}*(.*?)"
     rf"(?=(?:Quote|Passage|Document|Extract|Reference){SPACE}+\d+:|Relevant Document IDs?:|The answer is:|\z)"
 )
-RATING = r"(?i)Rating:\s*\[\[?\s*(\d{1,3})\s*\]\]?"
+RATING = rf"(?i)Rating:{SPACE}*\[\[?{SPACE}*({DIGIT}{{1,3}}){SPACE}*\]\]?"
 CRITERION = r"(?i)\\boxed\{\{?Criterion\s+\d+:\s*([01])(?:/[01])?\}?\}"
 BOXED = r"(?i)\\boxed\{\{?([01])(?:/[01])?\}?\}"
 CJK_PUNCTUATION = "！？｡。＂＃＄％＆＇（）＊＋，－／：；＜＝＞＠［＼］＾＿｀｛｜｝～｟｠｢｣､、〃》「」『』【】〔〕〖〗〘〙〚〛〜〝〞〟〰〾〿–—‘’‛“”„‟…‧﹏."
@@ -136,13 +137,14 @@ def quotes(text: Column, most: int = 10) -> Column:
 
 def without_citations(text: Column) -> Column:
     r"""Drops ` [n` and `[n`, ` |`, `]`."""
-    bare = F.regexp_replace(F.regexp_replace(text, r" \[\d+", ""), r"\[\d+", "")
+    bare = F.regexp_replace(F.regexp_replace(text, rf" \[{DIGIT}+", ""), rf"\[{DIGIT}+", "")
     return F.replace(F.replace(bare, F.lit(" |"), F.lit("")), F.lit("]"), F.lit(""))
 
 
 def citation_refs(text: Column) -> Column:
-    """Zero-based references of all `[n`."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+)"), 1), lambda n: n.cast("int") - 1)
+    """Zero-based references of all `[n`; a number over 64 bits counts as the largest, as no text has so many documents."""
+    most = F.lit((1 << 63) - 1)
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"\[({DIGIT}+)"), 1), lambda n: F.coalesce(ascii_digits(n).try_cast("bigint"), most) - 1)
 
 
 def clean_output(text: Column, end_marker: str = "<|im_end|>") -> Column:
@@ -150,23 +152,9 @@ def clean_output(text: Column, end_marker: str = "<|im_end|>") -> Column:
     return F.replace(F.regexp_replace(text, r"\n+", " "), F.lit(end_marker), F.lit(""))
 
 
-def sentences(text: Column) -> Column:
-    """array<struct<start, end, text>>: parted after . ! ? or before a line break; white space that follows is left out.
-
-    Offsets are code points, end exclusive; text is stripped, and what strips to nothing is no sentence. Pieces are
-    found with the white space that follows, so a running sum of their lengths gives the starts.
-    """
-    kind = "struct<at:int,found:array<struct<start:int,end:int,text:string>>>"
-    piece = F.regexp_extract_all(text, F.lit(rf"(?s)(?:[^.!?\n]*[.!?\n]|[^.!?\n]+\z){SPACE}*"), F.lit(0))
-
-    def step(s: Column, p: Column) -> Column:
-        core = F.regexp_extract(p, r"(?s)\A[^.!?\n]*[.!?]?", 0)
-        body = strip(core)
-        one = F.struct(s["at"].alias("start"), (s["at"] + F.length(core)).alias("end"), body.alias("text"))
-        found = F.when(body == "", s["found"]).otherwise(F.array_append(s["found"], one))
-        return F.struct((s["at"] + F.length(p)).alias("at"), found.alias("found")).cast(kind)
-
-    return F.aggregate(piece, F.struct(F.lit(0).alias("at"), F.array().alias("found")).cast(kind), step)["found"]
+def ascii_digits(number: Column) -> Column:
+    """Full-width, Arabic, Persian and Devanagari digits as 0 to 9."""
+    return F.translate(number, "０１２３４５６７８９٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹०१२३४५६७८९", "0123456789" * 4)
 
 
 def short_hash(text: Column) -> Column:
@@ -185,7 +173,7 @@ def words_after_blanking(text: Column, marks: str = BLANKED) -> Column:
 
 def judge_rating(text: Column) -> Column:
     """The number of `Rating: [[n]]`; null if there is none."""
-    return _group(text, RATING).cast("int")
+    return ascii_digits(_group(text, RATING)).try_cast("int")
 
 
 def boxed_score(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioweave.functions import context as C
+from folioweave.functions import offsets
 from folioweave.functions import overlap as O
 from folioweave.functions import text as T
 from folioweave.operators import ranking, spans
@@ -39,7 +40,7 @@ def span_overlap(full: tuple[DataFrame, DataFrame], part: tuple[DataFrame, DataF
 
 def sentence_spans(texts: DataFrame) -> DataFrame:
     """Spans of the sentences of (instance, text)."""
-    return texts.select("instance", F.posexplode(T.sentences(F.col("text"))).alias("span_idx", "s")).select("instance", "span_idx", "s.start", "s.end", "s.text")
+    return texts.select("instance", F.posexplode(offsets.sentences(F.col("text"))).alias("span_idx", "s")).select("instance", "span_idx", "s.start", "s.end", "s.text")
 
 
 def document_spans(texts: DataFrame) -> DataFrame:

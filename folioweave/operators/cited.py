@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioweave.functions import offsets
 from folioweave.functions import overlap as O
 from folioweave.functions import text as T
 
@@ -99,4 +100,4 @@ def claim_recall(verdicts: DataFrame) -> DataFrame:
 
 def long_sentences(output: Column, least: int = 5) -> Column:
     """The output's sentences of `least` characters or more."""
-    return F.filter(F.transform(T.sentences(output), lambda s: s["text"]), lambda t: F.length(t) >= least)
+    return F.filter(F.transform(offsets.sentences(output), lambda s: s["text"]), lambda t: F.length(t) >= least)

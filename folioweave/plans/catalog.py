@@ -18,6 +18,7 @@ from folioweave.functions import scorers as S
 from folioweave.functions import text as T
 from folioweave.operators import attention, cited, ranking, retrieval, runs, sampling, spans
 from folioweave.plans import corpus, inference, prompts, training
+from folioweave.sources.tables import over_all_cores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,8 +35,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Tables whose rows have much done with them, and what tells their rows apart.
+KEYS = {"documents": "doc_id", "orders": "o_orderkey"}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return over_all_cores(rows, KEYS[table]) if table in KEYS else rows
 
 
 def _md5(c: Column) -> Column:

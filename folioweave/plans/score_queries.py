@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioweave.functions import context as C
+from folioweave.functions import offsets
 from folioweave.functions import overlap as O
 from folioweave.functions import scorers as S
 from folioweave.functions import text as T
@@ -64,7 +65,7 @@ q AS (SELECT doc_id, k, start_, regexp_extract(p, '^[^.!?\n]*[.!?]?') AS core FR
 @query(f'WITH {_SENTENCES} SELECT doc_id, sent, "start", "end", substr(md5(body), 1, 16) AS hash FROM s')
 def sentence_bounds(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent", "s")).select("doc_id", "sent", "s.start", "s.end", T.short_hash(F.col("s.text")).alias("hash"))
+    return docs.select("doc_id", F.posexplode(offsets.sentences(F.col("text"))).alias("sent", "s")).select("doc_id", "sent", "s.start", "s.end", T.short_hash(F.col("s.text")).alias("hash"))
 
 
 @query(f"WITH {_SENTENCES} SELECT doc_id, md5(coalesce(string_agg(body, '|' ORDER BY sent) FILTER (length(body) >= 30), '')) AS kept FROM documents LEFT JOIN s USING (doc_id) GROUP BY doc_id")
@@ -72,6 +73,20 @@ def long_sentences(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", _md5(F.array_join(cited.long_sentences(F.col("text"), 30), "|")).alias("kept"))
 
 
+@query(f"""WITH {_SENTENCES}, f AS (SELECT doc_id, sent, "end", body, coalesce(max("end") OVER (PARTITION BY doc_id ORDER BY sent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS from_ FROM s),
+t AS (SELECT doc_id, unnest(range(0, length(text), 7)) AS pos FROM documents),
+g AS (SELECT t.doc_id, body, sum((pos * 31 + t.doc_id) % 97) AS a, sum((pos * 17 + t.doc_id) % 89) AS b, min(pos) AS first FROM t JOIN f ON t.doc_id = f.doc_id AND pos >= from_ AND pos < "end" GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC, first) AS ra, row_number() OVER (PARTITION BY doc_id ORDER BY b DESC, first) AS rb, least(5, count(*) OVER (PARTITION BY doc_id)) AS n FROM g)
+SELECT doc_id AS instance, round(count(*) FILTER (ra <= 5 AND rb <= 5)::DOUBLE / any_value(n), 6) AS overlap FROM k GROUP BY doc_id""")
+def sentence_overlap(spark, sf_dir):
+    """The best sentences of every document under two scorings of its positions."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("instance"), "text")
+    at = docs.where("length(text) > 0").select("instance", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(7))).alias("pos"))
+    full, part = (at.withColumn("score", ((F.col("pos") * a + F.col("instance")) % b).cast("double")) for a, b in ((31, 97), (17, 89)))
+    held = attention.sentence_spans(docs)
+    return attention.span_overlap((full, held), (part, held), 5).select("instance", F.round("overlap", 6).alias("overlap"))
+
+
 _BLOCK = "'[DOC ' || i || ']' || chr(10) || body || chr(10) || chr(10)"
 
 

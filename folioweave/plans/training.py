@@ -40,7 +40,7 @@ def clean(rows: DataFrame, min_words: int = 10) -> DataFrame:
     """rows with short documents dropped from training_context, but for gold ones; tags follow. Trailing space goes."""
     cleaned = C.clean(C.parse(F.col("training_context")), C.tag_numbers(F.col("gold_doc_ids")), min_words)
     made = rows.withColumn("_c", cleaned)
-    text = F.regexp_replace(C.render(F.col("_c.docs")), r"\s+\z", "")
+    text = F.regexp_replace(C.render(F.col("_c.docs")), rf"{T.SPACE}++\z", "")
     return made.withColumns({"training_context": text, "gold_doc_ids": F.transform("_c.gold", C.tag)}).drop("_c")
 
 

@@ -8,6 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def over_all_cores(rows: DataFrame, *by: str) -> DataFrame:
+    """rows dealt by key over all cores where their files come in fewer pieces than that; else as they are, without a shuffle.
+
+    A table of few row groups is read by as few tasks, however dear what is done with its rows.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *by) if rows.rdd.getNumPartitions() < cores else rows
+
+
 class SharedTables:
     """Parquet tables under spark.checkpoint.dir; they outlive lost executors and cut lineage.
 

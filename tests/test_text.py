@@ -7,6 +7,7 @@ from folioweave.functions import context as C
 from folioweave.functions import overlap as O
 from folioweave.functions import rewards as R
 from folioweave.functions import scorers as S
+from folioweave.functions import offsets
 from folioweave.functions import text as T
 
 
@@ -62,7 +63,7 @@ def test_text(one, f, text, want):
 
 
 def test_sentences(one):
-    got = [(s.start, s.end, s.text) for s in one(T.sentences(F.lit(" Ab c. D!  E  \nf ")))]
+    got = [(s.start, s.end, s.text) for s in one(offsets.sentences(F.lit(" Ab c. D!  E  \nf ")))]
     assert got == [(0, 6, "Ab c."), (7, 9, "D!"), (11, 14, "E"), (15, 17, "f")]
 
 
