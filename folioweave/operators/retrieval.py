@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, LongType, StructField, StructType
 
 from folioweave.sources.tables import SharedTables
 
-#: Queries that are sent to the chunks at once.
-QUERIES = 4_096
+#: Bytes of query vectors that are sent to the chunks at once.
+SET_BYTES = 64 << 20
+#: Vectors on a side of a block; pairs whose products are summed at once.
+SIDE, STEP = 512, 16_384
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -43,30 +50,118 @@ def number_rows(rows: DataFrame, order: list[str], name: str, first: int = 0) ->
     return at.withColumn(name, F.col("_before") + within + F.lit(first).cast("long")).drop("_range", "_place", "_before")
 
 
-def top_k(queries: DataFrame, chunks: DataFrame, k: int, on: list[str] | None = None, block: int = QUERIES) -> DataFrame:
+def top_k(queries: DataFrame, chunks: DataFrame, k: int, on: list[str] | None = None, set_bytes: int = SET_BYTES) -> DataFrame:
     """on, query_id, rank, chunk_id, score of the k largest inner products; all of them for k < 0; ties to smaller chunk_id.
 
-    queries: query_id, embedding; chunks: chunk_id, embedding; `on` names columns that both have and that must agree
-    (an index per instance); queries are told apart by them, too. Without `on` a stated set of queries meets every chunk:
-    the queries are sent to the chunks in blocks of about `block`. The row_number filter lets Spark keep only k rows per
-    query before it shuffles.
+    queries: query_id, embedding; chunks: chunk_id (an integer), embedding; `on` names columns that both have and that must
+    agree (an index per instance); queries are told apart by them, too. Without `on` a stated set of queries meets every
+    chunk: all of set_bytes of vectors are sent to the chunks at once, which are read once for them, see _in_blocks. Of each
+    task only k rows a query are shuffled. Vectors that are null, of another length than the query's or with a component
+    that is null or not finite have no score and are left out.
     """
-    if queries.isEmpty():
-        raise ValueError("there are no queries")
     on = on or []
-    q = queries.select(*on, "query_id", F.col("embedding").alias("_q"))
-    c = chunks.select(*on, "chunk_id", F.col("embedding").alias("_c"))
     rank = F.row_number().over(Window.partitionBy(*on, "query_id").orderBy(F.desc("score"), "chunk_id"))
+    ranked = scores(queries, chunks, on, k, set_bytes).withColumn("rank", rank)
+    return (ranked if k < 0 else ranked.where(F.col("rank") <= k)).select(*on, "query_id", "rank", "chunk_id", "score")
 
-    def ranked(pairs: DataFrame) -> DataFrame:
-        scored = pairs.select(*on, "query_id", "chunk_id", inner_product(F.col("_q"), F.col("_c")).alias("score")).withColumn("rank", rank)
-        return (scored if k < 0 else scored.where(F.col("rank") <= k)).select(*on, "query_id", "rank", "chunk_id", "score")
 
+def scores(queries: DataFrame, chunks: DataFrame, on: list[str] | None = None, k: int = -1, set_bytes: int = SET_BYTES) -> DataFrame:
+    """on, query_id, chunk_id, score of top_k() without ranks; without `on`, for k >= 0, only what each task's k best are."""
+    if queries.isEmpty():
+        raise ValueError("there are no queries")
+    on = on or []
     if on:
-        return ranked(q.join(c, on))
-    blocks = -(-q.count() // block)
-    parts = [q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) for n in range(blocks)]
-    return reduce(DataFrame.unionByName, [ranked(c.crossJoin(F.broadcast(part))) for part in parts])
+        q, c = (x.select(*on, name, F.col("embedding").alias(v)) for x, name, v in ((queries, "query_id", "_q"), (chunks, "chunk_id", "_c")))
+        return q.join(c, on).select(*on, "query_id", "chunk_id", inner_product(F.col("_q"), F.col("_c")).alias("score")).where("abs(score) < double('infinity')")
+    total = queries.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)) * 8).first()[0]
+    sets = -(-max(1, total) // set_bytes)
+    part = F.pmod(F.xxhash64("query_id"), F.lit(sets))
+    held = [queries.select("query_id", "embedding").where(part == n).toArrow() for n in range(sets)]
+    return reduce(DataFrame.unionByName, [_in_blocks(chunks, h, k, queries.schema["query_id"].dataType) for h in held])
+
+
+def vectors(column: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, matrix in double precision) of the vectors of that width whose components are all finite."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    whole = column.filter(fits := pc.fill_null(pc.equal(pc.list_value_length(column), width), False))
+    rows = np.flatnonzero(fits.to_numpy(zero_copy_only=False))
+    matrix = pc.list_flatten(whole).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), width)
+    good = np.isfinite(matrix).all(1)
+    return rows[good], matrix[good]
+
+
+def ordered_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows of a with rows of b, summed in component order, as inner_product() does."""
+    total = np.zeros(len(a))
+    for x, y in zip(a.T, b.T, strict=True):
+        total += x * y
+    return total
+
+
+def best_of_block(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, score, id): what of a block of chunks can be among the queries' k best, of which the k-th has `least` so far.
+
+    One matrix product finds them, with room for its rounding: twice the bound on the error of a sum of products. Scores
+    are then summed in component order, so equal vectors have equal scores wherever they stand.
+    """
+    near = q @ c.T
+    room = 4 * q.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * (np.linalg.norm(c, axis=1).max(initial=0.0))
+    if 0 <= k < len(c):
+        least = np.maximum(least, np.partition(near, len(c) - k, axis=1)[:, len(c) - k] - room) if k else np.full(len(q), np.inf)
+    row, column = np.nonzero(near >= (least - room)[:, None])
+    score = np.concatenate([ordered_products(q[row[i : i + STEP]], c[column[i : i + STEP]]) for i in range(0, len(row), STEP)] or [np.zeros(0)])
+    return row, score, ids[column]
+
+
+def _merged(row: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row, smaller ids first among equal scores."""
+    order = np.lexsort((ids, -score, row))
+    row, score, ids = row[order], score[order], ids[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], score[place < k], ids[place < k]
+
+
+def _in_blocks(chunks: DataFrame, held: pa.Table, k: int, query_type: DataType) -> DataFrame:
+    """(query_id, chunk_id, score): each task's k best for each held query (all for k < 0), from one pass over the chunks.
+
+    Blocks of chunks are multiplied with blocks of queries; a task keeps k rows a query and the score that the next needs.
+    """
+    shared = chunks.sparkSession.sparkContext.broadcast(held)
+    schema = StructType([StructField("query_id", query_type), StructField("chunk_id", LongType()), StructField("score", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = shared.value.column("query_id").combine_chunks()
+        column = shared.value.column("embedding")
+        widths = [w for w in pc.unique(pc.list_value_length(column)).to_pylist() if w is not None]
+        by_width = {w: vectors(column, w) for w in widths}
+
+        def rows(query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([names.take(pa.array(query)), pa.array(ids), pa.array(score)], names=["query_id", "chunk_id", "score"])
+
+        best = {w: [(np.zeros(0, int), np.zeros(0), np.zeros(0, np.int64)) for _ in range(0, len(by_width[w][0]), SIDE)] for w in widths}
+        for batch in batches:
+            for at in range(0, batch.num_rows, SIDE):
+                part = batch.slice(at, SIDE)
+                every = np.asarray(part.column("chunk_id"))
+                for w, (number, q) in by_width.items():
+                    at_rows, c = vectors(part.column("embedding"), w)
+                    ids = every[at_rows]
+                    for n, kept in enumerate(best[w]):
+                        mine = slice(n * SIDE, (n + 1) * SIDE)
+                        least = np.full(len(q[mine]), -np.inf)
+                        if 0 <= k:
+                            full = np.flatnonzero(np.bincount(kept[0], minlength=len(least)) >= k) if k else np.zeros(0, int)
+                            least[full] = kept[1][np.searchsorted(kept[0], full, "right") - 1]
+                        found = best_of_block(q[mine], c, ids, k, least)
+                        if k < 0:
+                            yield rows(number[mine][found[0]], found[1], found[2])
+                        else:
+                            best[w][n] = _merged(*(np.concatenate(x) for x in zip(kept, found, strict=True)), k)
+        for w, blocks in best.items():
+            for n, (row, score, ids) in enumerate(blocks):
+                yield rows(by_width[w][0][n * SIDE :][row], score, ids)
+
+    return chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding").where("chunk_id IS NOT NULL").mapInArrow(run, schema)
 
 
 def texts_of(hits: DataFrame, chunks: DataFrame) -> DataFrame:

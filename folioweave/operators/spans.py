@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioweave.operators.selection import quantile
+
 #: Positions of a bucket of the interval joins.
 BUCKET = 4096
 
@@ -90,7 +92,7 @@ def high_runs(tokens: DataFrame, share: float = 0.9, least: int = 3, block: int
     Runs are found in blocks of positions, so an instance's tokens spread over tasks; only runs that touch the edge of a
     block, two of each block at most, meet by instance to be joined to those of the blocks beside it.
     """
-    limits = tokens.groupBy("instance").agg(F.percentile("score", F.lit(share)).alias("_limit"))
+    limits = quantile(tokens, ["instance"], "score", share).withColumnRenamed("quantile", "_limit")
     high = tokens.join(limits, "instance").where("score > _limit").withColumn("_b", F.floor(F.col("pos") / block))
     island = F.col("pos") - F.row_number().over(Window.partitionBy("instance", "_b").orderBy("pos"))
     sums = (F.min("from_pos").alias("from_pos"), F.max("to_pos").alias("to_pos"), F.sum("n_tokens").alias("n_tokens"), F.sum("total").alias("total"))

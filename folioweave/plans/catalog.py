@@ -16,7 +16,7 @@ from folioweave.functions import overlap as O
 from folioweave.functions import rewards as R
 from folioweave.functions import scorers as S
 from folioweave.functions import text as T
-from folioweave.operators import attention, cited, ranking, retrieval, runs, sampling, spans
+from folioweave.operators import attention, cited, ranking, retrieval, runs, sampling, selection, spans
 from folioweave.plans import corpus, inference, prompts, training
 from folioweave.sources.tables import over_all_cores
 
@@ -120,10 +120,17 @@ _SCORED = "s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_sum(lis
 _RANKED = f"{_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s)"
 
 
-def _top(spark, sf_dir, k):
+def _asked(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
-    picked = rows.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
-    return retrieval.top_k(picked, rows, k)
+    return rows.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding"), rows
+
+
+def _top(spark, sf_dir, k):
+    return retrieval.top_k(*_asked(spark, sf_dir), k)
+
+
+def _all_scores(spark, sf_dir):
+    return retrieval.scores(*_asked(spark, sf_dir))
 
 
 @query(f"WITH {_RANKED} SELECT query_id, rank, chunk_id, round(score, 9) AS score FROM r WHERE rank <= 5")
@@ -309,13 +316,15 @@ def doc_id_f1(spark, sf_dir):
 
 @query(f"""WITH {_RANKED}, i AS (SELECT *, label = q_label AS gold, row_number() OVER (PARTITION BY query_id ORDER BY label = q_label DESC, CASE WHEN label = q_label THEN 0 ELSE -score END, chunk_id) AS irank, CASE WHEN label = q_label THEN 1.0::DOUBLE ELSE score END AS rel FROM r)
 SELECT query_id AS id, round(sum(CASE WHEN rank <= 10 THEN rel / log2(rank + 1) ELSE 0 END), 6) AS dcg, round(sum(CASE WHEN irank <= 10 THEN rel / log2(irank + 1) ELSE 0 END), 6) AS idcg,
-  round(count(*) FILTER (rank <= 10 AND gold) / 10.0::DOUBLE, 6) AS precision, round(1.0::DOUBLE / min(CASE WHEN gold THEN rank END), 6) AS mrr FROM i GROUP BY query_id""")
+  round(sum(CASE WHEN rank <= 10 THEN rel / log2(rank + 1) ELSE 0 END) / sum(CASE WHEN irank <= 10 THEN rel / log2(irank + 1) ELSE 0 END), 6) AS ndcg,
+  round(count(*) FILTER (rank <= 10 AND gold) / 10.0::DOUBLE, 6) AS precision, round(count(*) FILTER (rank <= 10 AND gold) / (count(*) FILTER (gold))::DOUBLE, 6) AS recall, round(1.0::DOUBLE / min(CASE WHEN gold THEN rank END), 6) AS mrr,
+  round(count(*) FILTER (rank <= 10) / 10.0::DOUBLE, 6) AS precision_compat, round(count(*) FILTER (rank <= 10) / count(*)::DOUBLE, 6) AS recall_compat, round(1.0::DOUBLE / min(rank), 6) AS mrr_compat FROM i GROUP BY query_id""")
 def rank_ndcg(spark, sf_dir):
     label = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label")
-    all_ = _top(spark, sf_dir, -1).join(label, "chunk_id").join(label.select(F.col("chunk_id").alias("query_id"), F.col("label").alias("own")), "query_id")
-    docs = all_.select(F.col("query_id").alias("id"), F.col("chunk_id").alias("doc"), "rank", "score", (F.col("label") == F.col("own")).alias("is_gold"), F.col("chunk_id").alias("pos"))
-    m = ranking.ranking_metrics(docs.select("id", "doc", "rank"), ranking.gold_ranking(docs.drop("rank")), 10)
-    return m.select("id", *[F.round(c, 6).alias(c) for c in ("dcg", "idcg", "precision", "mrr")])
+    all_ = _all_scores(spark, sf_dir).join(label, "chunk_id").join(label.select(F.col("chunk_id").alias("query_id"), F.col("label").alias("own")), "query_id")
+    docs = all_.select(F.col("query_id").alias("id"), F.col("chunk_id").alias("doc"), "score", (F.col("label") == F.col("own")).alias("is_gold"), F.col("chunk_id").alias("pos"))
+    m = selection.counted_metrics(docs.drop("is_gold"), docs, 10)
+    return m.select("id", *[F.round(c, 6).alias(c) for c in m.columns if c != "id"])
 
 
 @query(f"""WITH {_RANKED}, h AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_sum(list_transform(list_zip(q.embedding[1:32], c.embedding[1:32]), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0),

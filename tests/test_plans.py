@@ -47,9 +47,9 @@ def test_neighbours_in_blocks_and_by_instance(spark):
         got.setdefault((r.instance, r.query_id), []).append(r.chunk_id)
     assert got == {k: slow(q, [c for i, c, _ in rows if i == k[0]]) for k, q in asked.items()}
     one = queries.where("instance = 0").select("query_id", "embedding")
-    for block in (2, 4_096):
+    for set_bytes in (64, 1 << 20):
         got = {}
-        for r in retrieval.top_k(one, chunks, 4, block=block).orderBy("rank").collect():
+        for r in retrieval.top_k(one, chunks, 4, set_bytes=set_bytes).orderBy("rank").collect():
             got.setdefault(r.query_id, []).append(r.chunk_id)
         assert got == {k[1]: slow(q, f32) for k, q in asked.items() if k[0] == 0}
 
