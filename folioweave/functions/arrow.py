@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from folioweave.functions.stem import stem
+
 
 def lcs(a, b) -> int:
     """Length of the longest common subsequence, bit-parallel over Python's long integers."""
@@ -99,43 +101,99 @@ def near_duplicate(a: str, b: str) -> float:
     return (0.4 * token_sort(a, b) + 0.3 * partial(a, b) + 0.3 * token_set(a, b)) / 100
 
 
-def rouge_l(prediction: str, reference: str) -> tuple[float, float]:
-    """(F, recall) of the longest common subsequence of words; unstemmed."""
-    p, r = rouge_words(prediction), rouge_words(reference)
+def common_characters(a: str, b: str) -> int:
+    """Characters that both have, repeats counted: no common subsequence is longer."""
+    return (Counter(a) & Counter(b)).total()
+
+
+def partial_bound(a: str, b: str) -> float:
+    """No less than partial(a, b): a window has at most the common characters, and as many characters as it shares at least."""
+    n, c = min(len(a), len(b)), common_characters(a, b)
+    return 200.0 * c / (n + c) if n else 100.0 * (not a and not b)
+
+
+def token_set_bound(a: str, b: str) -> float:
+    """No less than token_set(a, b): of its pairs, those of the common words with more words are exact."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    same, only_a, only_b = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+    if same and (not only_a or not only_b):
+        return 100.0
+    one, two = (" ".join(filter(None, (same, s))) for s in (only_a, only_b))
+    whole = 200.0 * common_characters(one, two) / (len(one) + len(two))
+    return max(whole, *(200.0 * len(same) / (len(same) + len(p)) for p in (one, two))) if same else whole
+
+
+def near_duplicate_from(a: str, b: str, least: float) -> float | None:
+    """near_duplicate(a, b) where it is `least` or more, else None.
+
+    Bounds from lengths and character counts go first, in time of the texts' length; then the two ratios that are compared
+    by whole words of bits; the windows, in time of the product of lengths, are compared only if the pair can still pass.
+    """
+    a, b = a.lower(), b.lower()
+    room = 1e-9  # sums are rounded
+    sort = 200.0 * common_characters(*("".join(t.split()) + " " * max(0, len(t.split()) - 1) for t in (a, b)))
+    sort = min(100.0, sort / max(1, sum(len(" ".join(t.split())) for t in (a, b)))) if a.split() or b.split() else 100.0
+    ends = partial_bound(a, b)
+    if (0.4 * sort + 0.3 * ends + 0.3 * token_set_bound(a, b)) / 100 < least - room:
+        return None
+    words = 0.4 * token_sort(a, b), 0.3 * token_set(a, b)
+    if (words[0] + 0.3 * ends + words[1]) / 100 < least - room:
+        return None
+    found = (words[0] + 0.3 * partial(a, b) + words[1]) / 100
+    return found if found >= least else None
+
+
+def rouge_l(prediction: str, reference: str, stems: bool = True) -> tuple[float, float]:
+    """(F, recall) of the longest common subsequence of words."""
+    p, r = rouge_words(prediction, stems), rouge_words(reference, stems)
     n = lcs(p, r)
     return (0.0, 0.0) if not n else (2 * n / (len(p) + len(r)), n / len(r))
 
 
-def rouge_words(text: str) -> list[str]:
-    return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
+def rouge_words(text: str, stems: bool = True) -> list[str]:
+    """Runs of ASCII letters and digits in lower case, those of four or more by their stems."""
+    found = "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
+    return [stem(w) if len(w) > 3 else w for w in found] if stems else found
 
 
 def lcs_places(a: list[str], b: list[str]) -> set[int]:
-    """Places in a of one longest common subsequence with b: of equally long ones that which leaves out late words of a."""
-    rows = [[0] * (len(b) + 1)]
+    """Places in a of one longest common subsequence with b: of equally long ones that which leaves out late words of a.
+
+    The table of lengths is kept as its steps, a bit per cell: bit j of row i is 0 where the length grows from b's first j
+    words to one more. 20,000 words a side take 50 MB.
+    """
+    at: dict[str, int] = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    rows = [full]
     for x in a:
-        last, row = rows[-1], [0]
-        for j, y in enumerate(b):
-            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
-        rows.append(row)
+        row, hit = rows[-1], rows[-1] & at.get(x, 0)
+        rows.append(((row + hit) | (row - hit)) & full)
     out, i, j = set(), len(a), len(b)
+    here = j - rows[i].bit_count()  # the length for a's first i and b's first j words
     while i and j:
         if a[i - 1] == b[j - 1]:
-            i, j = i - 1, j - 1
+            i, j, here = i - 1, j - 1, here - 1
             out.add(i)
-        elif rows[i][j - 1] > rows[i - 1][j]:
-            j -= 1
+            continue
+        left = here - (not rows[i] >> (j - 1) & 1)
+        above = j - (rows[i - 1] & ((1 << j) - 1)).bit_count()
+        if left > above:
+            j, here = j - 1, left
         else:
-            i -= 1
+            i, here = i - 1, above
     return out
 
 
-def rouge_lsum(prediction: str, reference: str) -> tuple[float, float]:
-    """(F, recall) by lines: each reference line's words that a common subsequence with any predicted line has; unstemmed.
+def rouge_lsum(prediction: str, reference: str, stems: bool = True) -> tuple[float, float]:
+    """(F, recall) by lines: each reference line's words that a common subsequence with any predicted line has.
 
     A word counts as often as both texts have it.
     """
-    p, r = ([w for line in t.split("\n") if (w := rouge_words(line))] for t in (prediction, reference))
+    p, r = ([w for line in t.split("\n") if (w := rouge_words(line, stems))] for t in (prediction, reference))
     left = Counter(w for x in p for w in x), Counter(w for x in r for w in x)
     n = 0
     for line in r:
@@ -159,6 +217,16 @@ def near_duplicate_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else near_duplicate(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+def near_duplicate_score_from(least: float):
+    """near_duplicate_score where it is `least` or more, else null; most pairs below it are never aligned."""
+
+    @F.pandas_udf(DoubleType())
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else near_duplicate_from(x, y, least) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    return score
+
+
 def _best_of_each(metric, prediction: pd.Series, references: pd.Series) -> pd.DataFrame:
     rows = [[metric(p, t) for t in r] if p is not None and r is not None and len(r) else [(np.nan, np.nan)] for p, r in zip(prediction, references, strict=True)]
     return pd.DataFrame([(max(x[0] for x in r), max(x[1] for x in r)) for r in rows], columns=["f1", "recall"])

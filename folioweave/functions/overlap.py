@@ -18,10 +18,25 @@ def f1_of(precision: Column, recall: Column) -> Column:
 
 
 def multiset_common(a: Column, b: Column) -> Column:
-    """Number of elements that the two arrays share, repeats counted."""
-    times = lambda x, v: F.size(x) - F.size(F.array_remove(x, v))
-    fold = lambda x, y: F.aggregate(F.array_intersect(x, y), F.lit(0), lambda s, v: s + F.least(times(x, v), times(y, v)))
-    return T.let(a, lambda x: T.let(b, lambda y: fold(x, y)))
+    """Number of elements that the two arrays share, repeats counted.
+
+    Both are sorted together, each element with its side, and folded once: at the end of a run of equal elements the
+    smaller of its two counts is added. Time follows the sort, whatever repeats.
+    """
+    side = lambda items, n: F.transform(items, lambda v: F.struct(v.alias("v"), F.lit(n).alias("s")))
+    row = lambda v, x, y, n: F.struct(v.alias("v"), x.alias("x"), y.alias("y"), n.alias("n"))
+
+    def step(s: Column, e: Column) -> Column:
+        x, y = (F.when(e["s"] == k, 1).otherwise(0) for k in (0, 1))
+        same = s["v"].eqNullSafe(e["v"])
+        more, begun = row(s["v"], s["x"] + x, s["y"] + y, s["n"]), row(e["v"], x, y, s["n"] + F.least(s["x"], s["y"]))
+        return F.when(same, more).otherwise(begun)
+
+    def fold(items: Column) -> Column:
+        start = F.struct(F.get(items, 0)["v"].alias("v"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("n"))
+        return F.aggregate(items, start, step, lambda s: s["n"] + F.least(s["x"], s["y"]))
+
+    return T.let(F.array_sort(F.concat(side(a, 0), side(b, 1))), fold)
 
 
 def token_f1(a: Column, b: Column) -> Column:

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from folioweave.functions import offsets
 from folioweave.functions import overlap as O
@@ -80,16 +87,78 @@ def extractive_scores(answers: DataFrame) -> DataFrame:
     return answers.select("item_id", mean(em).alias("qa_em"), mean(f1).alias("qa_f1"), (F.forall(em, lambda x: x == 1.0).cast("double") * 100).alias("qa_hit"))
 
 
-def bootstrap_mean(rows: DataFrame, column: str, by: str, rounds: int = 1000, seed: int = 1) -> DataFrame:
-    """by, mid: the median of resampled means. Resampling is by Poisson weights from row hashes, so groups stay spread out."""
-    draws = rows.select(by, F.col(column).cast("double").alias("v"), F.xxhash64(F.lit(seed), *rows.columns).alias("h")).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    u = (F.pmod(F.xxhash64("h", "r"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    weight, tail, term = F.lit(0), 0.0, 2.718281828459045**-1
-    for k in range(7):  # Poisson(1): the number of thresholds below u
-        tail += term
-        term /= k + 1
-        weight = weight + (u > tail).cast("int")
-    means = draws.withColumn("n", weight).groupBy(by, "r").agg((F.sum(F.col("v") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
+# Modulus, power and steps of the resampling hash; the power is a permutation modulo that prime.
+PRIME, POWER, SLOPE, SHIFT = (1 << 31) - 1, 5, 48_271, 69_621
+
+
+def poisson_steps() -> list[int]:
+    """Hash values from which a row is drawn once, twice and so on: Poisson(1), as far as 31 bits tell apart."""
+    steps, below, term = [], 0.0, math.exp(-1)
+    while (step := math.ceil((below := below + term) * PRIME)) < PRIME:
+        steps.append(step)
+        term /= len(steps)
+    return steps
+
+
+def _round_terms(rounds: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    return 1 + SLOPE * (rounds + 7_919 * seed) % (PRIME - 1), SHIFT * (rounds + 104_729 * seed) % PRIME
+
+
+def _draws(hashes: np.ndarray, rounds: np.ndarray, seed: int) -> np.ndarray:
+    """How often each row (hash below 2^28) is drawn in each round."""
+    a, b = _round_terms(rounds, seed)
+    x = (hashes[:, None] * a + b) % PRIME
+    square = x * x % PRIME
+    return np.searchsorted(poisson_steps(), square * square % PRIME * x % PRIME, "right")
+
+
+def draws(key: str, r: int, seed: int) -> int:
+    """How often the row of that key is drawn in round r."""
+    return int(_draws(np.array([int(hashlib.md5(key.encode()).hexdigest()[:7], 16)]), np.array([r]), seed)[0, 0])
+
+
+def bootstrap_mean(rows: DataFrame, column: str, by: str, keys: list[str], rounds: int = 1000, seed: int = 1) -> DataFrame:
+    """by, mid: the median of means of `rounds` resamples. keys: columns that tell rows apart.
+
+    Resampling is by Poisson weights from a hash of a row's keys and the round, so the rows of a group stay where they are
+    and reruns agree. A task adds up each group's weighted values and weights by round; rows are not copied for rounds, and
+    sums meet by group and round. Rounds that draw nothing have no mean. Null values do not count.
+    """
+    key = F.concat_ws(":", *[F.col(c).cast("string") for c in keys])
+    source = rows.where(F.col(column).isNotNull()).select(by, F.col(column).cast("double").alias("_v"), F.conv(F.substring(F.md5(key), 1, 7), 16, 10).cast("long").alias("_h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = np.arange(1, rounds + 1)
+        sums: dict = {}
+
+        def out() -> pa.RecordBatch:
+            groups = pa.array(list(sums), pa_type)
+            totals, weights = (pa.array([x[k].tolist() for x in sums.values()], pa.list_(t)) for k, t in ((0, pa.float64()), (1, pa.int64())))
+            sums.clear()
+            return pa.RecordBatch.from_arrays([groups, totals, weights], names=[by, "totals", "weights"])
+
+        pa_type = None
+        for batch in batches:
+            pa_type = batch.column(by).type
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                n = _draws(np.asarray(part.column("_h")), every, seed)
+                coded = part.column(by).dictionary_encode()
+                codes = np.asarray(coded.indices.fill_null(len(coded.dictionary)))
+                for c in np.unique(codes).tolist():
+                    group = coded.dictionary[c].as_py() if c < len(coded.dictionary) else None
+                    mine = codes == c
+                    total, weight = sums.setdefault(group, [np.zeros(rounds), np.zeros(rounds, np.int64)])
+                    total += np.asarray(part.column("_v"))[mine] @ n[mine]
+                    weight += n[mine].sum(0)
+                if len(sums) > 1024:
+                    yield out()
+        if sums:
+            yield out()
+
+    like = StructType([rows.schema[by], StructField("totals", ArrayType(DoubleType())), StructField("weights", ArrayType(LongType()))])
+    parts = source.mapInArrow(run, like).select(by, F.posexplode(F.arrays_zip("totals", "weights")).alias("r", "s"))
+    means = parts.groupBy(by, "r").agg((F.sum("s.totals") / F.nullif(F.sum("s.weights"), F.lit(0))).alias("m"))
     return means.groupBy(by).agg(F.percentile("m", F.lit(0.5)).alias("mid"))
 
 

@@ -275,6 +275,23 @@ def top_documents(spark, sf_dir):
     return top["documents"].select("instance", "span_idx", F.round("total", 6).alias("total"), "rank")
 
 
+def _powered(x: str) -> str:
+    return f"(((({x}) * ({x}) % {cited.PRIME}) * (({x}) * ({x}) % {cited.PRIME})) % {cited.PRIME} * ({x})) % {cited.PRIME}"
+
+
+_STEPS = " + ".join(f"(u >= {step})::INT" for step in cited.poisson_steps())
+
+
+@query(f"""WITH h AS (SELECT o_orderpriority AS g, o_totalprice::DOUBLE AS v, ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 7))::BIGINT AS h FROM orders),
+r AS (SELECT r, 1 + ({cited.SLOPE} * (r + 7919)) % {cited.PRIME - 1} AS a, ({cited.SHIFT} * (r + 104729)) % {cited.PRIME} AS b FROM (SELECT unnest(range(1, 41))::BIGINT AS r)),
+x AS (SELECT g, v, r, (h * a + b) % {cited.PRIME} AS x FROM h, r), u AS (SELECT g, v, r, {_powered("x")} AS u FROM x),
+m AS (SELECT g, r, sum(v * ({_STEPS})) / nullif(sum({_STEPS}), 0) AS m FROM u GROUP BY g, r)
+SELECT g AS o_orderpriority, round(quantile_cont(m, 0.5), 4) AS mid FROM m GROUP BY g""")
+def resampled_mean(spark, sf_dir):
+    rows = _orders(spark, sf_dir).withColumn("v", F.col("o_totalprice").cast("double"))
+    return cited.bootstrap_mean(rows, "v", "o_orderpriority", ["o_orderkey"], 40).withColumn("mid", F.round("mid", 4))
+
+
 # --- cited answers --------------------------------------------------------------------------------------------------------
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN ' ' || o_orderpriority || ': x' ELSE '' END AS answer FROM orders")
 def after_colon(spark, sf_dir):

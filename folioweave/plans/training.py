@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioweave.functions import context as C
 from folioweave.functions import text as T
-from folioweave.functions.arrow import near_duplicate_score, spread
+from folioweave.functions.arrow import near_duplicate_score_from, spread
 from folioweave.operators.sampling import shuffled
 
 
@@ -69,7 +69,7 @@ def promote_similar(rows: DataFrame, threshold: float = 0.6, most: int = 10) ->
     is_gold = F.array_contains("_g", F.col("doc_id"))
     gold = docs.where(is_gold).select("id", F.col("content").alias("gold"))
     pairs = spread(docs.where(~is_gold).join(gold, "id"), "id", "doc_id")
-    found = promote(pairs.select("id", "doc_id", near_duplicate_score("content", "gold").alias("similarity")), threshold, most)
+    found = promote(pairs.select("id", "doc_id", near_duplicate_score_from(threshold)("content", "gold").alias("similarity")), threshold, most)
     joined = rows.join(found, "id", "left")
     every = C.sort_tags(F.array_union("gold_doc_ids", F.coalesce("promoted", F.array().cast("array<string>"))))
     return joined.withColumn("promoted_gold_doc_ids", every).drop("promoted")
