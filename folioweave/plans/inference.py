@@ -9,6 +9,7 @@ from folioweave.functions import context as C
 from folioweave.functions import overlap as O
 from folioweave.functions import scorers as S
 from folioweave.functions import text as T
+from folioweave.functions.tokens import Tokens
 from folioweave.operators.retrieval import use_hits
 from folioweave.operators.runs import percent_means
 
@@ -50,11 +51,19 @@ def contexts(rows: DataFrame, mode: str, hits: DataFrame | None = None, top: int
     return rows if mode == "full" else use_hits(rows, hits, top)
 
 
-def prepare(rows: DataFrame, most: int, buffer: int = 512, limit: int | None = None, split_words: int | None = None) -> DataFrame:
+def prepare(rows: DataFrame, most: int, buffer: int = 512, limit: int | None = None, split_words: int | None = None, vocabulary: str | None = None) -> DataFrame:
     """rows with context trimmed, split into numbered passages if asked, original_ctx_length and final_ctx_length.
 
-    Lengths are of words, the tokenizer's stand-in; rows over `limit` are left out.
+    Lengths are of the vocabulary's tokens; without one, of words, its stand-in. Rows over `limit` are left out.
     """
+    if vocabulary:
+        tokens = Tokens(rows, vocabulary)
+        made = rows.withColumn("_c", tokens.truncated(F.col("context"), most, buffer))
+        made = made.withColumns({"context": F.col("_c.text"), "original_ctx_length": F.col("_c.before"), "final_ctx_length": F.col("_c.after")}).drop("_c")
+        if split_words:
+            made = made.withColumn("context", C.render(C.number(T.passages(T.collapse_space(F.col("context")), split_words))))
+            made = tokens.counted(made, "context", "final_ctx_length")
+        return made if limit is None else made.where(F.col("final_ctx_length") <= limit)
     tokens = T.words(F.col("context"))
     made = rows.withColumn("original_ctx_length", F.size(tokens))
     trimmed = F.when(F.size(tokens) > most, F.array_join(T.truncate_tail(tokens, most, buffer), " ")).otherwise(F.col("context"))

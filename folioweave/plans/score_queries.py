@@ -9,7 +9,8 @@ from folioweave.functions import offsets
 from folioweave.functions import overlap as O
 from folioweave.functions import scorers as S
 from folioweave.functions import text as T
-from folioweave.operators import attention, cited, runs, spans
+from folioweave.functions import tokens
+from folioweave.operators import attention, cited, runs, spans, splitting
 from folioweave.plans import inference, training
 from folioweave.plans.catalog import _CONV, _TOKENS, _TWO, _md5, _norm, _spans, _tokens, _turns, _words, query, read
 
@@ -87,6 +88,20 @@ def sentence_overlap(spark, sf_dir):
     return attention.span_overlap((full, held), (part, held), 5).select("instance", F.round("overlap", 6).alias("overlap"))
 
 
+@query()
+def truncate_tokens(spark, sf_dir):
+    """Texts of more than 400 of a vocabulary's tokens cut to the characters of their first 300."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("context"))
+    return inference.prepare(docs, 400, 100, vocabulary=tokens.VOCABULARY).withColumn("context", _md5(F.col("context")))
+
+
+@query()
+def learned_sentences(spark, sf_dir):
+    """Sentences of all documents; periods after what they show to be abbreviations end none."""
+    found = splitting.learned_sentences(read(spark, sf_dir, "documents"), "doc_id")
+    return found.select("doc_id", "span_idx", "start", "end", T.short_hash(F.col("text")).alias("hash"))
+
+
 _BLOCK = "'[DOC ' || i || ']' || chr(10) || body || chr(10) || chr(10)"
 
 

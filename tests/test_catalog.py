@@ -78,7 +78,7 @@ def test_near_duplicates(spark):
 
 
 def test_every_query_is_compared():
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"near_dup_score", "promote_similar", "rouge_l"}  # compared above
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"near_dup_score", "promote_similar", "rouge_l", "truncate_tokens", "learned_sentences"}  # compared above, test_tokens.py
 
 
 def test_entry(spark):
