@@ -162,6 +162,11 @@ def bootstrap_mean(rows: DataFrame, column: str, by: str, keys: list[str], round
     return means.groupBy(by).agg(F.percentile("m", F.lit(0.5)).alias("mid"))
 
 
+def mean_length(outputs: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """by, words: the mean number of words of the outputs; null ones have none."""
+    return outputs.groupBy(*by).agg(F.avg(T.word_count(F.col(column))).alias("words"))
+
+
 def claim_recall(verdicts: DataFrame) -> DataFrame:
     """item_id, claim_recall (percent) from a verdict 0/1 per claim."""
     return verdicts.groupBy("item_id").agg((F.avg("verdict") * 100).alias("claim_recall"))

@@ -11,7 +11,7 @@ from folioweave.functions import scorers as S
 from folioweave.functions import text as T
 from folioweave.functions import tokens
 from folioweave.operators import attention, cited, runs, spans, splitting
-from folioweave.plans import inference, training
+from folioweave.plans import inference, prompts, training
 from folioweave.plans.catalog import _CONV, _TOKENS, _TWO, _md5, _norm, _spans, _tokens, _turns, _words, query, read
 
 
@@ -335,3 +335,61 @@ def qampari_f1_top5(spark, sf_dir):
     groups = F.array(F.array(F.lit("5-LOW"), F.lit("lowest")), F.array(F.lit("1-URGENT")), *[F.array(F.lit(f"never {k}")) for k in range(5)])
     s = cited.list_scores(F.col("output"), groups)
     return one.select("o_custkey", *[F.round(s[c], 6).alias(c) for c in ("f1", "recall_top5", "f1_top5")])
+
+
+# --- rows of operators that other rows only touch ------------------------------------------------------------------------
+@query(f"SELECT lang, round(avg(len({_words('text')})), 6) AS words FROM documents GROUP BY lang")
+def output_length(spark, sf_dir):
+    found = cited.mean_length(read(spark, sf_dir, "documents"), "text", ["lang"])
+    return found.withColumn("words", F.round("words", 6))
+
+
+@query(f"""WITH {_TOKENS}, k AS (SELECT *, row_number() OVER (PARTITION BY instance ORDER BY score DESC, pos) AS ra, row_number() OVER (PARTITION BY instance ORDER BY CASE WHEN token = 'click' THEN score ELSE score / 4 END DESC, pos) AS rb,
+  least(5, count(*) OVER (PARTITION BY instance)) AS n FROM t)
+SELECT instance, string_agg(token, ',' ORDER BY ra) FILTER (ra <= 5) AS top_full, string_agg(token, ',' ORDER BY rb) FILTER (rb <= 5) AS top_part,
+  round(len(list_intersect(list(token) FILTER (ra <= 5), list(token) FILTER (rb <= 5)))::DOUBLE / any_value(n), 6) AS overlap FROM k GROUP BY instance""")
+def token_overlap(spark, sf_dir):
+    t = _tokens(spark, sf_dir)
+    part = t.withColumn("score", F.when(F.col("token") == "click", F.col("score")).otherwise(F.col("score") / 4))
+    out = attention.token_overlap(t, part, 5)
+    return out.select("instance", *[F.array_join(c, ",").alias(c) for c in ("top_full", "top_part")], F.round("overlap", 6).alias("overlap"))
+
+
+@query(f"""WITH {_TOKENS}, g AS (SELECT t.instance, step, span_idx, sum(score) AS a, count(*) AS n_tokens FROM t JOIN sp ON t.instance = sp.instance AND pos >= start_ AND pos < end_ GROUP BY ALL),
+w AS (SELECT instance, step, sum(score) AS al FROM t GROUP BY ALL)
+SELECT instance, step::VARCHAR AS step, span_idx, round(a, 6) AS absolute, round(CASE WHEN sum(a) OVER (PARTITION BY instance, step) > 0 THEN a / sum(a) OVER (PARTITION BY instance, step) * 100 ELSE 0 END, 6) AS relative, n_tokens,
+  round(CASE WHEN al > 0 THEN a / al * 100 ELSE 0 END, 6) AS coverage FROM g JOIN w USING (instance, step)""")
+def gold_steps(spark, sf_dir):
+    t = _tokens(spark, sf_dir)
+    out = spans.gold_by_step(t, _spans(t)).withColumn("step", F.col("step").cast("string"))
+    return out.select("instance", "step", "span_idx", "n_tokens", *[F.round(c, 6).alias(c) for c in ("absolute", "relative", "coverage")])
+
+
+@query(f"""WITH {_TOKENS}, l AS (SELECT instance, quantile_cont(score, 0.9) AS lim FROM t GROUP BY instance), h AS (SELECT t.*, pos - row_number() OVER (PARTITION BY t.instance ORDER BY pos) AS i FROM t JOIN l ON t.instance = l.instance AND score > lim),
+r AS (SELECT instance, min(pos) AS from_pos, count(*) AS n, sum(score) AS total FROM h GROUP BY instance, i HAVING count(*) >= 3),
+d AS (SELECT t.instance, span_idx, sum(score) AS total FROM t JOIN sp ON t.instance = sp.instance AND pos >= start_ AND pos < end_ GROUP BY ALL),
+s AS (SELECT instance, CASE WHEN pos < 20 THEN 'prompt' WHEN pos < 60 THEN 'context' ELSE 'other' END AS section, sum(score) AS total FROM t GROUP BY ALL)
+SELECT 'run' AS kind, instance, repeat('abcdefghij', n::INT) AS item, round(total, 6) AS total, rank FROM (SELECT *, row_number() OVER (PARTITION BY instance ORDER BY total DESC, from_pos)::INT AS rank FROM r) WHERE rank <= 3
+UNION ALL SELECT 'document', instance, span_idx::VARCHAR, round(total, 6), rank FROM (SELECT *, row_number() OVER (PARTITION BY instance ORDER BY total DESC, span_idx)::INT AS rank FROM d) WHERE rank <= 3
+UNION ALL SELECT 'section', i.instance, x, round(coalesce(total, 0), 6), NULL FROM (SELECT DISTINCT instance FROM t) i CROSS JOIN (VALUES ('prompt'), ('context'), ('other')) v(x) LEFT JOIN s ON s.instance = i.instance AND section = x""")
+def top_content(spark, sf_dir):
+    """Each instance's best runs, documents and its sections in one table."""
+    t = _tokens(spark, sf_dir).withColumns({"beg": F.col("pos") * 10, "end": F.col("pos") * 10 + 10})
+    texts = t.groupBy("instance").agg(F.repeat(F.lit("abcdefghij"), (F.max("pos") + 1).cast("int")).alias("text"))
+    section = F.when(F.col("pos") < 20, "prompt").when(F.col("pos") < 60, "context").otherwise("other")
+    top = attention.top_content(t, texts, _spans(t), section, 3)
+    names = {"runs": ("run", F.col("text"), F.col("rank")), "documents": ("document", F.col("span_idx").cast("string"), F.col("rank")), "sections": ("section", F.col("section"), F.lit(None).cast("int"))}
+    parts = [top[k].select(F.lit(kind).alias("kind"), "instance", item.alias("item"), F.round("total", 6).alias("total"), rank.alias("rank")) for k, (kind, item, rank) in names.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_PLAIN_SPLITS = ("passkey", "number_string", "kv_retrieval", "longbook_sum_eng", "longbook_qa_eng", "longbook_qa_chn", "longdialogue_qa_eng", "math_calc")
+
+
+@query(f"SELECT o_orderkey, s AS split, s || ' {{' || o_orderpriority || '}} ' || o_orderstatus || ' asks ' || o_clerk || '/' || o_clerk AS prompt FROM orders, (VALUES {', '.join(f'({chr(39)}{s}{chr(39)})' for s in _PLAIN_SPLITS)}) t(s)".replace("o_clerk", "o_custkey"))
+def plain_task_prompts(spark, sf_dir):
+    """The splits whose prompts have a context and a question as they are; values may hold braces."""
+    values = lambda s: prompts.task_values(s, {"context": F.concat(F.lit("{"), "o_orderpriority", F.lit("} "), "o_orderstatus"), "input": F.col("o_custkey").cast("string")})
+    rows = read(spark, sf_dir, "orders")
+    made = [F.struct(F.lit(s).alias("split"), prompts.fill(s + " {context} asks {question}/{input}", values(s)).alias("prompt")) for s in _PLAIN_SPLITS]
+    return rows.select("o_orderkey", F.inline(F.array(*made)))
