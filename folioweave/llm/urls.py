@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from folioweave.llm.shared import byte_view, pieces
 from folioweave.llm.words import lower
 
-#: Labelled URLs (about) that the model is fitted on; hash buckets of its features; lengths of its n-grams.
+#: Labelled URLs (about, half of each label at most) that the model is fitted on; hash buckets of its features; lengths of its n-grams.
 LABELLED, BUCKETS, GRAMS = 4_000, 1 << 15, (2, 3, 4)
 Rule = tuple[str, str, str]  # verdict, host, path
 
@@ -86,11 +86,15 @@ def fit(x: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, rounds: int
 
 
 def train(labelled: DataFrame, bound: int = LABELLED) -> np.ndarray | None:
-    """Weights from about `bound` rows (url, label: block or allow) drawn by hash; None unless both labels are there."""
+    """Weights from rows (url, label: block or allow), of each label about half of `bound` drawn by hash; None unless both are there."""
     known = labelled.where("url IS NOT NULL AND label IN ('block', 'allow')").select("url", "label").distinct()
-    total = known.count()
-    share = min(1.0, bound / total) if total else 1.0
-    drawn = known.where(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    shares = {r.label: min(1.0, bound / 2 / r["count"]) for r in known.groupBy("label").count().collect()}
+    if len(shares) < 2:
+        return None
+    most = F.lit(0)
+    for label, share in shares.items():
+        most = F.when(F.col("label") == label, int(share * (1 << 30))).otherwise(most)
+    drawn = known.where(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < most)
     rows = sorted((r.host, r.path, r.label) for r in drawn.select(host_of("url").alias("host"), path_of("url").alias("path"), "label").collect())
     if len({r[2] for r in rows}) < 2:
         return None

@@ -1,6 +1,9 @@
+import math
+import zlib
+
 import numpy as np
 
-from folioweave.llm import langid
+from folioweave.llm import langid, queries
 from folioweave.llm.shared import fold
 
 
@@ -47,16 +50,12 @@ def test_edges(spark):
 
 
 def test_fold(spark):
-    import zlib
-
     ids = [0, 1, 2, 77, 10**12, None]
     found = spark.createDataFrame([(i,) for i in ids], "doc_id long").select(fold("doc_id", 3).alias("f")).collect()
     assert [r.f for r in found] == [zlib.crc32(str("" if i is None else i).encode()) % 3 for i in ids]
 
 
 def test_nothing_to_learn_from_keeps_documents_with_letters(spark):
-    import zlib
-
     held = [i for i in range(99) if zlib.crc32(str(i).encode()) % 3 == 1][:4]
     for lang in (None, "en"):
         rows = [(held[0], "the cat and the dog", lang), (held[1], "12 !? 34", lang), (held[2], None, lang), (held[3], "", lang)]
@@ -87,3 +86,39 @@ def test_many_languages_keep_the_sample_bounded(spark, monkeypatch):
     docs = spark.range(6000).selectExpr("id AS doc_id", "concat('word ', id % 60, ' ', md5(cast(id AS string))) AS text", "concat('l', id % 60) AS lang")
     model = langid.fit(docs, held=None)
     assert len(model.langs) > 50 and len(model.families) == len(model.langs) and not model.pairs
+
+
+def plain_prediction(x, model):
+    """The best family, then the language that wins most of its pairs; one row, with plain sums."""
+    value = lambda w: 1 / (1 + math.exp(-2 * (float(np.dot(x.astype(np.float64), w[:-1].astype(np.float64))) + float(w[-1]))))
+    shares = [value(model.family[:, k]) for k in range(len(model.families))]
+    k = max(range(len(shares)), key=shares.__getitem__)
+    group, score = model.members[k], shares[k]
+    votes, sums = dict.fromkeys(group, 0), dict.fromkeys(group, 0.0)
+    for (a, b), w in model.pairs.items():
+        if a in votes and b in votes:
+            p = value(w)
+            votes[a if p >= 0.5 else b] += 1
+            sums[a] += p
+            sums[b] += 1 - p
+    best = max(group, key=lambda v: votes[v] + sums[v] / (len(group) + 1))
+    return best, score * (sums[best] / (len(group) - 1) if len(group) > 1 else 1)
+
+
+def test_whole_query_against_a_plain_recomputation(spark):
+    """Every document's row of the registered query; only the fitted model is taken over."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs)
+    found = {r.doc_id: r for r in queries.op9_hierarchical_language(spark, sf_dir).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(found) == len(rows) > 100
+    for r in rows:
+        got = found[r.doc_id]
+        assert got.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        if not any(map(str.isalpha, r.text or "")):
+            assert (got.lang_pred, got.score) == ("und", 0)
+            continue
+        data = r.text.encode()
+        lang, score = plain_prediction(langid.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0], model)
+        assert got.lang_pred == lang and abs(got.score - score) < 1e-4, r.doc_id

@@ -1,9 +1,10 @@
+import math
 import re
 
 import numpy as np
 import pyarrow as pa
 
-from folioweave.llm import urls
+from folioweave.llm import queries, urls
 from folioweave.llm.queries import URL_RULES
 
 
@@ -62,3 +63,42 @@ def test_very_long_urls_and_no_pages(spark):
     assert (got[1].path, got[1].score, got[1].verdict) == (long[11:], got[3].score, got[3].verdict)
     assert (got[4].rule, got[4].verdict, got[2].rule) == ("com/en/", "block", None)
     assert urls.judge(pages.where("false"), URL_RULES, weights).collect() == []
+
+
+def plain_score(host, path, w):
+    """The model's probability of block, gram by gram."""
+    hits, total = 0.0, 0
+    for part, text in enumerate((host, path)):
+        marked = [1, *(b + 2 + 32 * (65 <= b <= 90) for b in text.encode()), 1]
+        for size in urls.GRAMS:
+            for i in range(len(marked) - size + 1):
+                code = 7 * part + size
+                for x in marked[i : i + size]:
+                    code = (code * 0x100000001B3 + x) % 2**64
+                hits += w[(code * 0x9E3779B97F4A7C15) % 2**64 >> 49]
+                total += 1
+    return 1 / (1 + math.exp(-(hits / math.sqrt(max(1, total)) + w[-1])))
+
+
+def test_whole_query_against_a_plain_recomputation(spark):
+    """Every page's row of the registered query; only the fitted weights are taken over."""
+    sf_dir = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    w = urls.train(urls.labelled_by_rules(pages, URL_RULES))
+    found = {r.page_id: r for r in queries.op4_url_verdicts(spark, sf_dir).collect()}
+    rows = pages.collect()
+    assert len(found) == len(rows)
+    for r in rows:
+        host, path, best = slow(r.url)
+        score = plain_score(host, path, w)
+        got = found[r.page_id]
+        assert (got.host, got.path, got.rule) == (host, path, best and best[1]) and abs(got.score - score) < 1e-9
+        assert got.verdict == (best[0] if best else "block" if score > 0.5 else "allow")
+
+
+def test_a_rare_label_is_drawn_as_often_as_a_common_one(spark):
+    many = spark.range(60_000).selectExpr("concat('h://good.org/', id) AS url", "'allow' AS label")
+    few = spark.range(20).selectExpr("concat('h://worse.net/x', id) AS url", "'block' AS label")
+    w = urls.train(many.union(few))
+    pages = spark.createDataFrame([(1, "h://worse.net/x99999"), (2, "h://good.org/99999999")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urls.judge(pages, [], w).collect()} == {1: "block", 2: "allow"}
