@@ -205,14 +205,25 @@ def clean_stats(spark, sf_dir):
 f AS (SELECT conv_id, i, role, text AS sentence FROM t)
 SELECT conv_id::VARCHAR AS id, count(*) FILTER (role = 'user')::INT AS n_gold, count(*)::INT AS n_docs FROM f GROUP BY conv_id""")
 def train_instances(spark, sf_dir):
+    made = _instances(spark, sf_dir)
+    return made.select("id", F.size("gold_doc_ids").alias("n_gold"), F.size(C.parse(F.col("training_context"))).alias("n_docs"))
+
+
+@query("""SELECT conv_id::VARCHAR AS id, md5(trim(text, chr(10) || ' ')) AS content, bool_or(role = 'user') OVER (PARTITION BY conv_id, text) AS is_gold FROM conversations""")
+def train_instance_docs(spark, sf_dir):
+    """Every document of every instance and whether its tag is among the gold ones; where it stands is drawn."""
+    made = _instances(spark, sf_dir).select("id", "gold_doc_ids", F.explode(C.parse(F.col("training_context"))).alias("d"))
+    return made.select("id", _md5(F.col("d.content")).alias("content"), F.array_contains("gold_doc_ids", C.tag(F.col("d.doc_id"))).alias("is_gold"))
+
+
+def _instances(spark, sf_dir):
     t = read(spark, sf_dir, "conversations")
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     one = t.groupBy("conv_id").agg(ordered.alias("t")).withColumn("id", F.col("conv_id").cast("string"))
     user = lambda keep: F.transform(F.filter("t", lambda x: (x["role"] == "user") == keep), lambda x: x["text"])
     facts = F.struct(F.transform(user(True), lambda _: F.lit("user")).alias("title"), F.transform(user(True), lambda _, i: i).alias("sent_id"))
     rows = one.select("id", facts.alias("supporting_facts"), F.struct(F.array(F.lit("user")).alias("title"), F.array(user(True)).alias("sentences")).alias("context"))
-    made = training.instances(rows, one.select("id", user(False).alias("chunks")))
-    return made.select("id", F.size("gold_doc_ids").alias("n_gold"), F.size(C.parse(F.col("training_context"))).alias("n_docs"))
+    return training.instances(rows, one.select("id", user(False).alias("chunks")))
 
 
 # --- overlaps of neighbouring turns, scores of templated outputs -----------------------------------------------------------
