@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,12 @@ from folioweave.llm.shared import SharedTables, byte_view, fold, pieces, text_or
 
 #: Words whose emissions are broadcast at most, classes of the others, latent states. Symbols fit 16 bits.
 WORDS, CLASSES, STATES = 40_000, 2_000, 8
-#: Bytes of a word that may have a symbol of its own: bounds what is broadcast.
+#: Bytes up to which a word stands for itself in tables and broadcasts; longer ones go by their digest, which bounds both.
 LONGEST = 64
 #: Share of a word's counts that goes to each state, whatever its contexts; infrequent words that a task sums before it lets go.
 FLOOR, SUMMED = 0.01, 400_000
 #: Passes over all training documents after the stepwise one; tokens whose states a task holds at once.
-PASSES, HELD_TOKENS = 1, 1 << 19
+PASSES, HELD_TOKENS = 2, 1 << 18
 FOLDS, HELD = 7, 2
 #: Folds that are joined with their words' emissions together; one lot after the other bounds the disk that shuffles take.
 LOTS = ((0, 1), (2, 3), (4, 5), (6,))
@@ -40,8 +41,14 @@ END = b" "
 
 
 def tokens(text: bytes) -> list[bytes]:
-    r"""A-Z lower-cased words [^\x20\x09-\x0D]+, then the end."""
-    return [*text.lower().split(), END]
+    r"""A-Z lower-cased words [^\x20\x09-\x0D]+, then the end.
+
+    A word over LONGEST bytes is a blank (no word holds one), its SHA-256 and its last letters, by which it has its class.
+    """
+    words = [*text.lower().split(), END]
+    if max(map(len, words)) > LONGEST:
+        words = [w if len(w) <= LONGEST else b" " + sha256(w).digest() + w[-3:] for w in words]
+    return words
 
 
 def _class(word: bytes) -> int:
@@ -91,16 +98,15 @@ def alphabet(counts: DataFrame, words: int = WORDS) -> Alphabet:
     Where the highest bucket alone has more, no word is frequent: each then holds a small share of the corpus, and all
     of them meet their counts by a join.
     """
-    short = F.length("word") <= LONGEST
     step = F.floor(F.log2("c") * 16)
-    sums = counts.groupBy(F.when(short, step).alias("step")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()
+    sums = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()
     total, distinct = sum(r.c for r in sums), sum(r.n for r in sums)
     least, have = None, 0
-    for r in sorted((r for r in sums if r.step is not None), key=lambda r: -r.step):
+    for r in sorted(sums, key=lambda r: -r.step):
         if (have := have + r.n) > words:
             break
         least = r.step
-    frequent = short & (step >= least) if least is not None else F.lit(False)
+    frequent = step >= least if least is not None else F.lit(False)
     known = {bytes(r.word): (k, r.c) for k, r in enumerate(sorted(counts.where(frequent).collect(), key=lambda r: (-r.c, bytes(r.word))))}
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,25 +162,54 @@ def _packed(symbols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return order, n, flat
 
 
-def forward(model: Hmm, symbols: list[np.ndarray], own: list[np.ndarray] | None = None, times: np.ndarray | None = None) -> np.ndarray:
+def _stretches(at: list[int], held: int) -> list[tuple[int, int]]:
+    """(first, last) steps of stretches of about `held` tokens, one step at least."""
+    edges = [0]
+    for t in range(len(at) - 1):
+        if at[t + 1] - at[edges[-1]] > held and t > edges[-1]:
+            edges.append(t)
+    edges.append(len(at) - 1)
+    return list(zip(edges[:-1], edges[1:], strict=True)) if len(at) > 1 else []
+
+
+def _ahead(model: Hmm, seen: np.ndarray, at: list[int], first: int, last: int, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(scaled states, their scales) of the steps first to last, whose emissions are seen; state: that of the step before."""
+    base, ones = at[first], np.ones(len(model.start))
+    alpha, scale = np.empty_like(seen), np.empty(len(seen))
+    for t in range(first, last):
+        here = slice(at[t] - base, at[t + 1] - base)
+        now = alpha[here]
+        if state is None:
+            now[:] = model.start
+        else:
+            np.matmul(state[: len(now)], model.move, out=now)
+        now *= seen[here]
+        total = np.dot(now, ones, out=scale[here])
+        now /= total[:, None]
+        state = now
+    return alpha, scale
+
+
+def forward(model: Hmm, symbols: list[np.ndarray], own: list[np.ndarray] | None = None, times: np.ndarray | None = None, held: int = HELD_TOKENS) -> np.ndarray:
     """log10 probability of each symbol sequence: the scaled forward recursion, all texts abreast.
 
-    own: for each symbol the row of times that its emissions are multiplied by, -1 for none.
+    own: for each symbol the row of times that its emissions are multiplied by, -1 for none. Only the states of about
+    `held` tokens are held.
     """
     order, n, flat = _packed(symbols)
-    which = _packed(own)[2] if own is not None else np.full(len(flat), -1)
-    out = np.zeros(len(symbols))
-    state, at = None, 0
-    for count in n.tolist():
-        seen = model.emit[flat[at : at + count]]
-        odd = np.flatnonzero(which[at : at + count] >= 0)
-        if len(odd):
-            seen[odd] *= times[which[at + odd]]
-        state = (np.broadcast_to(model.start, seen.shape) if state is None else state[:count] @ model.move) * seen
-        scale = state.sum(1)
-        out[:count] += np.log10(scale)
-        state = state / scale[:, None]
-        at += count
+    which = _packed(own)[2] if own is not None else None
+    at = np.concatenate([[0], np.cumsum(n)]).tolist()
+    out, state = np.zeros(len(symbols)), None
+    for first, last in _stretches(at, held):
+        part = slice(at[first], at[last])
+        seen = model.emit.take(flat[part], 0)
+        if which is not None:
+            odd = np.flatnonzero(which[part] >= 0)
+            seen[odd] *= times[which[part][odd]]
+        alpha, scale = _ahead(model, seen, at, first, last, state)
+        text = np.arange(len(scale)) - np.repeat(np.array(at[first:last]) - at[first], n[first:last])
+        out += np.bincount(text, np.log10(scale), len(out))
+        state = alpha[at[last - 1] - at[first] :].copy()
     back = np.empty(len(symbols))
     back[order] = out
     return back
@@ -192,48 +227,38 @@ def expected(
     which = _packed(own)[2] if own is not None else None
     start, move, emit = counts
     at = np.concatenate([[0], np.cumsum(n)]).tolist()
-    ns = n.tolist()
     width = len(model.start)
-
-    def forward(first: int, last: int, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        alpha, scale = np.empty((at[last] - at[first], width)), np.empty(at[last] - at[first])
-        for t in range(first, last):
-            state = (model.start if state is None else state[: ns[t]] @ model.move) * model.emit[flat[at[t] : at[t + 1]]]
-            here = slice(at[t] - at[first], at[t + 1] - at[first])
-            scale[here] = total = state.sum(1)
-            alpha[here] = state = state / total[:, None]
-        return alpha, scale, state
-
-    edges = [0]
-    for t in range(len(ns)):
-        if at[t + 1] - at[edges[-1]] > held and t > edges[-1]:
-            edges.append(t)
-    edges.append(len(ns))
-    spans = list(zip(edges[:-1], edges[1:], strict=True))
+    stretches = _stretches(at, held)
     entry: list[np.ndarray | None] = [None]
-    for first, last in spans[:-1]:
-        entry.append(forward(first, last, entry[-1])[2])
+    for first, last in stretches[:-1]:
+        alpha, _ = _ahead(model, model.emit.take(flat[at[first] : at[last]], 0), at, first, last, entry[-1])
+        entry.append(alpha[at[last - 1] - at[first] :].copy())
     likelihood = 0.0
-    beta = np.zeros((0, width))
     turn = model.move.T.copy()
-    for (first, last), state in zip(reversed(spans), reversed(entry), strict=True):
-        alpha, scale, _ = forward(first, last, state)
+    carry = np.zeros((0, width))  # what the next stretch says of the texts that go on in it
+    for (first, last), state in zip(reversed(stretches), reversed(entry), strict=True):
+        base, part = at[first], slice(at[first], at[last])
+        seen = model.emit.take(flat[part], 0)
+        alpha, scale = _ahead(model, seen, at, first, last, state)
         likelihood += float(np.log10(scale).sum())
-        for t in range(last - 1, first - 1, -1):
-            if len(beta) < ns[t]:
-                beta = np.vstack([beta, np.ones((ns[t] - len(beta), width))])
-            here = slice(at[t] - at[first], at[t + 1] - at[first])
-            if t:
-                before = alpha[at[t - 1] - at[first] :] if t > first else state
-                back = beta * model.emit[flat[at[t] : at[t + 1]]] / scale[here][:, None]
-                move += before[: ns[t]].T @ back
-                alpha[here] *= beta
-                beta = back @ turn
-            else:
-                alpha[here] *= beta
-        if not first and ns:
-            start += alpha[: ns[0]].sum(0)
-        part = slice(at[first], at[last])
+        seen /= scale[:, None]
+        beta = np.ones_like(alpha)
+        beta[at[last - 1] - base :][: len(carry)] = carry
+        for t in range(last - 1, first, -1):
+            back = seen[at[t] - base : at[t + 1] - base]
+            back *= beta[at[t] - base : at[t + 1] - base]
+            np.matmul(back, turn, out=beta[at[t - 1] - base :][: len(back)])
+        head = slice(0, at[first + 1] - base)
+        seen[head] *= beta[head]
+        if state is not None:
+            carry = seen[head] @ turn
+            move += state[: len(carry)].T @ seen[head]
+        # a text's place one step before: the steps between are as wide as that step
+        later = np.arange(head.stop, len(seen))
+        move += alpha[later - np.repeat(n[first : last - 1], n[first + 1 : last])].T @ seen[later]
+        alpha *= beta
+        if not first:
+            start += alpha[head].sum(0)
         for k in range(width):
             emit[:, k] += np.bincount(flat[part], alpha[:, k], len(emit))
         if which is not None:
@@ -293,7 +318,7 @@ def _counted(part: DataFrame, letters: Alphabet, model: Hmm) -> tuple[np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
         likelihood = np.zeros((1, states))
-        for batch in pieces(batches, "symbols", 3 << 20, 4096):
+        for batch in pieces(batches, "symbols", 2 << 20, 4096):
             likelihood[0, 0] += expected(shared.value, [np.frombuffer(s.as_py(), "<u2") for s in batch.column("symbols")], counts)
         start, move, emit = counts
         whole = np.vstack([start[None], move * shared.value.move, emit, likelihood])
@@ -363,7 +388,7 @@ def count_states(encoded: DataFrame, letters: Alphabet, model: Hmm) -> DataFrame
             number.clear()
             return out
 
-        for batch in pieces(batches, "symbols", 3 << 20, 4096):
+        for batch in pieces(batches, "symbols", 2 << 20, 4096):
             symbols = [np.frombuffer(s.as_py(), "<u2") for s in batch.column("symbols")]
             numbers = [np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in batch.column("words").to_pylist()]
             if len(rows) < len(number):
@@ -459,7 +484,7 @@ def score_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), states
     first = len(letters.known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "symbols", 3 << 20, 4096):
+        for batch in pieces(batches, "symbols", 2 << 20, 4096):
             symbols = [np.frombuffer(s.as_py(), "<u2") for s in batch.column("symbols")]
             met = batch.column("_own")
             of = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(met), 0).to_numpy())]).tolist()
@@ -484,8 +509,7 @@ def score_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), states
     columns = ["_row", "_keep", "_fold", "n_tokens", "log_known", "log_class", "n_known", "symbols", "odd"]
 
     def scored(part: DataFrame) -> DataFrame:
-        # infrequent words meet their counts and states: no word of them holds more than a bounded share of the corpus, but
-        # for words over LONGEST bytes, whose rows Spark splits
+        # infrequent words meet their counts and states: no word of them holds more than a bounded share of the corpus
         rare = part.select("_row", F.posexplode("words").alias("at", "word")).join(own, "word")
         rare = rare.groupBy("_row").agg(F.collect_list(F.struct("at", "c", "e")).alias("_own"))
         whole = part.select(*columns).join(rare, "_row", "left")

@@ -145,6 +145,28 @@ def test_likelihood_rises_from_pass_to_pass(spark):
     assert len(seen) == 3 and seen == sorted(seen)
 
 
+def test_long_words_count_as_others(spark):
+    long, other = "w" * 3_000 + "end", "v" * 3_000 + "end"
+    rows = [(i, f"{long} a {long} b{i % 3}" + f" {other}" * (i == 5)) for i in range(30)]
+    counts = hmm.count_words(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    letters = hmm.alphabet(counts, 4)
+    kept = [t for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    [key] = [w for w in letters.known if len(w) > 1 and w[-3:] == b"end"]
+    assert letters.known[key][1] == 2 * len(kept) and len(key) < hmm.LONGEST
+    assert len(set(hmm.tokens(f"{long} {other} {long}".encode()))) == 3  # two words and the end
+    assert letters.distinct == len({w for t in kept for w in words(t)})
+
+
+def test_forward_does_not_depend_on_what_is_held():
+    model, seqs = small()
+    seqs = [*seqs, np.arange(300) % 5, np.arange(40) % 3]
+    own, times = [np.where(s > 2, s - 3, -1) for s in seqs], np.array([[0.5, 2, 1], [3, 1, 0.1]])
+    out = [hmm.forward(model, seqs, own, times, held) for held in (1, 7, 100, 10**9)]
+    assert all(np.allclose(x, out[-1]) for x in out)
+    changed = hmm.Hmm(model.start, model.move, np.vstack([model.emit[:3], model.emit[3:] * times]))
+    assert np.allclose(out[0], hmm.forward(changed, seqs))
+
+
 def test_very_long_texts_and_words(spark):
     docs = spark.createDataFrame([(1, "a b c " * 150_000), (2, "w" * 1_000_000 + " a b"), (3, "long" * 100 + " a"), (4, "long" * 100)], "doc_id long, text string")
     got = {r.doc_id: r for r in hmm.score_documents(docs, states=2, passes=1).collect()}
