@@ -1,23 +1,29 @@
-"""Sentences whose periods are told from those of abbreviations by what the corpus shows of each word."""
+"""Sentences whose periods are told from those of abbreviations by what the corpus shows of each word and of the next."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from folioweave.functions import offsets
 from folioweave.functions import text as T
+from folioweave.sources.tables import SharedTables
 
-#: From which score a word is an abbreviation, and how likely one is followed by a period.
-LEAST, PERIOD = 0.3, 0.99
+#: From which score a word is an abbreviation, and how likely one is followed by a period; from which
+#: log-likelihood ratios a word starts sentences, and two words around a period belong together.
+LEAST, PERIOD, STARTS, TOGETHER = 0.3, 0.99, 30.0, 7.88
 
+_PART = rf"[^{T.SPACE[1:-1]}.!?,;:()\"']+"
 #: A word (it may hold periods) and the period after it, if one is there.
-_WORD = rf"[^{T.SPACE[1:-1]}.!?,;:()\"']+(?:\.[^{T.SPACE[1:-1]}.!?,;:()\"']+)*\.?"
+_WORD = rf"{_PART}(?:\.{_PART})*\.?"
+#: What stands for a word without a letter.
+NUMBER = "##"
 
 
 def abbreviations(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -41,19 +47,100 @@ def abbreviations(docs: DataFrame, least: float = LEAST) -> DataFrame:
     return held.select("word", score.alias("score")).where(F.col("score") >= least)
 
 
-#: A line break before the next word.
+def _pairs(texts: Column) -> Column:
+    """array<struct<a, e, b, up>> of a text's words in order: a word's type, whether a period follows it, the next word's
+    type (empty at the end), whether that one begins in upper case."""
+    words = F.regexp_extract_all(texts, F.lit(_WORD), F.lit(0))
+
+    def kind(w: Column) -> Column:
+        bare = F.lower(F.when(F.endswith(w, F.lit(".")), F.substr(w, F.lit(1), F.length(w) - 1)).otherwise(w))
+        return F.when(F.rlike(bare, F.lit(r"\p{L}")), bare).otherwise(NUMBER)
+
+    def pair(w: Column, x: Column) -> Column:
+        some = x.isNotNull()
+        return F.struct(
+            kind(w).alias("a"), F.endswith(w, F.lit(".")).alias("e"),
+            F.when(some, kind(x)).otherwise("").alias("b"), (some & F.rlike(x, F.lit(r"^\p{Lu}"))).alias("up"),
+        )
+
+    # the second list is one shorter: its last place is null
+    return F.filter(F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), pair), lambda p: p["a"].isNotNull())
+
+
+def association(a: Column, b: Column, both: Column, every: Column) -> Column:
+    """The log-likelihood ratio of b's share among a against its share elsewhere; 0 where it is not larger among a.
+
+    a, b, both, every: how often the first stands, the second stands, they stand together, anything stands.
+    """
+
+    def log(k: Column, n: Column, p: Column) -> Column:
+        part = F.when(k > 0, k * F.log(F.when(p > 0, p))).otherwise(0.0)
+        return part + F.when(n - k > 0, (n - k) * F.log(F.when(p < 1, 1 - p))).otherwise(0.0)
+
+    b = F.greatest(b, both)
+    rest, out = every - a, b - both
+    p, inside = b / every, both / a
+    outside = F.when(rest > 0, out / rest).otherwise(0.0)
+    ratio = 2 * (log(both, a, inside) + log(out, rest, outside) - log(both, a, p) - log(out, rest, p))
+    return F.when(inside > p, ratio).otherwise(0.0)
+
+
+def continuing(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b, up): the pairs of word types of docs (text) around a period that ends no sentence.
+
+    A period after an abbreviation (found: word) goes on, unless the next word is in upper case and starts sentences: it
+    follows other periods far more often than it stands elsewhere. A period after an abbreviation or a number also goes on
+    before a word that starts no sentences and stands with it far more often than apart from it. Words and pairs are counted
+    by shuffle, sums first, so a frequent word is one row when it meets its counts.
+    """
+    tables = SharedTables(docs.sparkSession)
+    every = docs.select(F.explode(_pairs(F.col("text"))).alias("p")).select("p.*")
+    counted = tables.write(every.groupBy("a", "e", F.when(F.col("e"), F.col("b")).alias("b"), F.when(F.col("e"), F.col("up")).alias("up")).agg(F.count("*").alias("n")), "pairs")
+    single = counted.groupBy("a").agg(F.sum("n").alias("n"))
+    total = counted.agg(F.sum("n").alias("_all"))
+    pairs = counted.where("e").join(found.select(F.col("word").alias("a"), F.lit(True).alias("_short")), "a", "left")
+    pairs = pairs.withColumn("_short", F.coalesce("_short", F.lit(False)))
+    breaks = pairs.where(f"NOT _short AND a <> '{NUMBER}' AND b <> ''").groupBy("b").agg(F.sum("n").alias("both"))
+    ends = breaks.agg(F.sum("both").alias("_ends"))
+    # one row each: all words, all ends of sentences
+    starts = breaks.join(single.select(F.col("a").alias("b"), F.col("n").alias("nb")), "b").crossJoin(total).crossJoin(ends)
+    starts = starts.where(association(F.col("_ends"), F.col("nb"), F.col("both"), F.col("_all")) >= STARTS).where(f"b <> '{NUMBER}'").select("b", F.lit(True).alias("_starts"))
+    candidates = pairs.where(f"_short OR a = '{NUMBER}'").groupBy("a", "b", "_short").agg(F.sum("n").alias("both"), F.collect_set("up").alias("ups"))
+    named = candidates.join(single.withColumnRenamed("n", "na"), "a").join(single.select(F.col("a").alias("b"), F.col("n").alias("nb")), "b", "left")
+    named = named.crossJoin(total).join(starts, "b", "left")
+    together = F.coalesce(association(F.col("na"), F.col("nb"), F.col("both"), F.col("_all")) >= TOGETHER, F.lit(False)) & (F.col("b") != "") & F.col("_starts").isNull()
+    named = named.select("a", "b", F.explode("ups").alias("up"), "_short", F.coalesce("_starts", F.lit(False)).alias("_starts"), together.alias("_together"))
+    return named.where("_together OR (_short AND NOT (up AND _starts))").select("a", "b", "up")
+
+
+#: A line break before the next word; the next word, and a letter.
 _BREAK = re.compile(r"[^\S\n]*\n")
+_NEXT = re.compile(r"[^\s.!?,;:()\"']+(?:\.[^\s.!?,;:()\"']+)*")
+_LETTER = re.compile(r"[^\W\d_]")
+#: Characters after a period in which the next word is looked for, and of the longest word before one.
+AHEAD, BEHIND = 200, 201
+
+
+def _kind(word: str) -> str:
+    return word.lower() if _LETTER.search(word) else NUMBER
+
+
+def _goes_on(text: str, word: str, at: int, held: frozenset[str]) -> bool:
+    found = _NEXT.search(text, at, at + AHEAD)
+    if not found and len(text) - at > AHEAD:
+        return False
+    following, up = (_kind(found[0]), unicodedata.category(found[0][0]) == "Lu") if found else ("", False)
+    return f"{_kind(word)} {following} {up:d}" in held
 
 
 def _joined(text: str, held: frozenset[str]) -> Iterator[offsets.Span]:
-    """Sentences, put together where a period stands in a word, or ends an abbreviation (of 200 characters at most) before
-    no line break."""
+    """Sentences, put together where a period stands in a word, or before no line break in one of the held pairs."""
     start = end = None
     for a, b, body in offsets.find_sentences(text):
         start, end = a if start is None else start, b
         if body.endswith("."):
-            word = text[max(start, b - 201) : b].split()[-1].lower().lstrip("\"'([{")
-            if not text[b : b + 1].isspace() or (word[:-1] in held and not _BREAK.match(text, b)):
+            word = text[max(start, b - BEHIND) : b].split()[-1].lstrip("\"'([{")
+            if not text[b : b + 1].isspace() or (not _BREAK.match(text, b) and _goes_on(text, word[:-1], b, held)):
                 continue
         yield start, end, text[start:end].strip()
         start = None
@@ -70,13 +157,16 @@ def _spans(texts: pa.Array, held: pa.Array) -> pa.Array:
 
 
 def learned_sentences(docs: DataFrame, key: str, found: DataFrame | None = None) -> DataFrame:
-    """key, span_idx, start, end, text: sentences of docs (key, text); a period after an abbreviation ends none.
+    """key, span_idx, start, end, text: sentences of docs (key, text); the periods of continuing() end none.
 
-    found: abbreviations() of docs, by default. A document gets those of its own words by a join, so there may be any number.
+    found: abbreviations() of docs, by default. A document gets the pairs that stand in it by a join, so there may be any
+    number. A period whose next word is over AHEAD characters away, or whose word is longer than BEHIND, ends a sentence.
     """
-    found = abbreviations(docs) if found is None else found
-    own = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("w")).where("w LIKE '%.'")
-    own = own.select(key, F.substr("w", F.lit(1), F.length("w") - 1).alias("word")).join(found.select("word"), "word", "left_semi")
-    sets = own.groupBy(key).agg(F.collect_set("word").alias("_held"))
+    tables = SharedTables(docs.sparkSession)
+    found = tables.write(abbreviations(docs) if found is None else found, "abbreviations")
+    known = tables.write(continuing(docs, found), "continuing")
+    own = docs.select(key, F.explode(F.array_distinct(F.filter(_pairs(F.col("text")), lambda p: p["e"]))).alias("p")).select(key, "p.a", "p.b", "p.up")
+    own = own.join(known, ["a", "b", "up"], "left_semi")
+    sets = own.groupBy(key).agg(F.collect_set(F.concat_ws(" ", "a", "b", F.col("up").cast("int").cast("string"))).alias("_held"))
     spans = docs.select(key, "text").join(sets, key, "left").select(key, F.posexplode(_spans("text", "_held")).alias("span_idx", "s"))
     return spans.select(key, "span_idx", "s.start", "s.end", "s.text")

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import tiktoken
@@ -74,7 +75,40 @@ def plain_abbreviations(texts):
     return out
 
 
-def plain_sentences(text, held):
+PLAIN_WORD = r"[^\s.!?,;:()\"']+(?:\.[^\s.!?,;:()\"']+)*"
+
+
+def plain_kind(word):
+    return word.lower() if re.search(r"[^\W\d_]", word) else "##"
+
+
+def plain_association(a, b, both, every):
+    log = lambda k, n, p: (k * math.log(p) if k else 0) + ((n - k) * math.log(1 - p) if n > k else 0)
+    inside, p, outside = both / a, b / every, (b - both) / (every - a) if every > a else 0
+    if inside <= p:
+        return 0
+    return 2 * (log(both, a, inside) + log(b - both, every - a, outside) - log(both, a, p) - log(b - both, every - a, p))
+
+
+def plain_continuing(texts, held):
+    single, pairs = Counter(), Counter()
+    for t in texts:
+        words = re.findall(PLAIN_WORD + r"\.?", t)
+        for w, x in zip(words, [*words[1:], None]):
+            single[plain_kind(w.removesuffix("."))] += 1
+            if w.endswith("."):
+                pairs[plain_kind(w[:-1]), plain_kind(x.removesuffix(".")) if x else "", bool(x) and unicodedata.category(x[0]) == "Lu"] += 1
+    every, ends, both = sum(single.values()), Counter(), Counter()
+    for (a, b, _), n in pairs.items():
+        both[a, b] += n
+        if a not in held and a != "##" and b:
+            ends[b] += n
+    starts = {b for b, n in ends.items() if b != "##" and plain_association(sum(ends.values()), single[b], n, every) >= 30}
+    together = {(a, b) for (a, b), n in both.items() if b and b not in starts and (a in held or a == "##") and plain_association(single[a], single[b], n, every) >= 7.88}
+    return {(a, b, up) for a, b, up in pairs if (a, b) in together or (a in held and not (up and b in starts))}, starts, together
+
+
+def plain_sentences(text, known):
     out, start, at = [], None, 0
     for piece in re.findall(r"(?:[^.!?\n]*[.!?\n]|[^.!?\n]+\Z)\s*", text):
         core = re.match(r"[^.!?\n]*[.!?]?", piece)[0]
@@ -82,8 +116,10 @@ def plain_sentences(text, held):
         if not core.strip():
             continue
         start = begin if start is None else start
-        word = text[start : begin + len(core)].split()[-1].lower().lstrip("\"'([{")
-        joins = core.strip().endswith(".") and (len(piece) == len(core) or (word[:-1] in held and "\n" not in piece[len(core) :]))
+        word = text[start : begin + len(core)].split()[-1].lstrip("\"'([{")
+        after = re.search(PLAIN_WORD, text[begin + len(core) :][:200])
+        pair = plain_kind(word[:-1]), plain_kind(after[0]) if after else "", bool(after) and unicodedata.category(after[0][0]) == "Lu"
+        joins = core.strip().endswith(".") and (len(piece) == len(core) or (pair in known and (after or len(text) - begin - len(core) <= 200) and "\n" not in piece[len(core) :]))
         if not joins or not text[at:].strip():
             out.append((start, begin + len(core), text[start : begin + len(core)].strip()))
             start = None
@@ -101,14 +137,45 @@ def test_abbreviations_of_the_corpus_end_no_sentence(spark):
     found = {}
     for r in splitting.learned_sentences(docs, "k").orderBy("span_idx").collect():
         found.setdefault(r.k, []).append((r.start, r.end, r.text))
-    assert found == {k: s for k, t in rows if t and (s := plain_sentences(t, held))}
+    known, _, _ = plain_continuing(TALK, held)
+    assert {tuple(r) for r in splitting.continuing(docs, splitting.abbreviations(docs)).collect()} == known
+    assert found == {k: s for k, t in rows if t and (s := plain_sentences(t, known))}
     assert [s[2] for s in found[0]] == ["Dr. Smith met Mr. Jones.", "They spoke."] and [s[2] for s in found[2]] == ["See e.g. this one.", "It was e.g. that.", "Mr.", "Split here.", "All good now."]
     assert splitting.learned_sentences(docs.limit(0), "k").collect() == []
 
 
+FIRMS = ["We like Acme Inc. The firm is old. The staff is kind. The pay is low.", "He left Acme Inc. in spring. They all said so there. The end was near.",
+         "On the 3. October it rained. The sun came late. It was 1999. The year was cold.", "They met on 4. October here. All of it was fine by 7. The rest came too."] * 25
+
+
+def test_next_words_tell_where_abbreviations_and_numbers_end_sentences(spark):
+    docs = spark.createDataFrame(list(enumerate(FIRMS)), "k int, text string").repartition(3)
+    held = plain_abbreviations(FIRMS)
+    known, starts, together = plain_continuing(FIRMS, held)
+    assert "inc" in held and "the" in starts and ("##", "october") in together
+    found = {}
+    for r in splitting.learned_sentences(docs, "k").orderBy("span_idx").collect():
+        found.setdefault(r.k, []).append((r.start, r.end, r.text))
+    assert found == {k: plain_sentences(t, known) for k, t in enumerate(FIRMS)}
+    assert [s[2] for s in found[0]][:2] == ["We like Acme Inc.", "The firm is old."]
+    assert found[1][0][2] == "He left Acme Inc. in spring."
+    # a number ends a sentence before a word that starts them, and none before the month that goes with it
+    assert found[2][0][2] == "On the 3. October it rained." and found[2][-1][2] == "The year was cold."
+
+
+def test_a_next_word_far_away_or_none(spark):
+    texts = [*TALK, "Ask Dr. " + "( " * 150 + "Who", "He saw the Dr.", "Dr. " * 5_000, "5. " * 5_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    known, _, _ = plain_continuing(texts, plain_abbreviations(texts))
+    found = {}
+    for r in splitting.learned_sentences(docs, "k").orderBy("span_idx").collect():
+        found.setdefault(r.k, []).append((r.start, r.end, r.text))
+    assert found == {k: plain_sentences(t, known) for k, t in enumerate(texts)}
+
+
 def test_learned_sentences_on_the_whole_table(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()}
-    held = plain_abbreviations(texts.values())
-    want = {(d, k, a, b, hashlib.md5(s.encode()).hexdigest()[:16]) for d, t in texts.items() for k, (a, b, s) in enumerate(plain_sentences(t, held))}
+    known, _, _ = plain_continuing([t for t in texts.values() if t], plain_abbreviations([t for t in texts.values() if t]))
+    want = {(d, k, a, b, hashlib.md5(s.encode()).hexdigest()[:16]) for d, t in texts.items() if t for k, (a, b, s) in enumerate(plain_sentences(t, known))}
     got = {(r.doc_id, r.span_idx, r.start, r.end, r.hash) for r in score_queries.learned_sentences(spark, SF_DIR).collect()}
     assert got == want
