@@ -1,72 +1,140 @@
-"""Sentences whose periods are told from those of abbreviations by what the corpus shows of each word and of the next."""
+"""Sentences whose periods are told from those of abbreviations, numbers and initials by what the corpus shows of each word."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from folioweave.functions import offsets
-from folioweave.functions import text as T
 from folioweave.sources.tables import SharedTables
 
 #: From which score a word is an abbreviation, and how likely one is followed by a period; from which
 #: log-likelihood ratios a word starts sentences, and two words around a period belong together.
 LEAST, PERIOD, STARTS, TOGETHER = 0.3, 0.99, 30.0, 7.88
 
-_PART = rf"[^{T.SPACE[1:-1]}.!?,;:()\"']+"
-#: A word (it may hold periods) and the period after it, if one is there.
-_WORD = rf"{_PART}(?:\.{_PART})*\.?"
+_BARE = r"[^\s.!?,;:()\"']+(?:\.[^\s.!?,;:()\"']+)*"
+#: A word (it may hold periods) with the period after it, if one is there; or a mark that may part sentences.
+_PIECE = re.compile(_BARE + r"\.?|[.!?\n]")
+_MARKS = frozenset(".!?\n")
+_LETTER = re.compile(r"[^\W\d_]")
 #: What stands for a word without a letter.
 NUMBER = "##"
+#: How a word begins: without case, in lower case, in upper case.
+NONE, LOWER, UPPER = 0, 1, 2
+#: Distinct words, and counts, that a task holds before it lets them go.
+HELD = 500_000
+
+
+def _kind(word: str) -> str:
+    return word.lower() if _LETTER.search(word) else NUMBER
+
+
+def _case(word: str) -> int:
+    return {"Lu": UPPER, "Ll": LOWER}.get(unicodedata.category(word[0]), NONE)
+
+
+class _Types(dict):
+    """(type, case, whether a period follows) of each piece of a text that was met; None for a mark."""
 
+    def __missing__(self, piece: str) -> tuple[str, int, bool] | None:
+        if piece in _MARKS:
+            found = None
+        else:
+            ends = piece.endswith(".")
+            found = (_kind(piece[:-1] if ends else piece), _case(piece), ends)
+        if len(self) >= HELD:
+            self.clear()
+        self[piece] = found
+        return found
 
-def abbreviations(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """(word, score): the words of docs (text), lower-cased, that are abbreviations by how they stand before periods.
+
+def _walk(text: str, types: _Types, words: list, pairs: list) -> None:
+    """Adds (type, case, inside) of each word, and (type, next type, its case) of each word before a period.
+
+    A word is inside a sentence where no period, mark or line break stands before it. The end of a text is the empty type.
+    """
+    inside, before = False, None
+    for piece in _PIECE.findall(text):
+        found = types[piece]
+        if found is None:
+            inside = False
+            continue
+        kind, case, ends = found
+        words.append((kind, case, inside))
+        if before is not None:
+            pairs.append((before, kind, case))
+        before, inside = (kind, False) if ends else (None, True)
+    if before is not None:
+        pairs.append((before, "", NONE))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(a, b, case, inside, n): how often words and pairs stand in docs (text), counted in one pass; tasks sum first.
+
+    Rows without b count a word type a by how it begins and whether it stands inside a sentence; the others count the pairs
+    of a word before a period and the next word b (empty at the end of a text), by how b begins.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, words, pairs = _Types(), Counter(), Counter()
+
+        def flush() -> pa.RecordBatch:
+            a, case, inside = zip(*words, strict=True) if words else ((), (), ())
+            first, b, follows = zip(*pairs, strict=True) if pairs else ((), (), ())
+            out = pa.RecordBatch.from_arrays(
+                [
+                    pa.array([*a, *first], pa.string()), pa.array([*[None] * len(a), *b], pa.string()), pa.array([*case, *follows], pa.int32()),
+                    pa.array([*inside, *[None] * len(first)], pa.bool_()), pa.array([*words.values(), *pairs.values()], pa.int64()),
+                ],
+                names=["a", "b", "case", "inside", "n"],
+            )
+            words.clear()
+            pairs.clear()
+            return out
+
+        for batch in batches:
+            for t in batch.column("text"):
+                if text := t.as_py():
+                    met: tuple[list, list] = [], []
+                    _walk(text, types, *met)
+                    words.update(met[0])
+                    pairs.update(met[1])
+                    if len(words) + len(pairs) > HELD:
+                        yield flush()
+        yield flush()
+
+    rows = docs.select("text").mapInArrow(run, "a string, b string, case int, inside boolean, n long")
+    return rows.groupBy("a", "b", "case", "inside").agg(F.sum("n").alias("n"))
+
+
+def abbreviations(counted: DataFrame, least: float = LEAST) -> DataFrame:
+    """(word, score): the word types of word_counts() that are abbreviations by how they stand before periods.
 
     The score is the log-likelihood ratio of a period after the word against the corpus's share of periods, weighed by the
-    word's shortness, its inner periods and the times it stands without one. Words are counted by shuffle, sums first.
+    word's shortness, its inner periods and the times it stands without one.
     """
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))).alias("w")).where(r"w RLIKE '\\p{L}'")
-    ends = F.endswith("w", F.lit("."))
-    counted = words.select(F.when(ends, F.substr("w", F.lit(1), F.length("w") - 1)).otherwise(F.col("w")).alias("word"), ends.cast("int").alias("e"))
-    counted = counted.groupBy("word").agg(F.count("*").alias("n"), F.sum("e").alias("k"))
-    whole = counted.agg(F.sum("n").alias("_all"), F.sum("k").alias("_periods"))
+    every = F.sum(F.when(F.col("b").isNull(), F.col("n")).otherwise(0))
+    ended = F.sum(F.when(F.col("b").isNotNull(), F.col("n")).otherwise(0))
+    words = counted.where(f"a <> '{NUMBER}'").groupBy(F.col("a").alias("word")).agg(every.alias("n"), ended.alias("k"))
+    whole = words.agg(F.sum("n").alias("_all"), F.sum("k").alias("_periods"))
     p = F.col("_periods") / F.col("_all")
     out, k = F.col("n") - F.col("k"), F.col("k")
     ratio = 2 * (k * (F.log(F.lit(PERIOD)) - F.log(p)) + out * (F.log(F.lit(1 - PERIOD)) - F.log(1 - p)))
     inner = F.length("word") - F.length(F.replace("word", F.lit("."), F.lit("")))
     letters = F.length("word") - inner + 1
     score = ratio * F.exp(-letters) * (inner + 1) * F.pow(letters.cast("double"), -out)
-    held = counted.where("k > 0").crossJoin(whole).where("_periods < _all")  # one row
+    held = words.where("k > 0").crossJoin(whole).where("_periods < _all")  # one row
     return held.select("word", score.alias("score")).where(F.col("score") >= least)
 
 
-def _pairs(texts: Column) -> Column:
-    """array<struct<a, e, b, up>> of a text's words in order: a word's type, whether a period follows it, the next word's
-    type (empty at the end), whether that one begins in upper case."""
-    words = F.regexp_extract_all(texts, F.lit(_WORD), F.lit(0))
-
-    def kind(w: Column) -> Column:
-        bare = F.lower(F.when(F.endswith(w, F.lit(".")), F.substr(w, F.lit(1), F.length(w) - 1)).otherwise(w))
-        return F.when(F.rlike(bare, F.lit(r"\p{L}")), bare).otherwise(NUMBER)
-
-    def pair(w: Column, x: Column) -> Column:
-        some = x.isNotNull()
-        return F.struct(
-            kind(w).alias("a"), F.endswith(w, F.lit(".")).alias("e"),
-            F.when(some, kind(x)).otherwise("").alias("b"), (some & F.rlike(x, F.lit(r"^\p{Lu}"))).alias("up"),
-        )
-
-    # the second list is one shorter: its last place is null
-    return F.filter(F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), pair), lambda p: p["a"].isNotNull())
-
-
 def association(a: Column, b: Column, both: Column, every: Column) -> Column:
     """The log-likelihood ratio of b's share among a against its share elsewhere; 0 where it is not larger among a.
 
@@ -85,62 +153,78 @@ def association(a: Column, b: Column, both: Column, every: Column) -> Column:
     return F.when(inside > p, ratio).otherwise(0.0)
 
 
-def continuing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b, up): the pairs of word types of docs (text) around a period that ends no sentence.
+def continuing(counted: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b, case): the pairs of word_counts() around a period that ends no sentence, by how the next word begins.
+
+    A word is bound to start a sentence where it begins in upper case though the corpus has it in lower case, and never in
+    upper case inside a sentence; it is bound to go on where it begins in lower case though the corpus has it in upper case,
+    or never has it in lower case after a plain word's period. found: abbreviations (word). What ends no sentence is a period
 
-    A period after an abbreviation (found: word) goes on, unless the next word is in upper case and starts sentences: it
-    follows other periods far more often than it stands elsewhere. A period after an abbreviation or a number also goes on
-    before a word that starts no sentences and stands with it far more often than apart from it. Words and pairs are counted
-    by shuffle, sums first, so a frequent word is one row when it meets its counts.
+    * between an abbreviation or a number and a word that stands with it far more often than apart from it, and starts no
+      sentences: it follows plain words' periods no more often than it stands elsewhere;
+    * after an abbreviation that is no initial (one letter), unless the next word is bound to start a sentence, or begins in
+      upper case and starts sentences; after an initial that is an abbreviation, always;
+    * after an initial or a number, if the next word is bound to go on; after an initial also if it begins in upper case and
+      the corpus never has it in lower case.
+
+    A frequent word is one row when it meets its counts.
     """
-    tables = SharedTables(docs.sparkSession)
-    every = docs.select(F.explode(_pairs(F.col("text"))).alias("p")).select("p.*")
-    counted = tables.write(every.groupBy("a", "e", F.when(F.col("e"), F.col("b")).alias("b"), F.when(F.col("e"), F.col("up")).alias("up")).agg(F.count("*").alias("n")), "pairs")
-    single = counted.groupBy("a").agg(F.sum("n").alias("n"))
-    total = counted.agg(F.sum("n").alias("_all"))
-    pairs = counted.where("e").join(found.select(F.col("word").alias("a"), F.lit(True).alias("_short")), "a", "left")
-    pairs = pairs.withColumn("_short", F.coalesce("_short", F.lit(False)))
-    breaks = pairs.where(f"NOT _short AND a <> '{NUMBER}' AND b <> ''").groupBy("b").agg(F.sum("n").alias("both"))
+    single = counted.where("b IS NULL").groupBy("a").agg(
+        F.sum("n").alias("n"),
+        F.max(F.col("case") == LOWER).alias("lower"),
+        F.max(F.col("case") == UPPER).alias("upper"),
+        F.max((F.col("case") == UPPER) & F.col("inside")).alias("inner"),
+    )
+    total = single.agg(F.sum("n").alias("_all"))
+    pairs = counted.where("b IS NOT NULL").join(found.select(F.col("word").alias("a"), F.lit(True).alias("_short")), "a", "left")
+    pairs = pairs.withColumns({"_short": F.coalesce("_short", F.lit(False)), "_number": F.col("a") == NUMBER, "_initial": F.length("a") == 1})
+    breaks = pairs.where("NOT (_short OR _number OR _initial) AND b <> ''").groupBy("b").agg(F.sum("n").alias("both"), F.max(F.col("case") == LOWER).alias("begins"))
     ends = breaks.agg(F.sum("both").alias("_ends"))
+    following = single.select(F.col("a").alias("b"), F.col("n").alias("nb"), "lower", "upper", "inner")
     # one row each: all words, all ends of sentences
-    starts = breaks.join(single.select(F.col("a").alias("b"), F.col("n").alias("nb")), "b").crossJoin(total).crossJoin(ends)
-    starts = starts.where(association(F.col("_ends"), F.col("nb"), F.col("both"), F.col("_all")) >= STARTS).where(f"b <> '{NUMBER}'").select("b", F.lit(True).alias("_starts"))
-    candidates = pairs.where(f"_short OR a = '{NUMBER}'").groupBy("a", "b", "_short").agg(F.sum("n").alias("both"), F.collect_set("up").alias("ups"))
-    named = candidates.join(single.withColumnRenamed("n", "na"), "a").join(single.select(F.col("a").alias("b"), F.col("n").alias("nb")), "b", "left")
-    named = named.crossJoin(total).join(starts, "b", "left")
-    together = F.coalesce(association(F.col("na"), F.col("nb"), F.col("both"), F.col("_all")) >= TOGETHER, F.lit(False)) & (F.col("b") != "") & F.col("_starts").isNull()
-    named = named.select("a", "b", F.explode("ups").alias("up"), "_short", F.coalesce("_starts", F.lit(False)).alias("_starts"), together.alias("_together"))
-    return named.where("_together OR (_short AND NOT (up AND _starts))").select("a", "b", "up")
-
-
-#: A line break before the next word; the next word, and a letter.
+    next_words = following.join(breaks, "b", "left").crossJoin(total).crossJoin(ends)
+    starts = F.coalesce(association(F.col("_ends"), F.col("nb"), F.col("both"), F.col("_all")) >= STARTS, F.lit(False)) & (F.col("b") != NUMBER)
+    next_words = next_words.select("b", "nb", "lower", "upper", "inner", F.coalesce("begins", F.lit(False)).alias("begins"), starts.alias("_starts"))
+    candidates = pairs.where("_short OR _number OR _initial").groupBy("a", "b", "_short", "_number", "_initial").agg(F.sum("n").alias("both"), F.collect_set("case").alias("cases"))
+    named = candidates.join(single.select("a", F.col("n").alias("na")), "a").join(next_words, "b", "left").crossJoin(total)
+    together = F.coalesce(association(F.col("na"), F.col("nb"), F.col("both"), F.col("_all")) >= TOGETHER, F.lit(False))
+    named = named.withColumn("_together", together & F.expr("(_short OR _number) AND b <> '' AND NOT _starts"))
+    # the end of a text is no word: nothing is known of it
+    known = {c: F.coalesce(c, F.lit(False)) for c in ("lower", "upper", "inner", "begins", "_starts")}
+    named = named.withColumns(known).withColumn("case", F.explode("cases"))
+    up, low = f"case = {UPPER}", f"case = {LOWER}"
+    first, later = f"({up} AND lower AND NOT inner)", f"({low} AND (upper OR NOT begins))"
+    goes_on = f"""_together OR (_short AND (_initial OR NOT ({first} OR ({up} AND _starts))))
+        OR ((_initial OR _number) AND ({later} OR (_initial AND {up} AND NOT lower)))"""
+    return named.where(goes_on).select("a", "b", "case")
+
+
+#: A line break before the next word; the next word; the last one, and periods before it.
 _BREAK = re.compile(r"[^\S\n]*\n")
-_NEXT = re.compile(r"[^\s.!?,;:()\"']+(?:\.[^\s.!?,;:()\"']+)*")
-_LETTER = re.compile(r"[^\W\d_]")
+_NEXT = re.compile(_BARE)
+_LAST = re.compile(r"[^\s!?,;:()\"']*\Z")
 #: Characters after a period in which the next word is looked for, and of the longest word before one.
 AHEAD, BEHIND = 200, 201
 
 
-def _kind(word: str) -> str:
-    return word.lower() if _LETTER.search(word) else NUMBER
-
-
-def _goes_on(text: str, word: str, at: int, held: frozenset[str]) -> bool:
+def _goes_on(text: str, start: int, at: int, held: frozenset[tuple[str, str, int]]) -> bool:
+    """Whether the period that ends at `at`, in a sentence from start, stands in a held pair; one after no word does not."""
+    word = _LAST.search(text[max(start, at - BEHIND) : at - 1])[0].rsplit("..", 1)[-1].lstrip(".")
+    if not word or word.endswith(".") or len(word) == BEHIND - 1:
+        return False
     found = _NEXT.search(text, at, at + AHEAD)
     if not found and len(text) - at > AHEAD:
         return False
-    following, up = (_kind(found[0]), unicodedata.category(found[0][0]) == "Lu") if found else ("", False)
-    return f"{_kind(word)} {following} {up:d}" in held
+    return (_kind(word), *((_kind(found[0]), _case(found[0])) if found else ("", NONE))) in held
 
 
-def _joined(text: str, held: frozenset[str]) -> Iterator[offsets.Span]:
+def _joined(text: str, held: frozenset[tuple[str, str, int]]) -> Iterator[offsets.Span]:
     """Sentences, put together where a period stands in a word, or before no line break in one of the held pairs."""
     start = end = None
     for a, b, body in offsets.find_sentences(text):
         start, end = a if start is None else start, b
         if body.endswith("."):
-            word = text[max(start, b - BEHIND) : b].split()[-1].lstrip("\"'([{")
-            if not text[b : b + 1].isspace() or (not _BREAK.match(text, b) and _goes_on(text, word[:-1], b, held)):
+            if not text[b : b + 1].isspace() or (not _BREAK.match(text, b) and _goes_on(text, start, b, held)):
                 continue
         yield start, end, text[start:end].strip()
         start = None
@@ -148,25 +232,38 @@ def _joined(text: str, held: frozenset[str]) -> Iterator[offsets.Span]:
         yield start, end, text[start:end].strip()
 
 
+_PAIRS = ArrayType(StructType([StructField("a", StringType()), StructField("b", StringType()), StructField("case", IntegerType())]))
+
+
+@arrow_udf(_PAIRS)
+def _pairs(texts: pa.Array) -> pa.Array:
+    types, out = _Types(), []
+    for t in texts:
+        pairs: list = []
+        _walk(t.as_py() or "", types, [], pairs)
+        out.append([{"a": a, "b": b, "case": case} for a, b, case in set(pairs)])
+    return pa.array(out, pa.list_(pa.struct([("a", pa.string()), ("b", pa.string()), ("case", pa.int32())])))
+
+
 @arrow_udf(offsets.SPANS)
 def _spans(texts: pa.Array, held: pa.Array) -> pa.Array:
-    sets = iter([frozenset(h or ()) for h in held.to_pylist()])
-    every = [(t, next(sets)) for t in texts.to_pylist()]
-    at = iter(every)
-    return offsets.listed(texts, lambda t: _joined(t, next(h for x, h in at if x is not None)))
+    sets = (frozenset((p["a"], p["b"], p["case"]) for p in h or ()) for h, t in zip(held.to_pylist(), texts, strict=True) if t.is_valid)
+    return offsets.listed(texts, lambda t: _joined(t, next(sets)))
 
 
 def learned_sentences(docs: DataFrame, key: str, found: DataFrame | None = None) -> DataFrame:
     """key, span_idx, start, end, text: sentences of docs (key, text); the periods of continuing() end none.
 
-    found: abbreviations() of docs, by default. A document gets the pairs that stand in it by a join, so there may be any
-    number. A period whose next word is over AHEAD characters away, or whose word is longer than BEHIND, ends a sentence.
+    found: abbreviations (word), by default those that docs show. A document gets the pairs that stand in it by a join, so
+    there may be any number; a null key is one like any other. A period whose next word is over AHEAD characters away, or
+    whose word has BEHIND - 1 or more, ends a sentence.
     """
     tables = SharedTables(docs.sparkSession)
-    found = tables.write(abbreviations(docs) if found is None else found, "abbreviations")
-    known = tables.write(continuing(docs, found), "continuing")
-    own = docs.select(key, F.explode(F.array_distinct(F.filter(_pairs(F.col("text")), lambda p: p["e"]))).alias("p")).select(key, "p.a", "p.b", "p.up")
-    own = own.join(known, ["a", "b", "up"], "left_semi")
-    sets = own.groupBy(key).agg(F.collect_set(F.concat_ws(" ", "a", "b", F.col("up").cast("int").cast("string"))).alias("_held"))
-    spans = docs.select(key, "text").join(sets, key, "left").select(key, F.posexplode(_spans("text", "_held")).alias("span_idx", "s"))
+    counted = tables.write(word_counts(docs), "counted")
+    found = tables.write(abbreviations(counted) if found is None else found, "abbreviations")
+    known = tables.write(continuing(counted, found), "continuing")
+    own = docs.select(F.col(key).alias("_key"), F.explode(_pairs("text")).alias("p")).select("_key", "p.*").join(known, ["a", "b", "case"], "left_semi")
+    sets = own.groupBy("_key").agg(F.collect_set(F.struct("a", "b", "case")).alias("_held"))
+    spans = docs.select(key, "text").join(sets, F.col(key).eqNullSafe(F.col("_key")), "left")
+    spans = spans.select(key, F.posexplode(_spans("text", "_held")).alias("span_idx", "s"))
     return spans.select(key, "span_idx", "s.start", "s.end", "s.text")

@@ -90,22 +90,45 @@ def plain_association(a, b, both, every):
     return 2 * (log(both, a, inside) + log(b - both, every - a, outside) - log(both, a, p) - log(b - both, every - a, p))
 
 
+def plain_case(word):
+    return {"Ll": 1, "Lu": 2}.get(unicodedata.category(word[0]), 0)
+
+
 def plain_continuing(texts, held):
-    single, pairs = Counter(), Counter()
+    """Every rule in plain Python, a period at a time."""
+    single, pairs, cases, inner = Counter(), Counter(), set(), set()
     for t in texts:
-        words = re.findall(PLAIN_WORD + r"\.?", t)
-        for w, x in zip(words, [*words[1:], None]):
-            single[plain_kind(w.removesuffix("."))] += 1
+        found = list(re.finditer(PLAIN_WORD + r"\.?", t))
+        for k, m in enumerate(found):
+            w, gap = m[0], t[found[k - 1].end() : m.start()] if k else "\n"
+            kind = plain_kind(w.removesuffix("."))
+            single[kind] += 1
+            cases.add((kind, plain_case(w)))
+            if k and not found[k - 1][0].endswith(".") and not set(gap) & set(".!?\n"):
+                inner.add((kind, plain_case(w)))
             if w.endswith("."):
-                pairs[plain_kind(w[:-1]), plain_kind(x.removesuffix(".")) if x else "", bool(x) and unicodedata.category(x[0]) == "Lu"] += 1
-    every, ends, both = sum(single.values()), Counter(), Counter()
-    for (a, b, _), n in pairs.items():
+                x = found[k + 1][0] if k + 1 < len(found) else ""
+                pairs[kind, plain_kind(x.removesuffix(".")) if x else "", plain_case(x) if x else 0] += 1
+    every, ends, both, begins = sum(single.values()), Counter(), Counter(), set()
+    odd = lambda a: a in held or a == "##" or len(a) == 1
+    for (a, b, case), n in pairs.items():
         both[a, b] += n
-        if a not in held and a != "##" and b:
+        if not odd(a) and b:
             ends[b] += n
+            begins |= {b} if case == 1 else set()
     starts = {b for b, n in ends.items() if b != "##" and plain_association(sum(ends.values()), single[b], n, every) >= 30}
     together = {(a, b) for (a, b), n in both.items() if b and b not in starts and (a in held or a == "##") and plain_association(single[a], single[b], n, every) >= 7.88}
-    return {(a, b, up) for a, b, up in pairs if (a, b) in together or (a in held and not (up and b in starts))}, starts, together
+
+    def goes_on(a, b, case):
+        if (a, b) in together:
+            return True
+        must_start = case == 2 and (b, 1) in cases and (b, 2) not in inner
+        must_go_on = case == 1 and ((b, 2) in cases or b not in begins)
+        if a in held and (len(a) == 1 or not (must_start or (case == 2 and b in starts))):
+            return True
+        return (a == "##" or len(a) == 1) and (must_go_on or (len(a) == 1 and case == 2 and (b, 1) not in cases))
+
+    return {p for p in pairs if goes_on(*p)}, starts, together
 
 
 def plain_sentences(text, known):
@@ -116,9 +139,11 @@ def plain_sentences(text, known):
         if not core.strip():
             continue
         start = begin if start is None else start
-        word = text[start : begin + len(core)].split()[-1].lstrip("\"'([{")
+        end = begin + len(core.rstrip())
+        words = [m for m in re.finditer(PLAIN_WORD + r"\.?", text[max(start, end - 250) : end])]
+        word = words[-1][0] if words and words[-1].end() == end - max(start, end - 250) else ""
         after = re.search(PLAIN_WORD, text[begin + len(core) :][:200])
-        pair = plain_kind(word[:-1]), plain_kind(after[0]) if after else "", bool(after) and unicodedata.category(after[0][0]) == "Lu"
+        pair = word and plain_kind(word[:-1]), plain_kind(after[0]) if after else "", plain_case(after[0]) if after else 0
         joins = core.strip().endswith(".") and (len(piece) == len(core) or (pair in known and (after or len(text) - begin - len(core) <= 200) and "\n" not in piece[len(core) :]))
         if not joins or not text[at:].strip():
             out.append((start, begin + len(core), text[start : begin + len(core)].strip()))
@@ -132,13 +157,14 @@ TALK = ["Dr. Smith met Mr. Jones. They spoke.", "Ask Dr. Who, Mr. X and Mrs. Y.
 def test_abbreviations_of_the_corpus_end_no_sentence(spark):
     rows = [*enumerate(TALK), (900, None), (901, ""), (902, " \n ")]
     docs = spark.createDataFrame([(k, t, 1) for k, t in rows], "k int, text string, start int").repartition(3)
-    held = {r.word for r in splitting.abbreviations(docs).collect()}
+    counted = splitting.word_counts(docs)
+    held = {r.word for r in splitting.abbreviations(counted).collect()}
     assert held == plain_abbreviations(TALK) and {"dr", "mr", "e.g"} <= held and not {"home", "good", "now"} & held
     found = {}
     for r in splitting.learned_sentences(docs, "k").orderBy("span_idx").collect():
         found.setdefault(r.k, []).append((r.start, r.end, r.text))
     known, _, _ = plain_continuing(TALK, held)
-    assert {tuple(r) for r in splitting.continuing(docs, splitting.abbreviations(docs)).collect()} == known
+    assert {tuple(r) for r in splitting.continuing(counted, splitting.abbreviations(counted)).collect()} == known
     assert found == {k: s for k, t in rows if t and (s := plain_sentences(t, known))}
     assert [s[2] for s in found[0]] == ["Dr. Smith met Mr. Jones.", "They spoke."] and [s[2] for s in found[2]] == ["See e.g. this one.", "It was e.g. that.", "Mr.", "Split here.", "All good now."]
     assert splitting.learned_sentences(docs.limit(0), "k").collect() == []
@@ -163,6 +189,41 @@ def test_next_words_tell_where_abbreviations_and_numbers_end_sentences(spark):
     assert found[2][0][2] == "On the 3. October it rained." and found[2][-1][2] == "The year was cold."
 
 
+NAMES = ["We read J. Kafka, and R. Musil gladly. The book is by J. Kafka. It is lengthy.", "Plan B. The rest is familiar. We know plan B and b or B, and the rest is the same.",
+         "The flight took 5. hours and more. It was in room 7. The door was shut. The hours went by, and it rained."] * 20
+
+
+def test_initials_and_cases_tell_where_sentences_end(spark):
+    docs = spark.createDataFrame([*enumerate(NAMES), (None, NAMES[0])], "k int, text string").repartition(3)
+    texts = [*NAMES, NAMES[0]]
+    held = plain_abbreviations(texts)
+    known, _, _ = plain_continuing(texts, held)
+    found = {}
+    for r in splitting.learned_sentences(docs, "k").orderBy("span_idx").collect():
+        found.setdefault(r.k, []).append((r.start, r.end, r.text))
+    assert found == {k: plain_sentences(t, known) for k, t in [*enumerate(NAMES), (None, NAMES[0])]}
+    # a name goes with its initial, a word that is in lower case elsewhere does not
+    assert [s[2] for s in found[0]] == ["We read J. Kafka, and R. Musil gladly.", "The book is by J. Kafka.", "It is lengthy."]
+    assert [s[2] for s in found[1]][:2] == ["Plan B.", "The rest is familiar."]
+    # a number goes on before a lower-case word that starts no sentence
+    assert found[2][0][2] == "The flight took 5. hours and more."
+
+
+def test_random_texts_split_as_the_plain_rules_do(spark):
+    rnd = random.Random(3)
+    parts = ["Dr.", "dr.", "A.", "b.", "The", "the", "3.", "17", "home.", "Home", "e.g.", "ß.", "Ü", "\u01c5ab.", "x\u00b2.", "...", "!", "?", "\n", "(", "\"", ",", "\xa0", "日本.", "İs.", "No", "no."]
+    texts = [" ".join(rnd.choice(parts) for _ in range(rnd.randint(0, 60))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(4)
+    counted = splitting.word_counts(docs)
+    held = {r.word for r in splitting.abbreviations(counted).collect()}
+    known, _, _ = plain_continuing(texts, held)
+    assert {tuple(r) for r in splitting.continuing(counted, splitting.abbreviations(counted)).collect()} == known
+    found = {}
+    for r in splitting.learned_sentences(docs, "k").orderBy("span_idx").collect():
+        found.setdefault(r.k, []).append((r.start, r.end, r.text))
+    assert found == {k: s for k, t in enumerate(texts) if (s := plain_sentences(t, known))}
+
+
 def test_a_next_word_far_away_or_none(spark):
     texts = [*TALK, "Ask Dr. " + "( " * 150 + "Who", "He saw the Dr.", "Dr. " * 5_000, "5. " * 5_000]
     docs = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
