@@ -60,9 +60,9 @@ def winnow(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(print, words, n, items): every distinct window of the items by its words, its fingerprint, its items (strings).
+    """(item, print, words, n): the distinct windows of each item (a string) by their words and fingerprint.
 
-    An item of fewer words than WINDOW, but not none, is one window. A null item_id is in no list of items.
+    An item of fewer words than WINDOW, but not none, is one window.
     """
     source = benchmark.select(F.col("item_id").cast("string").alias("item"), text_or_empty("text").cast("binary").alias("_text"))
 
@@ -79,8 +79,17 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                     names=["item", "print", "words", "n"],
                 )
 
-    rows = source.mapInArrow(run, "item string, print long, words binary, n int")
-    return rows.groupBy("print", "words", "n").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return source.mapInArrow(run, "item string, print long, words binary, n int").distinct()
+
+
+def item_sets(rows: DataFrame) -> DataFrame:
+    """(print, words, n, set): the distinct windows; set stands for the items that a window has, by their number and 128 bits.
+
+    A window's items are never gathered: windows with the same items, as those of a passage mostly are, have equal sets. A
+    null item is in none.
+    """
+    a, b = (F.coalesce(F.bit_xor(F.when(F.col("item").isNotNull(), F.xxhash64("item", F.lit(k)))), F.lit(0).cast("long")) for k in (1, 2))
+    return rows.groupBy("print", "words", "n").agg(F.struct(F.count("item").alias("k"), a.alias("a"), b.alias("b")).alias("set"))
 
 
 class Filter:
@@ -134,7 +143,8 @@ def _candidates(source: DataFrame, known: Filter, lengths: list[int]) -> DataFra
 
 
 def _cover(matched: DataFrame) -> DataFrame:
-    """_row, hits (ascending), items: from the windows of each document and where they stand."""
+    """_row, hits (ascending), sets (ascending): from the windows of each document and where they stand."""
+    kept = "_row long, hits array<int>, sets array<struct<k:bigint,a:bigint,b:bigint>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,30 +156,48 @@ def _cover(matched: DataFrame) -> DataFrame:
                     np.add.at(mark, at, 1)
                     np.add.at(mark, at + x["n"], -1)
                 hits.append(np.flatnonzero(np.cumsum(mark)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(hits, pa.list_(pa.int32())), batch.column("items")], names=["_row", "hits", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(hits, pa.list_(pa.int32())), batch.column("sets")], names=["_row", "hits", "sets"])
 
     spans = F.collect_list(F.struct("at", "n")).alias("spans")
-    # windows of a passage mostly have the same items: their lists meet as wholes first
-    items = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
-    return matched.groupBy("_row").agg(spans, items).mapInArrow(run, "_row long, hits array<int>, items array<string>")
+    return matched.groupBy("_row").agg(spans, F.array_sort(F.collect_set("set")).alias("sets")).mapInArrow(run, kept)
+
+
+def _covered(tables: SharedTables, docs: DataFrame, windows: DataFrame, keep: list[str], bits: int) -> tuple[DataFrame, DataFrame]:
+    """(_row, _keep, n_words of every document; _row, hits, sets of those with hits).
+
+    The documents are read once, whatever the size of the benchmark: a window whose fingerprint passes the filter is joined
+    with the benchmark's windows by fingerprint and words, so a hit is one of words, not of hashes. A frequent window is one
+    row of the benchmark's side, so Spark can split the documents' side.
+    """
+    lengths = sorted(r.n for r in windows.select("n").distinct().collect())
+    source = docs.select(F.struct(*keep).alias("_keep"), F.monotonically_increasing_id().alias("_row"), text_or_empty("text").cast("binary").alias("_text"))
+    found = tables.write(_candidates(source, Filter(windows, bits), lengths), "found")
+    matched = found.select("_row", F.inline("found")).join(windows, ["print", "words"]).select("_row", "at", "n", "set")
+    return found.select("_row", "_keep", "n_words"), _cover(matched)
+
+
+def _items(covered: DataFrame, rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """(sets, items): the items (sorted) of each list of sets that some document has; equal lists are worked out once."""
+    members = rows.where("item IS NOT NULL").join(windows, ["print", "words"]).select("set", "item").distinct()
+    lists = covered.select("sets").distinct()
+    return lists.select("sets", F.explode("sets").alias("set")).join(members, "set").groupBy("sets").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), bits: int = MOST_BITS) -> DataFrame:
     """keep, n_words, hits (positions of the words hit), items (ids of the items with occurring windows, sorted).
 
     One row per row of docs. Null and empty texts have no words; a null item_id never counts as an item, though its
-    words hit. The documents are read once, whatever the size of the benchmark: a window whose fingerprint passes the
-    filter is joined with the benchmark's windows by fingerprint and words, so a hit is one of words, not of hashes. A
-    frequent window is one row of the benchmark's side, so Spark can split the documents' side.
+    words hit. A window of very many items sends none of them with the documents that hold it: documents meet by the sets of
+    items, and a document's items come from its sets at the end.
     """
     tables = SharedTables(docs.sparkSession)
-    windows = tables.write(benchmark_windows(benchmark), "windows")
-    lengths = sorted(r.n for r in windows.select("n").distinct().collect())
     names = list(dict.fromkeys(keep))
-    source = docs.select(F.struct(*names).alias("_keep"), F.monotonically_increasing_id().alias("_row"), text_or_empty("text").cast("binary").alias("_text"))
-    found = tables.write(_candidates(source, Filter(windows, bits), lengths), "found")
-    matched = found.select("_row", F.inline("found")).join(windows, ["print", "words"]).select("_row", "at", "n", "items")
-    whole = found.select("_row", "_keep", "n_words").join(_cover(matched), "_row", "left")
+    rows = tables.write(benchmark_windows(benchmark), "items")
+    windows = tables.write(item_sets(rows), "windows")
+    every, covered = _covered(tables, docs, windows, names, bits)
+    covered = tables.write(covered, "covered")
+    named = covered.join(_items(covered, rows, windows), "sets", "left").drop("sets")
+    whole = every.join(named, "_row", "left")
     hits, items = (F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("hits", "array<int>"), ("items", "array<string>")))
     return whole.select(*[F.col("_keep")[c].alias(c) for c in names], "n_words", hits, items)
 
@@ -183,6 +211,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
     tables = SharedTables(docs.sparkSession)
     stored = tables.write(docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("_row")), "documents")
-    found = contamination(stored.select(F.col("_doc.text").alias("text"), F.col("_row").alias("_at")), benchmark, ("_at",))
-    clean = tables.write(found.where(~is_contaminated(F.size("hits"), F.col("n_words"))).select(F.col("_at").alias("_row")), "clean")
+    windows = tables.write(item_sets(benchmark_windows(benchmark)), "windows")
+    every, covered = _covered(tables, stored.select(F.col("_doc.text").alias("text"), F.col("_row").alias("_at")), windows, ["_at"], MOST_BITS)
+    n_hit = F.coalesce(F.size("hits"), F.lit(0))
+    found = every.join(covered.select("_row", "hits"), "_row", "left")
+    clean = tables.write(found.where(~is_contaminated(n_hit, F.col("n_words"))).select(F.col("_keep._at").alias("_row")), "clean")
     return rows_of(tables, stored, clean).select("_doc.*")

@@ -58,6 +58,19 @@ def test_against_brute_force(spark, bits):
     assert kept.count() == clean
 
 
+def test_a_window_of_all_items(spark):
+    """An instruction that every item starts with, and a passage of a few: sets of items tell them apart, nulls are in none."""
+    lead = " ".join(f"rule{k}" for k in range(15))
+    own = lambda k: " ".join(f"w{k}x{j}" for j in range(14))
+    items = [(k, f"{lead} {own(k % 700)}") for k in range(1_500)] + [(None, f"{lead} {own(0)}"), (None, own(9_000))]
+    docs = [(k, f"{lead} and {own(k)}") for k in range(40)] + [(100, f"so {lead}"), (101, own(9_000)), (102, "nothing of it"), (103, f"{own(3)} {own(4)}")]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string").repartition(5)
+    found = sorted((r.doc_id, r.n_words, list(r["hits"]), list(r["items"])) for r in decontam.contamination(frame, bench).collect())
+    assert found == slow(docs, items)
+    assert len(found[0][3]) == 1_500 and found[-3] == (101, 14, list(range(14)), []) and found[-1][3] == sorted(str(k) for k in range(1_500) if k % 700 in (3, 4))
+    assert {r.doc_id for r in decontam.decontaminate(frame, bench).select("doc_id").collect()} == {102}
+
+
 def test_every_shared_window_shares_a_fingerprint():
     rnd = random.Random(2)
     for _ in range(50):
