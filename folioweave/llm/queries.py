@@ -36,7 +36,7 @@ def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
+    ("allow", "net", "/de/"),
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
