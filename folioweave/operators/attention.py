@@ -12,14 +12,14 @@ from folioweave.functions import text as T
 from folioweave.operators import ranking, spans
 
 
-def _top_keys(scored: DataFrame, key: str, k: int, ties: list[str], name: str) -> DataFrame:
+def _top_keys(scored: DataFrame, key: str, k: int, ties: list[str], name: str, score: str | Column = "score") -> DataFrame:
     """instance and the array of the k best keys, best first."""
-    best = ranking.top(scored, ["instance"], "score", ties, k)
+    best = ranking.top(scored, ["instance"], score, ties, k)
     return best.groupBy("instance").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(key).alias("key")))), lambda x: x["key"]).alias(name))
 
 
-def _overlap(full: DataFrame, part: DataFrame, key: str, k: int, ties: list[str]) -> DataFrame:
-    both = _top_keys(full, key, k, ties, "top_full").join(_top_keys(part, key, k, ties, "top_part"), "instance", "full")
+def _overlap(full: DataFrame, part: DataFrame, key: str, k: int, ties: list[str], score: str | Column = "score") -> DataFrame:
+    both = _top_keys(full, key, k, ties, "top_full", score).join(_top_keys(part, key, k, ties, "top_part", score), "instance", "full")
     none = F.array().cast("array<string>")
     a, b = (F.coalesce(F.col(c).cast("array<string>"), none) for c in ("top_full", "top_part"))
     return both.select("instance", a.alias("top_full"), b.alias("top_part"), O.truncated_overlap(a, b).alias("overlap"))
@@ -35,7 +35,7 @@ def span_overlap(full: tuple[DataFrame, DataFrame], part: tuple[DataFrame, DataF
     def scored(side: tuple[DataFrame, DataFrame]) -> DataFrame:
         return spans.score_by_text(*side).withColumn("hash", T.short_hash(F.col("text")))
 
-    return _overlap(scored(full), scored(part), "hash", k, ["first"])
+    return _overlap(scored(full), scored(part), "hash", k, ["first"], ranking.settled(F.col("score")))
 
 
 def sentence_spans(texts: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def document_spans(texts: DataFrame) -> DataFrame:
 def gold_scores(tokens: DataFrame, docs: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """instance, precision, recall, f1 of the k best documents (span_idx) against gold (instance, span_idx)."""
     sums = spans.to_next_span(tokens, docs).groupBy("instance", "span_idx").agg(F.sum("score").alias("score"), F.min("pos").alias("first"))
-    said = _top_keys(sums, "span_idx", k, ["first"], "said")
+    said = _top_keys(sums, "span_idx", k, ["first"], "said", ranking.settled(F.col("score")))
     right = gold.groupBy("instance").agg(F.collect_set("span_idx").alias("gold"))
     s = O.set_scores(F.col("said"), F.coalesce("gold", F.array().cast("array<int>")))
     return said.join(right, "instance", "left").select("instance", s.alias("s")).select("instance", "s.precision", "s.recall", "s.f1")
@@ -68,7 +68,7 @@ def top_runs(tokens: DataFrame, texts: DataFrame, k: int, share: float = 0.9, le
     cut = runs.join(first, ["instance", "from_pos"]).join(last, ["instance", "to_pos"]).join(texts, "instance")
     stripped = T.strip(F.substr("text", F.col("beg") + 1, F.col("end") - F.col("beg")))
     long = cut.select("instance", stripped.alias("text"), "n_tokens", "total", "from_pos").where(F.length("text") >= chars)
-    return ranking.top(long, ["instance"], "total", ["from_pos"], k).drop("from_pos")
+    return ranking.top(long, ["instance"], ranking.settled(F.col("total")), ["from_pos"], k).drop("from_pos")
 
 
 def top_content(tokens: DataFrame, texts: DataFrame, docs: DataFrame, section: Column, k: int = 10) -> dict[str, DataFrame]:
@@ -77,7 +77,7 @@ def top_content(tokens: DataFrame, texts: DataFrame, docs: DataFrame, section: C
     tokens: instance, pos, beg, end, score; texts: instance, text; docs: spans.
     """
     stats = spans.document_stats(tokens, docs)
-    return {"runs": top_runs(tokens, texts, k), "documents": ranking.top(stats, ["instance"], "total", ["span_idx"], k), "sections": spans.sections(tokens, section)}
+    return {"runs": top_runs(tokens, texts, k), "documents": ranking.top(stats, ["instance"], ranking.settled(F.col("total")), ["span_idx"], k), "sections": spans.sections(tokens, section)}
 
 
 def within_limit(prompts: DataFrame, tokens: str = "n_tokens", most: int = 64_000) -> DataFrame:

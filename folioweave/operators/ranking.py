@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioweave.functions import overlap as O
 
 
-def ranked(rows: DataFrame, group: list[str], score: str, ties: list[str], name: str = "rank") -> DataFrame:
+def settled(total: Column) -> Column:
+    """A sum to 12 significant digits: what tells equal sums apart that were added in another order is no difference."""
+    return F.when(total.isNotNull(), F.format_string("%.11e", total.cast("double")).cast("double"))
+
+
+def ranked(rows: DataFrame, group: list[str], score: str | Column, ties: list[str], name: str = "rank") -> DataFrame:
     """Rows with their place in the group by falling score; ties go by the columns given."""
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(score), *ties)))
 
 
-def top(rows: DataFrame, group: list[str], score: str, ties: list[str], k: int, name: str = "rank") -> DataFrame:
+def top(rows: DataFrame, group: list[str], score: str | Column, ties: list[str], k: int, name: str = "rank") -> DataFrame:
     """The k best rows of each group, all for k < 0."""
     placed = ranked(rows, group, score, ties, name)
     return placed if k < 0 else placed.where(F.col(name) <= k)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioweave.operators.ranking import settled
 from folioweave.operators.selection import quantile
 
 #: Positions of a bucket of the interval joins.
@@ -114,7 +115,7 @@ def mark_sinks(tokens: DataFrame, context_start: Column | int, most_position: in
     totals = tokens.groupBy(*group).agg(F.sum("score").alias("_total"))
     pct = F.when(F.col("_total") > 0, F.col("score") / F.col("_total") * 100).otherwise(0.0)
     start = F.lit(context_start) if isinstance(context_start, int) else context_start
-    return tokens.join(totals, group).withColumn("pct", pct).drop("_total").withColumn("is_sink", (F.col("pos") >= 0) & (F.col("pos") <= most_position) & (F.col("pos") < start) & (F.col("pct") >= percent))
+    return tokens.join(totals, group).withColumn("pct", pct).drop("_total").withColumn("is_sink", (F.col("pos") >= 0) & (F.col("pos") <= most_position) & (F.col("pos") < start) & (settled(F.col("pct")) >= percent))
 
 
 def rescale_without_sinks(marked: DataFrame, group: list[str] | None = None) -> DataFrame:
@@ -173,7 +174,7 @@ def document_rollup(by_step: DataFrame, steps: DataFrame, k: int = 10) -> DataFr
     """
     n = steps.groupBy("instance").agg(F.count_distinct("step").alias("_n"))
     sums = by_step.groupBy("instance", "span_idx").agg(F.sum("total").alias("t"), F.count("*").alias("a"))
-    rank = F.row_number().over(Window.partitionBy("instance").orderBy(F.desc("t"), "span_idx"))
+    rank = F.row_number().over(Window.partitionBy("instance").orderBy(settled(F.col("t")).desc(), "span_idx"))
     best = sums.withColumn("rank", rank).where(F.col("rank") <= k).join(n, "instance")
     return best.select("instance", "span_idx", (F.col("t") / F.col("_n")).alias("average"), (F.col("a") / F.col("_n")).alias("appearance"), "rank")
 
@@ -181,7 +182,7 @@ def document_rollup(by_step: DataFrame, steps: DataFrame, k: int = 10) -> DataFr
 def roll_up_documents(rolled: DataFrame, k: int = 10) -> DataFrame:
     """span_idx, average, instances: the k documents with the largest mean over the instances that have them."""
     means = rolled.groupBy("span_idx").agg(F.avg("average").alias("average"), F.count("*").alias("instances"))
-    return means.orderBy(F.desc("average"), "span_idx").limit(k)
+    return means.orderBy(settled(F.col("average")).desc(), "span_idx").limit(k)
 
 
 def chunk_bounds(chunks: DataFrame, separator: int = 1) -> DataFrame:

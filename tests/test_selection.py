@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioweave.operators import ranking, retrieval, selection
+from folioweave.operators import attention, ranking, retrieval, selection, spans
 
 
 @pytest.mark.parametrize("share", [0.0, 0.37, 0.9, 1.0])
@@ -81,3 +81,37 @@ def test_chunks_are_read_once_for_all_queries(spark):
     queries = chunks.select((F.col("chunk_id") + 10).alias("query_id"), "embedding").union(chunks.select((F.col("chunk_id") + 90_000).alias("query_id"), "embedding"))
     found = retrieval.top_k(queries, chunks, 2)
     assert found.count() == 12_000 and found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+#: Equal sums: added in this order the first comes to 0.6000000000000001, the other to 0.6.
+PLUS, EVEN = (0.1, 0.2, 0.3), (0.3, 0.2, 0.1)
+
+
+def test_equal_sums_rank_by_their_ties_in_whatever_order_they_are_added(spark):
+    rows = [(7, step, span, v) for span, values in ((1, PLUS), (0, EVEN)) for step, v in enumerate(values)]
+    by_step = spark.createDataFrame(rows, "instance int, step int, span_idx int, total double").coalesce(1)
+    assert [r.span_idx for r in spans.document_rollup(by_step, by_step, 1).collect()] == [0]
+    rolled = spark.createDataFrame([(s, v) for s, values in ((1, PLUS), (0, EVEN)) for v in values], "span_idx int, average double").coalesce(1)
+    assert [r.span_idx for r in spans.roll_up_documents(rolled, 1).collect()] == [0]
+
+
+def test_a_token_of_exactly_the_percentage_is_a_sink(spark):
+    tokens = spark.createDataFrame([(1, p, v, "x") for p, v in enumerate(PLUS)], "instance int, pos int, score double, token string").coalesce(1)
+    assert [r.pos for r in spans.mark_sinks(tokens, 9, 9, 50.0).where("is_sink").collect()] == [2]
+
+
+def test_equal_totals_of_top_content_go_by_place(spark):
+    tokens = spark.createDataFrame([(1, p, p, p + 1, v) for p, v in enumerate(EVEN + PLUS)], "instance int, pos int, beg int, end int, score double").coalesce(1)
+    docs = spark.createDataFrame([(1, 0, 0, 3, "a"), (1, 1, 3, 6, "b")], "instance int, span_idx int, start int, end int, text string")
+    texts = spark.createDataFrame([(1, "abcdef")], "instance int, text string")
+    best = attention.top_content(tokens, texts, docs, F.lit("context"), 1)["documents"].collect()
+    assert [(r.span_idx, r.rank) for r in best] == [(0, 1)]
+
+
+def test_steps_without_any_score_have_zero_percent(spark):
+    """As the reference has it: no share of nothing, and no sink in it."""
+    tokens = spark.createDataFrame([(1, 0, 0, 0.0), (1, 1, 1, 2.0)], "instance int, step int, pos int, score double")
+    rolled = spans.roll_up_sections(spans.sections(tokens, F.lit("prompt"), group=["instance", "step"])).collect()
+    assert {r.section: r.percent for r in rolled} == {"prompt": 50.0, "context": 0.0, "other": 0.0}
+    row = spans.sink_rollup(spans.mark_sinks(tokens, 9, 9, 30.0, ["instance", "step"])).first()
+    assert (row.steps, row.sinks, row.percent, row.presence) == (2, 1, 50.0, 0.5)
