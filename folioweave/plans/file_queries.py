@@ -104,11 +104,12 @@ def prompt_file(spark, sf_dir):
 
 # --- streams ----------------------------------------------------------------------------------------------------------
 def _stream(spark, sf_dir, *columns):
-    """The documents as a stream of two files."""
+    """The documents as a stream of two batches, each of as many files as half of the tasks that read them make."""
     at = _folder(spark, "in")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", *columns)
-    docs.repartition(2).write.parquet(at)
-    return stream.read_documents(spark, at, docs.schema), at
+    docs.write.parquet(at)
+    written = len(spark.read.parquet(at).inputFiles())
+    return stream.read_documents(spark, at, docs.schema, -(-written // 2)), at
 
 
 @query(f"WITH {_PASSAGES} SELECT doc_id, ordinal::INT AS ordinal, md5(passage) AS passage FROM p")

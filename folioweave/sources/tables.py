@@ -6,15 +6,25 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows from which a table is dealt into three pieces for each core.
+MANY = 1_000_000
 
 
 def over_all_cores(rows: DataFrame, *by: str) -> DataFrame:
-    """rows dealt by key over all cores where their files come in fewer pieces than that; else as they are, without a shuffle.
+    """rows dealt by key over all cores where one task would read over 1.5 times a core's share; else as they are, without a shuffle.
 
-    A table of few row groups is read by as few tasks, however dear what is done with its rows.
+    A table of few row groups is read by as few tasks, however dear what is done with its rows, and however many splits its
+    files have: the splits without a row group's middle are empty. So rows are counted by task, from the files' footers.
+    Pieces are a third of a core's share, so that no core waits long for the last.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, *by) if rows.rdd.getNumPartitions() < cores else rows
+    held = rows.groupBy(F.spark_partition_id().alias("_p")).agg(F.count("*").alias("_n")).agg(F.max("_n"), F.sum("_n")).first()
+    most, total = held[0] or 0, held[1] or 0
+    if most * cores <= 1.5 * total:
+        return rows
+    return rows.repartition(cores * (3 if total > MANY else 1), *by)
 
 
 class SharedTables:

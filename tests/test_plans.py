@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from folioweave.functions import arrow
 from folioweave.operators import cited, ranking, retrieval, runs, sampling, spans
-from folioweave.plans import corpus, inference, prompts, training
+from folioweave.plans import corpus, file_queries, inference, prompts, training
 from folioweave.sources import files
+from folioweave.sources.tables import over_all_cores
 
 
 def test_numbering_is_contiguous(spark):
@@ -296,3 +297,22 @@ def test_shared_gold_sets(spark):
     gold = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y"), (None, "x")], "group string, item string")
     got = {r.query_id: (r.precision, r.recall, round(r.f1, 6)) for r in ranking.shared_gold_scores(queries, found, gold).collect()}
     assert got == {1: (0.5, 1.0, 0.666667), 2: (0.0, 0.0, 0.0), 3: (0.0, 0.0, 0.0), 4: (0.0, 0.0, 0.0), 5: (0.0, 0.0, 0.0)}
+
+
+def test_a_table_of_one_row_group_in_many_splits_is_dealt_over_all_cores(spark, tmp_path):
+    spark.range(60_000).withColumn("text", F.sha2(F.col("id").cast("string"), 512)).coalesce(1).write.parquet(f"{tmp_path}/t")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 20)
+    try:
+        rows = spark.read.parquet(f"{tmp_path}/t")
+        assert rows.rdd.getNumPartitions() >= 4  # all but one have no rows
+        dealt = [r["count"] for r in over_all_cores(rows, "id").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(dealt) == 60_000 and len(dealt) == 4 and max(dealt) < 20_000
+    assert over_all_cores(spark.range(100), "id").rdd.getNumPartitions() == spark.range(100).rdd.getNumPartitions()
+
+
+def test_the_stream_of_documents_is_written_by_all_tasks(spark):
+    docs, at = file_queries._stream(spark, "/root/testdata/sf0.001")
+    assert len(spark.read.parquet(at).inputFiles()) >= 4
+    assert spark.read.parquet(at).count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
