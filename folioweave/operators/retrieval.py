@@ -70,14 +70,24 @@ def scores(queries: DataFrame, chunks: DataFrame, on: list[str] | None = None, k
     if queries.isEmpty():
         raise ValueError("there are no queries")
     on = on or []
+    total = queries.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)) * 8).first()[0]
+    if on and 0 <= k and total <= set_bytes:
+        rows = queries.where(" AND ".join(f"`{c}` IS NOT NULL" for c in on)).withColumn("_at", F.struct(*on, "query_id"))
+        q = rows.select(F.col("_at").alias("query_id"), "embedding", F.to_json(F.struct(*on)).alias("_on"))
+        c = chunks.select("chunk_id", "embedding", F.to_json(F.struct(*on)).alias("_on"))
+        return _in_blocks(c, q.toArrow(), k, q.schema["query_id"].dataType).select("query_id.*", "chunk_id", "score")
     if on:
         q, c = (x.select(*on, name, F.col("embedding").alias(v)) for x, name, v in ((queries, "query_id", "_q"), (chunks, "chunk_id", "_c")))
         return q.join(c, on).select(*on, "query_id", "chunk_id", inner_product(F.col("_q"), F.col("_c")).alias("score")).where("abs(score) < double('infinity')")
-    total = queries.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)) * 8).first()[0]
+    held = _held(queries.select("query_id", "embedding"), total, set_bytes)
+    return reduce(DataFrame.unionByName, [_in_blocks(chunks, h, k, queries.schema["query_id"].dataType) for h in held])
+
+
+def _held(queries: DataFrame, total: int, set_bytes: int) -> list[pa.Table]:
+    """The queries in sets of about set_bytes of vectors, of which there are `total` bytes."""
     sets = -(-max(1, total) // set_bytes)
     part = F.pmod(F.xxhash64("query_id"), F.lit(sets))
-    held = [queries.select("query_id", "embedding").where(part == n).toArrow() for n in range(sets)]
-    return reduce(DataFrame.unionByName, [_in_blocks(chunks, h, k, queries.schema["query_id"].dataType) for h in held])
+    return [queries.where(part == n).toArrow() for n in range(sets)]
 
 
 def vectors(column: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,15 +135,25 @@ def _in_blocks(chunks: DataFrame, held: pa.Table, k: int, query_type: DataType)
     """(query_id, chunk_id, score): each task's k best for each held query (all for k < 0), from one pass over the chunks.
 
     Blocks of chunks are multiplied with blocks of queries; a task keeps k rows a query and the score that the next needs.
+    Where both have a column _on, only rows that agree in it meet.
     """
+    on = "_on" in held.column_names
     shared = chunks.sparkSession.sparkContext.broadcast(held)
     schema = StructType([StructField("query_id", query_type), StructField("chunk_id", LongType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = shared.value.column("query_id").combine_chunks()
         column = shared.value.column("embedding")
-        widths = [w for w in pc.unique(pc.list_value_length(column)).to_pylist() if w is not None]
-        by_width = {w: vectors(column, w) for w in widths}
+        lengths = pc.list_value_length(column)
+        owner = shared.value.column("_on") if on else pa.chunked_array([pa.nulls(len(column), pa.string())])
+        kinds = pa.table({"w": lengths, "on": owner, "n": pa.array(np.arange(len(column)))}).group_by(["w", "on"]).aggregate([("n", "list")]).to_pylist()
+        by_width = {}
+        for kind in kinds:
+            if kind["w"] is not None:
+                mine = np.array(kind["n_list"])
+                at_rows, q = vectors(column.take(pa.array(mine)), kind["w"])
+                by_width[kind["w"], kind["on"]] = mine[at_rows], q
+        widths = list(by_width)
 
         def rows(query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([names.take(pa.array(query)), pa.array(ids), pa.array(score)], names=["query_id", "chunk_id", "score"])
@@ -143,8 +163,16 @@ def _in_blocks(chunks: DataFrame, held: pa.Table, k: int, query_type: DataType)
             for at in range(0, batch.num_rows, SIDE):
                 part = batch.slice(at, SIDE)
                 every = np.asarray(part.column("chunk_id"))
+                groups = np.asarray(part.column("_on")) if on else None
+                of_width = {w: vectors(part.column("embedding"), w) for w in {w for w, _ in widths}}
+                present = set(groups) if on else {None}
                 for w, (number, q) in by_width.items():
-                    at_rows, c = vectors(part.column("embedding"), w)
+                    if w[1] not in present:
+                        continue
+                    at_rows, c = of_width[w[0]]
+                    if on:
+                        same = groups[at_rows] == w[1]
+                        at_rows, c = at_rows[same], c[same]
                     ids = every[at_rows]
                     for n, kept in enumerate(best[w]):
                         mine = slice(n * SIDE, (n + 1) * SIDE)
@@ -161,7 +189,49 @@ def _in_blocks(chunks: DataFrame, held: pa.Table, k: int, query_type: DataType)
             for n, (row, score, ids) in enumerate(blocks):
                 yield rows(by_width[w][0][n * SIDE :][row], score, ids)
 
-    return chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding").where("chunk_id IS NOT NULL").mapInArrow(run, schema)
+    return chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding", *["_on"] * on).where("chunk_id IS NOT NULL").mapInArrow(run, schema)
+
+
+def better_than(queries: DataFrame, chunks: DataFrame, set_bytes: int = SET_BYTES) -> DataFrame:
+    """query_id, above: how many chunks are nearer to a query than its own chunk `than_id` of score `than`, ties to smaller ids.
+
+    queries: query_id, embedding, than, than_id. Pairs are counted where their blocks are multiplied; a task ships a number a query.
+    """
+    total = queries.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)) * 8).first()[0]
+    spark, kind = chunks.sparkSession, queries.schema["query_id"].dataType
+    schema = StructType([StructField("query_id", kind), StructField("above", LongType())])
+
+    def counter(held: pa.Table):  # noqa: ANN202
+        shared = spark.sparkContext.broadcast(held)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = shared.value
+            column = asked.column("embedding")
+            than, than_id = (asked.column(c).to_numpy() for c in ("than", "than_id"))
+            above = np.zeros(asked.num_rows, np.int64)
+            by_width = {w: vectors(column, w) for w in pc.unique(pc.list_value_length(column)).to_pylist() if w is not None}
+            for batch in batches:
+                for at in range(0, batch.num_rows, SIDE):
+                    part = batch.slice(at, SIDE)
+                    for w, (number, every) in by_width.items():
+                        at_rows, c = vectors(part.column("embedding"), w)
+                        ids = np.asarray(part.column("chunk_id"))[at_rows]
+                        for first in range(0, len(number), SIDE):
+                            mine, q = number[first : first + SIDE], every[first : first + SIDE]
+                            apart = q @ c.T - than[mine][:, None]
+                            room = 4 * w * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(c, axis=1).max(initial=0.0)
+                            above[mine] += (apart > room[:, None]).sum(1)
+                            row, col = np.nonzero(np.abs(apart) <= room[:, None])
+                            score, limit = ordered_products(q[row], c[col]), than[mine][row]
+                            won = (score > limit) | ((score == limit) & (ids[col] < than_id[mine][row]))
+                            above[mine] += np.bincount(row[won], minlength=len(mine))
+            yield pa.RecordBatch.from_arrays([asked.column("query_id").combine_chunks(), pa.array(above)], names=["query_id", "above"])
+
+        return run
+
+    rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding").where("chunk_id IS NOT NULL")
+    counts = [rows.mapInArrow(counter(h), schema) for h in _held(queries.select("query_id", "embedding", "than", F.col("than_id").cast("long").alias("than_id")), total, set_bytes)]
+    return reduce(DataFrame.unionByName, counts).groupBy("query_id").agg(F.sum("above").alias("above"))
 
 
 def texts_of(hits: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -115,3 +115,30 @@ def test_steps_without_any_score_have_zero_percent(spark):
     assert {r.section: r.percent for r in rolled} == {"prompt": 50.0, "context": 0.0, "other": 0.0}
     row = spans.sink_rollup(spans.mark_sinks(tokens, 9, 9, 30.0, ["instance", "step"])).first()
     assert (row.steps, row.sinks, row.percent, row.presence) == (2, 1, 50.0, 0.5)
+
+
+@pytest.mark.parametrize("k", [1, 4, 20])
+def test_metrics_of_retrieval_equal_those_of_all_scores(spark, k, monkeypatch):
+    """Few gold chunks, none, equal vectors, broken ones and two widths; no list of all pairs is made."""
+    rnd = random.Random(k)
+    vector = lambda n: [rnd.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(n)]
+    rows = [(i, vector(3 if i % 5 else 2), i % 3 if i < 40 else 7 if i == 41 else 8) for i in range(70)]
+    rows += [(70, None, 1), (71, [float("nan"), 1.0, 1.0], 1), (72, [None, 1.0, 1.0], 1)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, embedding array<float>, label int").repartition(3)
+    queries = chunks.where("chunk_id % 4 <> 1 OR chunk_id = 41").withColumnRenamed("chunk_id", "query_id")
+    queries = queries.withColumn("label", F.when(F.col("query_id") == 2, 99).otherwise(F.col("label")))
+    label = chunks.select("chunk_id", "label").join(queries.select("query_id", F.col("label").alias("own")))
+    docs = retrieval.scores(queries, chunks).join(label, ["query_id", "chunk_id"])
+    docs = docs.select(F.col("query_id").alias("id"), F.col("chunk_id").alias("doc"), "score", (F.col("label") == F.col("own")).alias("is_gold"), F.col("chunk_id").alias("pos"))
+    want = {r.id: r.asDict() for r in selection.counted_metrics(docs.drop("is_gold"), docs, k).collect()}
+    inner = retrieval.scores
+
+    def bounded(q, c, on=None, k=-1, set_bytes=retrieval.SET_BYTES):
+        assert k >= 0, "all pairs"
+        return inner(q, c, on, k, set_bytes)
+
+    monkeypatch.setattr(retrieval, "scores", bounded)
+    found = {r.id: r.asDict() for r in selection.retrieved_metrics(queries, chunks, k).collect()}
+    assert found.keys() == want.keys() and len(want) > 40
+    for i in want:
+        assert found[i] == pytest.approx(want[i]), i
