@@ -110,3 +110,21 @@ def test_resampled_means(spark):
     many = cited.bootstrap_mean(spark.range(400).select(F.lit(1).alias("g"), "id", (F.col("id") % 2).alias("x")), "x", "g", ["id"], 200).first()
     assert abs(many.mid - 0.5) < 0.05
     assert functools.reduce(max, weights) < 20
+
+
+def test_pairs_side_by_side_are_compared_as_one_by_one():
+    """Pairs of all lengths at once, in few sets, each with the windows of its own texts."""
+    draw = random.Random(5)
+    pairs = [tuple("".join(draw.choice("ab c😀") for _ in range(draw.choice([0, 1, 7, 40, 90]))) for _ in "ab") for _ in range(150)]
+    calls, whole = [], arrow.window_origins
+    arrow.window_origins = lambda some: calls.append(len(some)) or whole(some)
+    try:
+        together = arrow.partials(pairs)
+    finally:
+        arrow.window_origins = whole
+    assert len(calls) <= 4 and sum(calls) > 40
+    for (a, b), got in zip(pairs, together, strict=True):
+        short, long_ = sorted((a, b), key=len)
+        windows = {long_[max(0, e - len(short)) : e] for e in range(1, len(long_) + len(short))} if short else set()
+        want = max((arrow.indel(short, w) for w in windows if w), default=100.0 * (not long_))
+        assert got == pytest.approx(want)
