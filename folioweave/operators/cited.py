@@ -35,13 +35,22 @@ def list_scores(output: Column, groups: Column) -> Column:
     trimmed = F.rtrim(F.rtrim(F.trim(output), F.lit(".")), F.lit(","))
     said = F.filter(F.transform(F.split(trimmed, ",", -1), T.normalize_answer), lambda x: x != "")
     gold = F.transform(groups, lambda g: F.transform(g, T.normalize_answer))
-    every = F.flatten(gold)
-    right = F.size(F.filter(said, lambda x: F.array_contains(every, x)))
-    got = F.size(F.filter(gold, lambda g: F.arrays_overlap(g, said)))
-    n = F.size(gold)
     five = lambda c: F.least(F.lit(5), c)
-    p, r, r5 = O.ratio(right, F.size(said)), O.ratio(got, n), O.ratio(five(got), five(n))
-    return F.struct(p.alias("precision"), r.alias("recall"), r5.alias("recall_top5"), O.f1_of(p, r).alias("f1"), O.f1_of(p, r5).alias("f1_top5"))
+
+    def counts(x: Column, g: Column) -> Column:
+        right = T.let(F.flatten(g), lambda every: F.size(F.filter(x, lambda w: F.array_contains(every, w))))
+        got = F.size(F.filter(g, lambda aliases: F.arrays_overlap(aliases, x)))
+        return F.struct(right.alias("right"), F.size(x).alias("said"), got.alias("got"), F.size(g).alias("n"))
+
+    def shares(c: Column) -> Column:
+        return F.struct(O.ratio(c["right"], c["said"]).alias("p"), O.ratio(c["got"], c["n"]).alias("r"), O.ratio(five(c["got"]), five(c["n"])).alias("r5"))
+
+    def scores(c: Column) -> Column:
+        p, r, r5 = c["p"], c["r"], c["r5"]
+        return F.struct(p.alias("precision"), r.alias("recall"), r5.alias("recall_top5"), O.f1_of(p, r).alias("f1"), O.f1_of(p, r5).alias("f1_top5"))
+
+    # each list is normalised once, not once for every element of the other
+    return T.let(said, lambda x: T.let(gold, lambda g: T.let(T.let(counts(x, g), shares), scores)))
 
 
 def citation_scores(sentences: DataFrame, verdicts: DataFrame, n_docs: str = "n_docs", most: int = 3) -> DataFrame:
