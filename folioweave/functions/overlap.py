@@ -36,7 +36,7 @@ def multiset_common(a: Column, b: Column) -> Column:
         start = F.struct(F.get(items, 0)["v"].alias("v"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("n"))
         return F.aggregate(items, start, step, lambda s: s["n"] + F.least(s["x"], s["y"]))
 
-    return T.let(F.array_sort(F.concat(side(a, 0), side(b, 1))), fold)
+    return T.let(F.sort_array(F.concat(side(a, 0), side(b, 1))), fold)
 
 
 def token_f1(a: Column, b: Column) -> Column:
@@ -80,6 +80,11 @@ def best_of(metric, prediction: Column, truths: Column) -> Column:
     return T.let(prediction, lambda p: F.array_max(F.transform(truths, lambda t: metric(p, t))))
 
 
+def best_answer_f1(prediction: Column, truths: Column) -> Column:
+    """best_of() of answer_f1, the prediction normalised once."""
+    return best_of(lambda a, t: token_f1(a, T.words(T.normalize_answer(t)))["f1"], T.words(T.normalize_answer(prediction)), truths)
+
+
 def any_present(answers: Column, context: Column) -> Column:
     return T.let(T.normalize_answer(context), lambda c: F.exists(answers, lambda a: F.contains(c, T.normalize_answer(a))))
 

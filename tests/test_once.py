@@ -17,3 +17,10 @@ def times(spark, column, needle):
 def test_lists_are_normalised_once(spark):
     groups = F.array(F.col("many"), F.col("many"))
     assert times(spark, cited.list_scores(F.col("t"), groups)["f1"], "Punct") == 2  # the said ones, the gold ones
+
+
+def test_answers_are_normalised_once(spark):
+    assert times(spark, S.qa_english(F.col("t"), F.col("many")), "Punct") == 4  # the answer, the whole, the parsed one; the truths
+    assert times(spark, S.qa_chinese(F.col("t"), F.col("many")), "array_sort") == 0
+    in_elements = times(spark, O.best_answer_f1(F.col("t"), F.col("many")), "lower(lambda")
+    assert in_elements == 1  # the truth; the prediction stands outside of the elements
