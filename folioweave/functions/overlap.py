@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioweave.functions import arrow
 from folioweave.functions import text as T
 
 
@@ -155,14 +156,5 @@ def fuzzy_score(a: Column, b: Column) -> Column:
 
 
 def long_token_f1(pairs: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
-    """key, f1 for long texts: tokens counted by shuffle, not compared in the row. key names a pair."""
-    counted = None
-    for side, name in ((0, a), (1, b)):
-        tokens = pairs.select(*key, F.explode(T.words(T.normalize_answer(F.col(name)))).alias("w"))
-        one = tokens.groupBy(*key, "w").agg(F.count("*").alias("n")).withColumn("side", F.lit(side))
-        counted = one if counted is None else counted.unionByName(one)
-    both = counted.groupBy(*key, "w").agg(*[F.coalesce(F.sum(F.when(F.col("side") == s, F.col("n"))), F.lit(0)).alias(f"n{s}") for s in (0, 1)])
-    sums = both.groupBy(*key).agg(F.sum(F.least("n0", "n1")).alias("same"), F.sum("n0").alias("a_n"), F.sum("n1").alias("b_n"))
-    p, r = ratio(F.col("same"), F.col("a_n")), ratio(F.col("same"), F.col("b_n"))
-    scored = sums.select(*key, f1_of(p, r).alias("f1"))
-    return pairs.select(*key).join(scored, key, "left").select(*key, F.coalesce("f1", F.lit(0.0)).alias("f1"))
+    """key, f1 for long texts; a text without words, or null, has 0. key names a pair."""
+    return pairs.select(*key, arrow.words_f1(*(T.normalize_answer(F.col(c)) for c in (a, b))).alias("f1"))

@@ -24,3 +24,11 @@ def test_answers_are_normalised_once(spark):
     assert times(spark, S.qa_chinese(F.col("t"), F.col("many")), "array_sort") == 0
     in_elements = times(spark, O.best_answer_f1(F.col("t"), F.col("many")), "lower(lambda")
     assert in_elements == 1  # the truth; the prediction stands outside of the elements
+
+
+def test_words_of_long_texts_stay_in_their_row(spark):
+    rows = spark.createDataFrame([(1, "The a B b! " * 300_000, "b " * 700_000), (2, None, "x"), (3, "An", ""), (4, "x y", "Y z")], "k int, a string, b string")
+    got = O.long_token_f1(rows, ["k"], "a", "b")
+    assert {r.k: r.f1 for r in got.collect()} == pytest.approx({1: 2 * 600_000 / 1_300_000, 2: 0.0, 3: 0.0, 4: 0.5})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan  # no token is shuffled
