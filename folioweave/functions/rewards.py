@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioweave.functions import arrow
 from folioweave.functions import context as C
 from folioweave.functions import overlap as O
 from folioweave.functions import text as T
@@ -38,16 +39,9 @@ def answer_and_ids(output: Column, truth: Column, gold_tags: Column) -> Column:
 def greedy_matches(left: Column, right: Column, threshold: float = MATCH) -> Column:
     """Number of pairs of the one-to-one matching that takes the best fuzzy scores first; ties go by position.
 
-    Pairs at or above the threshold are sorted, then folded; both arrays are short (at most ten quotes).
+    Only pairs at or above the threshold are taken. What a text is compared by is made once, not for every pair.
     """
-    pair = "struct<s:double,i:int,j:int>"
-    scored = T.let(right, lambda r: F.flatten(F.transform(left, lambda a, i: F.transform(r, lambda b, j: F.struct((-O.fuzzy_score(a, b)).alias("s"), i.alias("i"), j.alias("j")).cast(pair)))))
-    ranked = F.array_sort(F.filter(scored, lambda p: p["s"] <= -threshold))
-    kind = "struct<l:array<int>,r:array<int>>"
-    start = F.struct(F.array().alias("l"), F.array().alias("r")).cast(kind)
-    taken = lambda s, p: F.array_contains(s["l"], p["i"]) | F.array_contains(s["r"], p["j"])
-    step = lambda s, p: F.when(taken(s, p), s).otherwise(F.struct(F.array_append(s["l"], p["i"]).alias("l"), F.array_append(s["r"], p["j"]).alias("r")))
-    return F.size(F.aggregate(ranked, start, step)["l"])
+    return arrow.greedy_pairs(threshold)(*(F.transform(texts, F.lower) for texts in (left, right)))
 
 
 def quote_format(output: Column, quotes: Column) -> Column:
@@ -57,12 +51,13 @@ def quote_format(output: Column, quotes: Column) -> Column:
 
 
 def quote_reward(output: Column, truth: Column, gold_docs: Column, gold_tags: Column) -> Column:
-    return T.let(T.quotes(output, MOST_QUOTES), lambda quotes: _quote_reward(output, truth, gold_docs, gold_tags, quotes))
+    quotes = T.quotes(output, MOST_QUOTES)
+    both = F.struct(quotes.alias("quotes"), greedy_matches(quotes, gold_docs).alias("matched"))
+    return T.let(both, lambda s: _quote_reward(output, truth, gold_docs, gold_tags, s["quotes"], s["matched"]))
 
 
-def _quote_reward(output: Column, truth: Column, gold_docs: Column, gold_tags: Column, quotes: Column) -> Column:
+def _quote_reward(output: Column, truth: Column, gold_docs: Column, gold_tags: Column, quotes: Column, matched: Column) -> Column:
     w = QUOTE_WEIGHTS
-    matched = greedy_matches(quotes, gold_docs)
     over = F.transform(quotes, lambda q: F.size(T.words(q)))
     penalty = F.aggregate(over, F.lit(0.0), lambda s, n: s + F.when(n > LONG_QUOTE, 0.1 + 0.02 * (n - LONG_QUOTE)).otherwise(0.0))
     ids = F.when(matched > 0, O.set_scores(C.tags_in(output), gold_tags)["f1"]).otherwise(0.0)

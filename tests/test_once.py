@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from folioweave.functions import arrow
 from folioweave.functions import overlap as O
 from folioweave.functions import scorers as S
 from folioweave.operators import cited
@@ -32,3 +33,16 @@ def test_words_of_long_texts_stay_in_their_row(spark):
     assert {r.k: r.f1 for r in got.collect()} == pytest.approx({1: 2 * 600_000 / 1_300_000, 2: 0.0, 3: 0.0, 4: 0.5})
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan  # no token is shuffled
+
+
+def test_quotes_are_taken_apart_once(spark, monkeypatch):
+    """Matches by the column expressions of fuzzy_score, and a text's parts made once for all its pairs."""
+    texts = ["", "a b", "Ab", "the cat sat", "The  cat sat.", "the cat", "😀 x", None]
+    rows = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)], "i int, j int, a string, b string")
+    want = {(r.i, r.j): r.s for r in rows.select("i", "j", O.fuzzy_score(F.col("a"), F.col("b")).alias("s")).collect()}
+    for (i, j), s in want.items():
+        if None not in (texts[i], texts[j]):
+            assert arrow.fuzzy(*(arrow.fuzzy_parts(texts[k].lower()) for k in (i, j))) == s
+    made, whole = [], arrow.fuzzy_parts
+    monkeypatch.setattr(arrow, "fuzzy_parts", lambda t: made.append(t) or whole(t))
+    assert arrow.greedy_count(["abc", "abd", None], ["abd", "abc", "abc"], 0.8) == 2 and len(made) == 5
