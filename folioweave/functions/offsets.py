@@ -37,17 +37,34 @@ def find_documents(text: str) -> Iterator[Span]:
         yield a, b, text[a:b]
 
 
+#: Characters of texts whose spans are held as Python objects at once.
+HELD = 1 << 18
+
+
 def listed(texts: pa.Array, find: Callable[[str], Iterator[Span]]) -> pa.Array:
-    """A list of spans for each text, null for null. The lists stand in flat arrays from the start."""
-    starts, ends, bodies, upto = [], [], [], [0]
-    for t in texts.to_pylist():
-        for a, b, body in find(t) if t is not None else ():
-            starts.append(a)
-            ends.append(b)
-            bodies.append(body)
-        upto.append(len(starts))
-    flat = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(bodies, pa.string())], names=["start", "end", "text"])
-    return pa.ListArray.from_arrays(pa.array(np.array(upto, np.int32)), flat, mask=texts.is_null() if texts.null_count else None)
+    """A list of spans for each text, null for null. Spans go to flat arrays before many texts' are held as objects."""
+    parts, upto, n, held = [], [0], 0, 0
+    starts, ends, bodies = [], [], []
+
+    def flush() -> None:
+        parts.append(pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(bodies, pa.string())], names=["start", "end", "text"]))
+        for x in (starts, ends, bodies):
+            x.clear()
+
+    for text in texts:
+        if (t := text.as_py()) is not None:
+            for a, b, body in find(t):
+                starts.append(a)
+                ends.append(b)
+                bodies.append(body)
+                n += 1
+            held += len(t)
+            if held > HELD:
+                flush()
+                held = 0
+        upto.append(n)
+    flush()
+    return pa.ListArray.from_arrays(pa.array(np.array(upto, np.int32)), pa.concat_arrays(parts), mask=texts.is_null() if texts.null_count else None)
 
 
 @arrow_udf(SPANS)

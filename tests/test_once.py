@@ -1,9 +1,11 @@
 """What rows pay for once: how often a costly step stands in a plan, and in the elements of its arrays."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from folioweave.functions import arrow
+from folioweave.functions import offsets
 from folioweave.functions import overlap as O
 from folioweave.functions import scorers as S
 from folioweave.operators import cited
@@ -46,3 +48,17 @@ def test_quotes_are_taken_apart_once(spark, monkeypatch):
     made, whole = [], arrow.fuzzy_parts
     monkeypatch.setattr(arrow, "fuzzy_parts", lambda t: made.append(t) or whole(t))
     assert arrow.greedy_count(["abc", "abd", None], ["abd", "abc", "abc"], 0.8) == 2 and len(made) == 5
+
+
+def test_spans_of_many_texts_are_not_held_at_once():
+    """A batch of texts takes little more than its arrays: objects of 40 MB of texts would be 200 MB and more."""
+    import tracemalloc
+
+    texts = pa.array([None, "", "A b. C!"] + ["One two. " * 400] * 3000)
+    tracemalloc.start()
+    found = offsets.listed(texts, offsets.find_sentences)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(texts) and found[:3].to_pylist() == [None, [], [{"start": 0, "end": 4, "text": "A b."}, {"start": 5, "end": 7, "text": "C!"}]]
+    assert found[-1].as_py()[-1] == {"start": 399 * 9, "end": 399 * 9 + 8, "text": "One two."} and len(found.flatten()) == 2 + 400 * 3000
+    assert peak < 60 << 20
