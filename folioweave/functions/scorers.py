@@ -46,49 +46,63 @@ def _after_prefix(pred: Column, prefixes: tuple[str, ...], fits: Callable[[Colum
 def code_debug(pred: Column, labels: Column) -> Column:
     """labels: function name, letter."""
     name, letter = F.get(labels, 0), F.get(labels, 1)
-    flat = T.strip(pred)
-    last = F.regexp_extract(flat, LAST_CODE_LETTER, 0)
-    for mark in ("\n", "`", "'", '"', "-", "*", "Option", "option"):
-        flat = F.replace(flat, F.lit(mark), F.lit(" "))
-    flat = F.regexp_replace(flat, " {2,}", " ")
     starts = lambda t: F.startswith(t, letter) | F.startswith(t, name)
-    return (last == letter) | starts(flat) | _after_prefix(flat, CODE_PREFIXES, starts, F.lit(False))
+
+    def fits(p: Column) -> Column:
+        flat = p
+        for mark in ("\n", "`", "'", '"', "-", "*", "Option", "option"):
+            flat = F.replace(flat, F.lit(mark), F.lit(" "))
+        by_flat = T.let(F.regexp_replace(flat, " {2,}", " "), lambda t: starts(t) | _after_prefix(t, CODE_PREFIXES, starts, F.lit(False)))
+        return (F.regexp_extract(p, LAST_CODE_LETTER, 0) == letter) | by_flat
+
+    return T.let(T.strip(pred), fits)
 
 
 def choice(pred: Column, labels: Column) -> Column:
     """The last letter, the first character, the whole, what follows a prefix, or the first word that is a letter."""
-    p = T.strip(pred)
-    last = F.nullif(F.regexp_extract(p, LAST_CHOICE_LETTER, 0), F.lit(""))
-    head = F.substring(p, 1, 1)
-    flat = F.regexp_replace(F.translate(p, "\n\"'.,?!{}", " " * 9), " {2,}", " ")
     fits = lambda t: F.exists(labels, lambda s: F.startswith(t, s))
-    word = F.get(F.filter(T.words(flat), lambda w: F.lit("ABCD").contains(w)), 0)
-    by_word = F.coalesce(F.array_contains(labels, word), F.lit(False))
-    rest = F.when(F.array_contains(labels, p), True).otherwise(_after_prefix(flat, CHOICE_PREFIXES, fits, by_word))
-    return (
-        F.when(F.coalesce(F.array_contains(labels, last), F.lit(False)), True)
-        .when(p == "", False)
-        .when(head.isin("A", "B", "C", "D"), F.array_contains(labels, head))
-        .otherwise(rest)
-    )
+
+    def by_flat(flat: Column) -> Column:
+        word = F.get(F.filter(T.words(flat), lambda w: F.lit("ABCD").contains(w)), 0)
+        by_word = F.coalesce(F.array_contains(labels, word), F.lit(False))
+        return _after_prefix(flat, CHOICE_PREFIXES, fits, by_word)
+
+    def right(p: Column) -> Column:
+        last = T.let(F.regexp_extract(p, LAST_CHOICE_LETTER, 0), lambda x: F.nullif(x, F.lit("")))
+        head = F.substring(p, 1, 1)
+        flat = F.regexp_replace(F.translate(p, "\n\"'.,?!{}", " " * 9), " {2,}", " ")
+        return (
+            F.when(F.coalesce(F.array_contains(labels, last), F.lit(False)), True)
+            .when(p == "", False)
+            .when(head.isin("A", "B", "C", "D"), F.array_contains(labels, head))
+            .when(F.array_contains(labels, p), True)
+            .otherwise(T.let(flat, by_flat))
+        )
+
+    # what is stripped and flattened is so once, not for each prefix that is looked for
+    return T.let(T.strip(pred), right)
 
 
 def math_find(pred: Column, labels: Column, kind: Column) -> Column:
     """The first number is the label; kind is int or float. A decimal prediction never equals an int label."""
-    number = F.nullif(F.regexp_extract(pred, r"\d+\.\d+|\d+", 0), F.lit(""))
     label = F.get(labels, 0)
-    as_int = number.try_cast("bigint") == label.try_cast("bigint")
-    as_float = number.try_cast("double") == label.try_cast("double")
-    whole = F.when(number.contains("."), False).otherwise(as_int)
-    return F.coalesce(F.when(kind == "int", whole).when(kind == "float", as_float).otherwise(F.raise_error("label kind is int or float").cast("boolean")), F.lit(False))
+
+    def equal(found: Column) -> Column:
+        number = F.nullif(found, F.lit(""))
+        as_int = number.try_cast("bigint") == label.try_cast("bigint")
+        as_float = number.try_cast("double") == label.try_cast("double")
+        whole = F.when(number.contains("."), False).otherwise(as_int)
+        return F.coalesce(F.when(kind == "int", whole).when(kind == "float", as_float).otherwise(F.raise_error("label kind is int or float").cast("boolean")), F.lit(False))
+
+    return T.let(F.regexp_extract(pred, r"\d+\.\d+|\d+", 0), equal)
 
 
 def math_calc(pred: Column, labels: Column) -> Column:
     """Length of the matching prefix of integers over the number of labels."""
     found = F.transform(F.regexp_extract_all(pred, F.lit("[0-9]+"), 0), lambda n: n.try_cast("bigint"))
     same = F.transform(F.arrays_zip(labels.alias("l"), found.alias("p")), lambda z: F.coalesce(z["l"].try_cast("bigint") == z["p"], F.lit(False)))
-    run = F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same))
-    return O.ratio(F.least(run, F.size(labels)), F.size(labels))
+    run = lambda s: F.coalesce(F.nullif(F.array_position(s, F.lit(False)), F.lit(0)) - 1, F.size(s))
+    return O.ratio(F.least(T.let(same, run), F.size(labels)), F.size(labels))
 
 
 def dialogue(pred: Column, labels: Column) -> Column:

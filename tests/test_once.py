@@ -62,3 +62,9 @@ def test_spans_of_many_texts_are_not_held_at_once():
     assert len(found) == len(texts) and found[:3].to_pylist() == [None, [], [{"start": 0, "end": 4, "text": "A b."}, {"start": 5, "end": 7, "text": "C!"}]]
     assert found[-1].as_py()[-1] == {"start": 399 * 9, "end": 399 * 9 + 8, "text": "One two."} and len(found.flatten()) == 2 + 400 * 3000
     assert peak < 60 << 20
+
+
+def test_predictions_are_flattened_once(spark):
+    assert times(spark, S.choice(F.col("t"), F.col("many")), "{2,}") == 1
+    assert times(spark, S.code_debug(F.col("t"), F.col("many")), "{2,}") == 1
+    assert times(spark, S.math_find(F.col("t"), F.col("many"), F.lit("int")), "regexp_extract") == 1
