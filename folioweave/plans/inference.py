@@ -64,13 +64,16 @@ def prepare(rows: DataFrame, most: int, buffer: int = 512, limit: int | None = N
             made = made.withColumn("context", C.render(C.number(T.passages(T.collapse_space(F.col("context")), split_words))))
             made = tokens.counted(made, "context", "final_ctx_length")
         return made if limit is None else made.where(F.col("final_ctx_length") <= limit)
-    tokens = T.words(F.col("context"))
-    made = rows.withColumn("original_ctx_length", F.size(tokens))
-    trimmed = F.when(F.size(tokens) > most, F.array_join(T.truncate_tail(tokens, most, buffer), " ")).otherwise(F.col("context"))
-    made = made.withColumn("context", trimmed)
-    if split_words:
-        made = made.withColumn("context", C.render(C.number(T.passages(T.collapse_space(F.col("context")), split_words))))
-    made = made.withColumn("final_ctx_length", T.word_count(F.col("context")))
+
+    def trimmed(words: Column) -> Column:
+        kept = F.when(F.size(words) > most, F.array_join(T.truncate_tail(words, most, buffer), " ")).otherwise(F.col("context"))
+        made = C.render(C.number(T.passages(T.collapse_space(kept), split_words))) if split_words else kept
+        whole = lambda t: F.struct(t.alias("context"), F.size(words).alias("original_ctx_length"), T.word_count(t).alias("final_ctx_length"))
+        return T.let(made, whole)
+
+    # generated, so that what asks for a length does not make the context again
+    made = rows.select("*", F.inline(F.array(T.let(T.words(F.col("context")), trimmed))).alias("_c", "_before", "_after"))
+    made = made.withColumns({"context": F.col("_c"), "original_ctx_length": F.col("_before"), "final_ctx_length": F.col("_after")}).drop("_c", "_before", "_after")
     return made if limit is None else made.where(F.col("final_ctx_length") <= limit)
 
 

@@ -9,6 +9,7 @@ from folioweave.functions import offsets
 from folioweave.functions import overlap as O
 from folioweave.functions import scorers as S
 from folioweave.operators import cited
+from folioweave.plans import inference
 
 
 def times(spark, column, needle):
@@ -68,3 +69,11 @@ def test_predictions_are_flattened_once(spark):
     assert times(spark, S.choice(F.col("t"), F.col("many")), "{2,}") == 1
     assert times(spark, S.code_debug(F.col("t"), F.col("many")), "{2,}") == 1
     assert times(spark, S.math_find(F.col("t"), F.col("many"), F.lit("int")), "regexp_extract") == 1
+
+
+def test_contexts_are_made_once(spark):
+    """The length limit reads what was made: words are split once for the old length, once for passages, once for the new."""
+    rows = spark.createDataFrame([(1, "a b  c d e"), (2, None), (3, "a b c d e f g h i")], "id int, context string")
+    made = inference.prepare(rows, 6, 2, 9, 2)
+    assert [tuple(r) for r in made.orderBy("id").collect()] == [(2, "", None, 0), (3, "[DOC 0]\na b\n\n[DOC 1]\nc d\n\n", 9, 8)]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("split(") == 3
