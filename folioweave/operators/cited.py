@@ -62,23 +62,19 @@ def citation_scores(sentences: DataFrame, verdicts: DataFrame, n_docs: str = "n_
     supported sentence of several, a reference counts if it alone supports or its removal breaks support; a single one
     counts as the joint verdict.
     """
-    s = sentences.withColumn("used", F.slice("refs", 1, most))
-    valid = (F.size("used") > 0) & ~F.exists("refs", lambda r: (r < 0) | (r >= F.col(n_docs)))
-    s = s.withColumn("ok", valid)
     key = lambda a: F.concat_ws(",", F.transform(F.array_sort(a), lambda r: r.cast("string")))
-    v = verdicts.select("item_id", "sent_id", F.col("refs").alias("key"), "verdict")
-    joint = s.where("ok").withColumn("key", key(F.col("used"))).join(v, ["item_id", "sent_id", "key"], "left").select("item_id", "sent_id", F.coalesce("verdict", F.lit(0)).alias("joint"))
-    s = s.join(joint, ["item_id", "sent_id"], "left").withColumn("joint", F.coalesce("joint", F.lit(0)))
-    each = s.where("ok AND joint = 1 AND size(used) > 1").select("item_id", "sent_id", "used", F.explode("used").alias("ref"))
-    each = each.select("item_id", "sent_id", F.col("ref").cast("string").alias("alone"), key(F.array_remove("used", F.col("ref"))).alias("rest"))
-    one = v.select("item_id", "sent_id", F.col("key").alias("alone"), F.col("verdict").alias("by_itself"))
-    two = v.select("item_id", "sent_id", F.col("key").alias("rest"), F.col("verdict").alias("without"))
-    each = each.join(one, ["item_id", "sent_id", "alone"], "left").join(two, ["item_id", "sent_id", "rest"], "left")
-    useful = (F.coalesce("by_itself", F.lit(0)) == 1) | (F.coalesce("without", F.lit(0)) == 0)
-    counted = each.groupBy("item_id", "sent_id").agg(F.count_if(useful).alias("several"))
-    s = s.join(counted, ["item_id", "sent_id"], "left")
-    good = F.when(F.col("several").isNotNull(), F.col("several")).when(F.col("ok"), F.col("joint")).otherwise(0)
-    sums = s.groupBy("item_id").agg(F.avg("joint").alias("citation_recall"), F.sum(good).alias("g"), F.sum(F.when(F.col("ok"), F.size("used")).otherwise(0)).alias("t"))
+    used, known = F.col("used"), F.col("_v")
+    said = lambda k: F.coalesce(F.get(F.filter(known, lambda v: v["refs"] == k), 0)["verdict"], F.lit(0))
+    useful = lambda r: (said(r.cast("string")) == 1) | (said(key(F.array_remove(used, r))) == 0)
+    valid = (F.size("used") > 0) & ~F.exists("refs", lambda r: (r < 0) | (r >= F.col(n_docs)))
+    # a sentence's few verdicts meet it once, and are looked up in its row
+    held = verdicts.groupBy("item_id", "sent_id").agg(F.collect_list(F.struct("refs", "verdict")).alias("_v"))
+    s = sentences.withColumn("used", F.slice("refs", 1, most)).withColumn("ok", valid).join(held, ["item_id", "sent_id"], "left")
+    s = s.withColumn("joint", F.when(F.col("ok"), said(key(used))).otherwise(0))
+    several = F.col("ok") & (F.col("joint") == 1) & (F.size("used") > 1)
+    good = F.when(several, F.size(F.filter(used, useful))).when(F.col("ok"), F.col("joint")).otherwise(0)
+    s = s.select("item_id", "joint", good.alias("good"), F.when(F.col("ok"), F.size("used")).otherwise(0).alias("t"))
+    sums = s.groupBy("item_id").agg(F.avg("joint").alias("citation_recall"), F.sum("good").alias("g"), F.sum("t").alias("t"))
     return sums.select("item_id", "citation_recall", F.when(F.col("t") > 0, F.col("g") / F.col("t")).otherwise(0.0).alias("citation_precision"))
 
 

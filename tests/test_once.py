@@ -77,3 +77,12 @@ def test_contexts_are_made_once(spark):
     made = inference.prepare(rows, 6, 2, 9, 2)
     assert [tuple(r) for r in made.orderBy("id").collect()] == [(2, "", None, 0), (3, "[DOC 0]\na b\n\n[DOC 1]\nc d\n\n", 9, 8)]
     assert made._jdf.queryExecution().optimizedPlan().toString().count("split(") == 3
+
+
+def test_verdicts_meet_their_sentence_once(spark):
+    s = spark.createDataFrame([(1, 0, [0, 1], 3), (1, 1, [2], 3), (1, 2, [5], 3), (2, 0, [], 3), (3, 0, [1, 1, 0, 2], 3)], "item_id int, sent_id int, refs array<int>, n_docs int")
+    v = [(1, 0, "0,1", 1), (1, 0, "0", 1), (1, 0, "1", 0), (1, 1, "2", 1), (1, 2, "5", 1), (3, 0, "0,1,1", 1), (3, 0, "0", 1), (3, 0, "1,1", 1)]
+    got = cited.citation_scores(s, spark.createDataFrame(v, "item_id int, sent_id int, refs string, verdict int"))
+    # of the first, 0 supports alone and 1 is not needed; of the last, 0 supports alone, and without 1 it supports still
+    assert {r.item_id: (r.citation_recall, r.citation_precision) for r in got.collect()} == {1: pytest.approx((2 / 3, 2 / 3)), 2: (0, 0), 3: pytest.approx((1, 1 / 3))}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
