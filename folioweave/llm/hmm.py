@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import gc
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -23,7 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm.shared import SharedTables, byte_view, fold, pieces, text_or_empty
+from folioweave.llm.shared import SharedTables, byte_view, fold, list_array, pieces, text_or_empty
+from folioweave.llm.words import lower
 
 #: Words whose emissions are broadcast at most, classes of the others, latent states. Symbols fit 16 bits.
 WORDS, CLASSES, STATES = 40_000, 2_000, 8
@@ -31,6 +31,8 @@ WORDS, CLASSES, STATES = 40_000, 2_000, 8
 LONGEST = 64
 #: Share of a word's counts that goes to each state, whatever its contexts; infrequent words that a task sums before it lets go.
 FLOOR, SUMMED = 0.01, 400_000
+#: Bytes of text that are taken apart at once; counts of words that a task holds before it sums them.
+TEXT_BYTES, HELD_WORDS = 4 << 20, 1_000_000
 #: Passes over all training documents after the stepwise one; tokens whose states a task holds at once.
 PASSES, HELD_TOKENS = 2, 1 << 18
 FOLDS, HELD = 7, 2
@@ -47,10 +49,40 @@ def tokens(text: bytes) -> list[bytes]:
     """
     words = [*text.lower().split(), END]
     if max(map(len, words)) > LONGEST:
-        words = [w if len(w) <= LONGEST else b" " + sha256(w).digest() + w[-3:] for w in words]
+        words = [w if len(w) <= LONGEST else _digest(w) for w in words]
     return words
 
 
+def _digest(word: bytes) -> bytes:
+    return b" " + sha256(word).digest() + word[-3:]
+
+
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(tokens() of each of the binary texts, one text after the other; each text's first, and the number of all)."""
+    data, offsets = byte_view(texts)  # Arrow's own lower-casing misreads slices
+    lists = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(lower(data))]))
+    found = lists.flatten().view(pa.large_binary())
+    size = pc.binary_length(found).to_numpy(zero_copy_only=False)
+    # white space at a text's edges leaves an empty word there
+    kept = np.flatnonzero(size)
+    of = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+    first = np.searchsorted(kept, of) + np.arange(len(of))  # an end for each text before
+    long = kept[size[kept] > LONGEST]
+    source = np.arange(len(found))
+    source[long] = len(found) + 1 + np.arange(len(long))
+    take = np.full(len(kept) + len(texts), len(found))
+    words = np.ones(len(take), bool)
+    words[first[1:] - 1] = False
+    take[words] = source[kept]
+    added = pa.array([END, *map(_digest, found.take(pa.array(long)).to_pylist())], pa.large_binary())
+    return pa.concat_arrays([found, added]).take(pa.array(take)), first
+
+
+def _binary(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The bytes of values[first[i] : first[i + 1]] for each i."""
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((first * values.itemsize).astype(np.int32)), pa.py_buffer(values.tobytes())])
+
+
 def _class(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % CLASSES
 
@@ -60,19 +92,26 @@ def count_words(docs: DataFrame) -> DataFrame:
     source = docs.where(fold("doc_id", FOLDS) != HELD).select(text_or_empty("text").cast("binary").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
-            counts.clear()
-            return out
-
-        for batch in pieces(batches, "_text"):
-            for t in batch.column("_text"):
-                counts.update(tokens(t.as_py()))
-            if len(counts) > 500_000:
-                yield flush()
-        yield flush()
+        counts = pa.table({"word": pa.array([], pa.large_binary()), "c": pa.array([], pa.int64())})
+        parts, held = [counts], 0
+
+        def summed() -> pa.Table:
+            found = pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("c", "sum")])
+            return found.select(["word", "c_sum"]).rename_columns(["word", "c"])
+
+        def flush(found: pa.Table) -> Iterator[pa.RecordBatch]:
+            yield from pa.table([found.column("word").cast(pa.binary()), found.column("c")], names=["word", "c"]).to_batches()
+
+        for batch in pieces(batches, "_text", TEXT_BYTES, 4096):
+            met = pc.value_counts(tokens_of(batch.column("_text"))[0])
+            parts.append(pa.table([met.field("values"), met.field("counts")], names=["word", "c"]))
+            held += len(met)
+            if held > HELD_WORDS:
+                parts, held = [found := summed()], len(found)
+                if 2 * held > HELD_WORDS:
+                    yield from flush(found)
+                    parts, held = [counts], 0
+        yield from flush(summed())
 
     return source.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -280,28 +319,30 @@ def encode(docs: DataFrame, letters: Alphabet, keep: list[str]) -> DataFrame:
     more = "n_tokens long, symbols binary, odd binary, words array<binary>, log_known double, log_class double, n_known long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, first = shared.value.known, len(shared.value.known)
-        logs = np.log10(shared.value.mass[:first] + 1)
-        ids = {w: k for w, (k, _) in known.items()}.get
-        for batch in pieces(batches, "_text"):
-            rows = []
-            for t in batch.column("_text"):
-                words = tokens(t.as_py())
-                found = [ids(w, -1) for w in words]
-                symbols = np.array(found, np.int64)
-                odd = np.flatnonzero(symbols < 0).tolist()
-                logs_known = float(logs[symbols[symbols >= 0]].sum())
-                classes = [_class(words[i]) for i in odd]
-                symbols[odd] = np.array(classes, np.int64) + first
-                place: dict[bytes, int] = {}
-                places = np.array([place.setdefault(words[i], len(place)) for i in odd], "<u4")
-                rows.append((len(words), symbols.astype("<u2").tobytes(), places.tobytes(), list(place), logs_known, float(shared.value.class_log[classes].sum()) if odd else 0.0, len(words) - len(odd)))
-            columns = zip(*rows, strict=True)
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.float64(), pa.float64(), pa.int64()]
+        known, first = pa.array(list(shared.value.known), pa.large_binary()), len(shared.value.known)
+        # what a symbol adds to the sums: a frequent word to one, a class to the other
+        logs = np.concatenate([np.log10(shared.value.mass[:first] + 1), shared.value.class_log])
+        for batch in pieces(batches, "_text", TEXT_BYTES, 4096):
+            words, at = tokens_of(batch.column("_text"))
+            symbols = pc.fill_null(pc.index_in(words, known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            odd = np.flatnonzero(symbols < 0)
+            rare = words.take(pa.array(odd)).dictionary_encode()
+            codes, kinds = rare.indices.to_numpy(zero_copy_only=False), np.array([_class(w) for w in rare.dictionary.to_pylist()], np.int64)
+            symbols[odd] = first + kinds[codes]
+            weight, is_known = logs[symbols], symbols < first
+            log_known, log_class = (np.add.reduceat(np.where(m, weight, 0.0), at[:-1]) for m in (is_known, ~is_known))
+            odd_at = np.searchsorted(odd, at)
+            text = np.repeat(np.arange(len(at) - 1), np.diff(odd_at))
+            own, place = np.unique(text * len(kinds) + codes, return_inverse=True)  # each text's infrequent words
+            own_at = np.searchsorted(own, np.arange(len(at)) * len(kinds))
+            n_tokens, n_odd = np.diff(at), np.diff(odd_at)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                [
+                    *(batch.column(c) for c in keep), pa.array(n_tokens), _binary(symbols.astype("<u2"), at), _binary((place - own_at[text]).astype("<u4"), odd_at),
+                    list_array(rare.dictionary.take(pa.array(own % max(1, len(kinds)))).cast(pa.binary()), np.diff(own_at)), pa.array(log_known), pa.array(log_class), pa.array(n_tokens - n_odd),
+                ],
                 names=[*keep, *(f.split()[0] for f in more.split(", "))],
-            )
+            )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.drop("_text").schema)
     return source.mapInArrow(run, f"{fields}, {more}" if fields else more)

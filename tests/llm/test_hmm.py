@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from folioweave.llm import hmm
 
@@ -137,6 +138,33 @@ def test_scores_against_a_plain_recomputation(spark):
     assert all(abs(got[d] - w) < 1e-3 for (d, _), w in zip(rows, want, strict=True))
 
 
+def test_tokens_of_many_texts_are_those_of_each():
+    """Edges, odd bytes, long words, no texts, and slices, which Arrow's own lower-casing misreads."""
+    odd = [b"", b" ", b"A b", b" \x0bX\x1cy\xc2\x85Z  \xff ", b"W" * 100 + b" z " + b"W" * 100, b"\n\n", b"v" * 65 + b"q", b"v" * 64]
+    rows = pa.array(odd + [b"%d Some  Words\t%d\n" % (i, i % 7) * (i % 50) for i in range(3_000)], pa.binary())
+    for part in (rows, rows[1:7], rows[900:2_100], rows[:0]):
+        for texts in (part, part.cast(pa.large_binary())):
+            words_, at = hmm.tokens_of(texts)
+            words_ = words_.to_pylist()
+            assert [words_[a:b] for a, b in zip(at[:-1], at[1:], strict=True)] == [hmm.tokens(t) for t in part.to_pylist()]
+
+
+def test_encoded_texts_are_their_words(spark):
+    rows = [(i, f"the sea {'Sun ' * (i % 4)}w{i % 11} w{i % 7} w{i % 11} {'z' * (60 + i % 9)}") for i in range(80)] + [(None, None), (99, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    letters = hmm.alphabet(hmm.count_words(docs).cache(), 4)
+    first = len(letters.known)
+    assert 0 < first <= 4
+    for r, (_, text) in zip(hmm.encode(docs, letters, ["doc_id"]).collect(), rows, strict=True):
+        said = hmm.tokens((text or "").encode())
+        rare, known = [w for w in said if w not in letters.known], [letters.known[w] for w in said if w in letters.known]
+        assert np.frombuffer(r.symbols, "<u2").tolist() == [letters.known[w][0] if w in letters.known else first + zlib.crc32(w[-3:]) % hmm.CLASSES for w in said]
+        assert [bytes(r.words[k]) for k in np.frombuffer(r.odd, "<u4")] == rare and len(r.words) == len(set(rare))
+        assert (r.n_tokens, r.n_known) == (len(said), len(known))
+        assert math.isclose(r.log_known, sum(math.log10(c + 1) for _, c in known), abs_tol=1e-9)
+        assert math.isclose(r.log_class, sum(letters.class_log[zlib.crc32(w[-3:]) % hmm.CLASSES] for w in rare), abs_tol=1e-9)
+
+
 def test_likelihood_rises_from_pass_to_pass(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     letters = hmm.alphabet(hmm.count_words(docs).cache(), 300)
