@@ -35,6 +35,10 @@ FLOOR, SUMMED = 0.01, 400_000
 TEXT_BYTES, HELD_WORDS = 4 << 20, 1_000_000
 #: Passes over all training documents after the stepwise one; tokens whose states a task holds at once.
 PASSES, HELD_TOKENS = 2, 1 << 18
+#: Bytes of symbols of texts that are gone through abreast; steps after which their states are scaled.
+ABREAST, SCALED = 4 << 20, 4
+#: Rows of the encoded table that are scored together with what their infrequent words have; a power of 2.
+BLOCK = 4096
 FOLDS, HELD = 7, 2
 #: Folds that are joined with their words' emissions together; one lot after the other bounds the disk that shuffles take.
 LOTS = ((0, 1), (2, 3), (4, 5), (6,))
@@ -211,24 +215,41 @@ def _stretches(at: list[int], held: int) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True)) if len(at) > 1 else []
 
 
-def _ahead(model: Hmm, seen: np.ndarray, at: list[int], first: int, last: int, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(scaled states, their scales) of the steps first to last, whose emissions are seen; state: that of the step before."""
-    base, ones = at[first], np.ones(len(model.start))
-    alpha, scale = np.empty_like(seen), np.empty(len(seen))
+def _room(width: int, at: list[int], stretches: list[tuple[int, int]], n: int) -> list[np.ndarray]:
+    """n flat arrays that hold the states of any of the stretches; memory that is got anew for each costs as much as the sums."""
+    return [np.empty(width * max((at[last] - at[first] for first, last in stretches), default=0)) for _ in range(n)]
+
+
+def _ahead(model: Hmm, seen: np.ndarray, alpha: np.ndarray, at: list[int], first: int, last: int, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(states of the steps first to last, whose emissions are seen, in alpha's memory; scales); state: that of the step before.
+
+    Has a row for each state, so that what is done to all texts of a step runs along memory. Every SCALED-th step is
+    scaled to sum to 1; the scales of the others are 1.
+    """
+    base, width = at[first], len(model.start)
+    alpha, scale = alpha[: seen.size].reshape(seen.shape), np.ones(seen.shape[1])
+    moved, turn = np.empty(width * max(at[t + 1] - at[t] for t in range(first, last))), model.move.T.copy()
     for t in range(first, last):
-        here = slice(at[t] - base, at[t + 1] - base)
-        now = alpha[here]
+        a, b = at[t] - base, at[t + 1] - base
+        now = moved[: width * (b - a)].reshape(width, b - a)
         if state is None:
-            now[:] = model.start
+            now[:] = model.start[:, None]
         else:
-            np.matmul(state[: len(now)], model.move, out=now)
-        now *= seen[here]
-        total = np.dot(now, ones, out=scale[here])
-        now /= total[:, None]
-        state = now
+            np.matmul(turn, state[:, : b - a], out=now)
+        state = np.multiply(now, seen[:, a:b], out=alpha[:, a:b])
+        if t % SCALED == SCALED - 1:
+            state /= np.add.reduce(state, 0, out=scale[a:b])
     return alpha, scale
 
 
+def _ends(n: np.ndarray, at: list[int], first: int, last: int) -> np.ndarray:
+    """Places of the texts that end in the steps first to last, counted from the first."""
+    after = np.append(n[first + 1 :], 0)[: last - first]
+    ended = n[first:last] - after
+    starts = np.array(at[first:last]) - at[first] + after
+    return np.repeat(starts - np.cumsum(ended) + ended, ended) + np.arange(ended.sum())
+
+
 def forward(model: Hmm, symbols: list[np.ndarray], own: list[np.ndarray] | None = None, times: np.ndarray | None = None, held: int = HELD_TOKENS) -> np.ndarray:
     """log10 probability of each symbol sequence: the scaled forward recursion, all texts abreast.
 
@@ -239,16 +260,24 @@ def forward(model: Hmm, symbols: list[np.ndarray], own: list[np.ndarray] | None
     which = _packed(own)[2] if own is not None else None
     at = np.concatenate([[0], np.cumsum(n)]).tolist()
     out, state = np.zeros(len(symbols)), None
-    for first, last in _stretches(at, held):
+    emissions, width, stretches = model.emit.T.copy(), len(model.start), _stretches(at, held)
+    room = _room(width, at, stretches, 2)
+    for first, last in stretches:
         part = slice(at[first], at[last])
-        seen = model.emit.take(flat[part], 0)
+        size = at[last] - at[first]
+        seen = emissions.take(flat[part], 1, out=room[0][: width * size].reshape(width, size), mode="clip")
         if which is not None:
             odd = np.flatnonzero(which[part] >= 0)
-            seen[odd] *= times[which[part][odd]]
-        alpha, scale = _ahead(model, seen, at, first, last, state)
-        text = np.arange(len(scale)) - np.repeat(np.array(at[first:last]) - at[first], n[first:last])
-        out += np.bincount(text, np.log10(scale), len(out))
-        state = alpha[at[last - 1] - at[first] :].copy()
+            for row, factor in zip(seen, times[which[part][odd]].T, strict=True):
+                row[odd] *= factor
+        alpha, scale = _ahead(model, seen, room[1], at, first, last, state)
+        ends = _ends(n, at, first, last)
+        scale[ends] *= alpha[:, ends].sum(0)
+        told = np.flatnonzero(scale != 1)
+        step = np.searchsorted(np.array(at[first:last]) - at[first], told, "right") - 1
+        text = told - (np.array(at[first:last]) - at[first])[step]
+        out += np.bincount(text, np.log10(scale[told]), len(out))
+        state = alpha[:, at[last - 1] - at[first] :].copy()
     back = np.empty(len(symbols))
     back[order] = out
     return back
@@ -266,44 +295,56 @@ def expected(
     which = _packed(own)[2] if own is not None else None
     start, move, emit = counts
     at = np.concatenate([[0], np.cumsum(n)]).tolist()
-    width = len(model.start)
     stretches = _stretches(at, held)
     entry: list[np.ndarray | None] = [None]
+    emissions, width = model.emit.T.copy(), len(model.start)
+    room = _room(width, at, stretches, 3)
+
+    def states(first: int, last: int, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = at[last] - at[first]
+        seen = emissions.take(flat[at[first] : at[last]], 1, out=room[0][: width * size].reshape(width, size), mode="clip")
+        return seen, *_ahead(model, seen, room[1], at, first, last, state)
+
     for first, last in stretches[:-1]:
-        alpha, _ = _ahead(model, model.emit.take(flat[at[first] : at[last]], 0), at, first, last, entry[-1])
-        entry.append(alpha[at[last - 1] - at[first] :].copy())
+        _, alpha, _ = states(first, last, entry[-1])
+        entry.append(alpha[:, at[last - 1] - at[first] :].copy())
     likelihood = 0.0
-    turn = model.move.T.copy()
-    carry = np.zeros((0, width))  # what the next stretch says of the texts that go on in it
+    carry = np.zeros((width, 0))  # what the next stretch says of the texts that go on in it
     for (first, last), state in zip(reversed(stretches), reversed(entry), strict=True):
         base, part = at[first], slice(at[first], at[last])
-        seen = model.emit.take(flat[part], 0)
-        alpha, scale = _ahead(model, seen, at, first, last, state)
-        likelihood += float(np.log10(scale).sum())
-        seen /= scale[:, None]
-        beta = np.ones_like(alpha)
-        beta[at[last - 1] - base :][: len(carry)] = carry
+        seen, alpha, scale = states(first, last, state)
+        beta = room[2][: seen.size].reshape(seen.shape)
+        ends = _ends(n, at, first, last)
+        whole = alpha[:, ends].sum(0)
+        beta[:, ends] = 1 / whole
+        beta[:, at[last - 1] - base :][:, : carry.shape[1]] = carry
+        told = np.flatnonzero(scale != 1)
+        likelihood += float(np.log10(scale[told]).sum() + np.log10(whole).sum())
         for t in range(last - 1, first, -1):
-            back = seen[at[t] - base : at[t + 1] - base]
-            back *= beta[at[t] - base : at[t + 1] - base]
-            np.matmul(back, turn, out=beta[at[t - 1] - base :][: len(back)])
+            a, b = at[t] - base, at[t + 1] - base
+            back = seen[:, a:b]
+            back *= beta[:, a:b]
+            if t % SCALED == SCALED - 1:
+                back /= scale[a:b]
+            before = at[t - 1] - base
+            np.matmul(model.move, back, out=beta[:, before : before + b - a])
         head = slice(0, at[first + 1] - base)
-        seen[head] *= beta[head]
+        seen[:, head] *= beta[:, head] / scale[head]
         if state is not None:
-            carry = seen[head] @ turn
-            move += state[: len(carry)].T @ seen[head]
+            carry = model.move @ seen[:, head]
+            move += state[:, : carry.shape[1]] @ seen[:, head].T
         # a text's place one step before: the steps between are as wide as that step
-        later = np.arange(head.stop, len(seen))
-        move += alpha[later - np.repeat(n[first : last - 1], n[first + 1 : last])].T @ seen[later]
+        later = np.arange(head.stop, len(scale))
+        move += alpha.take(later - np.repeat(n[first : last - 1], n[first + 1 : last]), 1) @ seen[:, head.stop :].T
         alpha *= beta
         if not first:
-            start += alpha[head].sum(0)
+            start += alpha[:, head].sum(1)
         for k in range(width):
-            emit[:, k] += np.bincount(flat[part], alpha[:, k], len(emit))
+            emit[:, k] += np.bincount(flat[part], alpha[k], len(emit))
         if which is not None:
             odd = np.flatnonzero(which[part] >= 0)
-            for k in range(width):
-                rows[:, k] += np.bincount(which[part][odd], alpha[odd, k], len(rows))
+            met, place = np.unique(which[part][odd], return_inverse=True)
+            rows[met] += np.array([np.bincount(place, a[odd], len(met)) for a in alpha]).T
     return likelihood
 
 
@@ -359,7 +400,7 @@ def _counted(part: DataFrame, letters: Alphabet, model: Hmm) -> tuple[np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
         likelihood = np.zeros((1, states))
-        for batch in pieces(batches, "symbols", 2 << 20, 4096):
+        for batch in pieces(batches, "symbols", ABREAST, 8192):
             likelihood[0, 0] += expected(shared.value, [np.frombuffer(s.as_py(), "<u2") for s in batch.column("symbols")], counts)
         start, move, emit = counts
         whole = np.vstack([start[None], move * shared.value.move, emit, likelihood])
@@ -429,7 +470,7 @@ def count_states(encoded: DataFrame, letters: Alphabet, model: Hmm) -> DataFrame
             number.clear()
             return out
 
-        for batch in pieces(batches, "symbols", 2 << 20, 4096):
+        for batch in pieces(batches, "symbols", ABREAST, 8192):
             symbols = [np.frombuffer(s.as_py(), "<u2") for s in batch.column("symbols")]
             numbers = [np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in batch.column("words").to_pylist()]
             if len(rows) < len(number):
@@ -483,8 +524,15 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def own_dtype(states: int) -> np.dtype:
+    return np.dtype([("c", "<i8"), ("times", "<f4", (states,))])
+
+
 def word_emissions(counted: DataFrame, letters: Alphabet, share: np.ndarray) -> DataFrame:
-    """(word, c, e) of the infrequent training words: e holds, for each state, what the word multiplies its class's emissions by."""
+    """(word, e) of the infrequent training words: e holds the word's count and, for each state, what it multiplies its class's emissions by.
+
+    The count is a 64-bit integer, the others are 32-bit, as in own_dtype(); a pair of document and word carries just one value.
+    """
     states = share.shape[1]
     shared = counted.sparkSession.sparkContext.broadcast(share)
 
@@ -493,10 +541,11 @@ def word_emissions(counted: DataFrame, letters: Alphabet, share: np.ndarray) ->
             words = batch.column("word")
             kinds = np.array([_class(w.as_py()) for w in words], np.int64)
             n = batch.column("n").flatten().to_numpy().reshape(-1, states)
-            e = own_times(n, shared.value[kinds]).astype("<f4")
-            yield pa.RecordBatch.from_arrays([words, batch.column("c"), pa.array([x.tobytes() for x in e], pa.binary())], names=["word", "c", "e"])
+            e = np.empty(len(words), own_dtype(states))
+            e["c"], e["times"] = batch.column("c").to_numpy(), own_times(n, shared.value[kinds])
+            yield pa.RecordBatch.from_arrays([words, _binary(e, np.arange(len(e) + 1))], names=["word", "e"])
 
-    return counted.where("row = -1").select("word", "c", "n").mapInArrow(run, "word binary, c long, e binary")
+    return counted.where("row = -1").select("word", "c", "n").mapInArrow(run, "word binary, e binary")
 
 
 def score_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), states: int = STATES, words: int = WORDS, passes: int = PASSES) -> DataFrame:
@@ -524,38 +573,44 @@ def score_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), states
     shared = docs.sparkSession.sparkContext.broadcast(model)
     first = len(letters.known)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "symbols", 2 << 20, 4096):
+    def run(texts: pa.Table, met: pa.Table) -> pa.Table:
+        # a text's infrequent words: its row in the block, their places and what they have, by both
+        at = met.column("at").to_numpy()
+        by = np.argsort(at)
+        at, own = at[by], np.frombuffer(byte_view(met.column("e"))[0], own_dtype(states))[by]
+        out = []
+        for batch in pieces(texts.to_batches(), "symbols", ABREAST, 8192):
             symbols = [np.frombuffer(s.as_py(), "<u2") for s in batch.column("symbols")]
-            met = batch.column("_own")
-            of = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(met), 0).to_numpy())]).tolist()
-            flat = met.flatten()
-            place, c = flat.field("at").to_numpy(), flat.field("c").to_numpy()
-            times = np.frombuffer(byte_view(flat.field("e"))[0], "<f4").reshape(-1, states)
+            row = (batch.column("_row").to_numpy() & (BLOCK - 1)) << 32
+            of, to = np.searchsorted(at, row).tolist(), np.searchsorted(at, row + (1 << 32)).tolist()
             numbers, logs, known = [], [], []
             for k, o in enumerate(batch.column("odd")):
                 tally = np.bincount(np.frombuffer(o.as_py(), "<u4"))
-                here = slice(of[k], of[k + 1])
-                row = np.full(len(tally), -1)
-                row[place[here]] = np.arange(of[k], of[k + 1])
-                numbers.append(row)
-                logs.append(float((tally[place[here]] * np.log10(c[here] + 1)).sum()))
-                known.append(int(tally[place[here]].sum()))
-            found = forward(shared.value, symbols, _own(symbols, batch.column("odd"), first, numbers), times)
-            kept = [c for c in batch.schema.names if c not in ("symbols", "odd", "_own")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found), pa.array(logs), pa.array(known, pa.int64())], names=[*kept, "_path", "_log", "_times"])
+                here = slice(of[k], to[k])
+                place = at[here] & 0xFFFFFFFF
+                number = np.full(len(tally), -1)
+                number[place] = np.arange(of[k], to[k])
+                numbers.append(number)
+                logs.append(float((tally[place] * np.log10(own["c"][here] + 1)).sum()))
+                known.append(int(tally[place].sum()))
+            found = forward(shared.value, symbols, _own(symbols, batch.column("odd"), first, numbers), own["times"])
+            kept = [batch.column(c) for c in columns]
+            out.append(pa.RecordBatch.from_arrays([*kept, pa.array(found), pa.array(logs), pa.array(known, pa.int64())], names=[*columns, "_path", "_log", "_times"]))
+        return pa.Table.from_batches(out)
 
     own = tables.write(word_emissions(counted, letters, share), "own")
     tables.drop(counted)
-    columns = ["_row", "_keep", "_fold", "n_tokens", "log_known", "log_class", "n_known", "symbols", "odd"]
+    columns = ["_keep", "_fold", "n_tokens", "log_known", "log_class", "n_known"]
+    block = F.expr(f"_row div {BLOCK}").alias("_block")
 
     def scored(part: DataFrame) -> DataFrame:
         # infrequent words meet their counts and states: no word of them holds more than a bounded share of the corpus
-        rare = part.select("_row", F.posexplode("words").alias("at", "word")).join(own, "word")
-        rare = rare.groupBy("_row").agg(F.collect_list(F.struct("at", "c", "e")).alias("_own"))
-        whole = part.select(*columns).join(rare, "_row", "left")
-        like = whole.drop("symbols", "odd", "_own").withColumns({"_path": F.lit(0.0), "_log": F.lit(0.0), "_times": F.lit(0).cast("long")})
-        return whole.mapInArrow(run, like.schema)
+        place = (F.expr(f"_row % {BLOCK}") * F.lit(1 << 32) + F.col("at")).alias("at")
+        rare = part.select("_row", F.posexplode("words").alias("at", "word")).select(block, place, "word")
+        rare = rare.join(own.hint("shuffle_hash"), "word").select("_block", "at", "e")
+        like = part.select(*columns, F.lit(0.0).alias("_path"), F.lit(0.0).alias("_log"), F.lit(0).cast("long").alias("_times"))
+        whole = part.select(block, "_row", *columns, "symbols", "odd")
+        return whole.groupBy("_block").cogroup(rare.groupBy("_block")).applyInArrow(run, like.schema)
 
     lots = []
     for lot in LOTS:

@@ -279,3 +279,30 @@ def test_training_folds_count_alike(spark):
     early, later = (got[i] for i in of(2, 2))
     assert early.held_out and later.held_out and early.base_score == later.base_score
     assert abs(early.score - later.score) < 1e-6
+
+
+def test_states_do_not_depend_on_the_steps_that_are_scaled(monkeypatch):
+    """Nor do likely paths through very unlikely symbols vanish between two scalings."""
+    model, seqs = small()
+    rnd = np.random.default_rng(6)
+    seqs = [*seqs, rnd.integers(0, 5, 90), rnd.integers(0, 5, 91)]
+    faint = hmm.Hmm(model.start, model.move, model.emit * 1e-20)
+    out = []
+    for scaled in (1, 3, hmm.SCALED):
+        monkeypatch.setattr(hmm, "SCALED", scaled)
+        counts = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))
+        log = hmm.expected(faint, seqs, counts, held=40)
+        out.append(np.concatenate([[log + 20 * sum(map(len, seqs))], *(c.ravel() for c in counts), hmm.forward(model, seqs, held=40)]))
+    assert all(np.allclose(x, out[0]) for x in out)
+    assert np.isclose(out[0][0], hmm.forward(model, seqs).sum()) and np.isclose(out[0][-len(seqs) :].sum(), out[0][0])
+
+
+def test_scores_do_not_depend_on_blocks(spark, monkeypatch):
+    """Documents meet what their infrequent words have a block at a time: no list of them is gathered for each document."""
+    rows = [(i, f"the sea w{i % 11} w{i % 7} w{i % 11} only{i}" * (i % 3)) for i in range(60)] + [(None, None), (99, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    out = []
+    for block in (2, 4096):
+        monkeypatch.setattr(hmm, "BLOCK", block)
+        out.append(sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in hmm.score_documents(docs, states=2, words=4, passes=1).collect()))
+    assert out[0] == out[1] and len(out[0]) == len(rows)
