@@ -76,6 +76,17 @@ def _walk(text: str, types: _Types, words: list, pairs: list) -> None:
         pairs.append((before, "", NONE))
 
 
+def _around(pieces: list[str], types: _Types) -> list[tuple[str, str, int]]:
+    """(type, next type, its case) of each word before a period, as in _walk(); looks at no other words."""
+    out, last = [], len(pieces)
+    for k in [k for k, piece in enumerate(pieces) if piece[-1] == "." and len(piece) > 1]:
+        after = k + 1
+        while after < last and pieces[after] in _MARKS:
+            after += 1
+        out.append((types[pieces[k]][0], *(types[pieces[after]][:2] if after < last else ("", NONE))))
+    return out
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(a, b, case, inside, n): how often words and pairs stand in docs (text), counted in one pass; tasks sum first.
 
@@ -199,17 +210,21 @@ def continuing(counted: DataFrame, found: DataFrame) -> DataFrame:
     return named.where(goes_on).select("a", "b", "case")
 
 
-#: A line break before the next word; the next word; the last one, and periods before it.
+#: A line break before the next word; the next word; what stands before the last one and the periods before that.
 _BREAK = re.compile(r"[^\S\n]*\n")
 _NEXT = re.compile(_BARE)
-_LAST = re.compile(r"[^\s!?,;:()\"']*\Z")
+_UPTO = re.compile(r"(?s:.*)[\s!?,;:()\"']")
 #: Characters after a period in which the next word is looked for, and of the longest word before one.
 AHEAD, BEHIND = 200, 201
 
 
 def _goes_on(text: str, start: int, at: int, held: frozenset[tuple[str, str, int]]) -> bool:
     """Whether the period that ends at `at`, in a sentence from start, stands in a held pair; one after no word does not."""
-    word = _LAST.search(text[max(start, at - BEHIND) : at - 1])[0].rsplit("..", 1)[-1].lstrip(".")
+    if not held:
+        return False
+    start = max(start, at - BEHIND)
+    before = _UPTO.match(text, start, at - 1)
+    word = text[before.end() if before else start : at - 1].rsplit("..", 1)[-1].lstrip(".")
     if not word or word.endswith(".") or len(word) == BEHIND - 1:
         return False
     found = _NEXT.search(text, at, at + AHEAD)
@@ -239,9 +254,8 @@ _PAIRS = ArrayType(StructType([StructField("a", StringType()), StructField("b",
 def _pairs(texts: pa.Array) -> pa.Array:
     types, out = _Types(), []
     for t in texts:
-        pairs: list = []
-        _walk(t.as_py() or "", types, [], pairs)
-        out.append([{"a": a, "b": b, "case": case} for a, b, case in set(pairs)])
+        pairs = set(_around(_PIECE.findall(t.as_py() or ""), types))
+        out.append([{"a": a, "b": b, "case": case} for a, b, case in pairs])
     return pa.array(out, pa.list_(pa.struct([("a", pa.string()), ("b", pa.string()), ("case", pa.int32())])))
 
 

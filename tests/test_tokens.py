@@ -240,3 +240,20 @@ def test_learned_sentences_on_the_whole_table(spark):
     want = {(d, k, a, b, hashlib.md5(s.encode()).hexdigest()[:16]) for d, t in texts.items() if t for k, (a, b, s) in enumerate(plain_sentences(t, known))}
     got = {(r.doc_id, r.span_idx, r.start, r.end, r.hash) for r in score_queries.learned_sentences(spark, SF_DIR).collect()}
     assert got == want
+
+
+def test_pairs_around_periods_are_those_of_the_walk():
+    """The short ways of the second pass say the same: pairs without a look at other words, the last word without a search for it."""
+    rnd = random.Random(4)
+    for _ in range(2_000):
+        text = "".join(rnd.choice(["a", "B", "1", " ", ". ", ".", "..", "!", "?", "\n", ",", ")", '"', "é", "\x85", "Mr."]) for _ in range(rnd.randrange(60)))
+        pairs, types = [], splitting._Types()
+        splitting._walk(text, types, [], pairs)
+        assert splitting._around(splitting._PIECE.findall(text), types) == pairs
+        for at in [k + 1 for k, c in enumerate(text) if c == "."]:
+            start = rnd.randrange(at)
+            word = re.search(r"[^\s!?,;:()\"']*\Z", text[start : at - 1])[0].rsplit("..", 1)[-1].lstrip(".")
+            found = splitting._NEXT.search(text, at)
+            pair = (splitting._kind(word or "a"), *((splitting._kind(found[0]), splitting._case(found[0])) if found else ("", splitting.NONE)))
+            assert splitting._goes_on(text, start, at, frozenset([pair])) == bool(word and not word.endswith("."))
+            assert not splitting._goes_on(text, start, at, frozenset())
