@@ -70,8 +70,15 @@ def document_stats(tokens: DataFrame, docs: DataFrame, group: list[str] | None =
     )
 
 
-def sections(tokens: DataFrame, section: Column, names: tuple[str, ...] = ("prompt", "context", "other"), group: list[str] | None = None) -> DataFrame:
-    """group, section, total, percent, n_tokens, mean: a row for every name, also those without tokens."""
+def percent_of(part: Column, whole: Column, plain: bool = False) -> Column:
+    """part in percent of whole. Of a whole that is not above 0 it is 0; plain: what plain division gives, so 0 / 0 is NaN."""
+    if plain:
+        return F.when(whole != 0, part / whole).when(whole == 0, part * float("inf")) * 100
+    return F.when(whole > 0, part / whole * 100).otherwise(0.0)
+
+
+def sections(tokens: DataFrame, section: Column, names: tuple[str, ...] = ("prompt", "context", "other"), group: list[str] | None = None, plain: bool = False) -> DataFrame:
+    """group, section, total, percent, n_tokens, mean: a row for every name, also those without tokens. plain: see percent_of()."""
     group = group or ["instance"]
     marked = tokens.withColumn("_s", section)
     sums = marked.groupBy(*group).agg(
@@ -82,7 +89,7 @@ def sections(tokens: DataFrame, section: Column, names: tuple[str, ...] = ("prom
     rows = F.array(*[F.struct(F.lit(n).alias("section"), F.col(f"_t{i}").alias("total"), F.col(f"_n{i}").alias("n_tokens")) for i, n in enumerate(names)])
     flat = sums.select(*group, "_all", F.inline(rows))
     return flat.select(
-        *group, "section", "total", F.when(F.col("_all") > 0, F.col("total") / F.col("_all") * 100).otherwise(0.0).alias("percent"), "n_tokens",
+        *group, "section", "total", percent_of(F.col("total"), F.col("_all"), plain).alias("percent"), "n_tokens",
         F.when(F.col("n_tokens") > 0, F.col("total") / F.col("n_tokens")).otherwise(0.0).alias("mean"),
     )
 
@@ -113,7 +120,7 @@ def mark_sinks(tokens: DataFrame, context_start: Column | int, most_position: in
     group = group or ["instance"]
     # sums combine before they are shuffled and are joined back, so a group's tokens need not meet in one task
     totals = tokens.groupBy(*group).agg(F.sum("score").alias("_total"))
-    pct = F.when(F.col("_total") > 0, F.col("score") / F.col("_total") * 100).otherwise(0.0)
+    pct = percent_of(F.col("score"), F.col("_total"))
     start = F.lit(context_start) if isinstance(context_start, int) else context_start
     return tokens.join(totals, group).withColumn("pct", pct).drop("_total").withColumn("is_sink", (F.col("pos") >= 0) & (F.col("pos") <= most_position) & (F.col("pos") < start) & (settled(F.col("pct")) >= percent))
 
@@ -139,9 +146,8 @@ def gold_by_step(tokens: DataFrame, gold: DataFrame) -> DataFrame:
     of = to_span(tokens, gold).groupBy("instance", "step", "span_idx").agg(F.sum("score").alias("absolute"), F.count("*").alias("n_tokens"))
     whole = tokens.groupBy("instance", "step").agg(F.sum("score").alias("_all"))
     part = F.sum("absolute").over(Window.partitionBy("instance", "step"))
-    pct = lambda a, b: F.when(b > 0, a / b * 100).otherwise(0.0)
     return of.join(whole, ["instance", "step"]).select(
-        "instance", "step", "span_idx", "absolute", pct(F.col("absolute"), part).alias("relative"), "n_tokens", pct(F.col("absolute"), F.col("_all")).alias("coverage")
+        "instance", "step", "span_idx", "absolute", percent_of(F.col("absolute"), part).alias("relative"), "n_tokens", percent_of(F.col("absolute"), F.col("_all")).alias("coverage")
     )
 
 
