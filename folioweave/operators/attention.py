@@ -48,10 +48,14 @@ def document_spans(texts: DataFrame) -> DataFrame:
     return texts.select("instance", F.posexplode(C.bounds(F.col("text"))).alias("span_idx", "s")).select("instance", "span_idx", "s.start", "s.end", "s.text")
 
 
-def gold_scores(tokens: DataFrame, docs: DataFrame, gold: DataFrame, k: int) -> DataFrame:
-    """instance, precision, recall, f1 of the k best documents (span_idx) against gold (instance, span_idx)."""
-    sums = spans.to_next_span(tokens, docs).groupBy("instance", "span_idx").agg(F.sum("score").alias("score"), F.min("pos").alias("first"))
-    said = _top_keys(sums, "span_idx", k, ["first"], "said", ranking.settled(F.col("score")))
+def gold_scores(tokens: DataFrame, docs: DataFrame, gold: DataFrame, k: int, serial: bool = False) -> DataFrame:
+    """instance, precision, recall, f1 of the k best documents (span_idx) against gold (instance, span_idx).
+
+    serial: sums are added by position and ranked as they come out; else equal sums tie, whatever order they were added in.
+    """
+    rows, score = spans.summed(spans.to_next_span(tokens, docs), ["instance", "span_idx"], "score", "pos", serial)
+    sums = rows.groupBy("instance", "span_idx").agg(score.alias("score"), F.min("pos").alias("first"))
+    said = _top_keys(sums, "span_idx", k, ["first"], "said", ranking.by_sum("score", serial))
     right = gold.groupBy("instance").agg(F.collect_set("span_idx").alias("gold"))
     s = O.set_scores(F.col("said"), F.coalesce("gold", F.array().cast("array<int>")))
     return said.join(right, "instance", "left").select("instance", s.alias("s")).select("instance", "s.precision", "s.recall", "s.f1")

@@ -13,6 +13,19 @@ def settled(total: Column) -> Column:
     return F.when(total.isNotNull(), F.format_string("%.11e", total.cast("double")).cast("double"))
 
 
+def serial_sum(value: str, group: list[str], order: list[str]) -> Column:
+    """Sum over the group, on each of its rows, added row by row in the order given, as one pass over the rows adds it.
+
+    So it has the same bits wherever the rows lie. A group is in one task for that, which spills what it can't hold.
+    """
+    return F.sum(value).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+
+
+def by_sum(total: str, serial: bool) -> Column:
+    """What sums are ranked by: serial ones as they are, others settled."""
+    return F.col(total) if serial else settled(F.col(total))
+
+
 def ranked(rows: DataFrame, group: list[str], score: str | Column, ties: list[str], name: str = "rank") -> DataFrame:
     """Rows with their place in the group by falling score; ties go by the columns given."""
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(score), *ties)))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioweave.operators.ranking import settled
+from folioweave.operators.ranking import by_sum, serial_sum, settled
 from folioweave.operators.selection import quantile
 
 #: Positions of a bucket of the interval joins.
@@ -57,16 +57,25 @@ def to_span(tokens: DataFrame, spans: DataFrame, bucket: int = BUCKET) -> DataFr
     return _joined(tokens, spans.withColumns({"_from": F.col("start"), "_to": F.col("end")}), bucket)
 
 
-def score_by_text(tokens: DataFrame, spans: DataFrame) -> DataFrame:
+def summed(rows: DataFrame, group: list[str], value: str, order: str, serial: bool) -> tuple[DataFrame, Column]:
+    """rows, and the aggregate that gives a group's sum; serial: added in the order given, for which a group meets in one task."""
+    if not serial:
+        return rows, F.sum(value)
+    return rows.withColumn("_sum", serial_sum(value, group, [order])), F.first("_sum")
+
+
+def score_by_text(tokens: DataFrame, spans: DataFrame, serial: bool = False) -> DataFrame:
     """instance, text, score, first: sums per span text (equal texts merge); first is the first token's position."""
-    return to_next_span(tokens, spans).groupBy("instance", "text").agg(F.sum("score").alias("score"), F.min("pos").alias("first"))
+    rows, score = summed(to_next_span(tokens, spans), ["instance", "text"], "score", "pos", serial)
+    return rows.groupBy("instance", "text").agg(score.alias("score"), F.min("pos").alias("first"))
 
 
-def document_stats(tokens: DataFrame, docs: DataFrame, group: list[str] | None = None, preview: int = 200) -> DataFrame:
+def document_stats(tokens: DataFrame, docs: DataFrame, group: list[str] | None = None, preview: int = 200, serial: bool = False) -> DataFrame:
     """group, span_idx, total, mean, n_tokens, preview of each document that has tokens."""
     group = group or ["instance"]
-    return to_span(tokens, docs).groupBy(*group, "span_idx").agg(
-        F.sum("score").alias("total"), F.avg("score").alias("mean"), F.count("*").alias("n_tokens"), F.first(F.substring("text", 1, preview)).alias("preview")
+    rows, total = summed(to_span(tokens, docs), [*group, "span_idx"], "score", "pos", serial)
+    return rows.groupBy(*group, "span_idx").agg(
+        total.alias("total"), F.avg("score").alias("mean"), F.count("*").alias("n_tokens"), F.first(F.substring("text", 1, preview)).alias("preview")
     )
 
 
