@@ -30,12 +30,12 @@ def token_overlap(full: DataFrame, part: DataFrame, k: int) -> DataFrame:
     return _overlap(full, part, "token", k, ["pos"])
 
 
-def span_overlap(full: tuple[DataFrame, DataFrame], part: tuple[DataFrame, DataFrame], k: int) -> DataFrame:
-    """The same for spans, by the hash of their text; each side is (tokens, spans). Null if a side has no span."""
+def span_overlap(full: tuple[DataFrame, DataFrame], part: tuple[DataFrame, DataFrame], k: int, serial: bool = False) -> DataFrame:
+    """The same for spans, by the hash of their text; each side is (tokens, spans). Null if a side has no span. serial: see gold_scores()."""
     def scored(side: tuple[DataFrame, DataFrame]) -> DataFrame:
-        return spans.score_by_text(*side).withColumn("hash", T.short_hash(F.col("text")))
+        return spans.score_by_text(*side, serial).withColumn("hash", T.short_hash(F.col("text")))
 
-    return _overlap(scored(full), scored(part), "hash", k, ["first"], ranking.settled(F.col("score")))
+    return _overlap(scored(full), scored(part), "hash", k, ["first"], ranking.by_sum("score", serial))
 
 
 def sentence_spans(texts: DataFrame) -> DataFrame:
