@@ -75,13 +75,13 @@ def top_runs(tokens: DataFrame, texts: DataFrame, k: int, share: float = 0.9, le
     return ranking.top(long, ["instance"], ranking.settled(F.col("total")), ["from_pos"], k).drop("from_pos")
 
 
-def top_content(tokens: DataFrame, texts: DataFrame, docs: DataFrame, section: Column, k: int = 10) -> dict[str, DataFrame]:
+def top_content(tokens: DataFrame, texts: DataFrame, docs: DataFrame, section: Column, k: int = 10, serial: bool = False) -> dict[str, DataFrame]:
     """What holds an instance's attention: its top runs, its k documents by total score, and its sections.
 
-    tokens: instance, pos, beg, end, score; texts: instance, text; docs: spans.
+    tokens: instance, pos, beg, end, score; texts: instance, text; docs: spans; serial: see gold_scores().
     """
-    stats = spans.document_stats(tokens, docs)
-    return {"runs": top_runs(tokens, texts, k), "documents": ranking.top(stats, ["instance"], ranking.settled(F.col("total")), ["span_idx"], k), "sections": spans.sections(tokens, section)}
+    stats = spans.document_stats(tokens, docs, serial=serial)
+    return {"runs": top_runs(tokens, texts, k), "documents": ranking.top(stats, ["instance"], ranking.by_sum("total", serial), ["span_idx"], k), "sections": spans.sections(tokens, section)}
 
 
 def within_limit(prompts: DataFrame, tokens: str = "n_tokens", most: int = 64_000) -> DataFrame:
