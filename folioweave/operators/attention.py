@@ -61,18 +61,18 @@ def gold_scores(tokens: DataFrame, docs: DataFrame, gold: DataFrame, k: int, ser
     return said.join(right, "instance", "left").select("instance", s.alias("s")).select("instance", "s.precision", "s.recall", "s.f1")
 
 
-def top_runs(tokens: DataFrame, texts: DataFrame, k: int, share: float = 0.9, least: int = 3, chars: int = 20) -> DataFrame:
+def top_runs(tokens: DataFrame, texts: DataFrame, k: int, share: float = 0.9, least: int = 3, chars: int = 20, serial: bool = False) -> DataFrame:
     """instance, text, n_tokens, total, rank: the k runs of high tokens with the largest sums whose text has `chars` or more.
 
-    tokens: instance, pos, beg, end, score; texts: instance, text.
+    tokens: instance, pos, beg, end, score; texts: instance, text; serial: see gold_scores().
     """
-    runs = spans.high_runs(tokens, share, least)
+    runs = spans.high_runs(tokens, share, least, serial=serial)
     at = tokens.select("instance", "pos", "beg", "end")
     first, last = at.select("instance", F.col("pos").alias("from_pos"), "beg"), at.select("instance", F.col("pos").alias("to_pos"), "end")
     cut = runs.join(first, ["instance", "from_pos"]).join(last, ["instance", "to_pos"]).join(texts, "instance")
     stripped = T.strip(F.substr("text", F.col("beg") + 1, F.col("end") - F.col("beg")))
     long = cut.select("instance", stripped.alias("text"), "n_tokens", "total", "from_pos").where(F.length("text") >= chars)
-    return ranking.top(long, ["instance"], ranking.settled(F.col("total")), ["from_pos"], k).drop("from_pos")
+    return ranking.top(long, ["instance"], ranking.by_sum("total", serial), ["from_pos"], k).drop("from_pos")
 
 
 def top_content(tokens: DataFrame, texts: DataFrame, docs: DataFrame, section: Column, k: int = 10, serial: bool = False) -> dict[str, DataFrame]:
@@ -81,7 +81,7 @@ def top_content(tokens: DataFrame, texts: DataFrame, docs: DataFrame, section: C
     tokens: instance, pos, beg, end, score; texts: instance, text; docs: spans; serial: see gold_scores().
     """
     stats = spans.document_stats(tokens, docs, serial=serial)
-    return {"runs": top_runs(tokens, texts, k), "documents": ranking.top(stats, ["instance"], ranking.by_sum("total", serial), ["span_idx"], k), "sections": spans.sections(tokens, section)}
+    return {"runs": top_runs(tokens, texts, k, serial=serial), "documents": ranking.top(stats, ["instance"], ranking.by_sum("total", serial), ["span_idx"], k), "sections": spans.sections(tokens, section)}
 
 
 def within_limit(prompts: DataFrame, tokens: str = "n_tokens", most: int = 64_000) -> DataFrame:

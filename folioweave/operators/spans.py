@@ -103,18 +103,20 @@ def sections(tokens: DataFrame, section: Column, names: tuple[str, ...] = ("prom
     )
 
 
-def high_runs(tokens: DataFrame, share: float = 0.9, least: int = 3, block: int = BUCKET) -> DataFrame:
+def high_runs(tokens: DataFrame, share: float = 0.9, least: int = 3, block: int = BUCKET, serial: bool = False) -> DataFrame:
     """instance, from_pos, to_pos, n_tokens, total: runs of `least` or more positions above the instance's percentile.
 
     Runs are found in blocks of positions, so an instance's tokens spread over tasks; only runs that touch the edge of a
-    block, two of each block at most, meet by instance to be joined to those of the blocks beside it.
+    block, two of each block at most, meet by instance to be joined to those of the blocks beside it. serial: a block's part
+    of a run is added by position.
     """
     limits = quantile(tokens, ["instance"], "score", share).withColumnRenamed("quantile", "_limit")
     high = tokens.join(limits, "instance").where("score > _limit").withColumn("_b", F.floor(F.col("pos") / block))
     island = F.col("pos") - F.row_number().over(Window.partitionBy("instance", "_b").orderBy("pos"))
     sums = (F.min("from_pos").alias("from_pos"), F.max("to_pos").alias("to_pos"), F.sum("n_tokens").alias("n_tokens"), F.sum("total").alias("total"))
-    parts = high.withColumn("_i", island).groupBy("instance", "_b", "_i").agg(
-        F.min("pos").alias("from_pos"), F.max("pos").alias("to_pos"), F.count("*").alias("n_tokens"), F.sum("score").alias("total")
+    high, total = summed(high.withColumn("_i", island), ["instance", "_b", "_i"], "score", "pos", serial)
+    parts = high.groupBy("instance", "_b", "_i").agg(
+        F.min("pos").alias("from_pos"), F.max("pos").alias("to_pos"), F.count("*").alias("n_tokens"), total.alias("total")
     ).drop("_b", "_i")
     at_edge = (F.pmod("from_pos", F.lit(block)) == 0) | (F.pmod(F.col("to_pos") + 1, F.lit(block)) == 0)
     by = Window.partitionBy("instance").orderBy("from_pos")
