@@ -187,14 +187,16 @@ def sink_rollup(marked: DataFrame) -> DataFrame:
     )
 
 
-def document_rollup(by_step: DataFrame, steps: DataFrame, k: int = 10) -> DataFrame:
+def document_rollup(by_step: DataFrame, steps: DataFrame, k: int = 10, serial: bool = False) -> DataFrame:
     """instance, span_idx, average, appearance, rank: the k documents with the largest sums over steps; absent steps count 0.
 
     by_step: instance, step, span_idx, total (document_stats by instance and step); steps: instance, step of all steps.
+    serial: steps are added in their order, and sums ranked as they come out; else equal sums tie.
     """
     n = steps.groupBy("instance").agg(F.count_distinct("step").alias("_n"))
-    sums = by_step.groupBy("instance", "span_idx").agg(F.sum("total").alias("t"), F.count("*").alias("a"))
-    rank = F.row_number().over(Window.partitionBy("instance").orderBy(settled(F.col("t")).desc(), "span_idx"))
+    by_step, total = summed(by_step, ["instance", "span_idx"], "total", "step", serial)
+    sums = by_step.groupBy("instance", "span_idx").agg(total.alias("t"), F.count("*").alias("a"))
+    rank = F.row_number().over(Window.partitionBy("instance").orderBy(by_sum("t", serial).desc(), "span_idx"))
     best = sums.withColumn("rank", rank).where(F.col("rank") <= k).join(n, "instance")
     return best.select("instance", "span_idx", (F.col("t") / F.col("_n")).alias("average"), (F.col("a") / F.col("_n")).alias("appearance"), "rank")
 
