@@ -201,10 +201,14 @@ def document_rollup(by_step: DataFrame, steps: DataFrame, k: int = 10, serial: b
     return best.select("instance", "span_idx", (F.col("t") / F.col("_n")).alias("average"), (F.col("a") / F.col("_n")).alias("appearance"), "rank")
 
 
-def roll_up_documents(rolled: DataFrame, k: int = 10) -> DataFrame:
-    """span_idx, average, instances: the k documents with the largest mean over the instances that have them."""
+def roll_up_documents(rolled: DataFrame, k: int = 10, decimals: int | None = None) -> DataFrame:
+    """span_idx, average, instances: the k documents with the largest mean over the instances that have them.
+
+    decimals: means that are equal to so many of them tie.
+    """
     means = rolled.groupBy("span_idx").agg(F.avg("average").alias("average"), F.count("*").alias("instances"))
-    return means.orderBy(settled(F.col("average")).desc(), "span_idx").limit(k)
+    by = settled(F.col("average")) if decimals is None else F.round("average", decimals)
+    return means.orderBy(by.desc(), "span_idx").limit(k)
 
 
 def chunk_bounds(chunks: DataFrame, separator: int = 1) -> DataFrame:
