@@ -126,17 +126,19 @@ def high_runs(tokens: DataFrame, share: float = 0.9, least: int = 3, block: int
     return runs.where(F.col("n_tokens") >= least)
 
 
-def mark_sinks(tokens: DataFrame, context_start: Column | int, most_position: int = 1000, percent: float = 5.0, group: list[str] | None = None, plain: bool = False) -> DataFrame:
+def mark_sinks(tokens: DataFrame, context_start: Column | int, most_position: int = 1000, percent: float = 5.0, group: list[str] | None = None, plain: bool = False, serial: bool = False) -> DataFrame:
     """tokens with pct (share of the group's score) and is_sink: early, before the context, and of that percent or more.
 
-    plain: see percent_of(); NaN counts as more than any percent.
+    plain: see percent_of(); NaN counts as more than any percent. serial: the group's score is added by position, for which its
+    tokens meet in one task, and pct is compared as it comes out; else a token of exactly the percentage is a sink.
     """
     group = group or ["instance"]
-    # sums combine before they are shuffled and are joined back, so a group's tokens need not meet in one task
+    # unless serial, sums combine before they are shuffled and are joined back, so a group's tokens need not meet in one task
     totals = tokens.groupBy(*group).agg(F.sum("score").alias("_total"))
+    of = tokens.withColumn("_total", serial_sum("score", group, ["pos"])) if serial else tokens.join(totals, group)
     pct = percent_of(F.col("score"), F.col("_total"), plain)
     start = F.lit(context_start) if isinstance(context_start, int) else context_start
-    return tokens.join(totals, group).withColumn("pct", pct).drop("_total").withColumn("is_sink", (F.col("pos") >= 0) & (F.col("pos") <= most_position) & (F.col("pos") < start) & (settled(F.col("pct")) >= percent))
+    return of.withColumn("pct", pct).drop("_total").withColumn("is_sink", (F.col("pos") >= 0) & (F.col("pos") <= most_position) & (F.col("pos") < start) & (by_sum("pct", serial) >= percent))
 
 
 def rescale_without_sinks(marked: DataFrame, group: list[str] | None = None) -> DataFrame:
